@@ -53,6 +53,12 @@ def anchors_of(grams: np.ndarray, per_window: int) -> np.ndarray:
     return np.flatnonzero(_runs_max(around, per_window) == grams)
 
 
+def _in_order(block: pa.Table, id_col: str, text_col: str) -> pa.Table:
+    """The block's rows by id and text: a shuffle delivers them in any order, and row numbers travel between two deliveries."""
+    ids, texts = block.column(id_col).to_pylist(), block.column(text_col).to_pylist()
+    return block.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or "")), pa.int64()))
+
+
 def _texts(block: pa.Table, text_col: str) -> list[list[bytes]]:
     return [t.encode().split() if (t := x.as_py()) else [] for x in block.column(text_col)]
 
@@ -109,6 +115,7 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
     def locate(block: pa.Table, recur: pa.Table) -> pa.Table:
         if not recur.num_rows or not block.num_rows:
             return rows(_WINDOWS, [])
+        block = _in_order(block, id_col, text_col)
         wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in recur.column("keys").to_pylist()]))
         ids, null = ids_of(block)
         memo, automaton, numbers = WordHashes(), ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
@@ -169,6 +176,7 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
         return rows(_REMOVED, out)
 
     def remove(block: pa.Table, removed: pa.Table) -> pa.Table:
+        block = _in_order(block, id_col, text_col)
         gone: dict[int, np.ndarray] = {}
         if removed.num_rows:
             row, start = (np.concatenate([np.frombuffer(x, np.int32) for x in removed.column(c).to_pylist()]) for c in ("rows", "starts"))
