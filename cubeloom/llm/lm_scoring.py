@@ -4,11 +4,11 @@ For words w1..wn, the score of a word is c(w[i-2..i]) / c(w[i-2..i-1]) where the
 bigram's quotient, else 0.16 times the word's share of all words. A document's counts are those of all documents less its own
 (leave-one-out), so a document's own n-grams don't vouch for it; an exact copy elsewhere does.
 
-The count tables are relational: blocks of documents explode their texts into n-grams of each order and fold equal ones; the
-folded n-grams, keyed by a 64-bit hash, are partitioned by that hash into buckets, which sum the counts and answer
-each block that asked (the join); a block then sums the logarithms per document. N-grams travel as packed arrays, one
-row for a block and bucket, so a frequent n-gram is one entry of each block and no key is hot. n-grams whose count is the block's
-own need no answer beyond that count, so only those that stand in another block come back.
+The count tables are relational: blocks of documents explode their texts into n-grams and fold equal ones; the folded n-grams, keyed
+by a 64-bit hash, are partitioned by that hash into buckets, which sum the counts and answer each block that asked (the
+join); a block then sums the logarithms per document. N-grams travel as packed arrays, one row for a block and bucket, so a
+frequent n-gram is one entry of each block and no key is hot. Words and bigrams go first. A longer n-gram can only stand in
+another document if both n-grams one shorter do, so only those that may are sent, order by order.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .blocks import BLOCK, BLOCK_BYTES, WordHashes, bucket_of, deal, rows, sequence_hashes, sized, text_bytes, with_blocks, word_hashes
-from .storage import replaced
+from .storage import replaced, stored
 
 ORDER, BACKOFF, BUCKET_BYTES = 3, 0.4, 4 << 20
 _GRAMS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_COUNTS = pa.schema([("block", pa.int32()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_COUNTS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("order", pa.int32()), ("known", pa.binary()), ("counts", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -55,15 +55,61 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _grams(texts: list[str | None], order: int, memo: WordHashes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """By order: the hashes of all n-grams of all texts, one text after the other, and each n-gram's text."""
-    hashes = [word_hashes(words(t), memo) for t in texts]
-    keys, who = [], []
-    for n in range(1, order + 1):
-        g = [sequence_hashes(h, n) for h in hashes]
-        keys.append(np.concatenate([np.zeros(0, np.uint64), *g]))
-        who.append(np.repeat(np.arange(len(g)), [len(x) for x in g]))
-    return keys, who
+class _Block:
+    """A block's n-grams, order by order, and what other documents know of them.
+
+    Keys ascend, and a bucket is a range of keys, so a bucket's answer is aligned with the keys it was sent: which are
+    known beyond the block, and their counts.
+    """
+
+    def __init__(self, texts: list[str | None], n_buckets: int) -> None:
+        memo = WordHashes()
+        self.hashes = [word_hashes(words(t), memo) for t in texts]
+        self.n_buckets, self.n_docs = n_buckets, len(texts)
+        self.n_words = np.array([len(h) for h in self.hashes], np.int64)
+        self.others: dict[int, np.ndarray] = {}  # by order, for each n-gram: its count in all other documents
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and documents of all n-grams, one document after the other."""
+        g = [sequence_hashes(h, n) for h in self.hashes]
+        return np.concatenate([np.zeros(0, np.uint64), *g]), np.repeat(np.arange(self.n_docs), [len(x) for x in g])
+
+    def shorter(self, n: int, d: np.ndarray, lead: int) -> np.ndarray:
+        """For each n-gram the index of its first (lead 0) or last (lead 1) n-gram one shorter."""
+        had = np.maximum(self.n_words - n + 2, 0)
+        before = np.cumsum(had) - had
+        mine = np.maximum(self.n_words - n + 1, 0)
+        place = np.arange(len(d)) - (np.cumsum(mine) - mine)[d]
+        return before[d] + place + lead
+
+    def sent(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, documents, which): n-grams of order n that may stand in another document."""
+        k, d = self.grams(n)
+        if n < 3:
+            return k, d, np.arange(len(k))
+        near = self.others[n - 1] > 0
+        which = np.flatnonzero(near[self.shorter(n, d, 0)] & near[self.shorter(n, d, 1)])
+        return k[which], d[which], which
+
+    def rows(self, n: int, block: int) -> list[tuple]:
+        k, c = np.unique(self.sent(n)[0], return_counts=True)
+        return [(b, block, n, _sparse(x), _packed(y)) for b, (x, y) in deal(bucket_of(k, self.n_buckets), self.n_buckets, k, c)]
+
+    def learn(self, n: int, answers: list[tuple[int, bytes, bytes]]) -> None:
+        k, d, which = self.sent(n)
+        total = len(self.grams(n)[0]) if n > 2 else len(k)
+        distinct, at, count = np.unique(k, return_inverse=True, return_counts=True)
+        known = count.astype(np.int64)
+        edges = np.searchsorted(bucket_of(distinct, self.n_buckets), np.arange(self.n_buckets + 1))
+        for bucket, bits, counts in answers:
+            s, e = edges[bucket], edges[bucket + 1]
+            known[s + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s))] = _unpacked(counts)
+        found = known[at]
+        several = np.flatnonzero(found > 1)  # the others stand in this document alone
+        _, pair, own = np.unique(at[several] * np.int64(self.n_docs) + d[several], return_inverse=True, return_counts=True)
+        others = np.zeros(total, np.int64)
+        others[which[several]] = found[several] - own[pair]
+        self.others[n] = others
 
 
 def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -82,25 +128,40 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_blocks, n_buckets = sized(n_bytes, block_bytes), sized(n_bytes, bucket_bytes)
     by_block = with_blocks(docs, n_blocks, id_col).groupBy(BLOCK)
 
-    def folded(block: pa.Table) -> pa.Table:
-        number, out = block.column(BLOCK)[0].as_py(), []
-        keys, _ = _grams(block.column(text_col).to_pylist(), order, WordHashes())
-        for n, k in enumerate(keys, 1):
-            k, c = np.unique(k, return_counts=True)
-            out += [(b, number, n, _sparse(x), _packed(y)) for b, (x, y) in deal(bucket_of(k, n_buckets), n_buckets, k, c)]
-        if len(keys[0]):
-            out.append((-1, number, 0, b"", _packed(np.array([len(keys[0])]))))  # how many words the block has
-        return rows(_GRAMS, out)
+    def told(block: pa.Table, answers: pa.Table, orders: range) -> tuple[_Block, int]:
+        """The block with what the answers say about its n-grams, and the number of all words."""
+        b = _Block(block.column(text_col).to_pylist(), n_buckets)
+        by_order: dict[int, list] = {n: [] for n in range(order + 1)}
+        for n, *rest in zip(*(answers.column(c).to_pylist() for c in ("order", "bucket", "known", "counts")), strict=True):
+            by_order[n].append(rest)
+        for n in orders:
+            b.learn(n, by_order[n])
+        return b, max((int(_unpacked(c)[0]) for *_, c in by_order[0]), default=0)
+
+    def first_grams(block: pa.Table) -> pa.Table:
+        number, b = block.column(BLOCK)[0].as_py(), _Block(block.column(text_col).to_pylist(), n_buckets)
+        out = [r for n in range(1, min(order, 2) + 1) for r in b.rows(n, number)]
+        return rows(_GRAMS, [*out, (-1, number, 0, b"", _packed(np.array([b.n_words.sum()])))])  # how many words the block has
+
+    def longer_grams(n: int):
+        def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+            if not block.num_rows:
+                return rows(_GRAMS, [])
+            b, _ = told(block, answers, range(1, n))
+            return rows(_GRAMS, b.rows(n, block.column(BLOCK)[0].as_py()))
+
+        return run
 
     def summed(bucket: pa.Table) -> pa.Table:
         out = []
+        number = bucket.column("bucket")[0].as_py()
         orders, blocks = np.array(bucket.column("order").to_pylist()), bucket.column("block").to_pylist()
         sent, counts = bucket.column("keys"), bucket.column("counts")
         for n in np.unique(orders):
             at = np.flatnonzero(orders == n)
             c = [_unpacked(counts[int(i)].as_py()) for i in at]
             if n == 0:
-                out += [(blocks[i], 0, b"", _packed(np.array([sum(int(x[0]) for x in c)]))) for i in at]
+                out += [(blocks[i], 0, 0, b"", _packed(np.array([sum(int(x[0]) for x in c)]))) for i in at]
                 continue
             k = [_dense(sent[int(i)].as_py()) for i in at]
             flat, inverse = np.unique(np.concatenate(k), return_inverse=True)
@@ -111,63 +172,42 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, x in zip(at, k, strict=True):
                 m = more[done : done + len(x)]
                 if m.any():
-                    out.append((blocks[i], int(n), _sparse(x[m]), _packed(sums[inverse[done : done + len(x)][m]])))
+                    out.append((blocks[i], number, int(n), np.packbits(m).tobytes(), _packed(sums[inverse[done : done + len(x)][m]])))
                 done += len(x)
         return rows(_COUNTS, out)
 
     def scored(block: pa.Table, answers: pa.Table) -> pa.Table:
-        n_docs = block.num_rows
-        if not n_docs:
+        if not block.num_rows:
             return pa.table([pa.array([], f.type) for f in result], schema=result)
-        keys, who = _grams(block.column(text_col).to_pylist(), order, WordHashes())
-        of, told, counted = answers.column("order").to_pylist(), answers.column("keys"), answers.column("counts")
-        all_words = max((int(_unpacked(counted[i].as_py())[0]) for i, n in enumerate(of) if n == 0), default=0)
-        n_words = np.bincount(who[0], minlength=n_docs)
-        others = []  # by order, for each n-gram: its count in all other documents
-        for n in range(1, order + 1):
-            k, d = keys[n - 1], who[n - 1]
-            distinct, at, own_block = np.unique(k, return_inverse=True, return_counts=True)
-            known = own_block.astype(np.int64)
-            for i, m in enumerate(of):
-                if m == n:
-                    known[np.searchsorted(distinct, _dense(told[i].as_py()))] = _unpacked(counted[i].as_py())
-            _, pair, own = np.unique(at * np.int64(n_docs) + d, return_inverse=True, return_counts=True)
-            others.append(known[at] - own[pair])
-        # Word i of a document ends the n-gram that starts at i - n + 1: where that is before the start, lower orders serve.
-        first = np.concatenate(([0], np.cumsum(n_words)))[:-1]
-        log = np.log(np.maximum(others[0], 0.5)) - np.log(np.maximum(all_words - n_words[who[0]], 0.5))
-        place = np.arange(len(log)) - first[who[0]]
+        b, all_words = told(block, answers, range(1, order + 1))
+        n_words, others = b.n_words, b.others
+        who = np.repeat(np.arange(b.n_docs), n_words)
+        place = np.arange(len(who)) - (np.cumsum(n_words) - n_words)[who]
+        log = np.log(np.maximum(others[1], 0.5)) - np.log(np.maximum(all_words - n_words[who], 0.5))
         best = np.ones(len(log), np.int64)
-        reach = np.minimum(place + 1, order)
         for n in range(2, order + 1):
-            tail = np.flatnonzero(place >= n - 1)  # in the order of the n-grams of order n
-            hit = others[n - 1] > 0
-            at = tail[hit]
-            # the context is the (n-1)-gram that ends one word before: it starts where this n-gram starts
-            starts = tail - (n - 1)
-            context = others[n - 2][_gram_index(starts, place, first, who[0], n_words, n - 1)]
-            log[at] = np.log(others[n - 1][hit]) - np.log(context[hit])
-            best[at] = n
-        back = reach - best
+            d = np.repeat(np.arange(b.n_docs), np.maximum(n_words - n + 1, 0))
+            hit = np.flatnonzero(others[n] > 0)
+            ends = np.flatnonzero(place >= n - 1)[hit]  # n-grams stand in the order of the words that end them
+            log[ends] = np.log(others[n][hit]) - np.log(others[n - 1][b.shorter(n, d, 0)[hit]])
+            best[ends] = n
+        back = np.minimum(place + 1, order) - best
         log += back * np.log(backoff)
-        sums = np.bincount(who[0], weights=log, minlength=n_docs)
-        missed = np.bincount(who[0], weights=back > 0, minlength=n_docs).astype(np.int64)
+        sums = np.bincount(who, weights=log, minlength=b.n_docs)
+        missed = np.bincount(who, weights=back > 0, minlength=b.n_docs).astype(np.int64)
         some = n_words > 0
         mean = np.where(some, sums / np.maximum(n_words, 1), 0.0)
         return block.select(keep).append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_backed_off", pa.array(missed, pa.int64())).append_column("log_score", pa.array(sums)).append_column("score", pa.array(mean, mask=~some))
 
     out = T.StructType([*docs.select(keep).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_backed_off", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     result = pa.schema([(f.name, _arrow(f.dataType)) for f in out.fields])
-    grams = by_block.applyInArrow(folded, _ddl(_GRAMS))
-    counts = grams.groupBy("bucket").applyInArrow(summed, _ddl(_COUNTS))
-    return by_block.cogroup(counts.groupBy("block")).applyInArrow(scored, out)
-
-
-def _gram_index(starts: np.ndarray, place: np.ndarray, first: np.ndarray, who: np.ndarray, n_words: np.ndarray, n: int) -> np.ndarray:
-    """Of word positions at which an n-gram starts: that n-gram's index among all n-grams, which each document has n - 1 fewer of than words."""
-    grams_before = np.concatenate(([0], np.cumsum(np.maximum(n_words - n + 1, 0))))[:-1]
-    d = who[starts]
-    return grams_before[d] + place[starts]
+    grams = by_block.applyInArrow(first_grams, _ddl(_GRAMS))
+    answers = grams.groupBy("bucket").applyInArrow(summed, _ddl(_COUNTS))
+    for n in range(3, order + 1):
+        answers = stored(answers, f"ngram-answers-{n - 1}")
+        grams = by_block.cogroup(answers.groupBy("block")).applyInArrow(longer_grams(n), _ddl(_GRAMS))
+        answers = answers.unionByName(grams.groupBy("bucket").applyInArrow(summed, _ddl(_COUNTS)))
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(scored, out)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
