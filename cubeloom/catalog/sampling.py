@@ -10,6 +10,7 @@ from ..operators import augment, sampling
 from ..registry import query
 from ..sources.tables import images, indexed, table, voxel_classes, volumes, with_views
 from ..sources.views import cube_info, sequences
+from ..streaming import priority
 
 _SHUFFLE = f"SELECT epoch, (k // 32) AS batch, k % 32 AS slot, vec_id FROM (SELECT e.epoch, vec_id, row_number() OVER (PARTITION BY e.epoch ORDER BY {U('shuffle', 'e.epoch', 'vec_id')}, vec_id) - 1 AS k, count(*) OVER (PARTITION BY e.epoch) AS n FROM embeddings CROSS JOIN (SELECT unnest(range(2)) AS epoch) e) WHERE k < n // 32 * 32"
 
@@ -52,12 +53,21 @@ def priority_topk(spark, d):
     return sampling.by_priority(e, "p", "vec_id", 20)
 
 
-@query("priority_update", f"SELECT user_id, {R('avg(abs(value)) / (1 + 0.017 * count(*)) - 0.004 * (1000 - max(event_id % 1000))')} AS prio FROM events GROUP BY user_id")
+_PRIORITY = f"SELECT user_id, {R('avg(abs(value)) / (1 + 0.017 * count(*)) - 0.004 * (1000 - max(event_id % 1000))')} AS prio FROM events GROUP BY user_id"
+
+
+@query("priority_update", _PRIORITY)
 def priority_update(spark, d):
     seen = table(spark, d, "events").groupBy("user_id").agg(F.avg(F.abs("value")).alias("nll"), F.count("*").alias("visits"), F.max(F.col("event_id") % 1000).alias("last"))
     return seen.select("user_id", r(sampling.updated_priority(F.col("nll"), F.col("visits"), F.lit(1000), F.col("last"))).alias("prio"))
 
 
+@query("priority_update_stream", _PRIORITY)
+def priority_update_stream(spark, d):
+    stream = priority.priorities(priority.loss_stream(spark, f"{d}/events.parquet"), 1000)
+    return priority.drained(stream, "priorities").select("user_id", r(F.col("prio")).alias("prio"))
+
+
 _CDF = "prio AS (SELECT cube_id, count(*) FILTER (WHERE cls >= 0) AS prio FROM cls8 GROUP BY cube_id), cdf AS (SELECT cube_id, (sum(prio) OVER (ORDER BY cube_id) - prio) / sum(prio) OVER () AS lo, sum(prio) OVER (ORDER BY cube_id) / sum(prio) OVER () AS hi FROM prio)"
 
 

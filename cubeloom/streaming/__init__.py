@@ -1 +1 @@
-
+"""Streaming forms of operators that keep state."""
