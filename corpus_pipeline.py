@@ -10,6 +10,8 @@ from cubeloom.llm.queries import table, tokenizer_file, toxicity_model
 from cubeloom.llm.storage import stored
 
 ROW = "__row"
+#: Row numbers to drop are broadcast up to this many (8 bytes each); beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -17,12 +19,16 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """rows less those whose number is in bad, which is written and counted first."""
+    bad = stored(bad.select(ROW), "pipeline-dropped")
+    return rows.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, ROW, "left_anti")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is 0.7 or more go."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    rows = _numbered(docs)
-    bad = toxicity.scored(rows.select(ROW, "text"), model).where("predicted = 1").select(ROW)
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    return toxicity.scored(docs.withColumn("__read", F.col("text")), model, text_col="__read").where("predicted = 0").select(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     fps = stored(simhash.fingerprints(rows.select("doc_id", ROW, "text")), "pipeline-fingerprints")
     where = simhash.component_of(fps)
     first = fps.join(where, "fp").groupBy("component").agg(F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW))
-    return rows.join(first.select(ROW), ROW, "left_semi").select(*docs.columns)
+    return _without(rows, fps.select(ROW).join(first.select(ROW), ROW, "left_anti")).select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = _numbered(docs)
     hit = decontamination.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = hit.where(F.octet_length("hits") > 0).select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    return _without(rows, bad).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
