@@ -10,17 +10,19 @@ folded inside the block before they are sent, so a word or passage that is in ev
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 BLOCK = "__block"
+SLICE_CHARS = 2_000_000
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -99,6 +101,16 @@ def deal(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterable[t
             yield b, [c[at[b] : at[b + 1]] for c in columns]
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of bounded text in column at (a longer row is a run of its own)."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64)
+    cut = np.concatenate(([0], np.cumsum(lengths))) // most
+    edges = [0, *(np.flatnonzero(np.diff(cut[:-1])) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        if e > s:
+            yield batch.slice(s, e - s)
+
+
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
 
@@ -106,7 +118,3 @@ def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 def rows(schema: pa.Schema, values: list[tuple]) -> pa.Table:
     columns = list(zip(*values, strict=True)) if values else [()] * len(schema)
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def octets(column: str) -> Column:
-    return F.octet_length(column)

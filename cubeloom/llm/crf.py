@@ -12,6 +12,7 @@ lockstep pass gives every word's exact message. A text's start resets the chain.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -77,16 +78,17 @@ class Chain:
         self.weight = np.zeros((1 << bits, n_labels))
         self.transition = np.zeros((n_labels, n_labels))
 
-    def potentials(self, features: list[np.ndarray]) -> np.ndarray:
+    def potentials(self, features: list[list[int]]) -> np.ndarray:
         """(words, labels): the logarithms, for the feature numbers of each distinct word."""
         if not features:
             return np.zeros((0, self.n_labels))
-        at = np.concatenate(([0], np.cumsum([len(f) for f in features])))[:-1]
-        return np.add.reduceat(self.weight[np.concatenate(features)], at, axis=0)
+        n = np.fromiter(map(len, features), np.int64, len(features))
+        flat = np.fromiter(chain.from_iterable(features), np.int64, int(n.sum()))
+        return np.add.reduceat(self.weight[flat], np.cumsum(n) - n, axis=0)
 
-    def fit(self, words: np.ndarray, features: list[np.ndarray], lengths: np.ndarray, labels: np.ndarray, steps: int, rate: float, decay: float) -> float:
+    def fit(self, words: np.ndarray, features: list[list[int]], lengths: np.ndarray, labels: np.ndarray, steps: int, rate: float, decay: float) -> float:
         """Maximises the conditional likelihood of labels by full-batch Adam steps; words: each word's place in features."""
-        flat, of = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
+        flat, of = np.fromiter(chain.from_iterable(features), np.int64), np.repeat(np.arange(len(features)), [len(f) for f in features])
         used, flat = np.unique(flat, return_inverse=True)
         w, tr = self.weight[used], self.transition
         n, s = len(words), self.n_labels
@@ -129,30 +131,39 @@ class Chain:
 
 
 class Tagger:
-    """A fitted chain applied to texts; the potentials of words are remembered in a table of bounded size."""
+    """A fitted chain applied to texts; the potentials of words are remembered in tables of bounded size.
 
-    LIMIT = 200_000
+    bare gives the form of a word that its features depend on, so words that differ in marks or case are worked out once.
+    """
+
+    LIMIT = 400_000
+
+    def __init__(self, chain: Chain, features: Callable[[str], list[int]], bare: Callable[[str], str]) -> None:
+        self.chain, self.features, self.bare = chain, features, bare
+        self._forget()
 
-    def __init__(self, chain: Chain, features: Callable[[str], np.ndarray]) -> None:
-        self.chain, self.features = chain, features
+    def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.table = np.zeros((0, chain.n_labels))
+        self.form: dict[str, int] = {}
+        self.table = np.zeros((0, self.chain.n_labels))
 
     def _learn(self, words: set[str]) -> None:
         if len(self.number) > self.LIMIT:
-            self.number, self.table = {}, np.zeros((0, self.chain.n_labels))
-        new = [w for w in words if w not in self.number]
-        if new:
-            logit = self.chain.potentials([self.features(w) for w in new])
-            logit = np.maximum(logit - logit.max(axis=1, keepdims=True), -60.0)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.table = np.concatenate((self.table, np.exp(logit)))
+            self._forget()
+        new = list(words.difference(self.number))
+        if not new:
+            return
+        bare = list(map(self.bare, new))
+        forms = list(set(bare).difference(self.form))
+        logit = self.chain.potentials([self.features(f) for f in forms])
+        logit = np.maximum(logit - logit.max(axis=1, keepdims=True), -60.0)
+        self.form.update(zip(forms, range(len(self.form), len(self.form) + len(forms)), strict=True))
+        self.table = np.concatenate((self.table, np.exp(logit)))
+        self.number.update(zip(new, map(self.form.__getitem__, bare), strict=True))
 
     def tag(self, texts: list[list[str]]) -> np.ndarray:
         """(all words, labels): marginals of the words of all texts, one text after the other."""
-        words = set().union(*texts)
-        self._learn(words)
-        if not all(w in self.number for w in words):  # the table was emptied
-            self._learn(words)
-        flat = np.fromiter((self.number[w] for t in texts for w in t), np.int64)
-        return marginals(self.table[flat], np.exp(self.chain.transition), np.array([len(t) for t in texts], np.int64))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self._learn(set().union(*texts))
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+        return marginals(self.table[flat], np.exp(self.chain.transition), lengths)

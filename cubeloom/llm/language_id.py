@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import slices
 from .storage import replaced
-from .tagging import Features, Model, bare, fitted, has_letter, sample_rows, tagger
-from .toxicity import slices
+from .tagging import Features, Model, bare, fitted, has_letter, sample, tagger
 
 MAX_ROWS, MAX_CHARS, MAX_FEATURES, MAX_LANGUAGES, STEPS = 3000, 400_000, 60_000, 64, 30
 UNDETERMINED = "und"
@@ -30,13 +30,13 @@ class Names:
     def __init__(self, lexicon: dict[str, str]) -> None:
         self.lexicon = lexicon
 
-    def __call__(self, word: str) -> list[str]:
-        w = bare(word)
-        if not any(c.isalpha() for c in w):
+    def __call__(self, w: str) -> list[str]:
+        """Of a word in its bare form."""
+        if not any(map(str.isalpha, w)):
             return ["none"]
-        m = f"^{w}$"
-        out = [f"p={w[:k]}" for k in (1, 2, 3, 4) if len(w) >= k] + [f"s={w[-k:]}" for k in (1, 2, 3, 4) if len(w) >= k]
-        out += {f"g={m[i : i + k]}" for k in (2, 3) for i in range(len(m) - k + 1)}
+        n, m = len(w), f"^{w}$"
+        out = [f"p={w[:k]}" for k in (1, 2, 4) if n >= k] + [f"s={w[-k:]}" for k in (1, 2, 4) if n >= k]
+        out += {m[i : i + 3] for i in range(n)}
         if w in self.lexicon:
             out.append(f"l={self.lexicon[w]}")
         return out
@@ -51,19 +51,13 @@ def lexicon(texts: list[list[str]], langs: list[str], least: int = 4, share: flo
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_features: int = MAX_FEATURES, max_languages: int = MAX_LANGUAGES, steps: int = STEPS) -> Model:
-    """A model of labelled (doc_id, text, lang), from at most max_rows whole texts and max_chars of text beyond one for each language.
+    """A model of labelled (doc_id, text, lang), from about max_rows whole texts of each language and max_chars of text at most.
 
     Null texts and languages are left out. More than max_languages languages is an error. Without rows, nothing is learned and every text is undetermined.
     """
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(langs) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    texts, of = [], []
-    for lang in langs:
-        for r in sample_rows(rows.where(F.col("lang") == lang), "doc_id", max_rows, max_chars):
-            texts.append(r["text"].split())
-            of.append(lang)
+    rows = sample(labelled, labelled.where("text is not null").select("doc_id", F.col("lang").alias("cls")), max_rows, max_chars, max_languages)
+    texts, of = [t.split() for _, t in rows], [c for c, _ in rows]
+    langs = sorted(set(of))
     names = Names(lexicon(texts, of))
     features = Features.common(names, Counter(w for t in texts for w in t), 3, max_features)
     labels = np.repeat([langs.index(x) for x in of], [len(t) for t in texts]).astype(np.int64) if texts else np.zeros(0, np.int64)
@@ -92,7 +86,8 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 words = [t.split() if langs and has_letter(t) else [] for t in b.column(at).to_pylist()]
                 n = np.array([len(w) for w in words], np.int64)
                 p = tags.tag(words) if n.sum() else np.zeros((0, max(1, len(langs))))
-                counts = np.fromiter((any(map(str.isalpha, w)) for t in words for w in t), bool, len(p))
+                lettered = {w: any(map(str.isalpha, w)) for w in set().union(*words)}
+                counts = np.fromiter((lettered[w] for t in words for w in t), bool, len(p))
                 best, ends = p.argmax(axis=1), np.cumsum(n)
                 lang, score, stretches = [], [], []
                 for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True):

@@ -48,7 +48,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> tagging.Model:
     """Fitted on labelled rows whose crc32(doc_id) modulo 3 is not 1."""
     labels = labels.select("doc_id", "toxic").where(tagging.split_of("doc_id", 3) != 1)
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(docs, labels)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .crf import Chain, Tagger
 
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’‚…–—¿¡·"
 _WORD = re.compile(r"\S+")
 
 
@@ -25,18 +25,40 @@ def split_of(id_col: str, n: int) -> Column:
 
 def bare(word: str) -> str:
     """Without marks at its ends, in lower case."""
-    return _EDGE.sub("", word).lower()
-
-
-def sample_rows(rows: DataFrame, key: str, max_rows: int, max_chars: int) -> list:
-    """Whole rows with a text, in the order of a hash of key, until either bound is met; they arrive one partition at a time."""
-    out, chars = [], 0
-    for r in rows.orderBy(F.xxhash64(key), key).limit(max_rows).toLocalIterator():
-        chars += len(r["text"])
-        if out and chars > max_chars:
-            break
-        out.append(r)
-    return out
+    return word.strip(_MARKS).lower()
+
+
+def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int, max_classes: int) -> list[tuple]:
+    """(class, text) of whole documents (doc_id, text): of each class of classes (doc_id, cls), in the order of a hash of the id, about
+    max_rows at most, and no more once max_chars characters are there.
+
+    Only counts, then ids and lengths of the drawn documents, then the chosen texts reach the driver; the drawn ids, bounded by
+    max_rows and max_classes, are broadcast, so no text is shuffled. More than max_classes classes are an error.
+    """
+    classes = classes.select("doc_id", "cls").where("doc_id is not null and cls is not null")
+    counts = {r["cls"]: r["count"] for r in classes.groupBy("cls").count().limit(max_classes + 1).collect()}
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    if not counts:
+        return []
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    share = F.lit(0.0)
+    for cls, n in counts.items():
+        share = F.when(F.col("cls") == F.lit(cls), min(1.0, max_rows / n)).otherwise(share)
+    drawn = classes.where(draw < share).withColumn("draw", draw).distinct()
+    texts = docs.select("doc_id", "text").where("text is not null")
+    sizes = texts.join(F.broadcast(drawn), "doc_id").select("cls", "draw", "doc_id", F.length("text").alias("n")).collect()
+    chars: Counter = Counter()
+    chosen = []
+    for r in sorted(sizes):
+        if not chars[r["cls"]] or chars[r["cls"]] + r["n"] <= max_chars:
+            chosen.append((r["doc_id"], r["cls"]))
+            chars[r["cls"]] += r["n"]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(sorted(set(chosen)), drawn.select("doc_id", "cls").schema)
+    found = texts.join(F.broadcast(wanted), "doc_id").select("cls", F.xxhash64("doc_id").alias("h"), "text").collect()
+    return [(r["cls"], r["text"]) for r in sorted(found)]
 
 
 class Features:
@@ -46,16 +68,16 @@ class Features:
         self.names_of = names_of
         self.number = {name: i for i, name in enumerate(known, 1)}
 
-    def __call__(self, word: str) -> np.ndarray:
-        found = [self.number[x] for x in self.names_of(word) if x in self.number]
-        return np.array([0, *found], np.int64)
+    def __call__(self, form: str) -> list[int]:
+        get = self.number.get
+        return [0, *(n for x in self.names_of(form) if (n := get(x)))]
 
     @classmethod
     def common(cls, names_of, words: Counter, least: int, most: int) -> Features:
         """The features of at least so many distinct words' occurrences, the most frequent first, at most so many."""
         n: Counter = Counter()
         for w, c in words.items():
-            for name in set(names_of(w)):
+            for name in set(names_of(bare(w))):
                 n[name] += c
         return cls(names_of, [x for x, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:most] if c >= least])
 
@@ -72,7 +94,7 @@ def fitted(texts: list[list[str]], labels: np.ndarray, n_labels: int, features:
     words = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64)
     chain = Chain(n_labels, bits=max(1, (len(features.number) + 1).bit_length()))
     if len(words):
-        chain.fit(words, [features(w) for w in number], np.array([len(t) for t in texts], np.int64), labels, steps, rate, decay)
+        chain.fit(words, [features(bare(w)) for w in number], np.array([len(t) for t in texts], np.int64), labels, steps, rate, decay)
     return chain
 
 
@@ -82,7 +104,7 @@ _taggers: dict[str, Tagger] = {}
 def tagger(model: Model) -> Tagger:
     if model.key not in _taggers:
         _taggers.clear()
-        _taggers[model.key] = Tagger(model.chain, model.features)
+        _taggers[model.key] = Tagger(model.chain, model.features, bare)
     return _taggers[model.key]
 
 

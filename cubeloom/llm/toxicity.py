@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import slices
 from .storage import replaced
-from .tagging import Features, Model, bare, fitted, offsets, sample_rows, tagger
+from .tagging import Features, Model, bare, fitted, offsets, sample, tagger
 
 THRESHOLD = 0.7
 MAX_ROWS, MAX_CHARS, MAX_FEATURES, STEPS = 3000, 6_000_000, 60_000, 40
-SLICE_CHARS = 2_000_000
 
 
-def feature_names(word: str) -> list[str]:
-    w = bare(word)
+def feature_names(w: str) -> list[str]:
+    """Of a word in its bare form."""
     return [f"w={w}", *(f"p={w[:k]}" for k in (3, 4, 5, 6) if len(w) > k), *(f"s={w[-k:]}" for k in (3, 4, 5) if len(w) > k)]
 
 
@@ -55,7 +55,7 @@ def marks(toxic: list[list[str]], clean: list[list[str]], least_share: float = 0
 
     def held(words: list[str]) -> set[str]:
         out: set[str] = set()
-        for w in set(words):
+        for w in map(bare, set(words)):
             out.update(memo.get(w) or memo.setdefault(w, feature_names(w)))
         return out
 
@@ -93,16 +93,16 @@ def marks(toxic: list[list[str]], clean: list[list[str]], least_share: float = 0
     return out + sorted(f for f, n in n_toxic.items() if f.startswith("w=") and len(f) > 2 and n >= plain and not n_clean[f] and f not in out)
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_features: int = MAX_FEATURES, steps: int = STEPS) -> Model:
-    """A model of labelled (doc_id, text, toxic), from at most max_rows whole texts of each class and max_chars of text beyond one.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_features: int = MAX_FEATURES, steps: int = STEPS) -> Model:
+    """A model of docs (doc_id, text) and labels (doc_id, toxic), from about max_rows whole texts of each class and max_chars of text at most.
 
     Null texts and labels other than 0 and 1 are left out. Without rows of both classes every score is 0.
     """
-    rows = labelled.where("text is not null")
-    toxic, clean = ([(r["text"]).split() for r in sample_rows(rows.where(F.col("toxic") == k).select("doc_id", "text"), "doc_id", max_rows, max_chars)] for k in (1, 0))
+    rows = sample(docs, labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("cls")), max_rows, max_chars, 2)
+    toxic, clean = ([t.split() for c, t in rows if c == k] for k in (1, 0))
     found = set(marks(toxic, clean))
     words: Counter = Counter(w for t in (*toxic, *clean) for w in t)
-    marked = {w for w in words if found.intersection(feature_names(w))}
+    marked = {w for w in words if found.intersection(feature_names(bare(w)))}
     features = Features.common(feature_names, words, 3, max_features)
     texts = [*toxic, *clean]
     labels = np.fromiter((i < len(toxic) and w in marked for i, t in enumerate(texts) for w in t), np.int64)
@@ -156,13 +156,3 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], *columns], names=names)
 
     return source.mapInArrow(run, T.StructType([*source.select(keep).schema.fields, *new]))
-
-
-def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Rows in runs of bounded text (a longer row is a run of its own)."""
-    lengths = np.array([len(x) if (x := t.as_py()) else 0 for t in batch.column(at)], np.int64)
-    cut = np.concatenate(([0], np.cumsum(lengths))) // SLICE_CHARS
-    edges = [0, *(np.flatnonzero(np.diff(cut[:-1])) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-    for s, e in zip(edges[:-1], edges[1:], strict=True):
-        if e > s:
-            yield batch.slice(s, e - s)
