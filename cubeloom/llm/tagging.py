@@ -86,7 +86,7 @@ class Model:
     """A fitted chain with its features and labels; small enough to send to every task by construction."""
 
     def __init__(self, chain: Chain, features: Features, labels: list) -> None:
-        self.chain, self.features, self.labels, self.key = chain, features, labels, uuid.uuid4().hex
+        self.chain, self.features, self.labels, self.edge, self.key = chain, features, labels, 0.0, uuid.uuid4().hex
 
 
 def fitted(texts: list[list[str]], labels: np.ndarray, n_labels: int, features: Features, steps: int, rate: float = 0.25, decay: float = 1e-5) -> Chain:
