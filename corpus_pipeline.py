@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import decontamination, sentencepiece_codec, simhash, substring_dedup, toxicity
@@ -19,6 +19,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with its columns but doc_id and text under names that no operator uses, and what gives it its own columns back."""
+    names = {c: c if c in ("doc_id", "text") else f"__column{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
     """rows less those whose number is in bad, which is written and counted first."""
     bad = stored(bad.select(ROW), "pipeline-dropped")
@@ -28,7 +34,8 @@ def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is 0.7 or more go."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs.withColumn("__read", F.col("text")), model, text_col="__read").where("predicted = 0").select(*docs.columns)
+    aside, own = _set_aside(docs)
+    return toxicity.scored(aside.withColumn("__read", F.col("text")), model, text_col="__read").where("predicted = 0").select(*own)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +49,12 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words that a document with a smaller id has are cut out; n_chars follows."""
-    cut = substring_dedup.recurring_passages_removed(docs)
-    text = F.coalesce("kept_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
-    return cut.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+    aside, own = _set_aside(docs)
+    cut = substring_dedup.recurring_passages_removed(aside)
+    cut = cut.withColumn("text", F.coalesce("kept_text", "text")).select(*own, F.col("kept_text").alias("__kept"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long")))
+    return cut.drop("__kept")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
