@@ -68,9 +68,9 @@ def _named(tag: str, attributes: str) -> tuple[str, set[str], bool]:
 
 
 def parse(page: str | None) -> list[Node]:
-    """The elements of a page that may hold its main text, in page order; each with its text pieces, those of inner elements too."""
+    """The elements of a page that may hold its main text, in page order, the page itself first; each with its text pieces, those of inner elements too."""
     root = Node("", "", "", None, False, False)
-    stack, nodes, pieces = [root], [], []
+    stack, nodes, pieces = [root], [root], []
     for m in _TOKEN.finditer(page or ""):
         token = m[0]
         if token[0] != "<" or token == "<":
@@ -114,7 +114,7 @@ def parse(page: str | None) -> list[Node]:
         paragraph = False
         while inside is not None:
             paragraph |= inside.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li")
-            if inside.tag in CONTAINERS and not inside.dropped:
+            if (inside is root or inside.tag in CONTAINERS) and not inside.dropped:
                 inside.pieces.append((text, at))
                 inside.n_text += n
                 inside.n_link += n * at.linked
@@ -150,7 +150,7 @@ def extract(page: str | None, path: str | None) -> str:
     """The text of the page's containers at path, in page order; of its own best container where it has none there."""
     nodes = parse(page)
     chosen = [x for x in nodes if x.path == path and x.n_text]
-    if not chosen and nodes:
+    if not chosen:
         top = max(nodes, key=lambda x: (_score(x), x.path))
         chosen = [top] if top.n_text else []
     return _text(chosen)
@@ -184,7 +184,7 @@ def main_text(pages: DataFrame, votes: int = VOTES) -> DataFrame:
     """pages (url, html and other columns) without html, with text and n_chars (its code points).
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by one. Null
-    or empty html, and pages without a container that has text, give an empty text. Pages without a host share one ballot.
+    or empty html, and pages that have no text outside boilerplate, give an empty text; a page without containers is its own. Pages without a host share one ballot.
     Repeated rows vote and are extracted each; ties go to the larger path. An empty table gives an empty result. Input
     columns named text or n_chars give way.
     """

@@ -108,8 +108,8 @@ def test_without_labels_nothing_is_learned(spark):
 
 
 def test_pages_odd_rows(spark):
-    pages = [(1, "http://a.b/x", None, "c"), (2, None, "", "c"), (3, "x", "<p>no container", "c"), (4, "http://a.b/x", "<body><article>one&amp;two<p>three", "c"), (4, "http://a.b/x", "<body><article>one&amp;two<p>three", "c"), (None, "http://a.b/y", "<body><div class='ad'>no</div><article><p>x  y</p>", "c")]
+    pages = [(1, "http://a.b/x", None, "c"), (2, None, "", "c"), (3, "x", "<p>no container<script>no</script>", "c"), (4, "http://a.b/x", "<body><article>one&amp;two<p>three", "c"), (4, "http://a.b/x", "<body><article>one&amp;two<p>three", "c"), (None, "http://a.b/y", "<body><div class='ad'>no</div><article><p>x  y</p>", "c")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, TEXT string")
     rows = {(r["page_id"]): (r["text"], r["n_chars"]) for r in html_extraction.main_text(df).collect()}
-    assert rows == {1: ("", 0), 2: ("", 0), 3: ("", 0), 4: ("one&two three", 13), None: ("x y", 3)}
+    assert rows == {1: ("", 0), 2: ("", 0), 3: ("no container", 12), 4: ("one&two three", 13), None: ("x y", 3)}
     assert html_extraction.main_text(df.limit(0)).collect() == []

@@ -57,6 +57,18 @@ def test_stages_in_turn(spark):
     assert n["sentencepiece"][0] == n["sentencepiece"][1] == docs.where(F.col("round_trip")).count()
 
 
+def test_clashing_columns_keep_their_values(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    odd = docs.withColumns({c: F.lit("own") for c in ("n_words", "kept_text", "score", "PREDICTED", "spans", "fp", "hits")})
+    odd.write.mode("overwrite").parquet("/tmp/cubeloom-test-clash")
+    odd = spark.read.parquet("/tmp/cubeloom-test-clash")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, DATA)
+        assert out.columns == odd.columns
+        assert all(r[c] == "own" for r in out.collect() for c in ("n_words", "kept_text", "score", "PREDICTED", "spans", "fp", "hits"))
+        assert stage(spark, odd.limit(0), DATA).collect() == []
+
+
 def check_one_of_each(before, after):
     rows = [(r["doc_id"], simhash.fingerprint(r["text"])) for r in before]
     root = list(range(len(rows)))
