@@ -13,7 +13,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +20,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import parts
+from .blocks import parts, slices
 from .storage import shared_dir
+from .worker import kept
 
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, FILE_TEXT_BYTES = 16 << 20, 256 << 10, 16 << 20
-_MARKS = b".,"
-MEMO = 400_000
+#: A full stop or comma between a letter and white space: a token of its own.
+_MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])(\s|$)"
+WORDS = 1_500_000
+BATCH_CHARS = 6_000_000
 
 
 class Encoder:
     """The tokenizers library's ids of whole texts, with the ids of words remembered in a bounded table.
 
     The tokenizer drops white space and no token reaches over it, so a text's ids are those of its words, one after
-    the other; a trailing full stop or comma after a letter is a token of its own, and ASCII case doesn't matter. Texts that
-    hold a special token's string are encoded whole.
+    the other; a full stop or comma that ends a word is a token of its own, and ASCII case doesn't matter. Texts that
+    hold a special token's string are encoded whole. Only a batch's distinct words are looked up.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -43,39 +45,76 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, bytes] = {}
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Puts the ids of new words into the memo, most of them by those of their lower-case stem and trailing mark."""
-        memo, pairs = self.memo, {}
-        for w in new:
-            stem, mark = (w[:-1], w[-1:]) if w[-1] in _MARKS and w[-2:-1].isalpha() else (w, b"")
-            pairs[w] = (stem.lower() if stem.isascii() else stem, mark)
-        stems = list({s for pair in pairs.values() for s in pair if s and s not in memo})
-        for s, e in zip(stems, self.tokenizer.encode_batch_fast([s.decode() for s in stems], add_special_tokens=False), strict=True):
-            memo[s] = array("I", e.ids).tobytes()
-        for w, (stem, mark) in pairs.items():
-            memo[w] = memo[stem] + memo[mark] if mark else memo[stem]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        whole = {i for i, t in enumerate(texts) if t and "<|" in t and any(s in t for s in self.special)}
-        # Split at ASCII white space alone: the library sees any other inside its word.
-        split = [[] if not t or i in whole else t.encode().split() for i, t in enumerate(texts)]
-        self._learn(set().union(*split).difference(memo))
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for i in whole:
-            out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """The known words, in one Arrow array (no object for each), and their ids, one word after the other."""
+        self.words, self.counts, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: one call for many, told apart by the tokens that end a word."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edges = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(edges) == len(some) + 1:
+                packed = ids.tobytes()
+                out += [packed[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            else:  # a letter that the tokenizer splits at
+                out += self._each(some)
         return out
 
+    def _learn(self, new: pa.Array) -> None:
+        """Adds new words; ASCII words by the ids of their lower-case form."""
+        forms = [w.lower() if w.isascii() else w for w in new.to_pylist()]
+        distinct = set(forms) - {""}
+        letters = [s for s in distinct if s.isalpha()]
+        others = [s for s in distinct if not s.isalpha()]
+        memo = {"": b"", **dict(zip(letters, self._letters(letters), strict=True)), **dict(zip(others, self._each(others), strict=True))}
+        packed = [memo[s] for s in forms]
+        self.words = pa.concat_arrays([self.words, new])
+        self.counts = np.concatenate((self.counts, np.fromiter(map(len, packed), np.int64, len(packed)) // 4))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(packed), "<u4")))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths): the ids of all texts, one text after the other, as unsigned 32-bit integers."""
+        if len(self.words) > WORDS:
+            self._forget()
+        texts = texts.fill_null("")
+        # Split at ASCII white space alone: the library sees any other inside its word.
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _MARKED, r"\1 \2\3"))
+        coded = split.values.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        if at.null_count:
+            new = coded.dictionary.filter(at.is_null())
+            missing = np.asarray(at.is_null())
+            at = np.asarray(at.fill_null(0)).astype(np.int64)
+            at[missing] = np.arange(len(self.words), len(self.words) + len(new))
+            self._learn(new)
+        index = np.asarray(at)[np.asarray(coded.indices)]
+        counts, first = self.counts[index], (np.cumsum(self.counts) - self.counts)[index]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.flat[np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[np.asarray(split.offsets)]
+        whole = np.flatnonzero(np.asarray(pc.match_substring(texts, "<|")))
+        if len(whole):
+            parts = np.split(ids, bounds[1:-1])
+            for i in whole:
+                if any(s in texts[i].as_py() for s in self.special):
+                    parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+            ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, np.diff(bounds)
+
 
-@lru_cache(maxsize=1)
 def encoder(tokenizer_file: str) -> Encoder:
-    """A worker process keeps its words from task to task."""
-    return Encoder(tokenizer_file)
+    return kept(("encoder", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, path: str | None = None, end_id: int | None = END_ID, file_text_bytes: int = FILE_TEXT_BYTES, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> str:
@@ -89,19 +128,18 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str | None = None,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = parts(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0, file_text_bytes)
     ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, part = encoder(tokenizer_file).encode, TaskContext.get().partitionId()
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                ids = [np.frombuffer(x + end, "<u4") for x in encode(b.column(1).to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64)
+            for b in slices(whole, 1, BATCH_CHARS):
+                ids, n = encode(b.column(1))
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)))
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column(0), pa.array(n), tokens], names=["part", "doc_id", "n_tokens", "tokens"])
 
     (
