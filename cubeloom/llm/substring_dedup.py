@@ -15,6 +15,8 @@ Each document's text is shuffled once, by block; all steps reuse that exchange.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,16 @@ def _texts(block: pa.Table, text_col: str) -> list[list[bytes]]:
     return [t.encode().split() if (t := x.as_py()) else [] for x in block.column(text_col)]
 
 
+def _occurrences(automaton: ahocorasick.Automaton, numbers: np.ndarray, length: int) -> np.ndarray:
+    """The last word's place of every phrase of length words in a document. 0 is a word of no phrase: the automaton reads the stretches between."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], numbers > 0, [0])).astype(np.int8)))
+    ends: list[int] = []
+    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if e - s >= length:
+            ends += [s + at for at, _ in automaton.iter(tuple(numbers[s:e].tolist()))]
+    return np.array(ends, np.int64)
+
+
 def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with n_words, n_removed and kept_text (null where nothing was removed).
 
@@ -138,9 +150,8 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
         automaton.make_automaton()
         key, check, row, start = [], [], [], []
         for i, h in hashes.items():
-            w = texts[i]
-            ends = np.fromiter((e for e, _ in automaton.iter(tuple(map(numbers.get, w, [0] * len(w))))), np.int64)
-            n = len(w) - window + 1
+            ends = _occurrences(automaton, np.fromiter(map(numbers.get, texts[i], repeat(0)), np.int64, len(h)), anchor)
+            n = len(h) - window + 1
             near = np.zeros(n + 1, np.int32)
             if len(ends):
                 first = ends - anchor + 1
