@@ -19,7 +19,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FEW = 32
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_distinct_words", "n_upper", "n_marks")
+MORE = ("n_lines", "n_distinct_words", "n_symbol_words", "n_upper", "n_marks")
 
 
 def _shifted(array: Column, by: int, size: Column) -> Column:
@@ -51,6 +51,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").cast("long").alias("n_lines"),
         F.size(F.array_distinct("__w")).cast("long").alias("n_distinct_words"),
+        F.size(F.filter("__w", lambda w: F.translate(w, SYMBOLS, "") != w)).cast("long").alias("n_symbol_words"),
         (F.length("__t") - F.length(F.translate("__t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         (F.length("__t") - F.length(F.translate("__t", "!?", ""))).cast("long").alias("n_marks"),
         F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"),
@@ -86,6 +87,8 @@ RULES = (
     Rule("length", "n_words >= 100", "n_words < 60"),
     Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    Rule("symbol_share", "200 * n_symbols <= word_chars", "20 * n_symbols > word_chars"),
+    Rule("symbol_words", "50 * n_symbol_words <= n_words", "5 * n_symbol_words > n_words"),
     Rule("lines", "n_lines >= 3 and 20 * n_dup_lines <= n_lines", "4 * n_dup_lines > n_lines"),
     Rule("repeats", "10 * n_repeat_words <= n_words", "3 * n_repeat_words > n_words"),
     Rule("variety", "10 * n_distinct_words >= 3 * n_words", "6 * n_distinct_words < n_words"),
@@ -107,12 +110,13 @@ def _posterior(rules: tuple[Rule, ...], prior: float, right: dict) -> Column:
     return 1.0 / (1.0 + F.exp(-(F.log(F.lit(prior / (1 - prior))) + _weight(rules, right))))
 
 
-def accuracies(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, steps: int = 15, prior: float = 0.7, right: float = 0.8) -> tuple[float, dict]:
+def accuracies(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, steps: int = 15, prior: float = 0.7, right: tuple[float, float] = (0.95, 0.3)) -> tuple[float, dict]:
     """(share of good documents, {rule: (accuracy on good ones, on bad ones)}) from counts n of vote patterns.
 
-    Accuracies stay within 0.5 and 0.99, so that good keeps its meaning. Without documents the first guesses stand.
+    A rule is right on good documents at least half the time, so that good keeps its meaning, and no worse than a blind one on bad
+    documents: most rules know one kind of badness and pass the others (the first guess, right, says so too). Without documents the first guesses stand.
     """
-    known = {r.name: (right, right) for r in rules}
+    known = {r.name: right for r in rules}
     for _ in range(steps):
         p = patterns.withColumn("p", _posterior(rules, prior, known))
         sums = [F.sum(F.col("n")).alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")]
@@ -124,11 +128,14 @@ def accuracies(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, steps: int
             return prior, known
         before, prior = prior, min(max(s["good"] / s["n"], 0.02), 0.98)
 
-        def share(hit: float | None, miss: float | None) -> float:
+        def share(hit: float | None, miss: float | None, least: float) -> float:
             hit, miss = hit or 0.0, miss or 0.0
-            return min(max((hit + 8.0) / (hit + miss + 10.0), 0.5), 0.99)
+            return min(max((hit + 8.0) / (hit + miss + 10.0), least), 0.99)
 
-        new = {r.name: (share(s[f"{r.name}_1_g"], s[f"{r.name}_0_g"]), share(s[f"{r.name}_0_b"], s[f"{r.name}_1_b"])) for r in rules}
+        new = {}
+        for r in rules:
+            good = share(s[f"{r.name}_1_g"], s[f"{r.name}_0_g"], 0.5)
+            new[r.name] = good, share(s[f"{r.name}_0_b"], s[f"{r.name}_1_b"], 1.005 - good)
         moved = max(abs(prior - before), *(abs(x - y) for r in rules for x, y in zip(new[r.name], known[r.name], strict=True)))
         known = new
         if moved < 1e-4:
