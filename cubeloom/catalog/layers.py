@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded as r
 from ..functions.keyed import sql_rounded as R
-from ..operators import layers
+from ..operators import kernels, layers
 from ..registry import query
-from ..sources.tables import images, volumes, with_views
+from ..sources.tables import images, table, volumes, with_views
 from ..sources.views import FEATURES, biases, features, sequences, sql_biases, sql_weights, weights
 
 _W1, _B1 = sql_weights("w1", "mlp1", {"i": 64, "o": 16}, 0.1581), sql_biases("b1", "mlp1b", "o", 16)
@@ -113,14 +113,35 @@ def argmax_prediction(spark, d):
     return layers.argmax(probabilities(spark, d), ["vec_id"], "c")
 
 
-@query("forward_mlp_softmax", with_views(f"SELECT vec_id, any_value(label) AS label, arg_max(c, ROW(round(p, 9), -c)) AS pred, {R('max(p)', 4)} AS p FROM p2 GROUP BY vec_id", "img8", more=MLP))
+_MLP_SQL = with_views(f"SELECT vec_id, any_value(label) AS label, arg_max(c, ROW(round(p, 9), -c)) AS pred, {R('max(p)', 4)} AS p FROM p2 GROUP BY vec_id", "img8", more=MLP)
+
+
+@query("forward_mlp_softmax_arrow", _MLP_SQL)
+def forward_mlp_softmax_arrow(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    par = lambda name, n_in, n_out, scale, act: (kernels.weights_array(weights(spark, name, {"i": n_in, "o": n_out}, scale), {"i": n_in, "o": n_out}), kernels.weights_array(biases(spark, f"{name}b", "o", n_out), {"o": n_out}, "b"), act)
+    out = kernels.mlp_probabilities(e, "vec_id", "embedding", [par("mlp1", 64, 16, 0.1581, "tanh"), par("mlp2", 16, 10, 0.2774, "linear")])
+    return out.withColumn("p", r(F.col("p"), 4))
+
+
+@query("forward_mlp_softmax", _MLP_SQL)
 def forward_mlp_softmax(spark, d):
     p = probabilities(spark, d)
     best = F.max_by("c", F.struct(F.round("p", 9), -F.col("c")))
     return p.groupBy("vec_id").agg(F.first("label").alias("label"), best.alias("pred"), r(F.max("p"), 4).alias("p"))
 
 
-@query("forward_conv_pool", with_views(f"SELECT vec_id, f, x // 2 AS x, y // 2 AS y, {R('tanh(max(z))')} AS h FROM c2 GROUP BY ALL", "img8", more=CONV2))
+_CONV_POOL_SQL = with_views(f"SELECT vec_id, f, x // 2 AS x, y // 2 AS y, {R('tanh(max(z))')} AS h FROM c2 GROUP BY ALL", "img8", more=CONV2)
+
+
+@query("forward_conv_pool_arrow", _CONV_POOL_SQL)
+def forward_conv_pool_arrow(spark, d):
+    w = kernels.weights_array(weights(spark, "conv2", C2, 0.5), C2)[:, 0]
+    b = kernels.weights_array(biases(spark, "conv2b", "f", 3), {"f": 3}, "b")
+    return kernels.conv_pool(table(spark, d, "embeddings"), "vec_id", "embedding", 8, w, b, 2, "tanh").withColumn("h", r(F.col("h")))
+
+
+@query("forward_conv_pool", _CONV_POOL_SQL)
 def forward_conv_pool(spark, d):
     p = layers.pooled(conv2(spark, d), ["vec_id", "f"], {"x": 2, "y": 2}, "z")
     return p.select("vec_id", "f", "x", "y", r(layers.activation(F.col("z"), "tanh")).alias("h"))
