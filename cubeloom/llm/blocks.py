@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import released
+
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 BLOCK = "__block"
@@ -47,6 +49,9 @@ class WordHashes(dict):
 
     LIMIT = 400_000
 
+    def __init__(self) -> None:
+        released()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import parts
 from .storage import stored
+from .worker import released
 
 WINDOW = 10
 CHUNK_BYTES = 2 << 20
@@ -53,6 +54,7 @@ def postings(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        released()
         number = {t: i for i, t in enumerate(terms)}
         names = ["shard", "term", "positions", "ids", "id_null"]
         for k, b in enumerate(batches):

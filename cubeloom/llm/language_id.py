@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from .blocks import slices
 from .storage import replaced
-from .tagging import Features, Model, bare, fitted, has_letter, sample, tagger
+from .tagging import Features, Model, bare, fitted, has_letter, sample, split_words, tagger
+from .worker import released
 
 MAX_ROWS, MAX_CHARS, MAX_FEATURES, MAX_LANGUAGES, STEPS = 3000, 400_000, 60_000, 64, 30
 UNDETERMINED = "und"
@@ -58,7 +59,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHAR
     Null texts and languages are left out. More than max_languages languages is an error. Without rows, nothing is learned and every text is undetermined.
     """
     rows = sample(labelled, labelled.where("text is not null").select("doc_id", F.col("lang").alias("cls")), max_rows, max_chars, max_languages)
-    texts, of = [t.split() for _, t in rows], [c for c, _ in rows]
+    texts, of = split_words(t for _, t in rows), [c for c, _ in rows]
     langs = sorted(set(of))
     names = Names(lexicon(texts, of))
     features = Features.common(names, Counter(w for t in texts for w in t), 3, max_features)
@@ -83,6 +84,7 @@ def edge_weight(model: Model, texts: list[list[str]], of: list[str]) -> float:
             if t:
                 for w in EDGE_WEIGHTS:
                     right[w] += model.labels[int(shares(p[e - len(t) : e], w).argmax())] == lang
+    released()  # the driver needs no tagger any more
     return max(EDGE_WEIGHTS, key=lambda w: (right[w], -w))
 
 

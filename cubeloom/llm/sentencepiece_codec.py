@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import replaced
+from .worker import kept
 
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -133,10 +133,8 @@ class Codec:
         return joined.replace(MARK, " ")[1:]
 
 
-@lru_cache(maxsize=1)
 def codec_of(model_file: str) -> Codec:
-    """A worker process keeps its words from task to task."""
-    return Codec(model_file)
+    return kept(("codec", model_file), lambda: Codec(model_file))
 
 
 def encoded(docs: DataFrame, model_file: str, text_col: str = "text", decode: bool = False) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import replaced, stored
+from .worker import released
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011  # fixed value: the binary Golay code's generator polynomial of degree 11
@@ -54,6 +55,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp") -> Da
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(fps.view(np.int64))], names=[*keep, out])

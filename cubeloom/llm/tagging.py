@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .crf import Chain, Tagger
+from .worker import kept
 
 _MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’‚…–—¿¡·"
 _WORD = re.compile(r"\S+")
@@ -61,6 +62,12 @@ def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int, m
     return [(r["cls"], r["text"]) for r in sorted(found)]
 
 
+def split_words(texts: Iterable[str]) -> list[list[str]]:
+    """Words of each text; equal words are one object, which keeps a sample small."""
+    one: dict[str, str] = {}
+    return [[one.setdefault(w, w) for w in t.split()] for t in texts]
+
+
 class Features:
     """Numbers of the features that a fitted model knows; 0 is the feature that every word has."""
 
@@ -98,14 +105,8 @@ def fitted(texts: list[list[str]], labels: np.ndarray, n_labels: int, features:
     return chain
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def tagger(model: Model) -> Tagger:
-    if model.key not in _taggers:
-        _taggers.clear()
-        _taggers[model.key] = Tagger(model.chain, model.features, bare)
-    return _taggers[model.key]
+    return kept(("tagger", model.key), lambda: Tagger(model.chain, model.features, bare))
 
 
 def offsets(text: str, places: list[int]) -> list[tuple[int, int]]:

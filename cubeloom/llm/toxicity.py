@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .blocks import slices
 from .storage import replaced
-from .tagging import Features, Model, bare, fitted, offsets, sample, tagger
+from .tagging import Features, Model, bare, fitted, offsets, sample, split_words, tagger
 
 THRESHOLD = 0.7
 MAX_ROWS, MAX_CHARS, MAX_FEATURES, STEPS = 3000, 6_000_000, 60_000, 40
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     Null texts and labels other than 0 and 1 are left out. Without rows of both classes every score is 0.
     """
     rows = sample(docs, labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("cls")), max_rows, max_chars, 2)
-    toxic, clean = ([t.split() for c, t in rows if c == k] for k in (1, 0))
+    toxic, clean = (split_words(t for c, t in rows if c == k) for k in (1, 0))
     found = set(marks(toxic, clean))
     words: Counter = Counter(w for t in (*toxic, *clean) for w in t)
     marked = {w for w in words if found.intersection(feature_names(bare(w)))}
@@ -122,15 +122,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     return Model(fitted([texts[i] for i in chosen], labels, 2, features, steps), features, [0, 1])
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without its text, with score (0 to 1), predicted (1 from threshold on), n_toxic_words (expected number) and spans: the
+def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
+    """docs without its text (unless keep_text), with score (0 to 1), predicted (1 from threshold on), n_toxic_words (expected number) and spans: the
     (first, last + 1, probability) of words that reach threshold, in characters. Null and empty texts score 0. Rows are
     independent of each other. Input columns named like a new one give way."""
     span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())]))
     new = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_toxic_words", T.DoubleType()), T.StructField("spans", span)]
     keep = [c for c in replaced(docs, *(f.name for f in new)) if c != text_col]
     source = docs.select(*keep, F.col(text_col))
-    at, names = len(keep), [*keep, *(f.name for f in new)]
+    at, held = len(keep), len(keep) + keep_text
+    names = [*source.columns[:held], *(f.name for f in new)]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
@@ -153,6 +154,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
                             hit = np.flatnonzero(q >= threshold)
                             spans[-1] = [{"first": a, "end": z, "probability": float(q[h])} for (a, z), h in zip(offsets(texts[i], hit.tolist()), hit, strict=True)]
                 columns = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(many), pa.array(spans, spans_type)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], *columns], names=names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:held], *columns], names=names)
 
-    return source.mapInArrow(run, T.StructType([*source.select(keep).schema.fields, *new]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:held], *new]))
