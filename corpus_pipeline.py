@@ -35,7 +35,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose toxicity is 0.7 or more go."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     aside, own = _set_aside(docs)
-    return toxicity.scored(aside.withColumn("__read", F.col("text")), model, text_col="__read").where("predicted = 0").select(*own)
+    return toxicity.scored(aside, model, keep_text=True).where("predicted = 0").select(*own)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
