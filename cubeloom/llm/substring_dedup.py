@@ -6,9 +6,10 @@ A passage recurs where a window of 50 words also starts in a document with a sma
    equal anchors, so a window can only recur around an anchor that stands in two documents.
 2. Buckets of the anchors' hash space confirm which of them recur.
 3. Each block compiles its recurring anchors into its own Aho-Corasick automaton over word numbers (its size follows
-   the block's, not the corpus's) and streams its documents through it to locate every occurrence. The windows around
-   occurrences go, as 96-bit hashes with their document, to buckets, which find each window's smallest document.
-4. Windows that start in an earlier document go back to their block, which removes the words they cover.
+   the block's, not the corpus's) and streams its documents through it to locate every occurrence. The distinct windows
+   around occurrences go, as 96-bit hashes with the block's smallest document, to buckets, which find each window's smallest
+   document of all. However many documents share a window, a bucket gets it once a block.
+4. Where another block has a smaller document, the bucket tells; the block removes the words of windows that start earlier.
 
 Each document's text is shuffled once, by block; all steps reuse that exchange.
 """
@@ -29,8 +30,9 @@ from .storage import replaced
 WINDOW, ANCHOR = 50, 8
 _ANCHORS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
 _RECUR = pa.schema([("block", pa.int32()), ("keys", pa.binary())])
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("rows", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())])
-_REMOVED = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("starts", pa.binary())])
+# A block asks a bucket about its distinct windows (keys to index) and sends itself where they stand (rows to which).
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((n, pa.binary()) for n in ("keys", "checks", "ids", "index", "rows", "starts", "which"))])
+_ANSWERS = pa.schema([("block", pa.int32()), *((n, pa.binary()) for n in ("index", "ids", "rows", "starts", "which"))])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -65,6 +67,13 @@ def _texts(block: pa.Table, text_col: str) -> list[list[bytes]]:
     return [t.encode().split() if (t := x.as_py()) else [] for x in block.column(text_col)]
 
 
+def _equal_runs(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, at): the stable order by key and check, and where in it each run of equal ones begins."""
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    return order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
+
+
 def _occurrences(automaton: ahocorasick.Automaton, numbers: np.ndarray, length: int) -> np.ndarray:
     """The last word's place of every phrase of length words in a document. 0 is a word of no phrase: the automaton reads the stretches between."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], numbers > 0, [0])).astype(np.int8)))
@@ -166,34 +175,53 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
         if not key:
             return rows(_WINDOWS, [])
         key, check, row, start = map(np.concatenate, (key, check, row, start))
+        # Equal windows of the block become one, numbered in the order in which they first stand.
+        order, at = _equal_runs(key, check)
+        which = np.empty(len(key), np.int64)
+        which[order] = np.repeat(np.argsort(np.argsort(order[at])), np.diff(np.append(at, len(key))))
+        first = np.sort(order[at])
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[row])
         number = block.column(BLOCK)[0].as_py()
-        return rows(_WINDOWS, [(b, number, *(x.tobytes() for x in (k, c, r, ids[r], s))) for b, (k, c, r, s) in deal(bucket_of(key, n_buckets), n_buckets, key, check, row, start)])
+        asked = deal(bucket_of(key[first], n_buckets), n_buckets, key[first], check[first], least, np.arange(len(first), dtype=np.int32))
+        own = (number % n_buckets, number, None, None, None, None, row.tobytes(), start.tobytes(), which.astype(np.int32).tobytes())
+        return rows(_WINDOWS, [own, *((b, number, *(x.tobytes() for x in sent), None, None, None) for b, sent in asked)])
 
     def earliest(bucket: pa.Table) -> pa.Table:
-        key, check, row, ids, start = (np.concatenate([np.frombuffer(x, t) for x in bucket.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("checks", np.uint32), ("rows", np.int32), ("ids", np.int64), ("starts", np.int32)))
-        sizes = [len(x) // 8 for x in bucket.column("keys").to_pylist()]
-        order = np.lexsort((check, key))
-        k, c = key[order], check[order]
-        at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
-        least = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(np.append(at, len(k))))
-        gone = np.zeros(len(key), bool)
-        gone[order] = ids[order] > least
-        out, done = [], 0
-        for b, n in zip(bucket.column("block").to_pylist(), sizes, strict=True):
-            g = gone[done : done + n]
-            if g.any():
-                out.append((b, row[done : done + n][g].tobytes(), start[done : done + n][g].tobytes()))
-            done += n
-        return rows(_REMOVED, out)
+        out, asked = [], []
+        for r in bucket.select([n for n in _WINDOWS.names if n != "bucket"]).to_pylist():
+            if r["keys"] is None:
+                out.append((r["block"], None, None, r["rows"], r["starts"], r["which"]))
+            else:
+                asked.append((r["block"], *(np.frombuffer(r[n], t) for n, t in (("keys", np.uint64), ("checks", np.uint32), ("ids", np.int64), ("index", np.int32)))))
+        if asked:
+            key, check, ids = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3))
+            order, at = _equal_runs(key, check)
+            least = np.empty(len(key), np.int64)
+            least[order] = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(np.append(at, len(key))))
+            done = 0
+            for number, k, _, own, index in asked:
+                found = least[done : done + len(k)]
+                done += len(k)
+                if len(lower := np.flatnonzero(found < own)):
+                    out.append((number, index[lower].tobytes(), found[lower].tobytes(), None, None, None))
+        return rows(_ANSWERS, out)
 
     def remove(block: pa.Table, removed: pa.Table) -> pa.Table:
         block = _in_order(block, id_col, text_col)
         gone: dict[int, np.ndarray] = {}
-        if removed.num_rows:
-            row, start = (np.concatenate([np.frombuffer(x, np.int32) for x in removed.column(c).to_pylist()]) for c in ("rows", "starts"))
-            order = np.argsort(row, kind="stable")
-            found, at = np.unique(row[order], return_index=True)
-            gone = dict(zip(found.tolist(), np.split(start[order], at[1:]), strict=True))
+        answers = removed.to_pylist()
+        for own in (a for a in answers if a["rows"] is not None):  # one, or none
+            row, start, which = (np.frombuffer(own[n], np.int32) for n in ("rows", "starts", "which"))
+            ids = ids_of(block)[0][row]
+            least = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, which, ids)
+            for a in answers:
+                if a["index"] is not None:
+                    least[np.frombuffer(a["index"], np.int32)] = np.frombuffer(a["ids"], np.int64)
+            later = np.flatnonzero(ids > least[which])
+            found, at = np.unique(row[later], return_index=True)
+            gone = dict(zip(found.tolist(), np.split(start[later], at[1:]), strict=True)) if len(found) else {}
         n_words, n_removed, kept = [], [], []
         for i, w in enumerate(_texts(block, text_col)):
             n_words.append(len(w))
@@ -211,6 +239,6 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
 
     recur = by_block.applyInArrow(find_anchors, _ddl(_ANCHORS)).groupBy("bucket").applyInArrow(confirm, _ddl(_RECUR))
     found = by_block.cogroup(recur.groupBy("block")).applyInArrow(locate, _ddl(_WINDOWS))
-    removed = found.groupBy("bucket").applyInArrow(earliest, _ddl(_REMOVED))
+    removed = found.groupBy("bucket").applyInArrow(earliest, _ddl(_ANSWERS))
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return by_block.cogroup(removed.groupBy("block")).applyInArrow(remove, out)
