@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .blocks import BLOCK, BLOCK_BYTES, WordHashes, bucket_of, deal, rows, sequence_hashes, sized, text_bytes, with_blocks, word_hashes
+from .blocks import BLOCK, WordHashes, bucket_of, deal, rows, sequence_hashes, sized, text_bytes, with_blocks, word_hashes
 from .storage import replaced, stored
 
-ORDER, BACKOFF, BUCKET_BYTES = 3, 0.4, 4 << 20
+ORDER, BACKOFF, BLOCK_BYTES, BUCKET_BYTES = 3, 0.4, 12 << 20, 4 << 20
 _GRAMS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _COUNTS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("order", pa.int32()), ("known", pa.binary()), ("counts", pa.binary())])
 
@@ -31,12 +31,17 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Counts as bytes where all are small."""
-    return x.astype(np.uint8).tobytes() + b"1" if len(x) and x.max() < 256 else x.astype(np.int64).tobytes() + b"8"
+    """Counts as bytes, those of 255 and more once again in full at the end."""
+    large = x[x >= 255].astype(np.int64)
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + large.tobytes() + len(large).to_bytes(4, "little")
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x[:-1], np.uint8 if x[-1:] == b"1" else np.int64).astype(np.int64)
+    n = int.from_bytes(x[-4:], "little")
+    end = len(x) - 4 - 8 * n
+    out = np.frombuffer(x, np.uint8, end).astype(np.int64)
+    out[out == 255] = np.frombuffer(x[end:-4], np.int64)
+    return out
 
 
 def _sparse(keys: np.ndarray) -> bytes:
@@ -147,7 +152,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def run(block: pa.Table, answers: pa.Table) -> pa.Table:
             if not block.num_rows:
                 return rows(_GRAMS, [])
-            b, _ = told(block, answers, range(1, n))
+            b, _ = told(block, answers, range(2, n))  # what words alone are known does not matter here
             return rows(_GRAMS, b.rows(n, block.column(BLOCK)[0].as_py()))
 
         return run
@@ -204,7 +209,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grams = by_block.applyInArrow(first_grams, _ddl(_GRAMS))
     answers = grams.groupBy("bucket").applyInArrow(summed, _ddl(_COUNTS))
     for n in range(3, order + 1):
-        answers = stored(answers, f"ngram-answers-{n - 1}")
+        if n > 3:  # else plans would double with each order; below, the counts are summed twice from one exchange
+            answers = stored(answers, f"ngram-answers-{n - 1}")
         grams = by_block.cogroup(answers.groupBy("block")).applyInArrow(longer_grams(n), _ddl(_GRAMS))
         answers = answers.unionByName(grams.groupBy("bucket").applyInArrow(summed, _ddl(_COUNTS)))
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(scored, out)
