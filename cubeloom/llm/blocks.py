@@ -47,7 +47,7 @@ def sized(n_bytes: int, each: int, least: int = 1) -> int:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered; cleared when large, so memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self) -> None:
         released()

@@ -136,7 +136,7 @@ class Tagger:
     bare gives the form of a word that its features depend on, so words that differ in marks or case are worked out once.
     """
 
-    LIMIT = 250_000
+    LIMIT = 200_000
 
     def __init__(self, chain: Chain, features: Callable[[str], list[int]], bare: Callable[[str], str]) -> None:
         self.chain, self.features, self.bare = chain, features, bare

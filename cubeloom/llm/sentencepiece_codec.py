@@ -33,7 +33,7 @@ UNKNOWN_COST = 10.0
 class Codec:
     """Encoder and decoder of one model file. Paths of words are kept in a table of at most memo_size words."""
 
-    def __init__(self, model_file: str, memo_size: int = 300_000) -> None:
+    def __init__(self, model_file: str, memo_size: int = 200_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
