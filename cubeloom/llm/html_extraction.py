@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import replaced
+from .storage import replaced, stored
 
 VOTES = 3
+BROADCAST_HOSTS = 200_000
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -189,7 +190,8 @@ def main_text(pages: DataFrame, votes: int = VOTES) -> DataFrame:
     columns named text or n_chars give way.
     """
     keep = [c for c in replaced(pages, "text", "n_chars", "__host", "__path") if c != "html"]
-    paths = host_paths(pages, votes).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    paths = stored(host_paths(pages, votes).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "host-paths")
+    paths = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths  # else a shuffled join, whose large partitions Spark splits
     met = pages.select(*keep, "html", host().alias("__host")).join(paths, "__host", "left").select(*keep, "html", "__path")
     out = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     at = len(keep)
