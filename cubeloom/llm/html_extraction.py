@@ -27,7 +27,7 @@ BROADCAST_HOSTS = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template iframe object svg canvas textarea title".split())
-DROPPED = frozenset("nav header footer aside form button select menu dialog figcaption head".split()) | RAW
+DROPPED = frozenset("nav header footer aside form button select menu dialog head".split()) | RAW
 CONTAINERS = frozenset("html body main article section div td table tr tbody ul ol blockquote center".split())
 # Words of classes, ids and roles that mark boilerplate.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promoted promotion related replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert modal login search".split())

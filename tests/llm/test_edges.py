@@ -113,3 +113,8 @@ def test_pages_odd_rows(spark):
     rows = {(r["page_id"]): (r["text"], r["n_chars"]) for r in html_extraction.main_text(df).collect()}
     assert rows == {1: ("", 0), 2: ("", 0), 3: ("no container", 12), 4: ("one&two three", 13), None: ("x y", 3)}
     assert html_extraction.main_text(df.limit(0)).collect() == []
+
+
+def test_captions_of_an_article_stay():
+    page = "<body><nav>no</nav><article><p>one</p><figure><img src='x'><figcaption>two</figcaption></figure><p>three</p></article><aside>no</aside>"
+    assert html_extraction.extract(page, html_extraction.best(page)[0][0]) == "one two three"
