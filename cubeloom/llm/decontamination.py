@@ -26,6 +26,8 @@ from .storage import stored
 from .worker import released
 
 WINDOW = 10
+#: Consecutive words in which op3_decontamination_near wants all terms of a window: up to five inserted words a window.
+NEAR_SPAN = 15
 CHUNK_BYTES = 2 << 20
 _WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 _TO_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if x in _WORD_BYTES else 32 for x in range(256))
@@ -104,13 +106,27 @@ def _phrase_starts(phrase: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.
     return starts
 
 
+def _between(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Those of the ascending places that lie from low[k] to high[k], for every k."""
+    start, n = np.searchsorted(places, low), np.searchsorted(places, high, side="right")
+    n = n - start
+    return places[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def _near_spans(phrase: tuple[int, ...], lists: dict[int, np.ndarray], span: int) -> np.ndarray:
     """(first, last) of the shortest stretches of span words or fewer, from an occurrence of any term on, that hold all terms of phrase."""
-    terms = set(phrase)
-    if not terms <= lists.keys():
-        return np.zeros((0, 2), np.int64)
-    rare = min(terms, key=lambda t: len(lists[t]))
-    begin = np.unique(np.concatenate([lists[t] for t in terms]))
+    none = np.zeros((0, 2), np.int64)
+    if not set(phrase) <= lists.keys():
+        return none
+    terms = sorted(set(phrase), key=lambda t: len(lists[t]))
+    rare = terms[0]
+    held = lists[rare]  # places of the rarest term that have every other term less than span words away
+    for t in terms[1:]:
+        at = np.searchsorted(lists[t], held - span + 1)
+        held = held[(at < len(lists[t])) & (lists[t][np.minimum(at, len(lists[t]) - 1)] < held + span)]
+        if not len(held):
+            return none
+    begin = np.unique(np.concatenate([_between(lists[t], held - span + 1, held) for t in terms]))
     at = np.searchsorted(lists[rare], begin)
     begin = begin[(at < len(lists[rare])) & (lists[rare][np.minimum(at, len(lists[rare]) - 1)] - begin < span)]
     last = begin.copy()

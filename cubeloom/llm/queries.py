@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, language_id, lm_scoring, quality, sentencepiece_codec, simhash, substring_dedup, tagging, token_files, toxicity
@@ -40,9 +40,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return _contamination_columns(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op3_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_decontamination, and the items of which a window's terms stand within NEAR_SPAN words in any order."""
+    hit = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_span=decontamination.NEAR_SPAN)
+    return _contamination_columns(hit, F.size("near_items").cast("long").alias("n_near_items"), "near_items")
+
+
+def _contamination_columns(hit: DataFrame, *more: Column | str) -> DataFrame:
     n_hit = (F.octet_length("hits") / 4).cast("long")
-    return hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *more)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> tagging.Model:
@@ -89,7 +98,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (tagging.split_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("runs").alias("n_runs"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_decontamination, op4_toxicity, op5_simhash, op6_quality, op7_substring_dedup, op8_token_files, op9_html_extraction, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_decontamination, op3_decontamination_near, op4_toxicity, op5_simhash, op6_quality, op7_substring_dedup, op8_token_files, op9_html_extraction, op10_language_id)}
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 

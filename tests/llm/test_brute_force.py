@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cubeloom.llm import crf, decontamination, html_extraction, language_id, lm_scoring, quality, sentencepiece_codec, simhash, substring_dedup, tagging, token_files, toxicity
+from cubeloom.llm import crf, decontamination, html_extraction, language_id, lm_scoring, quality, queries, sentencepiece_codec, simhash, substring_dedup, tagging, token_files, toxicity
 from cubeloom.llm.queries import tokenizer_file
 
 DATA = "/root/testdata/sf0.001"
@@ -138,6 +138,26 @@ def test_proximity(spark):
     assert near == {1: ["9"], 2: ["9"], 3: [], 4: [], 5: []}
 
 
+def test_the_proximity_query_finds_edited_passages(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    item = [f"b{k}" for k in range(30)]
+    inserted = [x for k, w in enumerate(item) for x in ([w, "new"] if k % 5 == 4 else [w])]
+    swapped = [item[k + 1 if k % 10 == 4 else k - 1 if k % 10 == 5 else k] for k in range(30)]
+    rows = [(1, " ".join(item)), (2, " ".join(inserted)), (3, " ".join(swapped)), (4, "b1 b2 b3"), (5, " x y ".join(item))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["contaminated"], r["n_near_items"], r["near_items"]) for r in queries.op3_decontamination_near(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 1, ["7"]), 2: (False, 1, ["7"]), 3: (False, 1, ["7"]), 4: (False, 0, []), 5: (False, 0, [])}
+    for _ in range(300):  # against every stretch of words
+        words, phrase, span = rng.integers(0, 6, 60), tuple(rng.integers(0, 6, int(rng.integers(1, 5))).tolist()), int(rng.integers(1, 9))
+        lists = {t: np.flatnonzero(words == t) for t in set(words.tolist())}
+        plain = []
+        for b in (k for k in range(60) if words[k] in phrase):
+            ends = [e for e in range(b, min(b + span, 60)) if set(phrase) <= set(words[b : e + 1].tolist())]
+            plain += [[b, ends[0]]] if ends else []
+        assert decontamination._near_spans(phrase, lists, span).tolist() == plain
+
+
 def test_removed_passages(spark, docs, texts):
     got = {r["doc_id"]: r for r in substring_dedup.recurring_passages_removed(docs, block_bytes=50_000, bucket_bytes=70_000).collect()}
     first = {}
