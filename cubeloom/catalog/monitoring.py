@@ -86,6 +86,12 @@ def pairwise_prediction_diff(spark, d):
     return monitor.pairwise(p, "m", ["img", "x", "y"])
 
 
+@query("pairwise_prediction_diff_all", with_views("SELECT a.vec_id % 4 AS m1, b.vec_id % 4 AS m2, a.vec_id // 4 AS img, a.x, a.y, least(a.value, b.value) AS r, a.value AS g, b.value AS b FROM img8 a JOIN img8 b ON a.vec_id // 4 = b.vec_id // 4 AND a.vec_id % 4 < b.vec_id % 4 AND a.x = b.x AND a.y = b.y", "img8"))
+def pairwise_prediction_diff_all(spark, d):
+    p = images(spark, d).select((F.col("vec_id") % 4).alias("m"), F.expr("vec_id div 4").alias("img"), "x", "y", "value")
+    return monitor.pairwise(p, "m", ["img", "x", "y"])
+
+
 @query("model_cost", "WITH l(layer, kind, n_in, n_out, filter, positions) AS (VALUES (0, 'conv', 1, 16, 9, 576), (1, 'conv', 16, 32, 9, 100), (2, 'mlp', 800, 300, 1, 1), (3, 'mlp', 300, 300, 1, 1), (4, 'mlp', 300, 10, 1, 1)) SELECT CAST(layer AS BIGINT) AS layer, CAST(n_in * n_out * filter * positions * 50 AS BIGINT) AS mults, CAST(n_in * n_out * filter + n_out AS BIGINT) AS params FROM l")
 def model_cost(spark, d):
     rows = [(0, 1, 16, 9, 576), (1, 16, 32, 9, 100), (2, 800, 300, 1, 1), (3, 300, 300, 1, 1), (4, 300, 10, 1, 1)]

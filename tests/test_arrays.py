@@ -117,3 +117,12 @@ def test_strip_extents():
     assert reshape.strip_extents(6, 10, 0) == (0, 2)
     with pytest.raises(ValueError):
         reshape.strip_extents(10, 5, 0)
+
+
+def test_all_images_are_compared_pairwise(spark):
+    from cubeloom import catalog, registry  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    got = registry.queries()["pairwise_prediction_diff_all"](spark, d)
+    assert got.count() == n // 4 * 6 * 64 and got.agg({"img": "max"}).first()[0] == n // 4 - 1
