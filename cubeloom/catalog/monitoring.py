@@ -7,7 +7,7 @@ from ..functions.keyed import rounded as r
 from ..functions.keyed import sql_rounded as R
 from ..operators import monitor
 from ..registry import query
-from ..sources.tables import images, table, training_log, volumes, voxel_classes, with_views
+from ..sources.tables import images, running_sum, table, training_log, volumes, voxel_classes, with_views
 from ..sources.views import sequences, sql_weights, weights
 
 _SEQ = "q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, abs(value) / 100.0 AS nll FROM events)"
@@ -53,11 +53,22 @@ def timeline_summary(spark, d):
 
 @query("step_ticks_interp", with_views(f"SELECT k AS step, {R('a.t + (b.t - a.t) * (k - a.i) / 7.0')} AS minutes FROM (SELECT unnest(range(0, 900, 100)) AS k) JOIN (SELECT i, sum(nll) OVER (ORDER BY i) AS t FROM train_log) a ON a.i = k // 7 * 7 JOIN (SELECT i, sum(nll) OVER (ORDER BY i) AS t FROM train_log) b ON b.i = a.i + 7", "train_log"))
 def step_ticks_interp(spark, d):
-    log = training_log(spark, d).where("i < 1000").withColumn("t", F.sum("nll").over(Window.orderBy("i")))  # the first thousand steps
+    log = running_sum(training_log(spark, d), "i", "nll", "t")
     ticks = spark.range(0, 900, 100).withColumnRenamed("id", "step")
     return monitor.interpolated(log.where("i % 7 = 0"), ticks, "i", "t", "step").select("step", r(F.col("t")).alias("minutes"))
 
 
+_TICKS = "n AS (SELECT max(i) AS n FROM train_log WHERE i % 7 = 0), u AS (SELECT n, CAST(pow(10, floor(log10(greatest(n // 5, 1)))) AS BIGINT) AS u FROM n), c AS (SELECT i, sum(nll) OVER (ORDER BY i) AS t FROM train_log)"
+
+
+@query("step_ticks_interp_all", with_views(f"SELECT k AS step, {R('a.t + (b.t - a.t) * (k - a.i) / 7.0')} AS minutes FROM (SELECT unnest(range(0, n, greatest(CAST(round_even(n / (5.0 * u), 0) AS BIGINT), 1) * u)) AS k FROM u) JOIN c a ON a.i = k // 7 * 7 JOIN c b ON b.i = a.i + 7", "train_log", more=_TICKS))
+def step_ticks_interp_all(spark, d):
+    log = running_sum(training_log(spark, d), "i", "nll", "t").where("i % 7 = 0")
+    last = log.agg(F.max("i")).first()[0] or 0
+    ticks = spark.range(0, last, monitor.tick_spacing(last)).withColumnRenamed("id", "step")
+    return monitor.interpolated(log, ticks, "i", "t", "step").select("step", r(F.col("t")).alias("minutes"))
+
+
 _PARAMS = ", ".join((sql_weights("w1", "mlp1", {"i": 64, "o": 16}, 0.1581), sql_weights("w2", "mlp2", {"i": 16, "o": 10}, 0.2774), "par AS (SELECT 1 AS layer, w FROM w1 UNION ALL SELECT 2, w FROM w2)"))
 
 

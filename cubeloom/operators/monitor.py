@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded as r
@@ -31,11 +31,18 @@ def summary(log: DataFrame, last: int = 30) -> DataFrame:
 
 
 def interpolated(series: DataFrame, points: DataFrame, x: str, y: str, at: str) -> DataFrame:
-    """y at each point by the straight line between the neighbours in x. points is small and broadcast."""
-    w = Window.orderBy(x)
-    spans = series.select(x, y, F.lead(x).over(w).alias("__x"), F.lead(y).over(w).alias("__y"))
-    met = spans.join(F.broadcast(points), (F.col(at) >= F.col(x)) & (F.col(at) < F.col("__x")))
-    return met.select(at, (F.col(y) + (F.col("__y") - F.col(y)) * (F.col(at) - F.col(x)) / (F.col("__x") - F.col(x))).alias(y))
+    """y at each point by the straight line between the neighbours in x; points beyond them have no row. points is small and broadcast."""
+    met = series.select(x, y).crossJoin(F.broadcast(points.select(at)))
+    place = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = met.groupBy(at).agg(F.max(F.when(F.col(x) <= F.col(at), place)).alias("a"), F.min(F.when(F.col(x) > F.col(at), place)).alias("b"))
+    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col(at) - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
+    return ends.where("a is not null and b is not null").select(at, line.alias(y))
+
+
+def tick_spacing(last: int, about: int = 5) -> int:
+    """Steps between ticks on an axis to step last: a multiple of a power of ten that gives about so many ticks."""
+    unit = 10 ** (len(str(max(last // about, 1))) - 1)
+    return max(round(last / (about * unit)), 1) * unit
 
 
 def parameter_stats(df: DataFrame, by: str, w: str) -> DataFrame:

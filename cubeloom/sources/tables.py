@@ -65,17 +65,31 @@ def indexed(df: DataFrame, key: str, name: str, parts: int = 16) -> DataFrame:
 
     Rows are dealt by key ranges; a row's number is its place in its range after the totals of the ranges before.
     """
-    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(F.col(key) >= F.lit(c), 1).otherwise(0)
-    dealt = df.withColumn("__range", bucket)
+    dealt = _dealt(df, key, parts)
     totals = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = totals.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(key)).cast("long") - 1
     return dealt.withColumn("__place", place).join(before, "__range").withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__before", "__place")
 
 
+def running_sum(df: DataFrame, key: str, value: str, name: str, parts: int = 16) -> DataFrame:
+    """df with name, the sum of value up to each row in order of a unique numeric key, dealt by ranges as in indexed."""
+    dealt = _dealt(df, key, parts)
+    totals = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    before = totals.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(key)), F.lit(0))
+    return dealt.withColumn("__inside", inside).join(before, "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
+
+
+def _dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """df with __range, which of parts ranges of the key a row is in."""
+    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
+    bucket = F.lit(0)
+    for c in cuts:
+        bucket = bucket + F.when(F.col(key) >= F.lit(c), 1).otherwise(0)
+    return df.withColumn("__range", bucket)
+
+
 #: The views' SQL twins, as common table expressions.
 SQL = {
     "img8": "img8 AS (SELECT vec_id, CAST(label AS BIGINT) AS label, p // 8 AS x, p % 8 AS y, round(CAST(embedding[p + 1] AS DOUBLE), 4) + 0.0 AS value FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS p))",

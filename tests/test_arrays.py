@@ -126,3 +126,18 @@ def test_all_images_are_compared_pairwise(spark):
     n = spark.read.parquet(f"{d}/embeddings.parquet").count()
     got = registry.queries()["pairwise_prediction_diff_all"](spark, d)
     assert got.count() == n // 4 * 6 * 64 and got.agg({"img": "max"}).first()[0] == n // 4 - 1
+
+
+def test_ticks_span_the_whole_log_and_sums_need_no_single_task(spark):
+    from cubeloom import catalog, registry  # noqa: F401
+    from cubeloom.operators import monitor
+    from cubeloom.sources.tables import running_sum
+
+    d = "/root/testdata/sf0.01"
+    steps = sorted(r["step"] for r in registry.queries()["step_ticks_interp_all"](spark, d).collect())
+    assert steps == [0, 2000, 4000, 6000, 8000] and [monitor.tick_spacing(n) for n in (1, 7, 994, 99_995)] == [1, 1, 200, 20_000]
+    df = spark.range(1000).selectExpr("id * 3 as i", "cast(id % 7 as double) as v")
+    sums = [r["t"] for r in running_sum(df, "i", "v", "t").orderBy("i").collect()]
+    assert sums == [float(sum(k % 7 for k in range(n + 1))) for n in range(1000)]
+    line = monitor.interpolated(df, spark.createDataFrame([(4,), (2997,), (-1,)], "at long"), "i", "v", "at")
+    assert [(r["at"], round(r["v"], 9)) for r in line.collect()] == [(4, round(1 + 1 / 3, 9))]
