@@ -5,6 +5,11 @@ long hexadecimal parts of classes folded. Each page scores its containers by the
 boilerplate, in paragraphs above all, and casts its vote for the best few. Votes add up by host and path in Spark; a host's
 winning path is the one with the largest sum. Each page is then extracted anew with the winner of its host; a page that
 lacks the winner uses its own best container.
+
+Names of classes alone lose no article: an element named like boilerplate is left out of the containers around it, but stays a
+container with a low score, so what it wraps is still found. A form is left out only where it holds less than half of the
+page's text, and a header only outside articles. Parsing takes time and memory in proportion to the page: elements point to their
+parents, their text is a stretch of one list, and paths are chained hashes.
 """
 
 from __future__ import annotations
@@ -13,148 +18,269 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import slices
 from .storage import replaced, stored
 
 VOTES = 3
 BROADCAST_HOSTS = 200_000
+#: How much the score of text within an element named like boilerplate counts.
+NAMED_BOILERPLATE = 0.1
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template iframe object svg canvas textarea title".split())
-DROPPED = frozenset("nav header footer aside form button select menu dialog head".split()) | RAW
-CONTAINERS = frozenset("html body main article section div td table tr tbody ul ol blockquote center".split())
+DROPPED = frozenset("nav header footer aside button select menu dialog head".split()) | RAW
+CONTAINERS = frozenset("html body main article section form div td table tr tbody ul ol blockquote center".split())
+PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li".split())
 # Words of classes, ids and roles that mark boilerplate.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promoted promotion related replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert modal login search".split())
+COMMENTS = frozenset("comment comments replies respond disqus".split())
+#: A name that begins so says what stands beside the element's text, as in has-sidebar.
+BESIDE = frozenset("has with no without is".split())
 CONTENT = frozenset("article body content entry main post story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: For tags whose end may be left out: the open elements that end where they begin, and those that such an end does not pass.
+_ENDS = {
+    "p": (("p",), tuple(CONTAINERS)),
+    "li": (("li",), ("ul", "ol")),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr",), ("table",)),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ()),
+}
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=[ \t\r\n\f]*([\"'])")
+_RAW_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in RAW}
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _FOLD = re.compile(r"[0-9a-f]{6,}|\d+", re.I)
 _PART = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 
 
 @dataclass
-class Node:
-    tag: str
-    name: str
-    path: str
-    parent: Node | None
-    dropped: bool
-    linked: bool
-    pieces: list[tuple[str, Node]] = field(default_factory=list)
-    n_text: int = 0
-    n_link: int = 0
-    n_paragraph: int = 0
-
-
-def _named(tag: str, attributes: str) -> tuple[str, set[str], bool]:
-    words, kind, hidden = set(), "", False
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-                hidden = True
-            elif key in ("class", "id", "role"):
-                words |= set(_PART.findall(value.lower()))
-                if key == "class":
-                    kind = ".".join(sorted({_FOLD.sub("#", x) for x in value.lower().split()}))
-    return f"{tag}.{kind}" if kind else tag, words, hidden
-
-
-def parse(page: str | None) -> list[Node]:
-    """The elements of a page that may hold its main text, in page order, the page itself first; each with its text pieces, those of inner elements too."""
-    root = Node("", "", "", None, False, False)
-    stack, nodes, pieces = [root], [root], []
-    for m in _TOKEN.finditer(page or ""):
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            top = stack[-1]
-            if not top.dropped:
-                pieces.append((html.unescape(token), top))
+class Page:
+    """A page's elements in the order of their opening tags, each a place in these lists; 0 is the page itself, its own parent."""
+
+    tag: list[str] = field(default_factory=lambda: [""])
+    name: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    key: list[int] = field(default_factory=lambda: [0])  # hash of the generalised path
+    depth: list[int] = field(default_factory=lambda: [0])
+    dropped: list[bool] = field(default_factory=lambda: [False])
+    named: list[bool] = field(default_factory=lambda: [False])  # named like boilerplate, or a form
+    linked: list[bool] = field(default_factory=lambda: [False])
+    paragraph: list[bool] = field(default_factory=lambda: [False])
+    article: list[bool] = field(default_factory=lambda: [False])  # inside an article or main element
+    first: list[int] = field(default_factory=lambda: [0])  # its text: pieces[first:last]
+    last: list[int] = field(default_factory=lambda: [0])
+    pieces: list[str] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)  # each piece's innermost element
+    n_text: list[int] = field(default_factory=list)
+    worth: list[float] = field(default_factory=list)  # text outside links, that of paragraphs twice
+    outer: list[int] = field(default_factory=list)  # the innermost boilerplate element around (or the element itself); 0 where there is none
+
+    def path(self, i: int) -> str:
+        """The generalised path's last names and the hash of all of them."""
+        names, at = [], i
+        while at and len(names) < 6:
+            if self.tag[at] not in INLINE:
+                names.append(self.name[at][:40])
+            at = self.parent[at]
+        return f"{'>'.join(reversed(names))}#{self.key[i]:016x}"
+
+
+@lru_cache(4096)
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(name, whether it is named like boilerplate, whether it is hidden)."""
+    kind, boilerplate, hidden = "", False, False
+    wanted = COMMENTS if tag in ("article", "main") else () if tag in ("html", "body") else BOILERPLATE - {"header"} if tag == "header" else BOILERPLATE
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            hidden = True
+        elif key in ("class", "id", "role"):
+            tokens = value.split()
+            for words in map(_PART.findall, tokens):
+                beside = not words or words[0] in BESIDE or words[0] in CONTENT and words[1:] == ["header"]
+                boilerplate |= not beside and any(w in wanted for w in words)
+            if key == "class":
+                kind = ".".join(sorted({_FOLD.sub("#", x) for x in tokens}))
+    return f"{tag}.{kind}" if kind else tag, boilerplate, hidden
+
+
+def parse(page: str | None) -> Page:
+    """The elements of a page, with their text (none of dropped elements) and its measures."""
+    page, out = page or "", Page()
+    stack, opened = [0], {}  # places of open elements, and where in the stack those of each tag are
+    n, last_end, broken, unclosed = len(page), page.rfind(">"), False, set()
+
+    def put(text: str) -> None:
+        if not out.dropped[stack[-1]]:
+            out.pieces.append(text)
+            out.at.append(stack[-1])
+
+    def close(to: int) -> None:
+        for i in reversed(stack[to:]):
+            out.last[i] = len(out.pieces)
+            opened[out.tag[i]].pop()
+        del stack[to:]
+
+    def top(tags: tuple[str, ...]) -> int:
+        return max((o[-1] for t in tags if (o := opened.get(t))), default=0)
+
+    at = 0
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            put(html.unescape(page[at : lt if lt >= 0 else n]))
+            if lt < 0:
+                break
+        m = _NAME.match(page, lt)
+        if not m:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else n
+            elif page.startswith(("<!", "<?"), lt) and lt < last_end:
+                at = page.find(">", lt) + 1
+            else:
+                put("<")
+                at = lt + 1
             continue
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue  # comments, doctypes, and raw elements with all they hold
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at:
-                # an inline element left open ends with the block around it
-                del stack[at:]
+        if lt > last_end:
+            break  # a tag that the page's end cuts off
+        # Quoted values may hold ">"; from the first one on that never ends, tags end at the next ">".
+        end = look = m.end()
+        while not broken:
+            stop = _STOP.search(page, look)
+            if stop and not stop[1]:
+                end = stop.start()
+                break
+            look = page.find(stop[1], stop.end()) + 1 if stop else 0
+            broken = look == 0
+        if broken:
+            end = page.find(">", m.end())
+        tag, attributes = m[2].lower(), page[m.end() : end]
+        at, alone = end + 1, attributes.endswith("/")
+        if m[1]:
+            if opened.get(tag):
+                close(opened[tag][-1])  # an inline element left open ends with the block around it
             if tag not in INLINE:
-                pieces.append((" ", stack[-1]))
+                put(" ")
+            continue
+        if tag in RAW:
+            if not alone and tag not in unclosed:
+                found = _RAW_END[tag].search(page, at)
+                if found:
+                    at = found.end()
+                elif tag in ("script", "style"):
+                    break
+                else:
+                    unclosed.add(tag)
             continue
         if tag not in INLINE:
-            pieces.append((" ", stack[-1]))
-        if tag in VOID or m[4].endswith("/") and tag not in CONTAINERS:
+            put(" ")
+        if tag in VOID or alone and tag not in CONTAINERS:
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # an open one of these ends where the next begins
-            bound = {"li": ("ul", "ol"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dt": ("dl",), "dd": ("dl",)}.get(tag, ())
-            ends = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, (tag,))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in bound or stack[i].tag in CONTAINERS and tag in ("p",):
-                    break
-        name, words, hidden = _named(tag, m[4])
-        top = stack[-1]
-        dropped = top.dropped or tag in DROPPED or hidden or bool(words & BOILERPLATE and not (tag in ("html", "body", "article", "main") and not hidden))
-        node = Node(tag, name, f"{top.path}>{name}" if tag not in INLINE else top.path, top, dropped, top.linked or tag == "a")
-        if tag in CONTAINERS and not dropped:
-            nodes.append(node)
-        stack.append(node)
-    for text, at in pieces:
-        n, inside = len(text.strip()), at
-        paragraph = False
-        while inside is not None:
-            paragraph |= inside.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li")
-            if (inside is root or inside.tag in CONTAINERS) and not inside.dropped:
-                inside.pieces.append((text, at))
-                inside.n_text += n
-                inside.n_link += n * at.linked
-                inside.n_paragraph += n * paragraph
-            inside = inside.parent
-    return nodes
-
-
-def _score(node: Node) -> float:
-    """Text outside links, that of paragraphs twice; less for what lies far out; more for names of content."""
-    depth = node.path.count(">")
-    names = set(_PART.findall(node.name))
-    worth = (node.n_text - 2 * node.n_link + node.n_paragraph) * (1 + 0.02 * min(depth, 20))
-    if node.tag in ("article", "main") or names & CONTENT and node.tag not in ("html", "body"):
+        if tag in _ENDS:
+            ends, bounds = _ENDS[tag]
+            if (to := top(ends)) and to > top(bounds):
+                close(to)
+        name, named, hidden = _named(tag, attributes) if attributes else (tag, False, False)
+        up, i = stack[-1], len(out.tag)
+        inline, article = tag in INLINE, out.article[up] or tag in ("article", "main")
+        out.tag.append(tag)
+        out.name.append(name)
+        out.parent.append(up)
+        out.key.append(out.key[up] if inline else xxhash.xxh64_intdigest(f"{out.key[up]:x}>{name}"))
+        out.depth.append(out.depth[up] + (not inline))
+        out.dropped.append(out.dropped[up] or hidden or tag in DROPPED and not (tag == "header" and article))
+        out.named.append(named or tag == "form")
+        out.linked.append(out.linked[up] or tag == "a")
+        out.paragraph.append(out.paragraph[up] or tag in PARAGRAPHS)
+        out.article.append(article)
+        out.first.append(len(out.pieces))
+        out.last.append(0)
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(i)
+    close(1)
+    out.last[0] = len(out.pieces)
+    _measure(out)
+    return out
+
+
+def _measure(page: Page) -> None:
+    """Adds up text by element, inside out; an element that is boilerplate keeps its own from those around it."""
+    n = len(page.tag)
+    page.n_text, page.worth = [0] * n, [0.0] * n
+    for text, i in zip(page.pieces, page.at, strict=True):
+        if k := len(text.strip()):
+            page.n_text[i] += k
+            page.worth[i] += k * (1 - 2 * page.linked[i] + page.paragraph[i])
+    every = sum(page.n_text)
+    boilerplate = [False] * n
+    for i in range(n - 1, 0, -1):
+        boilerplate[i] = page.named[i] and not (page.tag[i] == "form" and 2 * page.n_text[i] >= every)
+        if not boilerplate[i]:
+            page.n_text[page.parent[i]] += page.n_text[i]
+            page.worth[page.parent[i]] += page.worth[i]
+    page.outer = [0] * n
+    for i in range(1, n):
+        page.outer[i] = i if boilerplate[i] else page.outer[page.parent[i]]
+
+
+def _candidates(page: Page) -> Iterator[int]:
+    """The page itself and its containers that have text of their own or of inner elements."""
+    return (i for i, k in enumerate(page.n_text) if k and (not i or page.tag[i] in CONTAINERS) and not page.dropped[i])
+
+
+def _score(page: Page, i: int) -> float:
+    """What the text is worth, less for what lies far out or in boilerplate, more for names of content."""
+    worth = page.worth[i] * (1 + 0.02 * min(page.depth[i], 20))
+    if page.tag[i] in ("article", "main") or page.tag[i] not in ("html", "body") and not CONTENT.isdisjoint(_PART.findall(page.name[i])):
         worth *= 1.5
-    return worth
+    return worth * NAMED_BOILERPLATE if page.outer[i] else worth
 
 
-def _text(nodes: list[Node]) -> str:
-    return " ".join(t for n in nodes if (t := _BLANK.sub(" ", "".join(x for x, _ in n.pieces)).strip()))
+def _text(page: Page, chosen: list[int]) -> str:
+    """The chosen containers' text in page order, less that of boilerplate within them."""
+    out = []
+    for i in chosen:
+        s, e = page.first[i], page.last[i]
+        kept = (x for x, at in zip(page.pieces[s:e], page.at[s:e], strict=True) if page.outer[at] <= i)
+        if t := _BLANK.sub(" ", "".join(kept)).strip():
+            out.append(t)
+    return " ".join(out)
 
 
 def best(page: str | None, n: int = VOTES) -> list[tuple[str, float]]:
     """(path, score) of the page's best containers, the best first."""
-    scores: dict[str, float] = {}
-    for node in parse(page):
-        if (s := _score(node)) > 0:
-            scores[node.path] = max(scores.get(node.path, 0.0), s)
-    return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:n]
+    parsed, scores = parse(page), {}
+    for i in _candidates(parsed):
+        if (s := _score(parsed, i)) > scores.get(parsed.key[i], (0.0, 0))[0]:
+            scores[parsed.key[i]] = (s, i)
+    found = sorted(scores.values(), key=lambda x: (-x[0], parsed.key[x[1]]))[:n]
+    return [(parsed.path(i), s) for s, i in found]
 
 
 def extract(page: str | None, path: str | None) -> str:
     """The text of the page's containers at path, in page order; of its own best container where it has none there."""
-    nodes = parse(page)
-    chosen = [x for x in nodes if x.path == path and x.n_text]
-    if not chosen:
-        top = max(nodes, key=lambda x: (_score(x), x.path))
-        chosen = [top] if top.n_text else []
-    return _text(chosen)
+    parsed = parse(page)
+    found = list(_candidates(parsed))
+    wanted = int(path.rpartition("#")[2], 16) if path else None
+    chosen = [i for i in found if parsed.key[i] == wanted]
+    if not chosen and found:
+        chosen = [max(found, key=lambda i: (_score(parsed, i), parsed.key[i]))]
+    return _text(parsed, chosen)
 
 
 def host(url: str = "url") -> F.Column:
@@ -167,14 +293,12 @@ def host_paths(pages: DataFrame, votes: int = VOTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[tuple[str, str], list[float]] = {}
+            out: dict[tuple[str, str], float] = {}
             for h, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = best(page.as_py(), votes)
                 for path, s in found:
-                    sums = out.setdefault((h, path), [0.0, 0])
-                    sums[0] += round(s / found[0][1], 6)
-                    sums[1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.string()), pa.array([round(x[0], 6) for x in out.values()], pa.float64())], names=["host", "path", "weight"])
+                    out[h, path] = out.get((h, path), 0.0) + round(s / found[0][1], 6)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.string()), pa.array([round(x, 6) for x in out.values()], pa.float64())], names=["host", "path", "weight"])
 
     cast = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, path string, weight double")
     sums = cast.groupBy("host", "path").agg(F.sum(F.col("weight").cast("decimal(30,6)")).alias("weight"))
@@ -185,9 +309,10 @@ def main_text(pages: DataFrame, votes: int = VOTES) -> DataFrame:
     """pages (url, html and other columns) without html, with text and n_chars (its code points).
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by one. Null
-    or empty html, and pages that have no text outside boilerplate, give an empty text; a page without containers is its own. Pages without a host share one ballot.
-    Repeated rows vote and are extracted each; ties go to the larger path. An empty table gives an empty result. Input
-    columns named text or n_chars give way.
+    or empty html, and pages that have no text outside dropped elements, give an empty text; a page without containers is its own. Pages
+    without a host (null URLs too) share one ballot. Repeated rows vote and are extracted each; of paths with equal votes the
+    larger one wins, of a page's containers with equal scores the one whose path has the larger hash. Long, deep and broken pages take time in
+    proportion to their length. An empty table gives an empty result. Input columns named text or n_chars give way.
     """
     keep = [c for c in replaced(pages, "text", "n_chars", "__host", "__path") if c != "html"]
     paths = stored(host_paths(pages, votes).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "host-paths")
@@ -197,7 +322,7 @@ def main_text(pages: DataFrame, votes: int = VOTES) -> DataFrame:
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, at)):
             texts = [extract(page.as_py(), path) for page, path in zip(b.column(at), b.column(at + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in out.fields])
 
