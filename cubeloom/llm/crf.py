@@ -4,9 +4,10 @@ A sequence's score is the sum of its words' label potentials and of the transiti
 depend on the word alone (a weight for each of its features and label), so they are worked out once for each distinct word;
 context enters by the transitions, which forward-backward carries over the whole text in both directions.
 
-Forward and backward messages of all texts of a batch run side by side: the words of the batch are laid out as many rows
-of equal length, each row's product of transition matrices is formed in lockstep, a short pass joins the rows, and a second
-lockstep pass gives every word's exact message. A text's start resets the chain.
+Forward and backward messages of all texts of a batch run side by side. With few labels, the words of the batch are laid out as many
+rows of equal length, each row's product of transition matrices is formed in lockstep, a short pass joins the rows, and a second
+lockstep pass gives every word's exact message; a text's start resets the chain. With many labels those products cost more than
+they save, and each text is a row of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-LANES = 512
+LANES, FEW_LABELS = 512, 8
 
 
 def _messages(potential: np.ndarray, transition: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -24,6 +25,26 @@ def _messages(potential: np.ndarray, transition: np.ndarray, fresh: np.ndarray)
 
     potential (n, s) and transition (s, s) are positive, not logarithms.
     """
+    return (_in_lanes if potential.shape[1] <= FEW_LABELS else _by_text)(potential, transition, fresh)
+
+
+def _by_text(potential: np.ndarray, transition: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    start = np.flatnonzero(fresh)
+    length = np.diff(np.append(start, len(potential)))
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    out, now = np.empty_like(potential), potential[start]
+    for t in range(int(length[0]) if len(length) else 0):
+        going = int(np.searchsorted(-length, -t))  # texts of more than t words
+        at = start[:going] + t
+        if t:
+            now = (now[:going] @ transition) * potential[at]
+        now = now / now.sum(axis=1, keepdims=True)
+        out[at] = now
+    return out
+
+
+def _in_lanes(potential: np.ndarray, transition: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     n, s = potential.shape
     lanes = max(1, min(LANES, n // 32))
     length = -(-n // lanes)
@@ -114,13 +135,13 @@ class Chain:
             right = _messages(p[::-1], t.T.copy(), last[::-1])[::-1]
             m = alpha * right / p
             m /= m.sum(axis=1, keepdims=True)
-            pair = alpha[inner - 1][:, :, None] * t * right[inner][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            left, here = alpha[inner - 1], right[inner]
+            pair = t * ((left / ((left @ t) * here).sum(axis=1, keepdims=True)).T @ here)  # expected transitions
             loss = -float(np.log(m[np.arange(n), labels] + 1e-300).mean())
             expected = np.stack([np.bincount(words, weights=m[:, j], minlength=len(features)) for j in range(s)], axis=1)
             by_word = (wanted - expected)[of]
             gw = np.stack([np.bincount(flat, weights=by_word[:, j], minlength=len(used)) for j in range(s)], axis=1) / n - decay * w
-            gt = (seen - pair.sum(axis=0)) / n - decay * tr
+            gt = (seen - pair) / n - decay * tr
             for g, x, a, b in ((gw, w, 0, 1), (gt, tr, 2, 3)):
                 moments[a] = 0.9 * moments[a] + 0.1 * g
                 moments[b] = 0.999 * moments[b] + 0.001 * g * g

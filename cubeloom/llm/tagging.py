@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .crf import Chain, Tagger
 from .worker import kept
@@ -29,31 +31,31 @@ def bare(word: str) -> str:
     return word.strip(_MARKS).lower()
 
 
-def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int, max_classes: int) -> list[tuple]:
-    """(class, text) of whole documents (doc_id, text): of each class of classes (doc_id, cls), in the order of a hash of the id, about
-    max_rows at most, and no more once max_chars characters are there.
+def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int) -> list[tuple]:
+    """(class, text) of whole documents (doc_id, text), at most max_rows of them and about max_chars of text, shared evenly by the classes of
+    classes (doc_id, cls): of each, in the order of a hash of the id, its share of the rows, and no more once its share of characters is there.
 
-    Only counts, then ids and lengths of the drawn documents, then the chosen texts reach the driver; the drawn ids, bounded by
-    max_rows and max_classes, are broadcast, so no text is shuffled. More than max_classes classes are an error.
+    A class has a row at least (somewhat more rows than its share are drawn); of more than max_rows classes, the most frequent are taken. Only counts, then ids and lengths of
+    the drawn documents, then the chosen texts reach the driver; the drawn ids, bounded by max_rows, are broadcast, so no
+    text is shuffled.
     """
     classes = classes.select("doc_id", "cls").where("doc_id is not null and cls is not null")
-    counts = {r["cls"]: r["count"] for r in classes.groupBy("cls").count().limit(max_classes + 1).collect()}
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
+    counts = classes.groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(max_rows).collect()
     if not counts:
         return []
+    rows, most = max(1, max_rows // len(counts)), max_chars / len(counts)
+    shares = docs.sparkSession.createDataFrame([(r["cls"], min(1.0, (rows + 4 * math.sqrt(rows) + 8) / r["count"])) for r in counts], T.StructType([classes.schema["cls"], T.StructField("share", T.DoubleType())]))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
-    share = F.lit(0.0)
-    for cls, n in counts.items():
-        share = F.when(F.col("cls") == F.lit(cls), min(1.0, max_rows / n)).otherwise(share)
-    drawn = classes.where(draw < share).withColumn("draw", draw).distinct()
+    drawn = classes.join(F.broadcast(shares), "cls").withColumn("draw", draw).where("draw < share").select("doc_id", "cls", "draw").distinct()
     texts = docs.select("doc_id", "text").where("text is not null")
     sizes = texts.join(F.broadcast(drawn), "doc_id").select("cls", "draw", "doc_id", F.length("text").alias("n")).collect()
     chars: Counter = Counter()
+    taken: Counter = Counter()
     chosen = []
     for r in sorted(sizes):
-        if not chars[r["cls"]] or chars[r["cls"]] + r["n"] <= max_chars:
+        if not taken[r["cls"]] or taken[r["cls"]] < rows and chars[r["cls"]] + r["n"] <= most:
             chosen.append((r["doc_id"], r["cls"]))
+            taken[r["cls"]] += 1
             chars[r["cls"]] += r["n"]
     if not chosen:
         return []
@@ -93,7 +95,8 @@ class Model:
     """A fitted chain with its features and labels; small enough to send to every task by construction."""
 
     def __init__(self, chain: Chain, features: Features, labels: list) -> None:
-        self.chain, self.features, self.labels, self.edge, self.key = chain, features, labels, 0.0, uuid.uuid4().hex
+        self.chain, self.features, self.labels, self.key = chain, features, labels, uuid.uuid4().hex
+        self.edge, self.document = 0.0, None  # a language model's edge weight; a toxicity model's document weights
 
 
 def fitted(texts: list[list[str]], labels: np.ndarray, n_labels: int, features: Features, steps: int, rate: float = 0.25, decay: float = 1e-5) -> Chain:
