@@ -1,4 +1,10 @@
-"""A corpus cleaned and encoded: each stage takes (spark, docs, sf_dir), its docs being its predecessor's rows read back from Parquet."""
+"""A corpus cleaned and encoded: each stage takes (spark, docs, sf_dir), its docs being its predecessor's rows read back from Parquet.
+
+In every stage: a null or empty text has no words, so it is never toxic and holds no passage (near-dedup alone takes texts without words
+for copies of each other); texts count whole, however long; rows with equal ids are judged each for itself; a null id comes after all
+others. All stages but the last keep the columns of documents and any further ones, whatever their names, with their values. An empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +21,8 @@ BROADCAST_ROWS = 500_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows by their place in the files, so that repeated and null ids stay apart; the same whenever the files are read."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """Rows with a number of their own, so that repeated and null ids stay apart, written once: a second scan might number them differently."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-numbered")
 
 
 def _set_aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
@@ -32,14 +38,15 @@ def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is 0.7 or more go."""
+    """Documents whose toxicity is 0.7 or more go; those without words score 0 and stay."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     aside, own = _set_aside(docs)
     return toxicity.scored(aside, model, keep_text=True).where("predicted = 0").select(*own)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints within two bits, the one with the smallest id stays (of equal ids, the first row)."""
+    """Of documents linked by fingerprints within two bits, the one with the smallest id stays (of equal ids, the first row; a null id only where no
+    other is linked)."""
     rows = _numbered(docs)
     fps = stored(simhash.fingerprints(rows.select("doc_id", ROW, "text")), "pipeline-fingerprints")
     where = simhash.component_of(fps)
@@ -48,7 +55,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages of 50 words that a document with a smaller id has are cut out; n_chars follows."""
+    """Words of passages of 50 words that a document with a smaller id has are cut out; n_chars follows. Rows with equal ids leave each other whole, null
+    ids take no part."""
     aside, own = _set_aside(docs)
     cut = substring_dedup.recurring_passages_removed(aside)
     cut = cut.withColumn("text", F.coalesce("kept_text", "text")).select(*own, F.col("kept_text").alias("__kept"))
@@ -58,7 +66,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go, null ids too; an empty benchmark lets all stay."""
     rows = _numbered(docs)
     hit = decontamination.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = hit.where(F.octet_length("hits") > 0).select(F.col("doc_id").alias(ROW))
@@ -66,9 +74,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the SentencePiece ids of the text, their number, and whether they decode to it."""
-    out = sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("piece_bpe_32k.model"), decode=True)
-    return out.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_crc32", "round_trip")
+    """doc_id, lang, source (those that docs has), the SentencePiece ids of the text, their number, and whether they decode to it. Null and empty
+    texts have no ids."""
+    own = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    out = sentencepiece_codec.encoded(docs.select(*own, "text"), tokenizer_file("piece_bpe_32k.model"), decode=True)
+    return out.select(*own, "ids", "n_tokens", "ids_crc32", "round_trip")
 
 
 STAGES = [
