@@ -29,6 +29,8 @@ from .worker import released
 THRESHOLD, SPAN_THRESHOLD = 0.7, 0.5
 #: One sample text in HELD_OUT calibrates document scores; marginals under LEAST say nothing about a document.
 HELD_OUT, LEAST = 5, 0.1
+#: Document weights before any label is seen: one sure word is enough, doubtful ones add up.
+PRIOR = (-5.0, 6.0, 1.0, 0.5)
 #: Of both classes together; words of the chain's own part of the sample; features are the most frequent ones that FEW or more training words have.
 MAX_ROWS, MAX_CHARS, MAX_WORDS, MAX_FEATURES, FEW, STEPS = 6000, 12_000_000, 400_000, 60_000, 3, 40
 
@@ -108,14 +110,14 @@ def measures(p: np.ndarray) -> tuple[float, float, float]:
     return float(p.max()), math.log1p(total), math.log1p(1000.0 * total / len(p))
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, steps: int = 50, decay: float = 1e-3) -> np.ndarray:
-    """Weights (the constant first) of a logistic function of x for labels y, by Newton steps."""
+def calibrated(x: np.ndarray, y: np.ndarray, steps: int = 50, decay: float = 0.02) -> np.ndarray:
+    """Weights (the constant first) of a logistic function of x for labels y, by Newton steps from PRIOR, which few labels hardly move."""
     x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
+    w = prior = np.array(PRIOR)
     for _ in range(steps):
         q = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30.0, 30.0)))
         hessian = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + decay * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (y - q) - decay * w)
+        step = np.linalg.solve(hessian, x.T @ (y - q) - decay * (w - prior))
         w = w + step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
     return w
 
@@ -140,14 +142,13 @@ def learned(toxic: list[list[str]], clean: list[list[str]], max_words: int = MAX
     labels = np.fromiter((i < n_toxic and w in marked for i in chosen for w in texts[i]), np.int64)
     model = Model(fitted([texts[i] for i in chosen], labels, 2, features, steps), features, [0, 1])
     held = [(t, y) for x, y in ((toxic, 1), (clean, 0)) for t in x[HELD_OUT - 1 :: HELD_OUT]]
-    if len({y for _, y in held}) == 2:
-        tags, x = tagger(model), []
-        for k in range(0, len(held), 200):
-            lengths = [len(t) for t, _ in held[k : k + 200]]
-            p = tags.tag([t for t, _ in held[k : k + 200]])[:, 1]
-            x += [measures(q) for q in np.split(p, np.cumsum(lengths)[:-1])]
-        released()  # the driver needs no tagger any more
-        model.document = calibrated(np.array(x), np.array([y for _, y in held], float))
+    tags, x = tagger(model), []
+    for k in range(0, len(held), 200):
+        lengths = [len(t) for t, _ in held[k : k + 200]]
+        p = tags.tag([t for t, _ in held[k : k + 200]])[:, 1]
+        x += [measures(q) for q in np.split(p, np.cumsum(lengths)[:-1])]
+    released()  # the driver needs no tagger any more
+    model.document = calibrated(np.array(x).reshape(-1, 3), np.array([y for _, y in held], float))
     return model
 
 
@@ -164,10 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
 
 
 def score_of(p: np.ndarray, document: np.ndarray | None) -> float:
-    """A document's score from its marginals; their largest one where nothing was calibrated."""
+    """A document's score from its marginals; less than LEAST where all of them are."""
     x = measures(p)
     if document is None or x[0] < LEAST:
-        return min(1.0, x[0])
+        return x[0]
     return 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, float(document[0] + document[1:] @ np.array(x))))))
 
 

@@ -31,19 +31,19 @@ def test_sql_twins(spark, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in twin.fetchall())
 
 
-def test_stages_in_turn(spark):
+def test_stages_in_turn(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     extra = docs.orderBy("doc_id").limit(2).unionByName(spark.createDataFrame([(None, None, None, None, None)], docs.schema))
     docs = docs.unionByName(extra)
-    docs.write.mode("overwrite").parquet("/tmp/cubeloom-test-docs")
-    docs = spark.read.parquet("/tmp/cubeloom-test-docs")
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
     n = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs.collect()
         out = stage(spark, docs, DATA)
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
-        path = f"/tmp/cubeloom-test-stage-{k}"
+        path = f"{tmp_path}/stage-{k}"
         out.write.mode("overwrite").parquet(path)
         after = spark.read.parquet(path).collect()
         n[name] = (len(before), len(after))
@@ -57,11 +57,11 @@ def test_stages_in_turn(spark):
     assert n["sentencepiece"][0] == n["sentencepiece"][1] == docs.where(F.col("round_trip")).count()
 
 
-def test_clashing_columns_keep_their_values(spark):
+def test_clashing_columns_keep_their_values(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
     odd = docs.withColumns({c: F.lit("own") for c in ("n_words", "kept_text", "score", "PREDICTED", "spans", "fp", "hits")})
-    odd.write.mode("overwrite").parquet("/tmp/cubeloom-test-clash")
-    odd = spark.read.parquet("/tmp/cubeloom-test-clash")
+    odd.write.mode("overwrite").parquet(f"{tmp_path}/clash")
+    odd = spark.read.parquet(f"{tmp_path}/clash")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, DATA)
         assert out.columns == odd.columns
