@@ -24,6 +24,7 @@ from .worker import released
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 BLOCK = "__block"
+LEAST_BYTES = 1 << 20
 SLICE_CHARS = 2_000_000
 
 
@@ -35,13 +36,14 @@ def parts(n_bytes: int, each: int) -> int:
     return max(1, math.ceil(n_bytes / each))
 
 
-def with_blocks(docs: DataFrame, n_blocks: int, key: str = "doc_id") -> DataFrame:
-    """Adds the block of each row; rows with equal keys share a block."""
-    return docs.withColumn(BLOCK, F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int"))
+def with_blocks(docs: DataFrame, n_blocks: int, *keys: str) -> DataFrame:
+    """Adds the block of each row. Keys are the id and the text, so rows that share an id, or have none, are dealt out too."""
+    return docs.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(n_blocks)).cast("int"))
 
 
-def sized(n_bytes: int, each: int, least: int = 1) -> int:
-    return max(least, parts(n_bytes, each))
+def sized(docs: DataFrame, n_bytes: int, each: int) -> int:
+    """How many blocks or buckets: so many that each has about so many bytes, and one for each core at least where that leaves LEAST_BYTES to each."""
+    return max(parts(n_bytes, each), min(docs.sparkSession.sparkContext.defaultParallelism, n_bytes // LEAST_BYTES))
 
 
 class WordHashes(dict):

@@ -130,8 +130,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keep = [c for c in replaced(docs, "n_words", "n_backed_off", "log_score", "score", BLOCK) if c != text_col]
     docs = docs.select(*keep, text_col)
     n_bytes = text_bytes(docs, text_col)
-    n_blocks, n_buckets = sized(n_bytes, block_bytes), sized(n_bytes, bucket_bytes)
-    by_block = with_blocks(docs, n_blocks, id_col).groupBy(BLOCK)
+    n_blocks, n_buckets = sized(docs, n_bytes, block_bytes), sized(docs, n_bytes, bucket_bytes)
+    by_block = with_blocks(docs, n_blocks, id_col, text_col).groupBy(BLOCK)
 
     def told(block: pa.Table, answers: pa.Table, orders: range) -> tuple[_Block, int]:
         """The block with what the answers say about its n-grams, and the number of all words."""

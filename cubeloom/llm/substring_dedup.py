@@ -2,13 +2,14 @@
 
 A passage recurs where a window of 50 words also starts in a document with a smaller id. Four exchanges find all of them:
 
-1. Each block of documents picks anchors: the 8-word runs whose hash is the least in some window. Equal windows pick
-   equal anchors, so a window can only recur around an anchor that stands in two documents.
-2. Buckets of the anchors' hash space confirm which of them recur.
-3. Each block compiles its recurring anchors into its own Aho-Corasick automaton over word numbers (its size follows
-   the block's, not the corpus's) and streams its documents through it to locate every occurrence. The distinct windows
-   around occurrences go, as 96-bit hashes with the block's smallest document, to buckets, which find each window's smallest
-   document of all. However many documents share a window, a bucket gets it once a block.
+1. Each block of documents proposes phrases: the 8-word runs whose hash is the least in some window. Equal windows propose
+   equal phrases, so a window can only recur around a phrase that two documents propose.
+2. Buckets of the phrases' hash space confirm which of them recur and send those, as words, to the blocks that proposed them.
+3. Each block compiles the confirmed phrases it was sent into an Aho-Corasick automaton over word numbers (a shard of all phrases,
+   whose size follows the block's, not the corpus's) and streams all its documents through it. The automaton alone tells
+   where phrases stand: only windows around its hits are looked at. The distinct ones go, as 96-bit hashes with the block's
+   smallest document, to buckets, which find each window's smallest document of all. However many documents share a window, a bucket
+   gets it once a block.
 4. Where another block has a smaller document, the bucket tells; the block removes the words of windows that start earlier.
 
 Each document's text is shuffled once, by block; all steps reuse that exchange.
@@ -28,8 +29,9 @@ from .blocks import BLOCK, BLOCK_BYTES, BUCKET_BYTES, WordHashes, bucket_of, dea
 from .storage import replaced
 
 WINDOW, ANCHOR = 50, 8
-_ANCHORS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
-_RECUR = pa.schema([("block", pa.int32()), ("keys", pa.binary())])
+# Phrases are words joined by spaces, one phrase a line, in the order of their keys.
+_PROPOSED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("several", pa.binary()), ("phrases", pa.binary())])
+_CONFIRMED = pa.schema([("block", pa.int32()), ("phrases", pa.binary())])
 # A block asks a bucket about its distinct windows (keys to index) and sends itself where they stand (rows to which).
 _WINDOWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((n, pa.binary()) for n in ("keys", "checks", "ids", "index", "rows", "starts", "which"))])
 _ANSWERS = pa.schema([("block", pa.int32()), *((n, pa.binary()) for n in ("index", "ids", "rows", "starts", "which"))])
@@ -90,14 +92,14 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
     Words are runs of bytes other than ASCII white space. A word goes if a window of 50 words that covers it also starts in a row
     with a smaller id; windows are judged on the input. kept_text is the other words joined by one space (empty where all went).
     Null or empty text has no words; texts of fewer than 50 words lose none. Rows with equal ids count as one document and never take
-    words from each other. A row with a null id neither gives nor loses words. An empty table gives an empty result. Input columns
-    named like a new one give way; all others are kept.
+    words from each other. A row with a null id neither gives nor loses words. Texts count whole, however long. An empty table gives an
+    empty result. Input columns named like a new one give way; all others are kept.
     """
     keep = replaced(docs, "n_words", "n_removed", "kept_text", BLOCK)
     docs = docs.select(*keep)
     n_bytes = text_bytes(docs, text_col)
-    n_blocks, n_buckets = sized(n_bytes, block_bytes), sized(n_bytes, bucket_bytes)
-    dealt = with_blocks(docs, n_blocks, id_col)
+    n_blocks, n_buckets = sized(docs, n_bytes, block_bytes), sized(docs, n_bytes, bucket_bytes)
+    dealt = with_blocks(docs, n_blocks, id_col, text_col)
     by_block = dealt.groupBy(BLOCK)
     per_window = window - anchor + 1
 
@@ -105,24 +107,27 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
         ids = block.column(id_col).combine_chunks()
         return np.asarray(ids.fill_null(0).cast(pa.int64())), np.asarray(ids.is_null())
 
-    def find_anchors(block: pa.Table) -> pa.Table:
-        memo, keys, who = WordHashes(), [], []
+    def propose(block: pa.Table) -> pa.Table:
+        memo, keys, who, phrases = WordHashes(), [], [], []
         ids, null = ids_of(block)
         for i, w in enumerate(_texts(block, text_col)):
             if len(w) >= window and not null[i]:
                 g = sequence_hashes(word_hashes(w, memo), anchor)
-                g = np.unique(g[anchors_of(g, per_window)])
+                at = anchors_of(g, per_window)
+                g, first = np.unique(g[at], return_index=True)
                 keys.append(g)
                 who.append(np.full(len(g), ids[i]))
+                phrases += [b" ".join(w[p : p + anchor]) for p in at[first].tolist()]
         if not keys:
-            return rows(_ANCHORS, [])
+            return rows(_PROPOSED, [])
         k, d = np.concatenate(keys), np.concatenate(who)
         order = np.argsort(k, kind="stable")
         k, d = k[order], d[order]
         at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
         number = block.column(BLOCK)[0].as_py()
-        return rows(_ANCHORS, [(b, number, x.tobytes(), np.packbits(s).tobytes()) for b, (x, s) in deal(bucket_of(k[at], n_buckets), n_buckets, k[at], several)])
+        dealt_out = deal(bucket_of(k[at], n_buckets), n_buckets, k[at], several, order[at])
+        return rows(_PROPOSED, [(b, number, x.tobytes(), np.packbits(s).tobytes(), b"\n".join(map(phrases.__getitem__, p.tolist()))) for b, (x, s, p) in dealt_out])
 
     def confirm(bucket: pa.Table) -> pa.Table:
         blocks = bucket.column("block").to_pylist()
@@ -130,44 +135,38 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
         several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(bucket.column("several").to_pylist(), keys, strict=True)]
         flat = np.sort(np.concatenate(keys))
         recur = np.unique(np.concatenate((flat[1:][flat[1:] == flat[:-1]], *(k[s] for k, s in zip(keys, several, strict=True)))))
-        out = [(b, hit.tobytes()) for b, k in zip(blocks, keys, strict=True) if len(hit := k[np.isin(k, recur, assume_unique=True)])]
-        return rows(_RECUR, out)
-
-    def locate(block: pa.Table, recur: pa.Table) -> pa.Table:
-        if not recur.num_rows or not block.num_rows:
+        out = []
+        for b, k, packed in zip(blocks, keys, bucket.column("phrases"), strict=True):
+            hit = np.flatnonzero(np.isin(k, recur, assume_unique=True))
+            if len(hit):
+                phrases = packed.as_py().split(b"\n")
+                out.append((b, b"\n".join([phrases[i] for i in hit.tolist()])))
+        return rows(_CONFIRMED, out)
+
+    def locate(block: pa.Table, confirmed: pa.Table) -> pa.Table:
+        if not confirmed.num_rows or not block.num_rows:
             return rows(_WINDOWS, [])
         block = _in_order(block, id_col, text_col)
-        wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in recur.column("keys").to_pylist()]))
         ids, null = ids_of(block)
         memo, automaton, numbers = WordHashes(), ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
-        texts = _texts(block, text_col)
-        compiled: set[int] = set()
-        hashes: dict[int, np.ndarray] = {}
-        for i, w in enumerate(texts):
-            if len(w) < window or null[i]:
-                continue
-            hashes[i] = word_hashes(w, memo)
-            g = sequence_hashes(hashes[i], anchor)
-            place = anchors_of(g, per_window)
-            at = np.minimum(np.searchsorted(wanted, g[place]), len(wanted) - 1)
-            for p in place[wanted[at] == g[place]].tolist():
-                if (key := int(g[p])) not in compiled:
-                    compiled.add(key)
-                    automaton.add_word(tuple(numbers.setdefault(x, len(numbers) + 1) for x in w[p : p + anchor]), True)
-        if not compiled:
-            return rows(_WINDOWS, [])
+        for packed in confirmed.column("phrases"):
+            for phrase in packed.as_py().split(b"\n"):
+                automaton.add_word(tuple([numbers.setdefault(x, len(numbers) + 1) for x in phrase.split(b" ")]), True)
         automaton.make_automaton()
         key, check, row, start = [], [], [], []
-        for i, h in hashes.items():
-            ends = _occurrences(automaton, np.fromiter(map(numbers.get, texts[i], repeat(0)), np.int64, len(h)), anchor)
-            n = len(h) - window + 1
+        for i, w in enumerate(_texts(block, text_col)):
+            if len(w) < window or null[i]:
+                continue
+            ends = _occurrences(automaton, np.fromiter(map(numbers.get, w, repeat(0)), np.int64, len(w)), anchor)
+            if not len(ends):
+                continue
+            n, first = len(w) - window + 1, ends - anchor + 1
             near = np.zeros(n + 1, np.int32)
-            if len(ends):
-                first = ends - anchor + 1
-                np.add.at(near, np.clip(first - per_window + 1, 0, n), 1)
-                np.add.at(near, np.minimum(first + 1, n), -1)
+            np.add.at(near, np.clip(first - per_window + 1, 0, n), 1)
+            np.add.at(near, np.minimum(first + 1, n), -1)
             s = np.flatnonzero(np.cumsum(near[:n]) > 0)
             if len(s):
+                h = word_hashes(w, memo)
                 key.append(sequence_hashes(h, window)[s])
                 check.append((sequence_hashes(h ^ (h >> np.uint64(29)), window, 0xD6E8FEB86659FD93)[s] >> np.uint64(32)).astype(np.uint32))
                 row.append(np.full(len(s), i, np.int32))
@@ -237,8 +236,8 @@ def recurring_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col
             kept.append(b" ".join([w[j] for j in stay.tolist()]).decode())
         return block.select(keep).append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64())).append_column("kept_text", pa.array(kept, pa.string()))
 
-    recur = by_block.applyInArrow(find_anchors, _ddl(_ANCHORS)).groupBy("bucket").applyInArrow(confirm, _ddl(_RECUR))
-    found = by_block.cogroup(recur.groupBy("block")).applyInArrow(locate, _ddl(_WINDOWS))
+    confirmed = by_block.applyInArrow(propose, _ddl(_PROPOSED)).groupBy("bucket").applyInArrow(confirm, _ddl(_CONFIRMED))
+    found = by_block.cogroup(confirmed.groupBy("block")).applyInArrow(locate, _ddl(_WINDOWS))
     removed = found.groupBy("bucket").applyInArrow(earliest, _ddl(_ANSWERS))
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return by_block.cogroup(removed.groupBy("block")).applyInArrow(remove, out)
