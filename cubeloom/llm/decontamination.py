@@ -6,8 +6,9 @@ a phrase never reaches over a document's end. A phrase starts with its rarest te
 and is intersected with the other terms' shifted lists from rare to frequent; what is left are its exact starts. A
 proximity query asks for places where all the terms of a phrase stand within a number of consecutive words.
 
-Query items go to the shards in chunks of bounded bytes, so nothing that grows with the benchmark is broadcast at
-once; every chunk is answered by all shards, and answers meet by document where there is more than one chunk.
+Query items go to the shards in chunks of bounded bytes, so nothing that grows with the benchmark is broadcast at once but its
+terms' hashes. Where there is more than one chunk, the index is built and written once, each chunk reads its own terms' lists, and answers
+meet by document. A shard passes over phrases that have a term it lacks all at once.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import parts
+from .blocks import parts, slices
 from .storage import stored
 from .worker import released
 
@@ -29,6 +31,9 @@ WINDOW = 10
 #: Consecutive words in which op3_decontamination_near wants all terms of a window: up to five inserted words a window.
 NEAR_SPAN = 15
 CHUNK_BYTES = 2 << 20
+#: So many chunks are kept by the driver between the two passes over them; more are read again.
+HELD_CHUNKS = 16
+SHARD_CHARS, MEMO = 16_000_000, 200_000
 _WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 _TO_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if x in _WORD_BYTES else 32 for x in range(256))
 
@@ -46,27 +51,43 @@ def phrases(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))]
 
 
-def postings(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """The index of (id, text) for terms: (shard, term, positions), and for term -1 each document's (id, first position, words).
+def term_hash(term: bytes) -> int:
+    """A term's name in the index: 64 bits, signed; -1 stands for no term."""
+    h = xxhash.xxh64_intdigest(term)
+    return h - (1 << 64) if h >> 63 else h
 
-    A shard is one Arrow batch of a partition of the scan, so its number is the same when a lost task runs again.
-    term is the term's place in terms; positions are packed unsigned 32-bit integers.
+
+def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The index of (id, text) for terms (their hashes, ascending): (shard, term, positions), and for term -1 each document's (id, first position, words).
+
+    A shard is a bounded part of a partition of the scan, so its number is the same when a lost task runs again; positions
+    are packed unsigned 32-bit integers.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         released()
-        number = {t: i for i, t in enumerate(terms)}
-        names = ["shard", "term", "positions", "ids", "id_null"]
-        for k, b in enumerate(batches):
+        wanted, memo = sent.value, {}
+
+        def number(w: bytes) -> int:
+            """The term's place in terms; -1 for all others."""
+            if w not in memo:
+                if len(memo) > MEMO:
+                    memo.clear()
+                at = int(np.searchsorted(wanted, h := term_hash(w)))
+                memo[w] = at if at < len(wanted) and wanted[at] == h else -1
+            return memo[w]
+
+        for k, b in enumerate(s for whole in batches for s in slices(whole, 1, SHARD_CHARS)):
             shard = TaskContext.get().partitionId() << 32 | k
             n = np.zeros(b.num_rows, np.int64)
             term_of = []
             for i, t in enumerate(b.column(1)):
                 w = words(t.as_py())
                 n[i] = len(w)
-                term_of.append(np.fromiter(map(number.get, w, repeat(-1)), np.int32, len(w)))
+                term_of.append(np.fromiter(map(number, w), np.int32, len(w)))
             first = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
             flat = np.concatenate([np.zeros(0, np.int32), *term_of])
             place = np.arange(len(flat)) + np.repeat(np.arange(b.num_rows), n)
@@ -79,15 +100,15 @@ def postings(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(lists) + 1, shard, np.int64)),
-                    pa.array(np.concatenate(([-1], found)).astype(np.int32)),
+                    pa.array(np.concatenate(([-1], wanted[found])).astype(np.int64)),
                     pa.array([head.tobytes(), *(x.tobytes() for x in lists)], pa.binary()),
                     pa.array([np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), *repeat(None, len(lists))], pa.binary()),
                     pa.array([np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool).tobytes(), *repeat(None, len(lists))], pa.binary()),
                 ],
-                names=names,
+                names=["shard", "term", "positions", "ids", "id_null"],
             )
 
-    return docs.mapInArrow(run, "shard long, term int, positions binary, ids binary, id_null binary")
+    return docs.mapInArrow(run, "shard long, term long, positions binary, ids binary, id_null binary")
 
 
 def _phrase_starts(phrase: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarray:
@@ -137,22 +158,29 @@ def _near_spans(phrase: tuple[int, ...], lists: dict[int, np.ndarray], span: int
     return np.stack((begin[ok], last[ok]), axis=1)
 
 
-def _chunk(docs: DataFrame, items: list[tuple[str | None, str]], window: int, span: int | None) -> DataFrame:
-    """(doc_id, n_words, hits, items, near_items) of every document for these items; hits are packed positions in the document."""
-    asked = [(i, p) for i, t in items for p in phrases(t, window)]
-    terms = sorted({t for _, p in asked for t in p})
-    number = {t: i for i, t in enumerate(terms)}
+def _terms(items: list[tuple[str | None, str]]) -> np.ndarray:
+    return np.array(sorted({term_hash(w) for _, t in items for w in words(t)}), np.int64)
+
+
+def _answers(index: DataFrame, items: list[tuple[str | None, str]], window: int, span: int | None) -> DataFrame:
+    """(doc_id, n_words, hits, items, near_items) of every document of an index for these items; hits are packed positions in the document."""
     by_phrase: dict[tuple[int, ...], set] = {}
-    for i, p in asked:
-        by_phrase.setdefault(tuple(number[t] for t in p), set()).add(i)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(list(by_phrase.items()))
+    for i, t in items:
+        for p in phrases(t, window):
+            by_phrase.setdefault(tuple(term_hash(w) for w in p), set()).add(i)
+    # Phrases of equal length as rows of an array, each with the items that have it.
+    by_length: dict[int, list] = {}
+    for p, who in by_phrase.items():
+        by_length.setdefault(len(p), []).append((p, who))
+    asked = [(np.array([p for p, _ in x], np.int64), [who for _, who in x]) for x in by_length.values()]
+    sent = index.sparkSession.sparkContext.broadcast(asked)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 
     def answer(shard: pa.Table) -> pa.Table:
         term, packed = shard.column("term").to_pylist(), shard.column("positions").to_pylist()
         head = term.index(-1)
-        lists = {t: np.frombuffer(p, np.uint32).astype(np.int64) for t, p in zip(term, packed, strict=True) if t >= 0}
+        lists = {t: np.frombuffer(p, np.uint32).astype(np.int64) for t, p in zip(term, packed, strict=True) if t != -1}
+        have = np.array(sorted(lists), np.int64)
         first, n = np.frombuffer(packed[head], np.int64).reshape(2, -1)
         ids = np.frombuffer(shard.column("ids")[head].as_py(), np.int64)
         null = np.frombuffer(shard.column("id_null")[head].as_py(), bool)
@@ -160,7 +188,8 @@ def _chunk(docs: DataFrame, items: list[tuple[str | None, str]], window: int, sp
         hit = np.zeros(total + 1, np.int32)
         of: list[set] = [set() for _ in range(len(n))]
         near: list[set] = [set() for _ in range(len(n))]
-        for phrase, who in sent.value:
+        held = ((p[k].tolist(), who[k]) for p, who in sent.value for k in np.flatnonzero(np.isin(p, have).all(axis=1)).tolist())
+        for phrase, who in held:
             starts = _phrase_starts(phrase, lists)
             if len(starts):
                 np.add.at(hit, starts, 1)
@@ -178,14 +207,9 @@ def _chunk(docs: DataFrame, items: list[tuple[str | None, str]], window: int, sp
         named = [[sorted(x for x in s if x is not None) for s in sets] for sets in (of, near)]
         return pa.table([pa.array(ids, mask=null), pa.array(n), pa.array(hits, pa.binary()), *(pa.array(x, pa.list_(pa.string())) for x in named)], schema=schema)
 
-    index = postings(docs, terms)
     return index.groupBy("shard").applyInArrow(answer, "doc_id long, n_words long, hits binary, items array<string>, near_items array<string>")
 
 
-def _merged(hits: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(h, np.uint32) for h in hits]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_span: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """For every row of docs (doc_id, text): n_words, hits, items, near_items.
 
@@ -193,19 +217,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     benchmark (item_id, text). items: the ids of items with occurring windows, as strings, sorted, each once. near_items: with
     near_span, ids of items one of whose windows has all its terms within near_span consecutive words, in any order; else empty.
     Null or wordless texts, of documents or items, have no words and no windows. An item whose id is null marks words but is not named.
-    Repeated rows each get a row; an empty table of items leaves every document clean. Other columns are ignored.
+    Repeated rows each get a row, repeated items count once; texts count whole, however long; an empty table of items leaves every document
+    clean, an empty table of documents gives an empty result. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
     n = parts(items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0, chunk_bytes)
     if n == 1:
-        return _chunk(docs, [tuple(r) for r in items.collect()], window, near_span)  # at most chunk_bytes of text
+        few = [tuple(r) for r in items.collect()]  # at most chunk_bytes of text
+        return _answers(postings(docs, _terms(few)), few, window, near_span)
     # Several chunks: rows get a number of their own, since ids may repeat, and answers meet by it.
     numbered = stored(docs.withColumn("n", F.monotonically_increasing_id()), "numbered-documents")
+    chunk = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    chunks = [[tuple(r) for r in items.where(chunk == k).collect()] for k in range(n)] if n <= HELD_CHUNKS else None
+    every = np.unique(np.concatenate([_terms(c) for c in chunks] if chunks else [_terms([tuple(r) for r in items.where(chunk == k).collect()]) for k in range(n)]))
+    index = stored(postings(numbered.select(F.col("n").alias("doc_id"), "text"), every), "postings")
     out = None
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about chunk_bytes of text
-        one = _chunk(numbered.select(F.col("n").alias("doc_id"), "text"), [tuple(r) for r in part], window, near_span)
+        part = chunks[k] if chunks else [tuple(r) for r in items.where(chunk == k).collect()]  # about chunk_bytes of text
+        own = index.sparkSession.createDataFrame([(int(t),) for t in (*_terms(part), -1)], "term long")
+        one = _answers(index.join(F.broadcast(own), "term", "left_semi"), part, window, near_span)
         out = one if out is None else out.unionByName(one)
     schema = pa.schema([("n", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary())])
 

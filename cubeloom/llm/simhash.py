@@ -8,7 +8,8 @@ distance 2 or less share a key. So for each segment taken as exact, the next one
 keys of 33 bits for a fingerprint, and no pair within two bits is missed.
 
 Exact copies collapse to one fingerprint before any key is made. Fingerprints that share a key meet in one list, where links
-are verified and the list's linked groups leave as stars (n - 1 links, never all pairs). Components join the stars in
+are verified and the list's linked groups leave as stars (n - 1 links, never all pairs). A key that more than LIST fingerprints share is split
+by the Golay keys of the third segment, which differs in at most two bits as well: still no pair is missed. Components join the stars in
 rounds of large-star and small-star steps, each a grouped minimum and a join, with lineage cut by a written table.
 """
 
@@ -30,6 +31,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011  # fixed value: the binary Golay code's generator polynomial of degree 11
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 SCAN = 2048
+#: Fingerprints of a key from which it is split; how many split keys are broadcast at most.
+LIST, BROADCAST_KEYS = 4096, 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -175,8 +178,10 @@ def linked_stars(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, i
     return links
 
 
-def links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """Stars (u, v) whose components are those of all links of two bits or fewer between the distinct fingerprints."""
+def links(distinct_fps: DataFrame, fp: str = "fp", most: int | None = None) -> DataFrame:
+    """Stars (u, v) whose components are those of all links of two bits or fewer between the distinct fingerprints; keys of more than
+    most (LIST) fingerprints are split."""
+    most = LIST if most is None else most
     source = distinct_fps.select(F.col(fp).alias("fp"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +192,30 @@ def links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
             row, key = fingerprint_keys(fps, golay)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row].view(np.int64))], names=["key", "fp"])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = None
+        for b in batches:
+            golay = golay or Golay()
+            key, fps = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            third = np.zeros(len(key), np.int64)
+            for i in range(3):
+                at, n = SEGMENTS[(i + 2) % 3]
+                third = np.where(key >> 34 == i, (fps.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << n) - 1), third)
+            row, fuzzy = golay.keys(third)
+            yield pa.RecordBatch.from_arrays([pa.array(1 << 60 | key[row] << 12 | fuzzy.astype(np.int64)), pa.array(fps[row])], names=["key", "fp"])
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [x for row in b.column(0) for x in linked_stars(np.asarray(row.values.to_numpy(zero_copy_only=False)).view(np.uint64))]
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    met = source.mapInArrow(keyed, "key long, fp long").groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    pairs = source.mapInArrow(keyed, "key long, fp long")
+    hot = stored(pairs.groupBy("key").count().where(F.col("count") > most).select("key"), "hot-fingerprint-keys")
+    if n_hot := hot.count():
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        pairs = pairs.join(hot, "key", "left_anti").unionByName(pairs.join(hot, "key", "left_semi").mapInArrow(split, "key long, fp long"))
+    met = pairs.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return met.select("fps").mapInArrow(verified, "u long, v long").distinct()
 
 
@@ -220,8 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are split at ASCII white space with A-Z lower-cased; a fingerprint bit is set where over half of the three-word shingles'
     XXH64 values have it. Rows whose fingerprints differ in two bits or fewer are linked; component_id is the smallest
     id that links reach. Null or empty text has fingerprint 0 and is linked like any other; repeated rows and ids each keep their
-    row; a null id is never a component's id unless the component has no other (then it is null). An empty table gives
-    an empty result; further columns are ignored.
+    row; a null id is never a component's id unless the component has no other (then it is null). Whole texts count, however long. An
+    empty table gives an empty result; further columns are ignored.
     """
     fps = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints")
     return grouped(fps)

@@ -1,10 +1,10 @@
 """Token ids of documents in Parquet files laid out for selective reads.
 
 Documents are dealt by ranges of doc_id into part files and sorted within them, so file order is id order. A file holds
-doc_id, n_tokens and the ids as list<int32>. Ids get no dictionary: they are delta-packed (the format's second
-version), in row groups and pages of set sizes, with page indexes, so a reader takes metadata without the ids, and a range of
-documents without the rest. Where a document starts among all ids follows from one total for each file and a running sum
-within it; nothing passes one task.
+doc_id, pos (the document's place in the file), n_tokens and the ids as list<int32>. Ids get no dictionary: they are delta-packed (the
+format's second version), in row groups and pages of set sizes, with page indexes, so a reader takes metadata without the ids, and a
+range of documents without the rest. Where a document starts among all ids follows from one total for each file and a running
+sum by pos within it; totals are added up by ranges of files, so nothing grows in one task but a row for many files.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from .storage import shared_dir
 from .worker import kept
 
 END_ID = 1
-ROW_GROUP_BYTES, PAGE_BYTES, FILE_TEXT_BYTES = 16 << 20, 256 << 10, 16 << 20
+ROW_GROUP_BYTES, PAGE_BYTES, FILE_TEXT_BYTES = 16 << 20, 256 << 10, 256 << 20
+#: Smaller files than FILE_TEXT_BYTES, of so much text at least, where cores would stand idle else; files whose totals are added up together.
+LEAST_TEXT_BYTES, FILES = 16 << 20, 1024
 #: A full stop or comma between a letter and white space: a token of its own.
 _MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])(\s|$)"
 WORDS = 1_500_000
@@ -120,19 +122,21 @@ def encoder(tokenizer_file: str) -> Encoder:
 def write_tokens(docs: DataFrame, tokenizer_file: str, path: str | None = None, end_id: int | None = END_ID, file_text_bytes: int = FILE_TEXT_BYTES, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> str:
     """Writes docs (doc_id, text) as token files under path (default: a new folder in the shared one); gives the path.
 
-    Null and empty texts hold the end id alone (nothing without end_id). Rows with equal ids follow each other in no
-    set order; null ids come first. Other columns are not written. An empty table gives files without rows.
+    Null and empty texts hold the end id alone (nothing without end_id); long ones are encoded whole. Rows with equal ids follow each other in
+    no set order, which pos then fixes; null ids come first. Other columns are not written, whatever their names. An empty table gives files
+    without rows.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = parts(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0, file_text_bytes)
+    n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(parts(n_bytes, file_text_bytes), min(spark.sparkContext.defaultParallelism, n_bytes // LEAST_TEXT_BYTES))
     ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(tokenizer_file).encode, TaskContext.get().partitionId()
+        encode, part, done = encoder(tokenizer_file).encode, TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in slices(whole, 1, BATCH_CHARS):
                 ids, n = encode(b.column(1))
@@ -140,10 +144,11 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str | None = None,
                     ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column(0), pa.array(n), tokens], names=["part", "doc_id", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column(0), pa.array(np.arange(done, done + b.num_rows)), pa.array(n), tokens], names=["part", "doc_id", "pos", "n_tokens", "tokens"])
+                done += b.num_rows
 
     (
-        ranged.mapInArrow(run, "part int, doc_id long, n_tokens long, tokens array<int>")
+        ranged.mapInArrow(run, "part int, doc_id long, pos long, n_tokens long, tokens array<int>")
         .write.option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.writer.version", "v2")
@@ -154,34 +159,41 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str | None = None,
     return path
 
 
+def _starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows (part, pos, n_tokens and others) of token files with start, the number of ids before each; part and pos go."""
+    ahead = (Window.unboundedPreceding, -1)
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("range", F.expr(f"part div {FILES}"))
+    ranges = sums.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(*ahead)), F.lit(0)).alias("before_range"))  # a row for FILES files
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("part").rowsBetween(*ahead)), F.lit(0))
+    before = sums.select("part", "range", inside.alias("inside")).join(ranges, "range").select("part", (F.col("before_range") + F.col("inside")).alias("before"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("pos").rowsBetween(*ahead)), F.lit(0))
+    return rows.withColumn("within", within).join(before, "part").withColumn("start", F.col("before") + F.col("within")).drop("part", "pos", "within", "before")
+
+
 def starts(files: DataFrame) -> DataFrame:
-    """(part, doc_id, n_tokens, start) of token files: start counts the ids of all documents before. Reads no ids."""
-    meta = files.select("part", "doc_id", "n_tokens")
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = meta.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))  # a row for each file
-    within = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return meta.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, "part").select("part", "doc_id", "n_tokens", (F.col("before") + F.col("within")).alias("start"))
+    """(doc_id, n_tokens, start) of token files: start counts the ids of all documents before, in file order, so rows with equal or null ids
+    have their own. Reads no ids. Files without rows give an empty result; further columns are ignored."""
+    return _starts(files.select("part", "doc_id", "pos", "n_tokens"), files)
 
 
-def read_digests(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of token files, from the ids read back.
+def documents(files: DataFrame, first_id: int, last_id: int) -> DataFrame:
+    """(doc_id, pos, n_tokens, tokens) of the documents from first_id to last_id: files, row groups and pages of other ids are not read. Null ids
+    are in no range; last_id under first_id gives an empty result."""
+    return files.where(F.col("doc_id").between(first_id, last_id)).select("doc_id", "pos", "n_tokens", "tokens")
 
-    Rows stay where the files have them: within a file the running sum needs ids in file order, which is id order.
-    """
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+
+def read_digests(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document of token files, from the ids read back; start as in starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = b.column(3)
+            tokens = b.column(4)
             flat = np.asarray(tokens.values).astype("<u4")
             at = np.asarray(tokens.offsets)
             crc = [zlib.crc32(flat[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            if not pc.all(pc.equal(pc.list_value_length(tokens), b.column(2))).as_py() and b.num_rows:
+            if not pc.all(pc.equal(pc.list_value_length(tokens), b.column(3))).as_py() and b.num_rows:
                 raise ValueError("a token file's counts don't fit its ids")
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], names=["part", "doc_id", "pos", "n_tokens", "ids_crc32"])
 
-    read = files.select("part", "doc_id", "n_tokens", "tokens").mapInArrow(run, "part int, doc_id long, n_tokens long, ids_crc32 long")
-    within = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    summed = read.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return summed.join(before, "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    read = files.select("part", "doc_id", "pos", "n_tokens", "tokens").mapInArrow(run, "part int, doc_id long, pos long, n_tokens long, ids_crc32 long")
+    return _starts(read, files).select("doc_id", "start", "n_tokens", "ids_crc32")
