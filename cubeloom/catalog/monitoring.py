@@ -51,18 +51,14 @@ def timeline_summary(spark, d):
     return monitor.summary(training_log(spark, d))
 
 
-@query("step_ticks_interp", with_views(f"SELECT k AS step, {R('a.t + (b.t - a.t) * (k - a.i) / 7.0')} AS minutes FROM (SELECT unnest(range(0, 900, 100)) AS k) JOIN (SELECT i, sum(nll) OVER (ORDER BY i) AS t FROM train_log) a ON a.i = k // 7 * 7 JOIN (SELECT i, sum(nll) OVER (ORDER BY i) AS t FROM train_log) b ON b.i = a.i + 7", "train_log"))
-def step_ticks_interp(spark, d):
-    log = running_sum(training_log(spark, d), "i", "nll", "t")
-    ticks = spark.range(0, 900, 100).withColumnRenamed("id", "step")
-    return monitor.interpolated(log.where("i % 7 = 0"), ticks, "i", "t", "step").select("step", r(F.col("t")).alias("minutes"))
-
-
 _TICKS = "n AS (SELECT max(i) AS n FROM train_log WHERE i % 7 = 0), u AS (SELECT n, CAST(pow(10, floor(log10(greatest(n // 5, 1)))) AS BIGINT) AS u FROM n), c AS (SELECT i, sum(nll) OVER (ORDER BY i) AS t FROM train_log)"
+_TICKS_SQL = with_views(f"SELECT k AS step, {R('a.t + (b.t - a.t) * (k - a.i) / 7.0')} AS minutes FROM (SELECT unnest(range(0, n, greatest(CAST(round_even(n / (5.0 * u), 0) AS BIGINT), 1) * u)) AS k FROM u) JOIN c a ON a.i = k // 7 * 7 JOIN c b ON b.i = a.i + 7", "train_log", more=_TICKS)
 
 
-@query("step_ticks_interp_all", with_views(f"SELECT k AS step, {R('a.t + (b.t - a.t) * (k - a.i) / 7.0')} AS minutes FROM (SELECT unnest(range(0, n, greatest(CAST(round_even(n / (5.0 * u), 0) AS BIGINT), 1) * u)) AS k FROM u) JOIN c a ON a.i = k // 7 * 7 JOIN c b ON b.i = a.i + 7", "train_log", more=_TICKS))
-def step_ticks_interp_all(spark, d):
+@query("step_ticks_interp", _TICKS_SQL)
+@query("step_ticks_interp_all", _TICKS_SQL)
+def step_ticks_interp(spark, d):
+    """The time at ticks over the whole log."""
     log = running_sum(training_log(spark, d), "i", "nll", "t").where("i % 7 = 0")
     last = log.agg(F.max("i")).first()[0] or 0
     ticks = spark.range(0, last, monitor.tick_spacing(last)).withColumnRenamed("id", "step")
@@ -91,14 +87,12 @@ def target_overlay(spark, d):
     return v.join(inner, ["cube_id", "z", "x", "y"], "left").select("cube_id", "z", "x", "y", r(F.col("value") - F.coalesce("cls", F.lit(0))).alias("overlay"))
 
 
-@query("pairwise_prediction_diff", with_views(f"SELECT a.vec_id % 4 AS m1, b.vec_id % 4 AS m2, a.vec_id // 4 AS img, a.x, a.y, least(a.value, b.value) AS r, a.value AS g, b.value AS b FROM img8 a JOIN img8 b ON a.vec_id // 4 = b.vec_id // 4 AND a.vec_id % 4 < b.vec_id % 4 AND a.x = b.x AND a.y = b.y WHERE a.vec_id < 80 AND b.vec_id < 80", "img8"))
-def pairwise_prediction_diff(spark, d):
-    p = images(spark, d).where("vec_id < 80").select((F.col("vec_id") % 4).alias("m"), F.expr("vec_id div 4").alias("img"), "x", "y", "value")  # the query's twenty images by four models
-    return monitor.pairwise(p, "m", ["img", "x", "y"])
+_PAIRS = with_views("SELECT a.vec_id % 4 AS m1, b.vec_id % 4 AS m2, a.vec_id // 4 AS img, a.x, a.y, least(a.value, b.value) AS r, a.value AS g, b.value AS b FROM img8 a JOIN img8 b ON a.vec_id // 4 = b.vec_id // 4 AND a.vec_id % 4 < b.vec_id % 4 AND a.x = b.x AND a.y = b.y", "img8")
 
 
-@query("pairwise_prediction_diff_all", with_views("SELECT a.vec_id % 4 AS m1, b.vec_id % 4 AS m2, a.vec_id // 4 AS img, a.x, a.y, least(a.value, b.value) AS r, a.value AS g, b.value AS b FROM img8 a JOIN img8 b ON a.vec_id // 4 = b.vec_id // 4 AND a.vec_id % 4 < b.vec_id % 4 AND a.x = b.x AND a.y = b.y", "img8"))
-def pairwise_prediction_diff_all(spark, d):
+@query("pairwise_prediction_diff", _PAIRS)
+@query("pairwise_prediction_diff_all", _PAIRS)
+def pairwise_prediction_diff(spark, d):
     p = images(spark, d).select((F.col("vec_id") % 4).alias("m"), F.expr("vec_id div 4").alias("img"), "x", "y", "value")
     return monitor.pairwise(p, "m", ["img", "x", "y"])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +21,54 @@ def affinity_edges(seg: DataFrame, key: str, axes: tuple[str, ...]) -> DataFrame
     return out
 
 
-def components(edges: DataFrame, nodes: DataFrame, key: str, least: int = 1) -> DataFrame:
-    """(key, node, comp): the smallest node that edges (key, a, b) reach within a key; 0 for components of fewer than least nodes.
+#: Nodes of a volume up to which one task labels it.
+VOLUME_NODES = 4_000_000
+
+
+def components(edges: DataFrame, nodes: DataFrame, key: str, least: int = 1, volume_nodes: int | None = None) -> DataFrame:
+    """(key, node, comp): the smallest node that edges (key, a, b) reach within a key; -1 for components of fewer than least nodes.
 
-    Labels spread along edges and are shortened to their own labels' labels in each round, so rounds grow with the
-    logarithm of a component's extent; a round's table is written, which keeps plans short and survives lost executors.
+    Components never leave a key (a volume), so each volume is labelled by one task, in arrays; those of more than volume_nodes nodes
+    (VOLUME_NODES) go by rounds of joins instead.
     """
+    most = VOLUME_NODES if volume_nodes is None else volume_nodes
+    large = written(nodes.groupBy(key).count().where(F.col("count") > most).select(key), "large-volumes")
+    some = large.limit(1).count() > 0
+    small_nodes, small_edges = (df.join(large, key, "left_anti") if some else df for df in (nodes, edges))
+    labels = _labelled(small_edges, small_nodes, key)
+    if some:
+        labels = labels.unionByName(_labelled_in_rounds(edges.join(large, key, "left_semi"), nodes.join(large, key, "left_semi"), key))
+    size = labels.groupBy(key, "comp").agg(F.count("*").alias("n"))
+    return labels.join(size, [key, "comp"]).select(key, "node", F.when(F.col("n") >= least, F.col("comp")).otherwise(F.lit(-1)).alias("comp"))
+
+
+def _labelled(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Smallest reachable nodes, a volume at a time: labels spread along edges and are shortened to their own labels' labels."""
+
+    def run(points: pa.Table, links: pa.Table) -> pa.Table:
+        if not points.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, names=[key, "node", "comp"])
+        node = np.unique(np.asarray(points.column("node")))
+        a, b = (np.searchsorted(node, np.asarray(links.column(c))) for c in ("a", "b"))
+        label = np.arange(len(node))
+        while len(a):
+            low = label.copy()
+            np.minimum.at(low, label[a], label[b])
+            np.minimum.at(low, label[b], label[a])
+            low = low[low]
+            if (low == label).all() and (label[a] == label[b]).all():
+                break
+            label = low[label]
+        return pa.table([pa.array([points.column("__points")[0].as_py()] * len(node), pa.int64()), pa.array(node), pa.array(node[label])], names=[key, "node", "comp"])
+
+    # Nodes and edges may come from one table, so each side's key gets a name of its own.
+    whole = lambda df, name, *c: df.select(F.col(key).alias(name), *c).groupBy(name)
+    return whole(nodes, "__points", "node").cogroup(whole(edges, "__links", "a", "b")).applyInArrow(run, f"{key} long, node long, comp long")
+
+
+def _labelled_in_rounds(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """The same by joins: rounds grow with the logarithm of a component's extent; a round's table is written, which keeps plans short and survives lost
+    executors."""
     both = edges.select(key, "a", "b").unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
     labels = nodes.select(key, "node", F.col("node").alias("comp"))
     while True:
@@ -38,9 +79,7 @@ def components(edges: DataFrame, nodes: DataFrame, key: str, least: int = 1) ->
         changed = new.where("comp <> was").limit(1).count()
         labels = new.drop("was")
         if not changed:
-            break
-    size = labels.groupBy(key, "comp").agg(F.count("*").alias("n"))
-    return labels.join(size, [key, "comp"]).select(key, "node", F.when(F.col("n") >= least, F.col("comp")).otherwise(F.lit(-1)).alias("comp"))
+            return labels
 
 
 def maximin_counts(edges: DataFrame, key: str) -> DataFrame:
@@ -87,5 +126,3 @@ def maximin_counts(edges: DataFrame, key: str) -> DataFrame:
         return pa.table({key: [volume.column(key)[0].as_py()], "pos": [int(pos)], "neg": [int(neg)], "splits": [int(splits)], "merges": [int(merges)], "nll": [float(nll / (pos + neg + 1e-6))]})
 
     return edges.groupBy(key).applyInArrow(run, f"{key} long, pos long, neg long, splits long, merges long, nll double")
-
-

@@ -26,16 +26,13 @@ def untiled(out: DataFrame, axis: str, own: int, size: int) -> DataFrame:
 
 
 def strided(maps: DataFrame, key: list[str], pool: int, size: int, value: str) -> DataFrame:
-    """Dense output of a pool by running it on every shifted crop and interleaving the results."""
+    """Dense output of a pool by running it on every shifted crop and interleaving the results. All crops are made by one scan."""
     n = (size - pool + 1) // pool
-    out = None
-    for sx in range(pool):
-        for sy in range(pool):
-            crop = maps.where(f"x >= {sx} and y >= {sy}").withColumns({"x": F.col("x") - sx, "y": F.col("y") - sy}).where(f"x < {n * pool} and y < {n * pool}")
-            p = layers.pooled(crop, key, {"x": pool, "y": pool}, value)
-            one = p.withColumns({"x": F.col("x") * pool + sx, "y": F.col("y") * pool + sy})
-            out = one if out is None else out.unionByName(one)
-    return out
+    shift = F.explode(F.sequence(F.lit(0), F.lit(pool - 1)).cast("array<long>"))
+    crops = maps.withColumn("__sx", shift).withColumn("__sy", shift).withColumns({"x": F.col("x") - F.col("__sx"), "y": F.col("y") - F.col("__sy")})
+    crops = crops.where(F.col("x").between(0, n * pool - 1) & F.col("y").between(0, n * pool - 1))
+    p = layers.pooled(crops, [*key, "__sx", "__sy"], {"x": pool, "y": pool}, value)
+    return p.withColumns({"x": F.col("x") * pool + F.col("__sx"), "y": F.col("y") * pool + F.col("__sy")}).drop("__sx", "__sy")
 
 
 def fragmented(maps: DataFrame, key: list[str], pool: int, size: int, value: str) -> DataFrame:

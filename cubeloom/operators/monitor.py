@@ -9,9 +9,10 @@ from ..functions.keyed import rounded as r
 
 
 def last_ema(seq: DataFrame, key: str, keep: float, start: float) -> DataFrame:
-    """(key, ema) after the last value of each sequence (key, t, value)."""
-    values = F.array_sort(F.collect_list(F.struct("t", "value")))
-    return seq.groupBy(key).agg(F.aggregate(values, F.lit(start), lambda e, v: keep * e + (1.0 - keep) * v["value"]).alias("ema"))
+    """(key, ema) after the last value of each sequence (key, t, value), t counting from 0: a weighted sum, so a long sequence is summed in parts."""
+    n = seq.groupBy(key).agg(F.count("*").alias("__n"))
+    weight = F.pow(F.lit(keep), F.col("__n") - 1 - F.col("t")) * (1.0 - keep)
+    return seq.join(n, key).groupBy(key).agg((F.sum(F.col("value") * weight) + F.pow(F.lit(keep), F.max("__n")) * start).alias("ema"))
 
 
 def diverged(x: Column) -> Column:

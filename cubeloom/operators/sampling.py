@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
+from ..sources.tables import RANGE_ROWS, ranges, running_sum
 
 
-def shuffled_batches(df: DataFrame, key: str, size: int, epochs: DataFrame, seed: str, buckets: int = 64) -> DataFrame:
+def shuffled_batches(df: DataFrame, key: str, size: int, epochs: DataFrame, seed: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(epoch, batch, slot, key): each epoch a new order without replacement; the rest that fills no batch is left out.
 
     The order is that of the draws; rows are ranked within ranges of the draw, after the totals of the ranges before, so
     no task sees a whole epoch.
     """
     drawn = df.select(key).crossJoin(F.broadcast(epochs)).withColumn("u", uniform(seed, F.col("epoch"), F.col(key)))
-    rank = ranked(drawn, "u", [key], ["epoch"], buckets)
+    rank = ranked(drawn, "u", [key], ["epoch"], ranges(df.count(), range_rows))
     n = drawn.groupBy("epoch").agg(F.count("*").alias("n"))
     out = rank.join(F.broadcast(n), "epoch").where(F.col("rank") < F.floor(F.col("n") / size) * size)
     return out.select("epoch", F.expr(f"rank div {size}").alias("batch"), (F.col("rank") % size).alias("slot"), key)
 
 
-def ranked(df: DataFrame, draw: str, ties: list[str], by: list[str], buckets: int = 64) -> DataFrame:
-    """df with rank, from 0 in each group by in order of draw (uniform on [0, 1)) and ties."""
+def ranked(df: DataFrame, draw: str, ties: list[str], by: list[str], buckets: int | None = None) -> DataFrame:
+    """df with rank, from 0 in each group by in order of draw (uniform on [0, 1)) and ties. Rows are dealt by buckets of the draw, as many as the rows need."""
+    buckets = buckets or ranges(df.count())
     dealt = df.withColumn("__b", F.floor(F.col(draw) * buckets))
     totals = dealt.groupBy(*by, "__b").agg(F.count("*").alias("__n"))  # at most buckets rows a group
     before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -77,16 +79,20 @@ def updated_priority(nll: Column, visits: Column, iteration: Column, last: Colum
 
 
 def priority_cdf(df: DataFrame, key: str, priority: str) -> DataFrame:
-    """(key, lo, hi): each row's share of the unit interval, in key order. For dimension tables."""
-    up = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    """(key, lo, hi): each row's share of the unit interval, in order of a unique numeric key."""
     total = df.agg(F.sum(priority).alias("__t"))
-    summed = df.select(key, priority, F.sum(priority).over(up).alias("__s")).join(F.broadcast(total))
+    summed = running_sum(df.select(key, priority), key, priority, "__s").join(F.broadcast(total))  # one row
     return summed.select(key, ((F.col("__s") - F.col(priority)) / F.col("__t")).alias("lo"), (F.col("__s") / F.col("__t")).alias("hi"))
 
 
 def drawn_from(draws: DataFrame, cdf: DataFrame, u: str = "u") -> DataFrame:
-    """Each draw with the row whose interval holds it. The distribution is a dimension table and is broadcast."""
-    return draws.join(F.broadcast(cdf), (F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi")))
+    """Each draw with the row whose interval holds it. Both sides are dealt by equal parts of the unit interval, as many as the distribution has rows, and
+    joined by part; an interval stands in each part that it touches, so there are at most twice as many rows as intervals."""
+    n = max(1, cdf.count())
+    part = lambda x: F.least(F.floor(x * float(n)), F.lit(n - 1))
+    touched = cdf.withColumn("__part", F.explode(F.sequence(part(F.col("lo")), part(F.col("hi")))))
+    met = draws.withColumn("__part", part(F.col(u))).join(touched, "__part")
+    return met.where((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))).drop("__part")
 
 
 def patch_offsets(draws: DataFrame, axes: dict[str, tuple[int, int]], seed: str, key: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIDE = 8
@@ -60,39 +60,65 @@ def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(e, "event_id", "i")
 
 
-def indexed(df: DataFrame, key: str, name: str, parts: int = 16) -> DataFrame:
+#: Rows that one task numbers or sums up in order; how many quantiles are looked for at most.
+RANGE_ROWS, QUANTILES = 1_000_000, 256
+
+
+def indexed(df: DataFrame, key: str, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with name, the rows' number from 0 in order of a unique numeric key.
 
-    Rows are dealt by key ranges; a row's number is its place in its range after the totals of the ranges before.
+    Rows are dealt by key ranges of about range_rows; a row's number is its place in its range after the totals of the ranges before.
     """
-    dealt = _dealt(df, key, parts)
+    dealt = _dealt(df, key, range_rows)
     totals = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = totals.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(key)).cast("long") - 1
     return dealt.withColumn("__place", place).join(before, "__range").withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__before", "__place")
 
 
-def running_sum(df: DataFrame, key: str, value: str, name: str, parts: int = 16) -> DataFrame:
+def running_sum(df: DataFrame, key: str, value: str, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with name, the sum of value up to each row in order of a unique numeric key, dealt by ranges as in indexed."""
-    dealt = _dealt(df, key, parts)
+    dealt = _dealt(df, key, range_rows)
     totals = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = totals.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(key)), F.lit(0))
     return dealt.withColumn("__inside", inside).join(before, "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
 
 
-def _dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """df with __range, which of parts ranges of the key a row is in."""
-    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(F.col(key) >= F.lit(c), 1).otherwise(0)
-    return df.withColumn("__range", bucket)
+def ranges(n: int, range_rows: int = RANGE_ROWS) -> int:
+    """How many ranges n rows are dealt to."""
+    return max(1, -(-n // range_rows))
+
+
+def _dealt(df: DataFrame, key: str, range_rows: int) -> DataFrame:
+    """df with __range, a row's range of the key: quantiles (found as constants, so a second scan deals alike), each cut into equal widths where more are wanted."""
+    n = ranges(df.count(), range_rows)
+    if n == 1:
+        return df.withColumn("__range", F.lit(0))
+    parts = min(n, QUANTILES)
+    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.1 / parts)))
+
+    def place(lo: int, hi: int) -> Column:
+        """How many of cuts[lo:hi] are at most the key, after lo: a search tree of conditions."""
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(F.col(key) < cuts[middle], place(lo, middle)).otherwise(place(middle + 1, hi))
+
+    width = -(-n // parts)
+    if width == 1:
+        return df.withColumn("__range", place(0, len(cuts)))
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    edges = F.array(*(F.lit(float(c)) for c in (ends["lo"], *cuts, ends["hi"])))
+    out = df.withColumn("__q", place(0, len(cuts)))
+    share = (F.col(key) - edges[F.col("__q")]) / F.nullif(edges[F.col("__q") + 1] - edges[F.col("__q")], F.lit(0.0))
+    sub = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * width), F.lit(width - 1))
+    return out.withColumn("__range", F.col("__q") * width + sub).drop("__q")
 
 
 #: The views' SQL twins, as common table expressions.
 SQL = {
-    "img8": "img8 AS (SELECT vec_id, CAST(label AS BIGINT) AS label, p // 8 AS x, p % 8 AS y, round(CAST(embedding[p + 1] AS DOUBLE), 4) + 0.0 AS value FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS p))",
+    "img8": "img8 AS MATERIALIZED (SELECT vec_id, CAST(label AS BIGINT) AS label, p // 8 AS x, p % 8 AS y, round(CAST(embedding[p + 1] AS DOUBLE), 4) + 0.0 AS value FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS p))",
     "vol8": "vol8 AS (SELECT vec_id // 8 AS cube_id, vec_id % 8 AS z, x, y, value FROM img8)",
     "cls8": "cls8 AS (SELECT *, CAST(CASE WHEN abs(value) < 0.01 THEN -1 WHEN value > 0 THEN 1 ELSE 0 END AS BIGINT) AS cls FROM vol8)",
     "seg8": "seg8 AS (SELECT *, CAST(CASE WHEN value <= 0 THEN 0 ELSE 1 + (x // 4) * 2 + y // 4 END AS BIGINT) AS seg FROM vol8)",
