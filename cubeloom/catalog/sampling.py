@@ -8,7 +8,7 @@ from ..functions.keyed import sql_uniform as U
 from ..functions.keyed import uniform
 from ..operators import augment, sampling
 from ..registry import query
-from ..sources.tables import images, indexed, table, voxel_classes, volumes, with_views
+from ..sources.tables import images, indexed, table, voxel_classes, volumes, with_views, written
 from ..sources.views import cube_info, sequences
 from ..streaming import priority
 
@@ -118,12 +118,17 @@ s AS (SELECT draw, row_number() OVER (ORDER BY draw) - 1 AS slot FROM ok)"""
 @query("image_batch_pipeline", with_views(f"SELECT slot, cube_id, z, CASE WHEN {U('bflipx', 'draw')} < 0.5 THEN 3 - x ELSE x END AS x, y, {R('power(least(greatest((value + 0.5) * (1.0 + 0.3 * (' + U('bgreya', 'draw') + ' - 0.5)) + 0.3 * (' + U('bgreyc', 'draw') + ' - 0.5), 0.0), 1.0), power(2.0, 2.0 * ' + U('bgreyg', 'draw') + ' - 1.0))', 4)} AS value, cls FROM p JOIN s USING (draw) WHERE slot < 16", "cls8", more=_CDF + ", " + _BATCH))
 def image_batch_pipeline(spark, d):
     v = voxel_classes(volumes(spark, d))
-    draws = spark.range(60).select(F.col("id").alias("draw"), uniform("bdraw", F.col("id")).alias("u"))
-    chosen = sampling.drawn_from(draws, _cdf(spark, d)).select("draw", "cube_id")
-    corners = sampling.patch_offsets(chosen, {a: (8, 4) for a in ("z", "x", "y")}, "b", ["draw"])
-    patches = sampling.cut(corners, v, {a: 4 for a in ("z", "x", "y")}, ["cube_id"])
-    ok = patches.groupBy("draw").agg(F.avg((F.col("cls") < 0).cast("double")).alias("share")).where("share <= 0.1")
-    slots = indexed(ok.select("draw"), "draw", "slot").where("slot < 16")
+    cdf, n = _cdf(spark, d), 60
+    while True:
+        draws = spark.range(n).select(F.col("id").alias("draw"), uniform("bdraw", F.col("id")).alias("u"))
+        chosen = sampling.drawn_from(draws, cdf).select("draw", "cube_id")
+        corners = sampling.patch_offsets(chosen, {a: (8, 4) for a in ("z", "x", "y")}, "b", ["draw"])
+        patches = sampling.cut(corners, v, {a: 4 for a in ("z", "x", "y")}, ["cube_id"])
+        ok = patches.groupBy("draw").agg(F.avg((F.col("cls") < 0).cast("double")).alias("share")).where("share <= 0.1")
+        slots = written(indexed(ok.select("draw"), "draw", "slot").where("slot < 16"), "slots")
+        if slots.count() == 16 or n > 10_000:  # draws keep their numbers, so more of them only fill the rest of the batch
+            break
+        n *= 4
     met = patches.join(F.broadcast(slots), "draw")  # 16 rows
     x = F.when(uniform("bflipx", F.col("draw")) < 0.5, 3 - F.col("x")).otherwise(F.col("x"))
     return met.select("slot", "cube_id", "z", x.alias("x"), "y", r(augment.grey(F.col("value") + 0.5, "bgrey", F.col("draw")), 4).alias("value"), "cls")

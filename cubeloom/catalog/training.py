@@ -8,6 +8,8 @@ from ..functions.keyed import sql_rounded as R
 from ..functions.keyed import sql_uniform as U
 from ..functions.keyed import uniform
 from ..operators import layers, optimise
+from ..plans import trainer
+from ..plans.network import NetworkConfig
 from ..registry import query
 from ..sources.tables import table, with_views
 from ..sources.views import FEATURES, biases, features, sql_biases, sql_weights, weights
@@ -135,15 +137,9 @@ def train_lbfgs_step(spark, d):
 
 @query("train_mlp_epochs")
 def train_mlp_epochs(spark, d):
-    """Momentum descent over keyed mini-batches; a row for each epoch."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("long").alias("label"))
-    w, v, log = np.zeros((65, 10)), np.zeros((65, 10)), []
-    for epoch in range(3):
-        for part in range(2):
-            batch = e.where(F.floor(uniform("epoch", F.lit(epoch), F.col("vec_id")) * 2) == part)
-            _, g = optimise.loss_and_gradient(batch, 64, 10)(w)
-            v = g + 0.9 * v
-            w = w - 0.5 * v
-        loss, _ = optimise.loss_and_gradient(e, 64, 10)(w)
-        log.append((epoch, round(loss, 6)))
-    return spark.createDataFrame(log, "epoch long, loss double")
+    """Momentum descent of a network with a hidden layer over keyed mini-batches; the loss over all examples after each epoch."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("long").alias("label"))
+    run = trainer.Trainer(trainer.built(NetworkConfig(mode="vect-scalar", n_lab=10, side=8, mlp=[16])), e, e, n_batches=2, rate=0.1)
+    for _ in range(3):
+        run.run(2, evaluate_every=2)
+    return spark.createDataFrame([(i, round(loss, 6), round(error, 6)) for i, (_, loss, error) in enumerate(run.history)], "epoch long, loss double, error double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import layers
+from . import layers, reshape
 
 
 def tiled(plane: DataFrame, axis: str, own: int, reach: int, n_tiles: int) -> DataFrame:
@@ -25,6 +25,21 @@ def untiled(out: DataFrame, axis: str, own: int, size: int) -> DataFrame:
     return out.where(F.col(axis) < own).withColumn(axis, F.col("tile") * own + F.col(axis)).where(F.col(axis) < size).drop("tile")
 
 
+def dense(images: DataFrame, key: str, side: int, kernel: int, w: DataFrame, b: DataFrame, tile: int, mirrored: bool = False) -> DataFrame:
+    """(key, f, x, y, z) of a convolution over whole images (key, x, y, value), tile by tile of tile x tile outputs.
+
+    With mirrored, images are grown by their own mirrored edges so that every pixel has an output; without, only inner ones have.
+    """
+    if mirrored:
+        grown = side + kernel - 1
+        images, side = reshape.border_padded(images, key, side, grown, mirror=True), grown
+    reach, size = kernel - 1, side - kernel + 1
+    n = -(-size // tile)
+    tiles = tiled(tiled(images.withColumn("ch", F.lit(0).cast("long")), "x", tile, reach, n).withColumnRenamed("tile", "tx"), "y", tile, reach, n)
+    out = layers.conv(tiles, w, b, [key, "tx", "tile"], {"x": tile + reach, "y": tile + reach}, {"x": kernel, "y": kernel})
+    return untiled(untiled(out, "y", tile, size).withColumnRenamed("tx", "tile"), "x", tile, size)
+
+
 def strided(maps: DataFrame, key: list[str], pool: int, size: int, value: str) -> DataFrame:
     """Dense output of a pool by running it on every shifted crop and interleaving the results. All crops are made by one scan."""
     n = (size - pool + 1) // pool

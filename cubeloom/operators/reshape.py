@@ -122,6 +122,7 @@ def transposed(df: DataFrame, order: dict[str, str]) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in order.values()), *(F.col(old).alias(new) for new, old in order.items()))
 
 
+# The cyclic orders of three axes.
 TRANSPOSES = ((0, 1, 2), (2, 0, 1), (1, 2, 0))
 
 

@@ -14,6 +14,7 @@ from ..operators import losses
 from ..operators.parameters import bias, glorot_scale, grid
 from . import architecture
 
+# Names that users type in configurations.
 MODES = ("img-img", "img-scalar", "vect-scalar")
 TARGETS = ("nll", "regression", "nll_mutiple_binary", "nll_weak", "affinity", "malis")
 ACTIVATIONS = ("tanh", "relu", "abs", "sigmoid", "linear")
@@ -67,12 +68,16 @@ class NetworkConfig:
 
 
 class Network:
-    """Layers over examples (key, label, value and x, y or i). Parameters are keyed draws until tables are given for them.
+    """Layers over examples (key, label, value and x, y or i) in relational form: convolutions and dense layers with a softmax. Parameters are keyed draws
+    until tables are given for them. Networks of all kinds, and their training, are in trainer.py.
 
     parameters: {name: DataFrame} with names conv<k>, conv<k>_b, dense<k>, dense<k>_b.
     """
 
     def __init__(self, spark, config: NetworkConfig, seed: str = "net", parameters: dict[str, DataFrame] | None = None) -> None:
+        given = [name for name, ok in (("mode img-img", config.mode != "img-img"), ("rnn", not config.rnn), ("dropout", not any(config.dropout)), (f"target {config.target}", config.target == "nll"), ("lazy_labels", not config.lazy_labels)) if not ok]
+        if given:
+            raise ValueError(f"{', '.join(given)}: not in relational form; trainer.built makes such networks")
         self.spark, self.config, self.seed = spark, config, seed
         self.parameters = dict(parameters or {})
 

@@ -26,10 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or _local[0]).rstrip("/")
 
 
-def written(df: DataFrame, label: str, mode: str = "errorifexists", path: str | None = None, **options: str) -> DataFrame:
-    """df written as Parquet and read back: the sink, and the way to cut a long lineage."""
+def written(df: DataFrame, label: str, mode: str = "errorifexists", path: str | None = None, by: str | None = None, **options: str) -> DataFrame:
+    """df written as Parquet (in folders by a column) and read back: the sink, and the way to cut a long lineage."""
     path = path or f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode(mode).options(**options).parquet(path)
+    writer = df.write.mode(mode).options(**options)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
