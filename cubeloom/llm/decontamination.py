@@ -57,6 +57,21 @@ def term_hash(term: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class _Numbers(dict):
+    """word -> its place among terms (hashes, ascending), -1 for all others; remembered, and cleared when large, so memory is bounded."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms = terms
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = term_hash(word)
+        at = int(np.searchsorted(self.terms, h))
+        n = self[word] = at if at < len(self.terms) and self.terms[at] == h else -1
+        return n
+
+
 def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """The index of (id, text) for terms (their hashes, ascending): (shard, term, positions), and for term -1 each document's (id, first position, words).
 
@@ -69,17 +84,7 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
         from pyspark import TaskContext
 
         released()
-        wanted, memo = sent.value, {}
-
-        def number(w: bytes) -> int:
-            """The term's place in terms; -1 for all others."""
-            if w not in memo:
-                if len(memo) > MEMO:
-                    memo.clear()
-                at = int(np.searchsorted(wanted, h := term_hash(w)))
-                memo[w] = at if at < len(wanted) and wanted[at] == h else -1
-            return memo[w]
-
+        wanted, memo = sent.value, _Numbers(sent.value)
         for k, b in enumerate(s for whole in batches for s in slices(whole, 1, SHARD_CHARS)):
             shard = TaskContext.get().partitionId() << 32 | k
             n = np.zeros(b.num_rows, np.int64)
@@ -87,7 +92,7 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             for i, t in enumerate(b.column(1)):
                 w = words(t.as_py())
                 n[i] = len(w)
-                term_of.append(np.fromiter(map(number, w), np.int32, len(w)))
+                term_of.append(np.fromiter(map(memo.__getitem__, w), np.int32, len(w)))
             first = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
             flat = np.concatenate([np.zeros(0, np.int32), *term_of])
             place = np.arange(len(flat)) + np.repeat(np.arange(b.num_rows), n)
