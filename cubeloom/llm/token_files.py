@@ -25,8 +25,9 @@ from .storage import shared_dir
 from .worker import kept
 
 END_ID = 1
-ROW_GROUP_BYTES, PAGE_BYTES, FILE_TEXT_BYTES = 16 << 20, 256 << 10, 256 << 20
-#: Smaller files than FILE_TEXT_BYTES, of so much text at least, where cores would stand idle else; files whose totals are added up together.
+ROW_GROUP_BYTES, PAGE_BYTES, FILE_TEXT_BYTES = 16 << 20, 256 << 10, 16 << 20
+#: A task sorts a file's text in the memory of one core (clusters with larger executors take larger files). Smaller files, of so much text at
+#: least, where cores would stand idle else; files whose totals are added up together.
 LEAST_TEXT_BYTES, FILES = 16 << 20, 1024
 #: A full stop or comma between a letter and white space: a token of its own.
 _MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])(\s|$)"
