@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded as r
 from ..functions.keyed import sql_rounded as R
+from ..functions.keyed import sql_uniform as U
 from ..functions.keyed import uniform
 from ..operators import graph, inference, layers
 from ..registry import query
-from ..sources.tables import volumes, voxel_segments, with_views
+from ..sources.tables import images, volumes, voxel_segments, with_views
 from ..sources.views import sql_weights, weights
 from .layers import CONV2, conv2
 from .losses import _EDGES
@@ -82,3 +83,62 @@ def loss_malis_stats(spark, d):
     side = lambda n, s: seg.select("cube_id", F.col("node").alias(n), F.col("seg").alias(s))
     met = edges.withColumn("p", p).join(side("a", "sa"), ["cube_id", "a"]).join(side("b", "sb"), ["cube_id", "b"])
     return graph.maximin_counts(met.select("cube_id", "a", "b", "p", "sa", "sb"), "cube_id").withColumn("nll", r(F.col("nll"), 4))
+
+
+def _plane_edges(spark, d):
+    """The pixel graphs of segmented images, with predicted affinities: vec_id, a, b, p, sa, sb."""
+    seg = voxel_segments(images(spark, d)).select("vec_id", (F.col("x") * 8 + F.col("y")).alias("a"), F.col("seg").alias("sa"))
+    step = seg.withColumn("b", F.explode(F.when(F.col("a") % 8 < 7, F.array(F.col("a") + 8, F.col("a") + 1)).otherwise(F.array(F.col("a") + 8))))
+    met = step.join(seg.select("vec_id", F.col("a").alias("b"), F.col("sa").alias("sb")), ["vec_id", "b"])
+    inside = ((F.col("sa") == F.col("sb")) & (F.col("sa") > 0)).cast("double")
+    p = 0.05 + 0.45 * inside + 0.45 * uniform("malis2", F.col("vec_id"), F.col("a"), F.col("b"))
+    return met.select("vec_id", "a", "b", p.alias("p"), "sa", "sb")
+
+
+def _malis_sql(body: str, strength: str) -> str:
+    """body over mm (vec_id, a, b, p, pos, neg): edges are added one at a time to lists of component * 5 + segment."""
+    side = lambda c, s: f"len(list_filter(l, lambda v: v = {c} * 5 + {s}))"
+    total = lambda c: " + ".join(side(c, s) for s in (1, 2, 3, 4))
+    same = " + ".join(f"{side('ca', s)} * {side('cb', s)}" for s in (1, 2, 3, 4))
+
+    def rounds(name: str, order: str, count: str) -> str:
+        return f"""{name} AS (SELECT vec_id, 0::BIGINT AS r, l, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS n FROM starts UNION ALL
+SELECT vec_id, r, CASE WHEN ca = cb THEN l ELSE list_transform(l, lambda v: CASE WHEN v // 5 = cb THEN ca * 5 + v % 5 ELSE v END) END, a, b, CASE WHEN ca = cb THEN 0 ELSE {count} END
+FROM (SELECT e.vec_id, e.r, e.a, e.b, t.l, t.l[e.a + 1] // 5 AS ca, t.l[e.b + 1] // 5 AS cb FROM {name} t JOIN {order} e ON e.vec_id = t.vec_id AND e.r = t.r + 1))"""
+
+    more = f"""nd AS MATERIALIZED (SELECT vec_id, x * 8 + y AS node, CAST(CASE WHEN value <= 0 THEN 0 ELSE 1 + (x // 4) * 2 + y // 4 END AS BIGINT) AS seg FROM img8),
+ed AS MATERIALIZED (SELECT vec_id, a, b, sa, sb, 0.05::DOUBLE + 0.45::DOUBLE * CAST(sa = sb AND sa > 0 AS DOUBLE) + 0.45::DOUBLE * {U('malis2', 'vec_id', 'a', 'b')} AS p FROM (SELECT n.vec_id, n.node AS a, m.node AS b, n.seg AS sa, m.seg AS sb FROM nd n JOIN nd m ON n.vec_id = m.vec_id AND (m.node = n.node + 8 OR (m.node = n.node + 1 AND n.node % 8 < 7)))),
+inner_order AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, a, b) AS r FROM ed WHERE sa = sb AND sa > 0),
+outer_order AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY {strength} DESC, a, b) AS r FROM ed),
+starts AS MATERIALIZED (SELECT vec_id, list(node * 5 + seg ORDER BY node) AS l FROM nd GROUP BY vec_id),
+{rounds('inside', 'inner_order', same)},
+{rounds('across', 'outer_order', f'({total("ca")}) * ({total("cb")}) - ({same})')},
+mm AS (SELECT e.vec_id, e.a, e.b, e.p, coalesce(i.n, 0) AS pos, o.n AS neg FROM ed e JOIN (SELECT * FROM across WHERE r > 0) o USING (vec_id, a, b) LEFT JOIN (SELECT * FROM inside WHERE r > 0) i USING (vec_id, a, b))"""
+    return with_views(body, "img8", more=more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("malis_edge_counts", _malis_sql(f"SELECT vec_id, a, b, {R('p')} AS p, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, {R('ln(neg + 1)')} AS log_neg FROM mm", "p"))
+def malis_edge_counts(spark, d):
+    counts = graph.maximin_edges(_plane_edges(spark, d), "vec_id")
+    return counts.withColumns({"p": r(F.col("p")), "log_neg": r(F.ln(F.col("neg") + 1))})
+
+
+_MALIS = f"""SELECT vec_id, {R('(sum(CASE WHEN pos > 0 THEN -pos * ln(p) ELSE 0 END) + sum(CASE WHEN neg > 0 THEN -neg * ln(1 - p) ELSE 0 END)) / (sum(pos) + sum(neg) + 1e-6)')} AS nll,
+CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, CAST(sum(pos) + sum(neg) AS BIGINT) AS n_tot,
+CAST(sum(CASE WHEN p < 0.5 THEN pos ELSE 0 END) AS BIGINT) AS false_splits, CAST(sum(CASE WHEN p > 0.5 THEN neg ELSE 0 END) AS BIGINT) AS false_merges,
+{R('sum(CASE WHEN p < 0.5 THEN pos ELSE 0 END + CASE WHEN p > 0.5 THEN neg ELSE 0 END) / (sum(pos) + sum(neg) + 1e-6)')} AS rand_index FROM mm GROUP BY vec_id"""
+
+
+def _malis(spark, d, restricted):
+    out = graph.maximin_loss(graph.maximin_edges(_plane_edges(spark, d), "vec_id", restricted), "vec_id")
+    return out.withColumns({"nll": r(F.col("nll")), "rand_index": r(F.col("rand_index"))})
+
+
+@query("loss_malis", _malis_sql(_MALIS, "p"))
+def loss_malis(spark, d):
+    return _malis(spark, d, False)
+
+
+@query("loss_malis_restricted", _malis_sql(_MALIS, "CASE WHEN sa = sb AND sa > 0 THEN 1.0::DOUBLE ELSE p END"))
+def loss_malis_restricted(spark, d):
+    return _malis(spark, d, True)

@@ -193,6 +193,23 @@ def affinity_heads(spark, d):
     return affinity(spark, d).select("cube_id", "head", "c", F.col("d").alias("z"), "x", "y", r(F.col("p"), 4).alias("p"))
 
 
+_HEADS = f"{sql_weights('aw', 'aff3', {'head': 3, 'c': 2, 'kz': 2, 'kx': 2, 'ky': 2}, 0.5)}, az AS (SELECT cube_id, head, c, z - 1 + kz AS z, x - 1 + kx AS x, y - 1 + ky AS y, sum(value * w) AS v FROM vol8 CROSS JOIN aw WHERE z - 1 + kz BETWEEN 0 AND 6 AND x - 1 + kx BETWEEN 0 AND 6 AND y - 1 + ky BETWEEN 0 AND 6 AND cube_id IN (SELECT cube_id FROM vol8 GROUP BY cube_id HAVING count(*) = 512) GROUP BY ALL), ap AS (SELECT cube_id, head, c, z, x, y, exp(v) / sum(exp(v)) OVER (PARTITION BY cube_id, head, z, x, y) AS p FROM az)"
+
+
+@query("affinity_heads_3d", with_views(f"SELECT cube_id, head, c, z, x, y, {R('p', 4)} AS p FROM ap", "vol8", more=_HEADS))
+def affinity_heads_3d(spark, d):
+    """Three two-class heads of 3-D filters on one weight table, for whole cubes."""
+    w = weights(spark, "aff3", {"head": 3, "c": 2, "kz": 2, "kx": 2, "ky": 2}, 0.5).select((F.col("head") * 2 + F.col("c")).alias("f"), F.lit(0).cast("long").alias("ch"), "kz", "kx", "ky", "w")
+    zero = spark.range(6).select(F.col("id").alias("f"), F.lit(0.0).alias("b"))
+    v = volumes(spark, d)
+    whole = v.groupBy("cube_id").count().where("count = 512").select("cube_id")
+    x = v.join(whole, "cube_id", "left_semi").withColumn("ch", F.lit(0).cast("long"))
+    out = layers.conv(x, w, zero, ["cube_id"], {"z": 8, "x": 8, "y": 8}, {"z": 2, "x": 2, "y": 2}).toDF("cube_id", "f", "d", "x", "y", "z")
+    heads = out.select("cube_id", F.expr("f div 2").alias("head"), (F.col("f") % 2).alias("c"), "d", "x", "y", "z")
+    p = layers.softmax(heads, ["cube_id", "head", "d", "x", "y"])
+    return p.select("cube_id", "head", "c", F.col("d").alias("z"), "x", "y", r(F.col("p"), 4).alias("p"))
+
+
 @query("layer_activations", with_views(f"SELECT 'hidden' AS layer, count(*) AS n, {R('avg(h)', 4)} AS mean, {R('stddev_pop(h)', 4)} AS std FROM h1 UNION ALL SELECT 'output', count(*), {R('avg(z)', 4)}, {R('stddev_pop(z)', 4)} FROM z2", "img8", more=MLP))
 def layer_activations(spark, d):
     stats = lambda df, name, c: df.agg(F.count("*").alias("n"), r(F.avg(c), 4).alias("mean"), r(F.stddev_pop(c), 4).alias("std")).select(F.lit(name).alias("layer"), "n", "mean", "std")

@@ -11,7 +11,7 @@ from ..operators import parameters
 from ..plans import architecture as arch
 from ..registry import query
 from ..sources.tables import written
-from ..sources.views import sql_weights, weights
+from ..sources.views import biases, sql_weights, weights
 
 DIGITS = arch.chain((3, 3), (2, 2))
 CUBES = arch.chain((4, 3, 3, 3, 2), (2, 2, 1, 1, 1))
@@ -162,3 +162,56 @@ def weights_adaptive_load(spark, d):
     saved = weights(spark, "saved", {"f": 3, "ch": 2, "x": 4, "y": 4}, 0.5)
     fill = r((2.0 * uniform("fill", *(F.col(c) for c in ("f", "ch", "x", "y"))) - 1.0) * 0.02)
     return parameters.adapted(saved, parameters.grid(spark, f=5, ch=2, x=5, y=3), 3, fill)
+
+
+_HAD = {"f": 3, "ch": 2}
+#: More or fewer maps, with more or fewer channels.
+_WANTS = [{"f": 5, "ch": 3}, {"f": 5, "ch": 1}, {"f": 2, "ch": 3}, {"f": 2, "ch": 1}]
+
+
+def _axis(name: str, n: int) -> str:
+    return f"(SELECT unnest(range({n})) AS {name})"
+
+
+def _refit_sql(case: int, n: dict[str, int]) -> str:
+    at = ("g.f", "g.ch", "g.x", "g.y")
+    ch = "g.ch % 2" if n["ch"] > 2 else f"g.ch + {0 if n['f'] > 3 else (2 - n['ch']) // 2}"
+    jitter = f" + 1e-4::DOUBLE * {U('refitj', *at)}" if n["ch"] > 2 and n["f"] <= 3 else ""
+    grid = " CROSS JOIN ".join(_axis(*e) for e in (*n.items(), ("x", 5), ("y", 3)))
+    return f"SELECT CAST({case} AS BIGINT) AS fit, g.f, g.ch, g.x, g.y, {R(f'coalesce(s.w{jitter}, 0.02::DOUBLE * {N("refit", *at)})')} AS w FROM (SELECT * FROM {grid}) g LEFT JOIN s ON s.f = g.f % 3 AND s.ch = {ch} AND s.x = g.x AND s.y = g.y"
+
+
+@query("weights_refit", f"WITH {sql_weights('s', 'saved', {**_HAD, 'x': 4, 'y': 4}, 0.5)} {' UNION ALL '.join(_refit_sql(k, n) for k, n in enumerate(_WANTS))}")
+def weights_refit(spark, d):
+    saved, out = weights(spark, "saved", {**_HAD, "x": 4, "y": 4}, 0.5), None
+    for k, n in enumerate(_WANTS):
+        one = parameters.refitted(saved, parameters.grid(spark, **n, x=5, y=3), _HAD, n, "refit")
+        one = one.select(F.lit(k).cast("long").alias("fit"), "f", "ch", "x", "y", r(F.col("w")).alias("w"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_HAD_3D = {"f": 2, "z": 3, "ch": 2, "x": 3, "y": 3}
+_WANTS_3D = [{"f": 3, "z": 5, "ch": 1, "x": 5, "y": 5}, {"f": 2, "z": 1, "ch": 3, "x": 2, "y": 6}]
+
+
+def _refit_3d_sql(case: int, n: dict[str, int]) -> str:
+    shift = {a: (3 - n[a]) // 2 if n[a] < 3 else -((n[a] - 3) // 2) for a in ("z", "x", "y")}
+    same = " AND ".join(f"s.{a} = g.{a} + ({k})" for a, k in shift.items())
+    return f"SELECT CAST({case} AS BIGINT) AS fit, g.f, g.z, g.ch, g.x, g.y, {R(f'coalesce(s.w, (d.std + 1e-9::DOUBLE) * {N("refit3", "g.f", "g.z", "g.ch", "g.x", "g.y")})')} AS w FROM (SELECT * FROM {' CROSS JOIN '.join(_axis(*e) for e in n.items())}) g LEFT JOIN s ON s.f = g.f AND s.ch = g.ch AND {same} CROSS JOIN d"
+
+
+@query("weights_refit_3d", f"WITH {sql_weights('s', 'saved3', _HAD_3D, 0.5)}, d AS (SELECT stddev_pop(w) AS std FROM s) {' UNION ALL '.join(_refit_3d_sql(k, n) for k, n in enumerate(_WANTS_3D))}")
+def weights_refit_3d(spark, d):
+    saved, out = weights(spark, "saved3", _HAD_3D, 0.5), None
+    for k, n in enumerate(_WANTS_3D):
+        one = parameters.refitted_3d(saved, parameters.grid(spark, **n), _HAD_3D, n, "refit3")
+        one = one.select(F.lit(k).cast("long").alias("fit"), "f", "z", "ch", "x", "y", r(F.col("w")).alias("w"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("bias_refit", f"WITH {sql_weights('s', 'savedb', {'o': 3}, 0.1, 'b')} SELECT CAST(n AS BIGINT) AS n, g.o, s.b FROM (SELECT 2 AS n UNION ALL SELECT 7) k CROSS JOIN {_axis('o', 7)} g JOIN s ON s.o = g.o % 3 WHERE g.o < n")
+def bias_refit(spark, d):
+    fit = lambda n: parameters.refitted_bias(biases(spark, "savedb", "o", 3), parameters.grid(spark, o=n), 3).select(F.lit(n).cast("long").alias("n"), "o", "b")
+    return fit(2).unionByName(fit(7))

@@ -126,3 +126,67 @@ def maximin_counts(edges: DataFrame, key: str) -> DataFrame:
         return pa.table({key: [volume.column(key)[0].as_py()], "pos": [int(pos)], "neg": [int(neg)], "splits": [int(splits)], "merges": [int(merges)], "nll": [float(nll / (pos + neg + 1e-6))]})
 
     return edges.groupBy(key).applyInArrow(run, f"{key} long, pos long, neg long, splits long, merges long, nll double")
+
+
+def maximin_edges(edges: DataFrame, key: str, restricted: bool = False) -> DataFrame:
+    """(key, a, b, p, pos, neg): for each edge, of how many voxel pairs it is the weakest link on their strongest path.
+
+    edges as in maximin_counts; background voxels (segment 0) are in no pair. pos counts pairs of one segment, over paths that stay in it; neg
+    counts pairs of two segments, over all paths, where restricted takes edges inside a segment as certain. Of equal edges those with
+    smaller a, then b, count as stronger. One volume is one group, as in maximin_counts.
+    """
+
+    def run(volume: pa.Table) -> pa.Table:
+        a, b, p, sa, sb = (np.asarray(volume.column(c)) for c in ("a", "b", "p", "sa", "sb"))
+        inside = (sa == sb) & (sa > 0)
+        strong = np.maximum(p, inside) if restricted else p
+        order = np.lexsort((b, a, -p))
+        pos, _ = _merged_pairs(a, b, sa, sb, order[inside[order]])
+        _, neg = _merged_pairs(a, b, sa, sb, np.lexsort((b, a, -strong)))
+        return pa.table({key: volume.column(key), "a": a, "b": b, "p": p, "pos": pos, "neg": neg})
+
+    return edges.select(key, "a", "b", "p", "sa", "sb").groupBy(key).applyInArrow(run, f"{key} long, a long, b long, p double, pos long, neg long")
+
+
+def _merged_pairs(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of one segment, pairs of two) that each edge brings together, edges being added in order."""
+    node, first, at = np.unique(np.concatenate((a, b)), return_index=True, return_inverse=True)
+    one, two = at[: len(a)].tolist(), at[len(a) :].tolist()
+    held = [{s: 1} if s else {} for s in np.concatenate((sa, sb))[first].tolist()]
+    root = list(range(len(node)))
+    same, other = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in order.tolist():
+        x, y = top(one[i]), top(two[i])
+        if x == y:
+            continue
+        if len(held[x]) < len(held[y]):
+            x, y = y, x
+        same[i] = sum(n * held[x].get(s, 0) for s, n in held[y].items())
+        other[i] = sum(held[x].values()) * sum(held[y].values()) - same[i]
+        root[y] = x
+        for s, n in held[y].items():
+            held[x][s] = held[x].get(s, 0) + n
+        held[y] = {}
+    return same, other
+
+
+def maximin_loss(counts: DataFrame, key: str) -> DataFrame:
+    """(key, nll, n_pos, n_neg, n_tot, false_splits, false_merges, rand_index) of maximin_edges' rows."""
+    c = F.col
+    log = lambda n, x: F.when(c(n) > 0, -c(n) * F.ln(x)).otherwise(0.0)
+    sums = counts.groupBy(key).agg(
+        F.sum(log("pos", c("p")) + log("neg", 1.0 - c("p"))).alias("total"),
+        F.sum("pos").alias("n_pos"),
+        F.sum("neg").alias("n_neg"),
+        F.sum(F.when(c("p") < 0.5, c("pos")).otherwise(0)).alias("false_splits"),
+        F.sum(F.when(c("p") > 0.5, c("neg")).otherwise(0)).alias("false_merges"),
+    )
+    n = c("n_pos") + c("n_neg")
+    return sums.select(key, (c("total") / (n + 1e-6)).alias("nll"), "n_pos", "n_neg", n.alias("n_tot"), "false_splits", "false_merges", ((c("false_splits") + c("false_merges")) / (n + 1e-6)).alias("rand_index"))

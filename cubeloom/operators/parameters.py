@@ -95,6 +95,39 @@ def adapted(saved: DataFrame, target: DataFrame, saved_maps: int, fill: Column)
     return t.join(s, ["sf", "ch", "x", "y"], "left").select("f", "ch", "x", "y", F.coalesce("sw", fill).alias("w"))
 
 
+def refitted(saved: DataFrame, target: DataFrame, had: dict[str, int], wants: dict[str, int], seed: str) -> DataFrame:
+    """target (f, ch, x, y) with w from saved filters of other extents (had, wants: of f and ch).
+
+    Maps repeat where more are wanted. Channels repeat where more are wanted (with up to 1e-4 added where maps don't repeat); of too
+    many, the first are taken where maps repeat, else the middle ones. In the plane filters are cropped, or filled up with normal
+    values of deviation 0.02.
+    """
+    more, wider = wants["f"] > had["f"], wants["ch"] > had["ch"]
+    ch = F.col("ch") % had["ch"] if wider else F.col("ch") + (0 if more else (had["ch"] - wants["ch"]) // 2)
+    at = [F.col(c) for c in ("f", "ch", "x", "y")]
+    jitter = 1e-4 * uniform(seed + "j", *at) if wider and not more else F.lit(0.0)
+    t = target.withColumns({"sf": F.col("f") % had["f"], "sch": ch})
+    s = saved.select(F.col("f").alias("sf"), F.col("ch").alias("sch"), "x", "y", F.col("w").alias("sw"))
+    return t.join(s, ["sf", "sch", "x", "y"], "left").select("f", "ch", "x", "y", F.coalesce(F.col("sw") + jitter, 0.02 * normal(seed, *at)).alias("w"))
+
+
+def refitted_3d(saved: DataFrame, target: DataFrame, had: dict[str, int], wants: dict[str, int], seed: str) -> DataFrame:
+    """target (f, z, ch, x, y) with w from saved filters whose z, x and y are put in the middle, or cropped to it; further maps and channels and the rims are
+    filled with normal values of the saved deviation."""
+    shift = {a: (had[a] - wants[a]) // 2 if had[a] > wants[a] else -((wants[a] - had[a]) // 2) for a in ("z", "x", "y")}
+    t = target.withColumns({f"s{a}": F.col(a) + n for a, n in shift.items()})
+    s = saved.select("f", "ch", *(F.col(a).alias(f"s{a}") for a in shift), F.col("w").alias("sw"))
+    spread = saved.agg(F.stddev_pop("w").alias("std"))
+    met = t.join(s, ["f", "ch", *(f"s{a}" for a in shift)], "left").crossJoin(F.broadcast(spread))
+    at = [F.col(c) for c in ("f", "z", "ch", "x", "y")]
+    return met.select("f", "z", "ch", "x", "y", F.coalesce("sw", (F.col("std") + 1e-9) * normal(seed, *at)).alias("w"))
+
+
+def refitted_bias(saved: DataFrame, target: DataFrame, had: int) -> DataFrame:
+    """target (o) with b: saved biases, from the first again where more are wanted."""
+    return target.withColumn("so", F.col("o") % had).join(saved.select(F.col("o").alias("so"), "b"), "so").select("o", "b")
+
+
 def shapes(params: DataFrame) -> DataFrame:
     """(layer, param, d0, d1): extents of stored parameters from their largest indices."""
     return params.groupBy("layer", "param").agg((F.max("i") + 1).alias("d0"), (F.max("o") + 1).alias("d1"))
