@@ -19,8 +19,10 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """spark.checkpoint.dir, or a temporary folder where it is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if not path and not _local:
         _local.append(tempfile.mkdtemp(prefix="cubeloom-"))
     return (path or _local[0]).rstrip("/")

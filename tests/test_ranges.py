@@ -52,3 +52,13 @@ def test_volumes_of_any_size(spark):
     want = one(10_000)
     assert one(100) == want and one(0) == want
     assert {c for k, _, c in want if k == 9} == {0} and (7, 5, -1) in want
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    assert tables.shared_dir(Session(spark_master="spark://a:7077", spark_checkpoint_dir="/shared/x/")) == "/shared/x"
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(Session(spark_master="spark://a:7077"))
