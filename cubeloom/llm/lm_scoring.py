@@ -2,7 +2,8 @@
 
 For words w1..wn, the score of a word is c(w[i-2..i]) / c(w[i-2..i-1]) where the trigram is known, else 0.4 times the
 bigram's quotient, else 0.16 times the word's share of all words. A document's counts are those of all documents less its own
-(leave-one-out), so a document's own n-grams don't vouch for it; an exact copy elsewhere does.
+(leave-one-out), so a document's own n-grams don't vouch for it; an exact copy elsewhere does. Without leave_one_out the counts are
+those of all documents, as for a model of the corpus: every n-gram of the corpus is known then, and no word backs off.
 
 The count tables are relational: blocks of documents explode their texts into n-grams and fold equal ones; the folded n-grams, keyed
 by a 64-bit hash, are partitioned by that hash into buckets, which sum the counts and answer each block that asked (the
@@ -73,6 +74,7 @@ class _Block:
         self.n_buckets, self.n_docs = n_buckets, len(texts)
         self.n_words = np.array([len(h) for h in self.hashes], np.int64)
         self.others: dict[int, np.ndarray] = {}  # by order, for each n-gram: its count in all other documents
+        self.all: dict[int, np.ndarray] = {}  # and in all documents
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and documents of all n-grams, one document after the other."""
@@ -116,13 +118,22 @@ class _Block:
         others[which[several]] = found[several] - own[pair]
         self.others[n] = others
 
+    def add_own(self) -> None:
+        """Counts over all documents: those of the others and the document's own."""
+        for n, others in self.others.items():
+            k, d = self.grams(n)
+            _, at = np.unique(k, return_inverse=True)
+            _, pair, own = np.unique(at * np.int64(self.n_docs) + d, return_inverse=True, return_counts=True)
+            self.all[n] = others + own[pair]
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, leave_one_out: bool = True) -> DataFrame:
     """docs without its text, with n_words, n_backed_off (words whose longest n-gram is unknown), log_score (the sum of natural
     logarithms) and score (its mean per word; null without words).
 
     Counts are over all rows; every row, repeated ones and those with equal or null ids too, is a document of its own and
-    is left out of its own counts only. A word that no other row has counts as seen half a time. Null and empty texts have 0 words. An
+    is left out of its own counts only (with leave_one_out; else counts are those of all rows). A word that no other row has counts as
+    seen half a time. Null and empty texts have 0 words. An
     empty table gives an empty result. Input columns named like a new one give way.
     """
     if order < 1:
@@ -185,16 +196,19 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not block.num_rows:
             return pa.table([pa.array([], f.type) for f in result], schema=result)
         b, all_words = told(block, answers, range(1, order + 1))
-        n_words, others = b.n_words, b.others
+        n_words = b.n_words
+        if not leave_one_out:
+            b.add_own()
+        counts, corpus = (b.others, all_words - n_words) if leave_one_out else (b.all, np.full(b.n_docs, all_words))
         who = np.repeat(np.arange(b.n_docs), n_words)
         place = np.arange(len(who)) - (np.cumsum(n_words) - n_words)[who]
-        log = np.log(np.maximum(others[1], 0.5)) - np.log(np.maximum(all_words - n_words[who], 0.5))
+        log = np.log(np.maximum(counts[1], 0.5)) - np.log(np.maximum(corpus[who], 0.5))
         best = np.ones(len(log), np.int64)
         for n in range(2, order + 1):
             d = np.repeat(np.arange(b.n_docs), np.maximum(n_words - n + 1, 0))
-            hit = np.flatnonzero(others[n] > 0)
+            hit = np.flatnonzero(counts[n] > 0)
             ends = np.flatnonzero(place >= n - 1)[hit]  # n-grams stand in the order of the words that end them
-            log[ends] = np.log(others[n][hit]) - np.log(others[n - 1][b.shorter(n, d, 0)[hit]])
+            log[ends] = np.log(counts[n][hit]) - np.log(counts[n - 1][b.shorter(n, d, 0)[hit]])
             best[ends] = n
         back = np.minimum(place + 1, order) - best
         log += back * np.log(backoff)

@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="cubeloom-"))
     return _local[0]
