@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.keyed import normal
 from ..functions.keyed import rounded as r
+from ..functions.keyed import sql_normal as N
 from ..functions.keyed import sql_rounded as R
 from ..operators import kernels, layers
 from ..registry import query
@@ -168,6 +170,32 @@ def autoencoder_reconstruct(spark, d):
     return back.select("vec_id", F.col("o").alias("i"), r(F.col("z"), 5).alias("value"))
 
 
+_REPEATED = {"w_in": [[0.5, -0.3], [0.4, 0.2], [-0.6, 0.1]], "w_hid": [[0.2, 0.1], [-0.1, 0.3]], "bias": [0.01, -0.02], "start": [0.1, -0.1]}
+
+
+@query(
+    "forward_rnn_repeated",
+    with_views(
+        f"SELECT vec_id, {R('a')} AS h0, {R('b')} AS h1 FROM h WHERE t = 5",
+        "img8",
+        more="g AS (SELECT vec_id, sum(value * CASE y WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE -0.6 END) + 0.01 AS u, sum(value * CASE y WHEN 0 THEN -0.3 WHEN 1 THEN 0.2 ELSE 0.1 END) - 0.02 AS v FROM img8 WHERE x = 0 AND y < 3 GROUP BY vec_id), h AS (SELECT vec_id, 0 AS t, 0.1::DOUBLE AS a, -0.1::DOUBLE AS b FROM g UNION ALL SELECT vec_id, t + 1, tanh(u + a * 0.2 + b * -0.1), tanh(v + a * 0.1 + b * 0.3) FROM h JOIN g USING (vec_id) WHERE t < 5)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def forward_rnn_repeated(spark, d):
+    first = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda v: F.round(v.cast("double"), 4)).alias("features"))
+    h = layers.recurrent_repeated(first, "vec_id", "features", **_REPEATED, iterations=5)
+    return h.select("vec_id", r(F.col("h")[0]).alias("h0"), r(F.col("h")[1]).alias("h1"))
+
+
+@query("autoencoder_noisy", with_views(f"SELECT vec_id, aw.o AS i, {R('tanh(sum((h + 0.3::DOUBLE * ' + N('aenoise', 'vec_id', 'h1.o') + ') * w))', 5)} AS value FROM h1 JOIN aw ON aw.i = h1.o GROUP BY vec_id, aw.o", "img8", more=", ".join((FEATURES, _W1, _B1, _H1, sql_weights("aw", "untied", {"i": 16, "o": 64}, 0.1581)))))
+def autoencoder_noisy(spark, d):
+    """A reconstructor with weights of its own, whose input has normal noise."""
+    noisy = hidden(spark, d).withColumn("h", F.col("h") + 0.3 * normal("aenoise", F.col("vec_id"), F.col("o")))
+    zero = spark.range(64).select(F.col("id").alias("o"), F.lit(0.0).alias("b"))
+    back = layers.dense(layers.as_input(noisy, ["vec_id"]), weights(spark, "untied", {"i": 16, "o": 64}, 0.1581), zero, ["vec_id"], "tanh")
+    return back.select("vec_id", F.col("o").alias("i"), r(F.col("h"), 5).alias("value"))
+
+
 @query("weight_sharing", with_views(f"SELECT vec_id, half, o, {R('sum(value * w)', 8)} AS z FROM (SELECT vec_id, i // 32 AS half, i % 32 AS i, value FROM feat) JOIN sw USING (i) GROUP BY vec_id, half, o", "img8", more=f"{FEATURES}, {sql_weights('sw', 'shared', {'i': 32, 'o': 4}, 0.3)}"))
 def weight_sharing(spark, d):
     halves = features(spark, d).select("vec_id", F.expr("i div 32").alias("half"), (F.col("i") % 32).alias("i"), "value")

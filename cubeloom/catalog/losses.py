@@ -181,3 +181,9 @@ def metric_rmse(spark, d):
 def evaluate_chunked(spark, d):
     own = probabilities(spark, d).where("label = c").groupBy(F.expr("vec_id div 64").alias("chunk")).agg(F.avg(-F.log(F.col("p") + losses.EPS)).alias("l"), F.count("*").alias("n"))
     return _out(own.agg((F.sum(F.col("l") * F.col("n")) / F.sum("n")).alias("nll")))
+
+
+@query("label_onehot", "SELECT vec_id, c, CAST(c = label AS BIGINT) AS hot FROM embeddings CROSS JOIN (SELECT unnest(range(10)) AS c)")
+def label_onehot(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("c"))
+    return e.select("vec_id", "c", (F.col("c") == F.col("label")).cast("long").alias("hot"))

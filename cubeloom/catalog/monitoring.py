@@ -97,6 +97,17 @@ def pairwise_prediction_diff(spark, d):
     return monitor.pairwise(p, "m", ["img", "x", "y"])
 
 
+_SIDED = "mi AS (SELECT vec_id % 4 AS m, vec_id // 4 AS img, 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2 AS n, x, y, value FROM img8 WHERE x < 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2 AND y < 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2), mp AS (SELECT a.m AS m1, b.m AS m2, a.img, a.n AS n1, b.n AS n2, least(a.n, b.n) AS n, a.x - (a.n - least(a.n, b.n)) // 2 AS x, a.y - (a.n - least(a.n, b.n)) // 2 AS y, a.value AS g, b.value AS b, b.x - (b.n - least(a.n, b.n)) // 2 AS bx, b.y - (b.n - least(a.n, b.n)) // 2 AS by_ FROM mi a JOIN mi b ON a.img = b.img AND a.m < b.m)"
+
+
+@query("pairwise_prediction_cropped", with_views("SELECT m1, m2, img, x, y, least(g, b) AS r, g, b FROM mp WHERE x = bx AND y = by_ AND x BETWEEN 0 AND n - 1 AND y BETWEEN 0 AND n - 1", "img8", more=_SIDED))
+def pairwise_prediction_cropped(spark, d):
+    """Models 0 to 3 with images of side 8, 6, 7 and 5."""
+    m = F.col("vec_id") % 4
+    p = images(spark, d).select(m.alias("m"), F.expr("vec_id div 4").alias("img"), (8 - 2 * (m % 2) - F.expr("(vec_id % 4) div 2")).alias("n"), "x", "y", "value").where("x < n and y < n")
+    return monitor.pairwise_cropped(p, "m", "n", ["img"])
+
+
 @query("model_cost", "WITH l(layer, kind, n_in, n_out, filter, positions) AS (VALUES (0, 'conv', 1, 16, 9, 576), (1, 'conv', 16, 32, 9, 100), (2, 'mlp', 800, 300, 1, 1), (3, 'mlp', 300, 300, 1, 1), (4, 'mlp', 300, 10, 1, 1)) SELECT CAST(layer AS BIGINT) AS layer, CAST(n_in * n_out * filter * positions * 50 AS BIGINT) AS mults, CAST(n_in * n_out * filter + n_out AS BIGINT) AS params FROM l")
 def model_cost(spark, d):
     rows = [(0, 1, 16, 9, 576), (1, 16, 32, 9, 100), (2, 800, 300, 1, 1), (3, 300, 300, 1, 1), (4, 300, 10, 1, 1)]

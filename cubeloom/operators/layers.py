@@ -95,3 +95,15 @@ def recurrent(seq: DataFrame, key: str, w_in: list[float], w_hid: list[list[floa
         return F.array(*(F.tanh(x * w_in[j] + sum((h[i] * w_hid[i][j] for i in range(n)), F.lit(0.0)) + bias[j]) for j in range(n)))
 
     return rows.select(key, F.aggregate("frames", F.array(*(F.lit(x) for x in start)), step).alias("h"))
+
+
+def recurrent_repeated(x: DataFrame, key: str, features: str, w_in: list[list[float]], w_hid: list[list[float]], bias: list[float], start: list[float], iterations: int) -> DataFrame:
+    """(key, h): the last hidden state where an input without time, an array of features, is given iterations times."""
+    n = len(bias)
+    given = [sum((F.col(features)[i] * w_in[i][j] for i in range(len(w_in))), F.lit(0.0)) + bias[j] for j in range(n)]
+    fed = x.select(key, F.array(*given).alias("__in"))
+
+    def step(h: Column, _: Column) -> Column:
+        return F.array(*(F.tanh(F.col("__in")[j] + sum((h[i] * w_hid[i][j] for i in range(n)), F.lit(0.0))) for j in range(n)))
+
+    return fed.select(key, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.array(*(F.lit(v) for v in start)), step).alias("h"))

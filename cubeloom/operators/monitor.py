@@ -65,6 +65,22 @@ def pairwise(df: DataFrame, model: str, on: list[str]) -> DataFrame:
     return a.join(b, on).where("m1 < m2").select("m1", "m2", *on, F.least("g", "b").alias("r"), "g", "b")
 
 
+def pairwise_cropped(df: DataFrame, model: str, side: str, on: list[str]) -> DataFrame:
+    """As pairwise, for models whose images (on, x, y, value) have sides of their own: the larger image of a pair is cropped to the middle of the smaller's
+    extent."""
+    sizes = df.select(F.col(model).alias("m"), F.col(side).alias("n")).distinct()
+    pairs = sizes.toDF("m1", "n1").join(sizes.toDF("m2", "n2"), F.col("m1") < F.col("m2")).withColumn("n", F.least("n1", "n2"))
+
+    def one(m: str, n: str, value: str) -> DataFrame:
+        pad = F.floor((F.col(n) - F.col("n")) / 2)
+        met = df.select(F.col(model).alias(m), *on, "x", "y", F.col("value").alias(value)).join(pairs, m)
+        moved = met.withColumns({"x": F.col("x") - pad, "y": F.col("y") - pad})
+        return moved.where("x >= 0 and y >= 0 and x < n and y < n").select("m1", "m2", *on, "x", "y", value)
+
+    met = one("m1", "n1", "g").join(one("m2", "n2", "b"), ["m1", "m2", *on, "x", "y"])
+    return met.select("m1", "m2", *on, "x", "y", F.least("g", "b").alias("r"), "g", "b")
+
+
 def cost(layers: DataFrame, batch: int) -> DataFrame:
     each = F.col("n_in") * F.col("n_out") * F.col("filter")
     return layers.select("layer", (each * F.col("positions") * batch).alias("mults"), (each + F.col("n_out")).alias("params"))
