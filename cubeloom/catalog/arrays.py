@@ -34,7 +34,7 @@ def scan_mixed_table(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_acctbal")
 
 
-@query("log_roundtrip")
+@query("log_roundtrip", with_views("SELECT i, nll FROM train_log", "train_log"))
 def log_roundtrip(spark, d):
     log = training_log(spark, d).select("i", "nll")
     path = written(log.where("i % 2 = 0"), "log").inputFiles()[0].rpartition("/")[0]

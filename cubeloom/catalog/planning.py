@@ -147,7 +147,7 @@ def _params(spark):
     return named(one, 0).unionByName(named(two, 1))
 
 
-@query("weights_roundtrip")
+@query("weights_roundtrip", f"WITH {sql_weights('a', 'mlp1', {'i': 64, 'o': 16}, 0.1581)}, {sql_weights('b', 'mlp2', {'i': 16, 'o': 10}, 0.2774)} SELECT 0::BIGINT AS layer, 'W' AS param, i, o, w FROM a UNION ALL SELECT 1::BIGINT, 'W', i, o, w FROM b")
 def weights_roundtrip(spark, d):
     return written(_params(spark), "weights")
 
