@@ -22,7 +22,7 @@ def test_sql_twins(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df, twin = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLE_SQL[name])
     columns = sorted(df.columns)
