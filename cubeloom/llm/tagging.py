@@ -35,9 +35,10 @@ def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int) -
     """(class, text) of whole documents (doc_id, text), at most max_rows of them and about max_chars of text, shared evenly by the classes of
     classes (doc_id, cls): of each, in the order of a hash of the id, its share of the rows, and no more once its share of characters is there.
 
-    A class has a row at least (somewhat more rows than its share are drawn); of more than max_rows classes, the most frequent are taken. Only counts, then ids and lengths of
-    the drawn documents, then the chosen texts reach the driver; the drawn ids, bounded by max_rows, are broadcast, so no
-    text is shuffled.
+    A class has a row at least (somewhat more rows than its share are drawn); of more than max_rows classes, the most frequent are taken. Rows that share an id count
+    as one document, with the shortest of their texts, and are folded before anything is collected. Only counts, then ids and lengths of
+    the drawn documents, then the chosen texts reach the driver; the drawn ids, bounded by max_rows, are broadcast, so only
+    the drawn documents are shuffled.
     """
     classes = classes.select("doc_id", "cls").where("doc_id is not null and cls is not null")
     counts = classes.groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(max_rows).collect()
@@ -48,19 +49,21 @@ def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int) -
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
     drawn = classes.join(F.broadcast(shares), "cls").withColumn("draw", draw).where("draw < share").select("doc_id", "cls", "draw").distinct()
     texts = docs.select("doc_id", "text").where("text is not null")
-    sizes = texts.join(F.broadcast(drawn), "doc_id").select("cls", "draw", "doc_id", F.length("text").alias("n")).collect()
+    shortest = F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("text")
+    sizes = texts.join(F.broadcast(drawn), "doc_id").groupBy("cls", "draw", "doc_id").agg(shortest).select("cls", "draw", "doc_id", "text.n", "text.h").collect()
     chars: Counter = Counter()
     taken: Counter = Counter()
     chosen = []
     for r in sorted(sizes):
         if not taken[r["cls"]] or taken[r["cls"]] < rows and chars[r["cls"]] + r["n"] <= most:
-            chosen.append((r["doc_id"], r["cls"]))
+            chosen.append((r["doc_id"], r["cls"], r["h"]))
             taken[r["cls"]] += 1
             chars[r["cls"]] += r["n"]
     if not chosen:
         return []
-    wanted = docs.sparkSession.createDataFrame(sorted(set(chosen)), drawn.select("doc_id", "cls").schema)
-    found = texts.join(F.broadcast(wanted), "doc_id").select("cls", F.xxhash64("doc_id").alias("h"), "text").collect()
+    wanted = docs.sparkSession.createDataFrame(sorted(set(chosen)), T.StructType([*drawn.select("doc_id", "cls").schema, T.StructField("h", T.LongType())]))
+    met = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"])
+    found = met.groupBy("cls", "doc_id").agg(F.min("text").alias("text")).select("cls", F.xxhash64("doc_id").alias("h"), "text").collect()
     return [(r["cls"], r["text"]) for r in sorted(found)]
 
 

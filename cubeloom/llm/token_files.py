@@ -1,6 +1,6 @@
 """Token ids of documents in Parquet files laid out for selective reads.
 
-Documents are dealt by ranges of doc_id into part files and sorted within them, so file order is id order. A file holds
+Documents are dealt by ranges of doc_id (and of the text's hash, where ids are equal) into part files and sorted within them, so file order is id order. A file holds
 doc_id, pos (the document's place in the file), n_tokens and the ids as list<int32>. Ids get no dictionary: they are delta-packed (the
 format's second version), in row groups and pages of set sizes, with page indexes, so a reader takes metadata without the ids, and a
 range of documents without the rest. Where a document starts among all ids follows from one total for each file and a running
@@ -132,7 +132,9 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str | None = None,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(parts(n_bytes, file_text_bytes), min(spark.sparkContext.defaultParallelism, n_bytes // LEAST_TEXT_BYTES))
-    ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id, or of none, may be a third of all: they are dealt out by their texts, and equal rows by their place.
+    places = docs.withColumns({"__h": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    ranged = places.repartitionByRange(n, "doc_id", "__h", "__row").sortWithinPartitions("doc_id", "__h", "__row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
