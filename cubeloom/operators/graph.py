@@ -138,16 +138,22 @@ def maximin_edges(edges: DataFrame, key: str, restricted: bool = False) -> DataF
 
     def run(volume: pa.Table) -> pa.Table:
         a, b, p, sa, sb = (np.asarray(volume.column(c)) for c in ("a", "b", "p", "sa", "sb"))
-        inside = (sa == sb) & (sa > 0)
-        strong = np.maximum(p, inside) if restricted else p
-        order = np.lexsort((b, a, -p))
-        pos, _ = _merged_pairs(a, b, sa, sb, order[inside[order]])
-        _, neg = _merged_pairs(a, b, sa, sb, np.lexsort((b, a, -strong)))
+        pos, neg = pair_counts(a, b, p, sa, sb, restricted)
         return pa.table({key: volume.column(key), "a": a, "b": b, "p": p, "pos": pos, "neg": neg})
 
     return edges.select(key, "a", "b", "p", "sa", "sb").groupBy(key).applyInArrow(run, f"{key} long, a long, b long, p double, pos long, neg long")
 
 
+def pair_counts(a: np.ndarray, b: np.ndarray, p: np.ndarray, sa: np.ndarray, sb: np.ndarray, restricted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(pos, neg) of each edge of one volume, as in maximin_edges."""
+    inside = (sa == sb) & (sa > 0)
+    strong = np.maximum(p, inside) if restricted else p
+    order = np.lexsort((b, a, -p))
+    pos, _ = _merged_pairs(a, b, sa, sb, order[inside[order]])
+    _, neg = _merged_pairs(a, b, sa, sb, np.lexsort((b, a, -strong)))
+    return pos, neg
+
+
 def _merged_pairs(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pairs of one segment, pairs of two) that each edge brings together, edges being added in order."""
     node, first, at = np.unique(np.concatenate((a, b)), return_index=True, return_inverse=True)

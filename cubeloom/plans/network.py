@@ -22,14 +22,17 @@ ACTIVATIONS = ("tanh", "relu", "abs", "sigmoid", "linear")
 
 @dataclass
 class NetworkConfig:
-    """What a training run needs to know of its network; wrong combinations are errors when it is made."""
+    """What a training run needs to know of its network; wrong combinations are errors when it is made.
+
+    dims: axes of an example of img-img and img-scalar networks. side, and each entry of filters and pool, is a number for all axes or a list with one for each (z, x, y).
+    """
 
     mode: str = "img-scalar"
     n_lab: int = 10
     channels: int = 1
-    side: int = 8
-    filters: list[int] = field(default_factory=list)
-    pool: list[int] = field(default_factory=list)
+    side: int | list[int] = 8
+    filters: list[int | list[int]] = field(default_factory=list)
+    pool: list[int | list[int]] = field(default_factory=list)
     n_filters: list[int] = field(default_factory=list)
     mlp: list[int] = field(default_factory=list)
     rnn: int = 0
@@ -37,6 +40,13 @@ class NetworkConfig:
     dropout: list[float] = field(default_factory=list)
     target: str = "nll"
     lazy_labels: bool = False
+    dims: int = 2
+
+    def axis(self, value: int | list[int], k: int) -> int:
+        return value if isinstance(value, int) else value[k]
+
+    def extent(self) -> tuple[int, ...]:
+        return tuple(self.axis(self.side, k) for k in range(self.dims))
 
     def __post_init__(self) -> None:
         def need(ok: bool, what: str) -> None:
@@ -54,7 +64,12 @@ class NetworkConfig:
         need(not self.lazy_labels or self.mode == "img-img", "lazy labels need img-img")
         n = len(self.filters) + len(self.mlp) + bool(self.rnn)
         need(len(self.dropout) in (0, n), "dropout is empty or has one rate for each layer")
-        need(not self.filters or architecture.extents(self.side, architecture.chain(tuple(self.filters), tuple(self.pool))) is not None, "the input's size does not fit the layers")
+        need(self.dims in (2, 3), "dims must be 2 or 3")
+        need(all(isinstance(v, int) or len(v) == self.dims for v in (self.side, *self.filters, *self.pool)), "side, filters and pools are numbers, or have one for each axis")
+        need(self.target not in ("affinity", "malis") or self.mode == "img-img", "affinity targets need img-img")
+        for k in range(self.dims if self.filters else 0):
+            chain = architecture.chain(tuple(self.axis(f, k) for f in self.filters), tuple(self.axis(p, k) for p in self.pool))
+            need(architecture.extents(self.axis(self.side, k), chain) is not None, "the input's size does not fit the layers")
 
     @classmethod
     def parsed(cls, values: dict) -> NetworkConfig:
@@ -75,7 +90,7 @@ class Network:
     """
 
     def __init__(self, spark, config: NetworkConfig, seed: str = "net", parameters: dict[str, DataFrame] | None = None) -> None:
-        given = [name for name, ok in (("mode img-img", config.mode != "img-img"), ("rnn", not config.rnn), ("dropout", not any(config.dropout)), (f"target {config.target}", config.target == "nll"), ("lazy_labels", not config.lazy_labels)) if not ok]
+        given = [name for name, ok in (("dims 3", config.dims == 2), ("mode img-img", config.mode != "img-img"), ("rnn", not config.rnn), ("dropout", not any(config.dropout)), (f"target {config.target}", config.target == "nll"), ("lazy_labels", not config.lazy_labels)) if not ok]
         if given:
             raise ValueError(f"{', '.join(given)}: not in relational form; trainer.built makes such networks")
         self.spark, self.config, self.seed = spark, config, seed

@@ -18,30 +18,36 @@ from .network import NetworkConfig
 OPTIMISERS = ("SGD", "Adam", "RPROP", "CG", "LBFGS")
 
 
-def built(config: NetworkConfig, target: str | Callable | None = None, side: int | None = None, steps: int = 1) -> nets.Net:
-    """The network of a configuration: convolutions, or a recurrent layer over steps rows, then dense layers, then a linear output (one for each pixel in
-    img-img). target replaces the configured one by another or by a function of one's own; side takes a larger input with the same weights.
+def built(config: NetworkConfig, target: str | Callable | None = None, side: int | tuple[int, ...] | None = None, steps: int = 1) -> nets.Net:
+    """The network of a configuration: convolutions over images or volumes, or a recurrent layer over steps rows, then dense layers, then a linear output
+    (one for each pixel in img-img, a pair for each axis for affinities). target replaces the configured one by another or by a function of one's own;
+    side takes a larger input with the same weights. With lazy_labels, examples have a column masks (nets.Net).
     """
     c = config
     target = target or c.target
     if not callable(target) and target not in nets.TARGETS:
-        raise ValueError(f"{target} is a loss over affinity tables (losses.py, graph.py), not of a network's outputs")
+        raise ValueError(f"target must be one of {', '.join(nets.TARGETS)}")
+    if target in ("affinity", "malis") and c.dims != 3:
+        raise ValueError("affinity targets need a network over volumes (dims 3)")
     rates = iter(c.dropout or [0.0] * (len(c.filters) + len(c.mlp) + bool(c.rnn)))
     layers: list[nets.Layer] = []
-    extent, channels = side or c.side, c.channels
-    shape: tuple[int, ...] = (channels, extent, extent)
+    extent = c.extent() if side is None else nets.per_axis(side, c.dims)
+    channels = c.channels
+    shape: tuple[int, ...] = (channels, *extent)
+    as_tuple = lambda v: v if isinstance(v, int) else tuple(v)
     for f, p, n in zip(c.filters, c.pool, c.n_filters, strict=True):
-        layers.append(nets.Layer("conv", channels, n, c.activation.lower(), f, p, next(rates)))
-        extent, channels = (extent - f + 1) // p, n
+        layers.append(nets.Layer("conv", channels, n, c.activation.lower(), as_tuple(f), as_tuple(p), next(rates), c.dims))
+        extent = tuple((e - a + 1) // b for e, a, b in zip(extent, layers[-1].extent, layers[-1].pools, strict=True))
+        channels = n
     if c.mode == "img-img":
-        return nets.Net(shape, [*layers, nets.Layer("conv", channels, c.n_lab, "linear")], c.n_lab, target)
-    n_in = channels * extent * extent
+        n_out = 2 * c.dims if target in ("affinity", "malis") else c.n_lab
+        return nets.Net(shape, [*layers, nets.Layer("conv", channels, n_out, "linear", dims=c.dims)], c.n_lab, target, lazy=c.lazy_labels)
+    n_in = channels * math.prod(extent)
     if c.mode == "vect-scalar":
-        n_in = c.side * c.side * c.channels
+        n_in = math.prod(c.extent()) * c.channels
         shape = (steps, n_in) if c.rnn else (n_in,)
     if c.rnn:
-        next(rates)
-        layers.append(nets.Layer("rnn", n_in, c.rnn, c.activation.lower()))
+        layers.append(nets.Layer("rnn", n_in, c.rnn, c.activation.lower(), rate=next(rates)))
         n_in = c.rnn
     for n in c.mlp:
         layers.append(nets.Layer("dense", n_in, n, c.activation.lower(), rate=next(rates)))
@@ -56,7 +62,7 @@ class Trainer:
     """
 
     def __init__(self, net: nets.Net, examples: DataFrame, valid: DataFrame | None = None, n_batches: int = 1, rate: float = 0.1, momentum: float = 0.9, weight_decay: float = 0.0, decay: float = 1.0, decay_every: int = 1000, seed: int = 0) -> None:
-        dealt = examples.select("key", "features", "label").withColumn("batch", F.floor(uniform(f"batch{seed}", F.col("key")) * n_batches).cast("int"))
+        dealt = examples.select("key", *net.columns).withColumn("batch", F.floor(uniform(f"batch{seed}", F.col("key")) * n_batches).cast("int"))
         self.batches = written(dealt, "batches", by="batch") if n_batches > 1 else dealt
         self.net, self.valid, self.n_batches, self.seed = net, valid, n_batches, seed
         self.settings = {"rate": rate, "momentum": momentum, "weight_decay": weight_decay, "decay": decay, "decay_every": decay_every}
@@ -155,7 +161,7 @@ class Trainer:
         self.w = np.array([r["w"] for r in rows])
 
 
-def for_prediction(trainer: Trainer, config: NetworkConfig, side: int) -> nets.Net:
+def for_prediction(trainer: Trainer, config: NetworkConfig, side: int | tuple[int, ...]) -> nets.Net:
     """The trained network of convolutions over a larger input, to be run with the same weights."""
     if config.mode != "img-img":
         raise ValueError("only img-img networks take another input size")
