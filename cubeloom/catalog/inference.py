@@ -95,7 +95,11 @@ def _plane_edges(spark, d):
     return met.select("vec_id", "a", "b", p.alias("p"), "sa", "sb")
 
 
-def _malis_sql(body: str, strength: str) -> str:
+_PLANE_NODES = "SELECT vec_id, x * 8 + y AS node, CAST(CASE WHEN value <= 0 THEN 0 ELSE 1 + (x // 4) * 2 + y // 4 END AS BIGINT) AS seg FROM img8"
+_PLANE_NEAR = "(m.node = n.node + 8 OR (m.node = n.node + 1 AND n.node % 8 < 7))"
+
+
+def malis_sql(body: str, strength: str, nodes: str = _PLANE_NODES, near: str = _PLANE_NEAR, view: str = "img8") -> str:
     """body over mm (vec_id, a, b, p, pos, neg): edges are added one at a time to lists of component * 5 + segment."""
     side = lambda c, s: f"len(list_filter(l, lambda v: v = {c} * 5 + {s}))"
     total = lambda c: " + ".join(side(c, s) for s in (1, 2, 3, 4))
@@ -106,18 +110,18 @@ def _malis_sql(body: str, strength: str) -> str:
 SELECT vec_id, r, CASE WHEN ca = cb THEN l ELSE list_transform(l, lambda v: CASE WHEN v // 5 = cb THEN ca * 5 + v % 5 ELSE v END) END, a, b, CASE WHEN ca = cb THEN 0 ELSE {count} END
 FROM (SELECT e.vec_id, e.r, e.a, e.b, t.l, t.l[e.a + 1] // 5 AS ca, t.l[e.b + 1] // 5 AS cb FROM {name} t JOIN {order} e ON e.vec_id = t.vec_id AND e.r = t.r + 1))"""
 
-    more = f"""nd AS MATERIALIZED (SELECT vec_id, x * 8 + y AS node, CAST(CASE WHEN value <= 0 THEN 0 ELSE 1 + (x // 4) * 2 + y // 4 END AS BIGINT) AS seg FROM img8),
-ed AS MATERIALIZED (SELECT vec_id, a, b, sa, sb, 0.05::DOUBLE + 0.45::DOUBLE * CAST(sa = sb AND sa > 0 AS DOUBLE) + 0.45::DOUBLE * {U('malis2', 'vec_id', 'a', 'b')} AS p FROM (SELECT n.vec_id, n.node AS a, m.node AS b, n.seg AS sa, m.seg AS sb FROM nd n JOIN nd m ON n.vec_id = m.vec_id AND (m.node = n.node + 8 OR (m.node = n.node + 1 AND n.node % 8 < 7)))),
+    more = f"""nd AS MATERIALIZED ({nodes}),
+ed AS MATERIALIZED (SELECT vec_id, a, b, sa, sb, 0.05::DOUBLE + 0.45::DOUBLE * CAST(sa = sb AND sa > 0 AS DOUBLE) + 0.45::DOUBLE * {U('malis2', 'vec_id', 'a', 'b')} AS p FROM (SELECT n.vec_id, n.node AS a, m.node AS b, n.seg AS sa, m.seg AS sb FROM nd n JOIN nd m ON n.vec_id = m.vec_id AND {near})),
 inner_order AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, a, b) AS r FROM ed WHERE sa = sb AND sa > 0),
 outer_order AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY {strength} DESC, a, b) AS r FROM ed),
 starts AS MATERIALIZED (SELECT vec_id, list(node * 5 + seg ORDER BY node) AS l FROM nd GROUP BY vec_id),
 {rounds('inside', 'inner_order', same)},
 {rounds('across', 'outer_order', f'({total("ca")}) * ({total("cb")}) - ({same})')},
 mm AS (SELECT e.vec_id, e.a, e.b, e.p, coalesce(i.n, 0) AS pos, o.n AS neg FROM ed e JOIN (SELECT * FROM across WHERE r > 0) o USING (vec_id, a, b) LEFT JOIN (SELECT * FROM inside WHERE r > 0) i USING (vec_id, a, b))"""
-    return with_views(body, "img8", more=more).replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_views(body, view, more=more).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("malis_edge_counts", _malis_sql(f"SELECT vec_id, a, b, {R('p')} AS p, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, {R('ln(neg + 1)')} AS log_neg FROM mm", "p"))
+@query("malis_edge_counts", malis_sql(f"SELECT vec_id, a, b, {R('p')} AS p, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, {R('ln(neg + 1)')} AS log_neg FROM mm", "p"))
 def malis_edge_counts(spark, d):
     counts = graph.maximin_edges(_plane_edges(spark, d), "vec_id")
     return counts.withColumns({"p": r(F.col("p")), "log_neg": r(F.ln(F.col("neg") + 1))})
@@ -134,11 +138,11 @@ def _malis(spark, d, restricted):
     return out.withColumns({"nll": r(F.col("nll")), "rand_index": r(F.col("rand_index"))})
 
 
-@query("loss_malis", _malis_sql(_MALIS, "p"))
+@query("loss_malis", malis_sql(_MALIS, "p"))
 def loss_malis(spark, d):
     return _malis(spark, d, False)
 
 
-@query("loss_malis_restricted", _malis_sql(_MALIS, "CASE WHEN sa = sb AND sa > 0 THEN 1.0::DOUBLE ELSE p END"))
+@query("loss_malis_restricted", malis_sql(_MALIS, "CASE WHEN sa = sb AND sa > 0 THEN 1.0::DOUBLE ELSE p END"))
 def loss_malis_restricted(spark, d):
     return _malis(spark, d, True)

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded as r
 from ..functions.keyed import sql_rounded as R
-from ..operators import kernels, nets, tiles
+from ..functions.keyed import uniform
+from ..operators import graph, kernels, nets, tiles
 from ..plans import trainer
 from ..registry import query
-from ..sources.tables import table, with_views
+from ..sources.tables import table, volumes, with_views
 from ..sources.views import biases, sql_biases, sql_weights, weights
+from .inference import malis_sql
 
 K1 = {"f": 2, "ch": 1, "kz": 3, "kx": 3, "ky": 3}
 K2 = {"f": 2, "ch": 2, "kz": 2, "kx": 2, "ky": 2}
@@ -135,3 +137,34 @@ def train_volume_epochs(spark, d):
     found = lambda p: tiles.examples(p, _labels(p), EXTENT, net, own)
     run = trainer.Trainer(net.at(tiles.example_extent(net, own)), found(pieces.where("key % 5 <> 0")), found(pieces.where("key % 5 = 0")), n_batches=4, rate=0.2)
     return run.run(8, evaluate_every=4).select("step", *(F.round(c, 9).alias(c) for c in ("loss", "rate", "valid_loss", "valid_error")))
+
+
+# Quarters of volumes, eight slices of 4 x 4, with segments by half depth and half width.
+_QUARTERS = "SELECT cube_id * 4 + (x // 4) * 2 + y // 4 AS vec_id, z * 16 + (x % 4) * 4 + y % 4 AS node, CAST(CASE WHEN value <= -0.02 THEN 0 ELSE 1 + (z // 4) * 2 + (x % 4) // 2 END AS BIGINT) AS seg FROM vol8"
+_QUARTER_NEAR = "(m.node = n.node + 16 OR (m.node = n.node + 4 AND (n.node // 4) % 4 < 3) OR (m.node = n.node + 1 AND n.node % 4 < 3))"
+
+
+def _quarter_edges(spark, d):
+    v = volumes(spark, d)
+    node = (F.col("z") * 16 + (F.col("x") % 4) * 4 + F.col("y") % 4).alias("a")
+    seg = F.when(F.col("value") <= -0.02, F.lit(0)).otherwise(1 + F.expr("z div 4") * 2 + F.expr("(x % 4) div 2")).cast("long").alias("sa")
+    one = v.select((F.col("cube_id") * 4 + F.expr("x div 4") * 2 + F.expr("y div 4")).alias("vec_id"), node, seg)
+    a = F.col("a")
+    steps = F.array(a + 16, F.when(F.floor(a / 4) % 4 < 3, a + 4), F.when(a % 4 < 3, a + 1))
+    met = one.withColumn("b", F.explode(F.filter(steps, lambda s: s.isNotNull()))).join(one.select("vec_id", F.col("a").alias("b"), F.col("sa").alias("sb")), ["vec_id", "b"])
+    inside = ((F.col("sa") == F.col("sb")) & (F.col("sa") > 0)).cast("double")
+    return met.select("vec_id", "a", "b", (0.05 + 0.45 * inside + 0.45 * uniform("malis2", F.col("vec_id"), a, F.col("b"))).alias("p"), "sa", "sb")
+
+
+def _by_blocks(spark, d, restricted):
+    return graph.maximin_edges_by_blocks(_quarter_edges(spark, d), "vec_id", (8, 4, 4), (2, 4, 4), restricted)
+
+
+@query("malis_volume_counts", malis_sql(f"SELECT vec_id AS part_id, a, b, {R('p')} AS p, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg FROM mm", "p", _QUARTERS, _QUARTER_NEAR, "vol8"))
+def malis_volume_counts(spark, d):
+    return _by_blocks(spark, d, False).withColumn("p", r(F.col("p"))).withColumnRenamed("vec_id", "part_id")
+
+
+@query("malis_volume_counts_restricted", malis_sql("SELECT vec_id AS part_id, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM mm GROUP BY vec_id", "CASE WHEN sa = sb AND sa > 0 THEN 1.0::DOUBLE ELSE p END", _QUARTERS, _QUARTER_NEAR, "vol8"))
+def malis_volume_counts_restricted(spark, d):
+    return graph.maximin_loss(_by_blocks(spark, d, True), "vec_id").select(F.col("vec_id").alias("part_id"), "n_pos", "n_neg")

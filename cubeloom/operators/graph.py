@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -183,6 +183,118 @@ def _merged_pairs(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray,
     return same, other
 
 
+STATE = "key long, kind int, bz int, bx int, by int, what int, a long, b long, s double, u long, v long, segs array<long>, counts array<long>"
+FINAL, OPEN, NODE, NEW = range(4)
+
+
+def maximin_edges_by_blocks(edges: DataFrame, key: str, extent: tuple[int, int, int], block: tuple[int, int, int], restricted: bool = False) -> DataFrame:
+    """maximin_edges of volumes on a grid, block by block: a volume never is in one task as long as its blocks settle most of their edges.
+
+    Nodes are flat positions (z, x, y) of extent, edges join neighbours. A block adds its edges from strong to weak. Where neither of two trees
+    has a voxel at the block's faces, no edge from outside can reach them before: their pairs are counted, and the trees become one node with its numbers
+    of voxels by segment. An edge at a tree with such a voxel stays open, and one within a tree is never needed again. Open edges, the nodes
+    they join, and edges over the faces between blocks meet in the next round, in blocks of twice the extent; in the last, all edges are settled.
+    """
+    sizes = [tuple(b << k for b in block) for k in range(64)]
+    n_rounds = next(k for k, size in enumerate(sizes) if all(b >= n for b, n in zip(size, extent, strict=True))) + 1
+    _, n_x, n_y = extent
+
+    def place(node: Column) -> list[Column]:
+        return [F.floor(node / (n_x * n_y)), F.floor(node / n_y) % n_x, node % n_y]
+
+    def block_of(node: Column, k: int) -> list[Column]:
+        return [F.floor(c / b).cast("int") for c, b in zip(place(node), sizes[k], strict=True)]
+
+    level = F.lit(n_rounds - 1)
+    for k in reversed(range(n_rounds - 1)):
+        together = F.lit(True)
+        for x, y in zip(block_of(F.col("a"), k), block_of(F.col("b"), k), strict=True):
+            together = together & (x == y)
+        level = F.when(together, k).otherwise(level)
+    inside = (F.col("sa") == F.col("sb")) & (F.col("sa") > 0)
+    strong = F.when(inside, F.lit(1.0)).otherwise(F.col("p")) if restricted else F.col("p")
+    kinds = F.explode(F.when(inside, F.array(F.struct(F.lit(0).alias("kind"), F.col("p").alias("s")), F.struct(F.lit(1).alias("kind"), strong.alias("s")))).otherwise(F.array(F.struct(F.lit(1).alias("kind"), strong.alias("s")))))
+    flat = edges.select(F.col(key).cast("long").alias("key"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("p").cast("double").alias("p"), "sa", "sb")
+    flat = written(flat.withColumn("round", level).withColumn("k", kinds), "volume-edges")
+    none, empty = F.lit(None).cast("long"), F.lit(None).cast("array<long>")
+    found, state = None, None
+    for k in range(n_rounds):
+        new = flat.where(F.col("round") == k).select("key", "k.kind", *(c.alias(n) for n, c in zip(("bz", "bx", "by"), block_of(F.col("a"), k), strict=True)), F.lit(NEW).alias("what"), "a", "b", "k.s", none.alias("u"), none.alias("v"), F.array("sa", "sb").alias("segs"), empty.alias("counts"))
+        if state is not None:
+            left = state.where(F.col("what") != FINAL)
+            new = new.unionByName(left.withColumns({n: F.floor(F.col(n) / 2).cast("int") for n in ("bz", "bx", "by")}))
+        state = written(new.groupBy("key", "kind", "bz", "bx", "by").applyInArrow(_settled(extent, sizes[k]), STATE), "maximin-blocks")
+        done = state.where(F.col("what") == FINAL).select("key", "a", "b", F.when(F.col("kind") == 0, F.col("u")).alias("pos"), F.when(F.col("kind") == 1, F.col("u")).alias("neg"), F.lit(None).cast("double").alias("p"))
+        found = done if found is None else found.unionByName(done)
+    own = flat.where("k.kind = 1").select("key", "a", "b", none.alias("pos"), none.alias("neg"), "p")
+    counts = found.unionByName(own).groupBy("key", "a", "b").agg(F.max("p").alias("p"), F.coalesce(F.max("pos"), F.lit(0)).alias("pos"), F.coalesce(F.max("neg"), F.lit(0)).alias("neg"))
+    return counts.select(F.col("key").alias(key), "a", "b", "p", "pos", "neg")
+
+
+def _settled(extent: tuple[int, int, int], size: tuple[int, int, int]):
+    """A block's round: counts of settled edges (in u), and the open ones with their nodes."""
+
+    def at_a_face(node: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(node), bool)
+        for c, b, n in zip(np.unravel_index(node, extent), size, extent, strict=True):
+            out |= (c % b == 0) & (c > 0) | (c % b == b - 1) & (c < n - 1)
+        return out
+
+    def run(where: tuple, table: pa.Table) -> pa.Table:
+        what = np.asarray(table.column("what"))
+        joins = table.filter(pa.array(what != NODE))
+        new = np.asarray(joins.column("what")) == NEW
+        a, b, s = (np.asarray(joins.column(c)) for c in ("a", "b", "s"))
+        ends = [np.where(new, x, np.asarray(joins.column(c).fill_null(0))) for x, c in ((a, "u"), (b, "v"))]
+        node = np.unique(np.concatenate(ends)) if len(a) else np.zeros(0, np.int64)
+        one, two = (np.searchsorted(node, e) for e in ends)
+        held: list[dict[int, int]] = [{} for _ in node]
+        for i, segs in zip(np.flatnonzero(new).tolist(), joins.filter(pa.array(new)).column("segs").to_pylist(), strict=True):
+            for j, seg in ((one[i], segs[0]), (two[i], segs[1])):
+                held[j] = {seg: 1} if seg else {}
+        for row in table.filter(pa.array(what == NODE)).select(["u", "segs", "counts"]).to_pylist():
+            held[np.searchsorted(node, row["u"])] = dict(zip(row["segs"], row["counts"], strict=True))
+        touching, root, inner = at_a_face(node).tolist(), list(range(len(node))), list(range(len(node)))
+
+        def top(tree: list[int], x: int) -> int:
+            while tree[x] != x:
+                tree[x] = tree[tree[x]]
+                x = tree[x]
+            return x
+
+        kind = where[1].as_py()
+        settled, left = [], []
+        for i in np.lexsort((b, a, -s)).tolist():
+            x, y = top(root, int(one[i])), top(root, int(two[i]))
+            if x == y:
+                settled.append((i, 0))
+            elif touching[x] or touching[y]:
+                left.append(i)
+                root[y], touching[x] = x, True
+            else:
+                if len(held[x]) < len(held[y]):
+                    x, y = y, x
+                same = sum(n * held[x].get(g, 0) for g, n in held[y].items())
+                settled.append((i, same if kind == 0 else sum(held[x].values()) * sum(held[y].values()) - same))
+                root[y] = inner[y] = x
+                for g, n in held[y].items():
+                    held[x][g] = held[x].get(g, 0) + n
+                held[y] = {}
+        rows = [(FINAL, int(a[i]), int(b[i]), None, n, None, None, None) for i, n in settled]
+        used: set[int] = set()
+        for i in left:
+            x, y = top(inner, int(one[i])), top(inner, int(two[i]))
+            used |= {x, y}
+            rows.append((OPEN, int(a[i]), int(b[i]), float(s[i]), int(node[x]), int(node[y]), None, None))
+        rows += [(NODE, None, None, None, int(node[x]), None, list(held[x]), list(held[x].values())) for x in sorted(used)]
+        own = [[k.as_py()] * len(rows) for k in where]
+        kinds = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = [*own, *(zip(*rows, strict=True) if rows else [()] * 8)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in STATE.split(", ")])
+
+    return run
+
+
 def maximin_loss(counts: DataFrame, key: str) -> DataFrame:
     """(key, nll, n_pos, n_neg, n_tot, false_splits, false_merges, rand_index) of maximin_edges' rows."""
     c = F.col
