@@ -68,23 +68,23 @@ def priority_update_stream(spark, d):
     return priority.drained(stream, "priorities").select("user_id", r(F.col("prio")).alias("prio"))
 
 
-_CDF = "prio AS (SELECT cube_id, count(*) FILTER (WHERE cls >= 0) AS prio FROM cls8 GROUP BY cube_id), cdf AS (SELECT cube_id, (sum(prio) OVER (ORDER BY cube_id) - prio) / sum(prio) OVER () AS lo, sum(prio) OVER (ORDER BY cube_id) / sum(prio) OVER () AS hi FROM prio)"
+CDF = "prio AS (SELECT cube_id, count(*) FILTER (WHERE cls >= 0) AS prio FROM cls8 GROUP BY cube_id), cdf AS (SELECT cube_id, (sum(prio) OVER (ORDER BY cube_id) - prio) / sum(prio) OVER () AS lo, sum(prio) OVER (ORDER BY cube_id) / sum(prio) OVER () AS hi FROM prio)"
 
 
-def _cdf(spark, d):
+def cdf(spark, d):
     prio = voxel_classes(volumes(spark, d)).groupBy("cube_id").agg(F.count(F.when(F.col("cls") >= 0, 1)).alias("prio"))
     return sampling.priority_cdf(prio, "cube_id", "prio")
 
 
-@query("cube_priority_cdf", with_views(f"SELECT cube_id, {R('lo')} AS lo, {R('hi')} AS hi FROM cdf", "cls8", more=_CDF))
+@query("cube_priority_cdf", with_views(f"SELECT cube_id, {R('lo')} AS lo, {R('hi')} AS hi FROM cdf", "cls8", more=CDF))
 def cube_priority_cdf(spark, d):
-    return _cdf(spark, d).select("cube_id", r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"))
+    return cdf(spark, d).select("cube_id", r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"))
 
 
-@query("weighted_cube_draw", with_views(f"SELECT draw, cube_id FROM (SELECT draw, {U('draw', 'draw')} AS u FROM (SELECT unnest(range(200)) AS draw)) JOIN cdf ON u >= lo AND u < hi", "cls8", more=_CDF))
+@query("weighted_cube_draw", with_views(f"SELECT draw, cube_id FROM (SELECT draw, {U('draw', 'draw')} AS u FROM (SELECT unnest(range(200)) AS draw)) JOIN cdf ON u >= lo AND u < hi", "cls8", more=CDF))
 def weighted_cube_draw(spark, d):
     draws = spark.range(200).select(F.col("id").alias("draw"), uniform("draw", F.col("id")).alias("u"))
-    return sampling.drawn_from(draws, _cdf(spark, d)).select("draw", "cube_id")
+    return sampling.drawn_from(draws, cdf(spark, d)).select("draw", "cube_id")
 
 
 @query("uniform_cube_draw", f"SELECT draw, CAST(floor({U('udraw', 'draw')} * (SELECT count(DISTINCT vec_id // 8) FROM embeddings)) AS BIGINT) AS cube_id FROM (SELECT unnest(range(200)) AS draw)")
@@ -115,13 +115,13 @@ ok AS (SELECT draw FROM p GROUP BY draw HAVING avg(CASE WHEN cls < 0 THEN 1.0 EL
 s AS (SELECT draw, row_number() OVER (ORDER BY draw) - 1 AS slot FROM ok)"""
 
 
-@query("image_batch_pipeline", with_views(f"SELECT slot, cube_id, z, CASE WHEN {U('bflipx', 'draw')} < 0.5 THEN 3 - x ELSE x END AS x, y, {R('power(least(greatest((value + 0.5) * (1.0 + 0.3 * (' + U('bgreya', 'draw') + ' - 0.5)) + 0.3 * (' + U('bgreyc', 'draw') + ' - 0.5), 0.0), 1.0), power(2.0, 2.0 * ' + U('bgreyg', 'draw') + ' - 1.0))', 4)} AS value, cls FROM p JOIN s USING (draw) WHERE slot < 16", "cls8", more=_CDF + ", " + _BATCH))
+@query("image_batch_pipeline", with_views(f"SELECT slot, cube_id, z, CASE WHEN {U('bflipx', 'draw')} < 0.5 THEN 3 - x ELSE x END AS x, y, {R('power(least(greatest((value + 0.5) * (1.0 + 0.3 * (' + U('bgreya', 'draw') + ' - 0.5)) + 0.3 * (' + U('bgreyc', 'draw') + ' - 0.5), 0.0), 1.0), power(2.0, 2.0 * ' + U('bgreyg', 'draw') + ' - 1.0))', 4)} AS value, cls FROM p JOIN s USING (draw) WHERE slot < 16", "cls8", more=CDF + ", " + _BATCH))
 def image_batch_pipeline(spark, d):
     v = voxel_classes(volumes(spark, d))
-    cdf, n = _cdf(spark, d), 60
+    shares, n = cdf(spark, d), 60
     while True:
         draws = spark.range(n).select(F.col("id").alias("draw"), uniform("bdraw", F.col("id")).alias("u"))
-        chosen = sampling.drawn_from(draws, cdf).select("draw", "cube_id")
+        chosen = sampling.drawn_from(draws, shares).select("draw", "cube_id")
         corners = sampling.patch_offsets(chosen, {a: (8, 4) for a in ("z", "x", "y")}, "b", ["draw"])
         patches = sampling.cut(corners, v, {a: 4 for a in ("z", "x", "y")}, ["cube_id"])
         ok = patches.groupBy("draw").agg(F.avg((F.col("cls") < 0).cast("double")).alias("share")).where("share <= 0.1")

@@ -5,13 +5,15 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded as r
 from ..functions.keyed import sql_rounded as R
+from ..functions.keyed import sql_uniform as U
 from ..functions.keyed import uniform
-from ..operators import graph, kernels, nets, tiles
+from ..operators import batches, graph, kernels, nets, tiles
 from ..plans import trainer
 from ..registry import query
 from ..sources.tables import table, volumes, with_views
 from ..sources.views import biases, sql_biases, sql_weights, weights
 from .inference import malis_sql
+from .sampling import CDF, cdf
 
 K1 = {"f": 2, "ch": 1, "kz": 3, "kx": 3, "ky": 3}
 K2 = {"f": 2, "ch": 2, "kz": 2, "kx": 2, "ky": 2}
@@ -168,3 +170,71 @@ def malis_volume_counts(spark, d):
 @query("malis_volume_counts_restricted", malis_sql("SELECT vec_id AS part_id, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM mm GROUP BY vec_id", "CASE WHEN sa = sb AND sa > 0 THEN 1.0::DOUBLE ELSE p END", _QUARTERS, _QUARTER_NEAR, "vol8"))
 def malis_volume_counts_restricted(spark, d):
     return graph.maximin_loss(_by_blocks(spark, d, True), "vec_id").select(F.col("vec_id").alias("part_id"), "n_pos", "n_neg")
+
+
+def _stream(spark, d, plan, size, range_draws):
+    pieces = slices(spark, d)
+    labels = pieces.withColumn("values", F.transform("values", lambda v: F.when(F.abs(v) < 0.01, -1.0).when(v > 0, 1.0).otherwise(0.0)))
+    cubes = batches.cubes_of(pieces, cdf(spark, d).withColumnRenamed("cube_id", "key"), EXTENT)
+    return batches.Stream(batches.Volumes(pieces, labels, cubes, (1, 8, 8)), plan, size, range_draws)
+
+
+def _batch_rows(batch):
+    """(slot, cube_id, kind, i, value): values of features (kind 0) and labels (kind 1) by their place."""
+    kinds = [batch.select(F.col("key").alias("slot"), F.col("volume").alias("cube_id"), F.lit(k).cast("long").alias("kind"), F.posexplode(c).alias("i", "v")) for k, c in enumerate(("features", "label"))]
+    return kinds[0].withColumn("v", F.col("v").cast("double")).unionByName(kinds[1].withColumn("v", F.col("v").cast("double"))).select("slot", "cube_id", "kind", F.col("i").cast("long").alias("i"), r(F.col("v")).alias("value"))
+
+
+_AT = lambda a, span: f"CAST(floor({U('whole' + a, 'draw', 'a')} * {span}) AS BIGINT)"
+_TURNED = lambda a, n: f"CASE WHEN {U('wholem' + a, 'draw')} < 0.5 THEN {n - 1} - g{a} ELSE g{a} END"
+_PICK = f"floor({U('wholeswap', 'draw')} * 6)"
+#: Position on each axis before the axes were permuted: that of the turned axis that stands for it.
+_BACK = [f"CASE {' '.join(f'WHEN {_PICK} = {k} THEN t{chr(122 if o.index(axis) == 0 else 119 + o.index(axis))}' for k, o in enumerate(batches.AXIS_ORDERS))} END" for axis in range(3)]
+_GRADED = f"power(least(greatest(value * (1.0 + 0.3 * ({U('wholegreya', 'draw', '0')} - 0.5)) + 0.3 * ({U('wholegreyc', 'draw', '0')} - 0.5), 0.0), 1.0), power(2.0, 2.0 * {U('wholegreyg', 'draw', '0')} - 1.0))"
+_DRAWS = f"""{_WHOLE}, {CDF},
+dr AS MATERIALIZED (SELECT draw, cube_id FROM (SELECT draw, {U('wholecube', 'draw')} AS u FROM (SELECT unnest(range(400)) AS draw)) JOIN cdf ON u >= lo AND u < hi WHERE cube_id IN (SELECT cube_id FROM wv8)),
+wc8 AS MATERIALIZED (SELECT w.*, CASE WHEN abs(value) < 0.01 THEN -1 WHEN value > 0 THEN 1 ELSE 0 END AS cls FROM wv8 w)"""
+_TRIED = f"""{_DRAWS},
+ca AS MATERIALIZED (SELECT draw, cube_id, a, {_AT('z', 4)} AS oz, {_AT('x', 4)} AS ox, {_AT('y', 4)} AS oy FROM dr, (SELECT unnest(range(11)) AS a)),
+nn AS MATERIALIZED (SELECT draw, a, any_value(ca.cube_id) AS cube_id, any_value(oz) AS oz, any_value(ox) AS ox, any_value(oy) AS oy, count(*) FILTER (WHERE cls < 0) AS n FROM ca JOIN wc8 v ON v.cube_id = ca.cube_id AND z BETWEEN oz + 1 AND oz + 2 AND x BETWEEN ox + 1 AND ox + 2 AND y BETWEEN oy + 1 AND oy + 2 GROUP BY draw, a),
+fit AS (SELECT draw, coalesce(min(a) FILTER (WHERE n <= 0.1 * 8), 10) AS a FROM nn GROUP BY draw),
+ok AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY draw) - 1 AS slot FROM nn JOIN fit USING (draw, a) WHERE n <= 0.1 * 8),
+tu AS (SELECT slot, draw, cube_id, oz, ox, oy, gz, gx, gy, {_TURNED('z', 4)} AS tz, {_TURNED('x', 4)} AS tx, {_TURNED('y', 4)} AS ty FROM ok, (SELECT unnest(range(4)) AS gz), (SELECT unnest(range(4)) AS gx), (SELECT unnest(range(4)) AS gy) WHERE slot BETWEEN 16 AND 31),
+src AS (SELECT slot, draw, cube_id, gz, gx, gy, oz + {_BACK[0]} AS z, ox + {_BACK[1]} AS x, oy + {_BACK[2]} AS y FROM tu),
+met AS (SELECT slot, draw, cube_id, gz, gx, gy, value, cls FROM src JOIN wc8 USING (cube_id, z, x, y))"""
+
+
+@query(
+    "whole_batch_volumes",
+    with_views(
+        f"SELECT slot, cube_id, 0::BIGINT AS kind, gz * 16 + gx * 4 + gy AS i, {R(_GRADED)} AS value FROM met UNION ALL SELECT slot, cube_id, 1::BIGINT, (gz - 1) * 4 + (gx - 1) * 2 + gy - 1, CAST(cls AS DOUBLE) FROM met WHERE gz BETWEEN 1 AND 2 AND gx BETWEEN 1 AND 2 AND gy BETWEEN 1 AND 2",
+        "cls8",
+        more=_TRIED,
+    ),
+)
+def whole_batch_volumes(spark, d):
+    """The second batch of 16 volumes: the first of eleven places with at most a tenth unlabelled, axes permuted and mirrored, graded."""
+    plan = batches.Plan((4, 4, 4), (1, 1, 1), most_unlabelled=0.1, aniso=False, grey=(0,), seed="whole")
+    return _batch_rows(_stream(spark, d, plan, 16, 96).batch(1))
+
+
+_ORDERED = f"""{_DRAWS.replace('wholecube', 'planescube')},
+pl AS (SELECT row_number() OVER (ORDER BY draw) - 1 AS slot, draw, cube_id, CAST(floor({U('planesorder', 'draw', '0')} * 3) AS BIGINT) AS o, CAST(floor({U('planesz', 'draw', '0')} * 8) AS BIGINT) AS oz, CAST(floor({U('planesx', 'draw', '0')} * 3) AS BIGINT) AS ox, CAST(floor({U('planesy', 'draw', '0')} * 3) AS BIGINT) AS oy FROM dr),
+tu AS (SELECT *, {_TURNED('x', 5).replace('wholem', 'planesm')} AS tx, {_TURNED('y', 5).replace('wholem', 'planesm')} AS ty FROM pl, (SELECT unnest(range(5)) AS gx), (SELECT unnest(range(5)) AS gy) WHERE slot BETWEEN 32 AND 47),
+sw AS (SELECT *, oz AS c0, ox + CASE WHEN {U('planesswap', 'draw')} < 0.5 THEN ty ELSE tx END AS c1, oy + CASE WHEN {U('planesswap', 'draw')} < 0.5 THEN tx ELSE ty END AS c2 FROM tu),
+src AS (SELECT *, CASE o WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END AS z, CASE o WHEN 0 THEN c1 WHEN 1 THEN c2 ELSE c0 END AS x, CASE o WHEN 0 THEN c2 WHEN 1 THEN c0 ELSE c1 END AS y FROM sw),
+met AS (SELECT s.slot, s.cube_id, gx, gy, v.value, v.cls FROM src s JOIN wc8 v ON v.cube_id = s.cube_id AND v.z = s.z AND v.x = s.x AND v.y = s.y)"""
+
+
+@query(
+    "whole_batch_planes",
+    with_views(
+        f"SELECT slot, cube_id, 0::BIGINT AS kind, gx * 5 + gy AS i, {R('value')} AS value FROM met UNION ALL SELECT slot, cube_id, 1::BIGINT, (gx - 1) // 2 * 2 + (gy - 1) // 2, CAST(cls AS DOUBLE) FROM met WHERE gx IN (1, 3) AND gy IN (1, 3)",
+        "cls8",
+        more=_ORDERED,
+    ),
+)
+def whole_batch_planes(spark, d):
+    """The third batch of 16 planes: cut across any axis at any depth, swapped and mirrored, with every second label of the inner part."""
+    plan = batches.Plan((1, 5, 5), (0, 1, 1), (1, 2, 2), aniso=False, seed="planes")
+    return _batch_rows(_stream(spark, d, plan, 16, 64).batch(2))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
 from ..operators import nets, optimise
+from ..operators.batches import Stream
 from ..sources.tables import written
 from .network import NetworkConfig
 
@@ -56,17 +57,23 @@ def built(config: NetworkConfig, target: str | Callable | None = None, side: int
 
 
 class Trainer:
-    """Steps over examples (key, features, label) dealt to keyed mini-batches. Batches are written once, by number, so a step reads its own alone.
+    """Steps over examples (key and net.columns) dealt to keyed mini-batches, or over the batches of a stream (operators.batches.Stream). Batches of a table are written once,
+    in order of their numbers, so a step reads its own alone.
 
     valid: examples for evaluation. Rates fall by decay every decay_every steps. The state (weights, moments, log) is small and stays on the driver.
     """
 
-    def __init__(self, net: nets.Net, examples: DataFrame, valid: DataFrame | None = None, n_batches: int = 1, rate: float = 0.1, momentum: float = 0.9, weight_decay: float = 0.0, decay: float = 1.0, decay_every: int = 1000, seed: int = 0) -> None:
-        dealt = examples.select("key", *net.columns).withColumn("batch", F.floor(uniform(f"batch{seed}", F.col("key")) * n_batches).cast("int"))
-        self.batches = written(dealt, "batches", by="batch") if n_batches > 1 else dealt
+    def __init__(self, net: nets.Net, examples: DataFrame | Stream, valid: DataFrame | None = None, n_batches: int = 1, rate: float = 0.1, momentum: float = 0.9, weight_decay: float = 0.0, decay: float = 1.0, decay_every: int = 1000, seed: int = 0) -> None:
+        self.stream = examples if isinstance(examples, Stream) else None
+        if self.stream:
+            self.spark, self.batches = examples.volumes.cubes.sparkSession, None
+        else:
+            self.spark = examples.sparkSession
+            dealt = examples.select("key", *net.columns).withColumn("batch", F.floor(uniform(f"batch{seed}", F.col("key")) * n_batches).cast("int"))
+            # Files hold ranges of batches, and row groups' ends keep a step from reading others.
+            self.batches = written(dealt.repartitionByRange("batch", "key").sortWithinPartitions("batch"), "batches") if n_batches > 1 else dealt
         self.net, self.valid, self.n_batches, self.seed = net, valid, n_batches, seed
         self.settings = {"rate": rate, "momentum": momentum, "weight_decay": weight_decay, "decay": decay, "decay_every": decay_every}
-        self.spark = examples.sparkSession
         self.reset()
 
     def reset(self) -> None:
@@ -74,7 +81,9 @@ class Trainer:
         self.w, self.state, self.log, self.history, self.steps = self.net.initial(self.seed), {}, [], [], 0
 
     def batch(self, step: int) -> DataFrame:
-        """The mini-batch of a step: in each epoch all of them, in a drawn order."""
+        """The mini-batch of a step: in each epoch all of them, in a drawn order; of a stream, the next one."""
+        if self.stream:
+            return self.stream.batch(step)
         if self.n_batches == 1:
             return self.batches
         order = np.random.default_rng((self.seed, step // self.n_batches)).permutation(self.n_batches)
