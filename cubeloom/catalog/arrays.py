@@ -23,7 +23,7 @@ def sink_roundtrip(spark, d):
     return back.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
 
 
-@query("scan_cube_label_join", with_views("SELECT v.cube_id, v.z, v.x, v.y, v.value, c.cls FROM vol8 v JOIN cls8 c USING (cube_id, z, x, y)", "vol8", "cls8"))
+@query("scan_cube_label_join", with_views("SELECT cube_id, z, x, y, value, cls FROM cls8", "cls8"))
 def scan_cube_label_join(spark, d):
     v = volumes(spark, d)
     return v.join(voxel_classes(v).drop("value"), ["cube_id", "z", "x", "y"])
@@ -100,7 +100,7 @@ def strip_border(spark, d):
     return reshape.stripped(images(spark, d), 1, 8).select("vec_id", "x", "y", "value")
 
 
-@query("strip_cubes", with_views("SELECT v.cube_id, v.z, v.x, v.y, v.value, coalesce(l.cls, 0) AS cls FROM vol8 v LEFT JOIN (SELECT cube_id, z, x, y, cls FROM cls8 WHERE z BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6) l ON v.cube_id = l.cube_id AND v.z = l.z AND v.x = l.x AND v.y = l.y", "vol8", "cls8"))
+@query("strip_cubes", with_views("SELECT cube_id, z, x, y, value, CASE WHEN z BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN cls ELSE 0 END AS cls FROM cls8", "cls8"))
 def strip_cubes(spark, d):
     v = volumes(spark, d)
     inner = reshape.stripped(voxel_classes(v).drop("value"), 1, 8, ("z", "x", "y"))

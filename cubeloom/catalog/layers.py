@@ -170,7 +170,8 @@ def autoencoder_reconstruct(spark, d):
     return back.select("vec_id", F.col("o").alias("i"), r(F.col("z"), 5).alias("value"))
 
 
-_REPEATED = {"w_in": [[0.5, -0.3], [0.4, 0.2], [-0.6, 0.1]], "w_hid": [[0.2, 0.1], [-0.1, 0.3]], "bias": [0.01, -0.02], "start": [0.1, -0.1]}
+#: Weights of the 64 inputs, by their place among three.
+_REPEATED = {"w_in": [([0.5, -0.3], [0.4, 0.2], [-0.6, 0.1])[i % 3] for i in range(64)], "w_hid": [[0.2, 0.1], [-0.1, 0.3]], "bias": [0.01, -0.02], "start": [0.1, -0.1]}
 
 
 @query(
@@ -178,11 +179,11 @@ _REPEATED = {"w_in": [[0.5, -0.3], [0.4, 0.2], [-0.6, 0.1]], "w_hid": [[0.2, 0.1
     with_views(
         f"SELECT vec_id, {R('a')} AS h0, {R('b')} AS h1 FROM h WHERE t = 5",
         "img8",
-        more="g AS (SELECT vec_id, sum(value * CASE y WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE -0.6 END) + 0.01 AS u, sum(value * CASE y WHEN 0 THEN -0.3 WHEN 1 THEN 0.2 ELSE 0.1 END) - 0.02 AS v FROM img8 WHERE x = 0 AND y < 3 GROUP BY vec_id), h AS (SELECT vec_id, 0 AS t, 0.1::DOUBLE AS a, -0.1::DOUBLE AS b FROM g UNION ALL SELECT vec_id, t + 1, tanh(u + a * 0.2 + b * -0.1), tanh(v + a * 0.1 + b * 0.3) FROM h JOIN g USING (vec_id) WHERE t < 5)",
+        more="g AS (SELECT vec_id, sum(value * CASE (x * 8 + y) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE -0.6 END) + 0.01 AS u, sum(value * CASE (x * 8 + y) % 3 WHEN 0 THEN -0.3 WHEN 1 THEN 0.2 ELSE 0.1 END) - 0.02 AS v FROM img8 GROUP BY vec_id), h AS (SELECT vec_id, 0 AS t, 0.1::DOUBLE AS a, -0.1::DOUBLE AS b FROM g UNION ALL SELECT vec_id, t + 1, tanh(u + a * 0.2 + b * -0.1), tanh(v + a * 0.1 + b * 0.3) FROM h JOIN g USING (vec_id) WHERE t < 5)",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def forward_rnn_repeated(spark, d):
-    first = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda v: F.round(v.cast("double"), 4)).alias("features"))
+    first = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("features"))
     h = layers.recurrent_repeated(first, "vec_id", "features", **_REPEATED, iterations=5)
     return h.select("vec_id", r(F.col("h")[0]).alias("h0"), r(F.col("h")[1]).alias("h1"))
 

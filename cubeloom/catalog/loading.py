@@ -14,7 +14,7 @@ from ..sources.tables import images, table, volumes, voxel_classes, with_views
 from ..sources.views import sql_weights, weights
 
 _BYTES = "CAST(floor(least(greatest(value + 0.5, 0.0), 1.0) * 255.0) AS BIGINT)"
-_CUBES = f"cu AS (SELECT v.cube_id, v.z, v.x, v.y, {_BYTES.replace('value', 'v.value')} / 255.0 AS value, coalesce(l.cls, 0) AS cls FROM vol8 v LEFT JOIN (SELECT * FROM cls8 WHERE z BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6) l USING (cube_id, z, x, y))"
+_CUBES = f"cu AS (SELECT cube_id, z, x, y, {_BYTES} / 255.0 AS value, CASE WHEN z BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN cls ELSE 0 END AS cls FROM cls8)"
 
 
 def _cubes(spark, d):

@@ -80,14 +80,15 @@ def histogram_100(spark, d):
     return monitor.histogram(table(spark, d, "lineitem"), "l_extendedprice", 100)
 
 
-@query("target_overlay", with_views(f"SELECT v.cube_id, v.z, v.x, v.y, {R('v.value - coalesce(l.cls, 0)')} AS overlay FROM vol8 v LEFT JOIN (SELECT cube_id, z, x, y, cls FROM cls8 WHERE x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5) l ON l.cube_id = v.cube_id AND l.z = v.z AND l.x = v.x AND l.y = v.y", "vol8", "cls8"))
+@query("target_overlay", with_views(f"SELECT cube_id, z, x, y, {R('value - CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 THEN cls ELSE 0 END')} AS overlay FROM cls8", "cls8"))
 def target_overlay(spark, d):
     v = volumes(spark, d)
     inner = voxel_classes(v).where("x between 2 and 5 and y between 2 and 5").drop("value")
     return v.join(inner, ["cube_id", "z", "x", "y"], "left").select("cube_id", "z", "x", "y", r(F.col("value") - F.coalesce("cls", F.lit(0))).alias("overlay"))
 
 
-_PAIRS = with_views("SELECT a.vec_id % 4 AS m1, b.vec_id % 4 AS m2, a.vec_id // 4 AS img, a.x, a.y, least(a.value, b.value) AS r, a.value AS g, b.value AS b FROM img8 a JOIN img8 b ON a.vec_id // 4 = b.vec_id // 4 AND a.vec_id % 4 < b.vec_id % 4 AND a.x = b.x AND a.y = b.y", "img8")
+# Each pixel's models in one list, of which pairs are unnested.
+_PAIRS = with_views("SELECT a.m AS m1, b.m AS m2, img, x, y, least(a.v, b.v) AS r, a.v AS g, b.v AS b FROM (SELECT img, x, y, a, unnest(l) AS b FROM (SELECT img, x, y, l, unnest(l) AS a FROM (SELECT vec_id // 4 AS img, x, y, list({'m': vec_id % 4, 'v': value}) AS l FROM img8 GROUP BY vec_id // 4, x, y))) WHERE a.m < b.m", "img8")
 
 
 @query("pairwise_prediction_diff", _PAIRS)
@@ -97,10 +98,15 @@ def pairwise_prediction_diff(spark, d):
     return monitor.pairwise(p, "m", ["img", "x", "y"])
 
 
-_SIDED = "mi AS (SELECT vec_id % 4 AS m, vec_id // 4 AS img, 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2 AS n, x, y, value FROM img8 WHERE x < 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2 AND y < 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2), mp AS (SELECT a.m AS m1, b.m AS m2, a.img, a.n AS n1, b.n AS n2, least(a.n, b.n) AS n, a.x - (a.n - least(a.n, b.n)) // 2 AS x, a.y - (a.n - least(a.n, b.n)) // 2 AS y, a.value AS g, b.value AS b, b.x - (b.n - least(a.n, b.n)) // 2 AS bx, b.y - (b.n - least(a.n, b.n)) // 2 AS by_ FROM mi a JOIN mi b ON a.img = b.img AND a.m < b.m)"
+# An image's models in one list, of which pairs are unnested; a pair's second image is a list of its rows, read at the pixel that the first one's stands for.
+_SIDED = """mi AS (SELECT vec_id % 4 AS m, vec_id // 4 AS img, 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2 AS n, x, y, value FROM img8 WHERE x < 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2 AND y < 8 - 2 * ((vec_id % 4) % 2) - (vec_id % 4) // 2),
+ml AS (SELECT img, list({'m': m, 'n': n, 'p': p}) AS l FROM (SELECT img, m, n, list(value ORDER BY x, y) AS p FROM mi GROUP BY img, m, n) GROUP BY img),
+mp AS (SELECT img, a, b, least(a.n, b.n) AS n FROM (SELECT img, a, unnest(l) AS b FROM (SELECT img, l, unnest(l) AS a FROM ml)) WHERE a.m < b.m),
+mx AS (SELECT img, a, b, n, x, unnest(range(n)) AS y FROM (SELECT img, a, b, n, unnest(range(n)) AS x FROM mp)),
+mv AS (SELECT a.m AS m1, b.m AS m2, img, x, y, a.p[(x + (a.n - n) // 2) * a.n + y + (a.n - n) // 2 + 1] AS g, b.p[(x + (b.n - n) // 2) * b.n + y + (b.n - n) // 2 + 1] AS b FROM mx)"""
 
 
-@query("pairwise_prediction_cropped", with_views("SELECT m1, m2, img, x, y, least(g, b) AS r, g, b FROM mp WHERE x = bx AND y = by_ AND x BETWEEN 0 AND n - 1 AND y BETWEEN 0 AND n - 1", "img8", more=_SIDED))
+@query("pairwise_prediction_cropped", with_views("SELECT m1, m2, img, x, y, least(g, b) AS r, g, b FROM mv", "img8", more=_SIDED))
 def pairwise_prediction_cropped(spark, d):
     """Models 0 to 3 with images of side 8, 6, 7 and 5."""
     m = F.col("vec_id") % 4

@@ -126,8 +126,10 @@ def image_batch_pipeline(spark, d):
         patches = sampling.cut(corners, v, {a: 4 for a in ("z", "x", "y")}, ["cube_id"])
         ok = patches.groupBy("draw").agg(F.avg((F.col("cls") < 0).cast("double")).alias("share")).where("share <= 0.1")
         slots = written(indexed(ok.select("draw"), "draw", "slot").where("slot < 16"), "slots")
-        if slots.count() == 16 or n > 10_000:  # draws keep their numbers, so more of them only fill the rest of the batch
+        if (found := slots.count()) == 16:  # draws keep their numbers, so more of them only fill the rest of the batch
             break
+        if not found and n > 10_000:
+            raise ValueError(f"{n} draws gave no patch with enough labels")
         n *= 4
     met = patches.join(F.broadcast(slots), "draw")  # 16 rows
     x = F.when(uniform("bflipx", F.col("draw")) < 0.5, 3 - F.col("x")).otherwise(F.col("x"))

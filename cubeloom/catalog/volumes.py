@@ -103,9 +103,9 @@ _LABEL = "CASE WHEN abs(value) < 0.01 THEN -1 WHEN value > 0 THEN 1 ELSE 0 END"
 _SLOPES = f"""{_KERNELS},
 lin AS (SELECT cube_id, f, z - 2 + kz AS z, x - 2 + kx AS x, y - 2 + ky AS y, sum(value * w) + any_value(b) AS v FROM wv8 CROSS JOIN v1 JOIN vb1 USING (f)
   WHERE z - 2 + kz BETWEEN 0 AND 5 AND x - 2 + kx BETWEEN 0 AND 5 AND y - 2 + ky BETWEEN 0 AND 5 GROUP BY ALL),
-pr AS MATERIALIZED (SELECT cube_id, f, z, x, y, exp(v) / sum(exp(v)) OVER (PARTITION BY cube_id, z, x, y) AS p FROM lin),
-lab AS (SELECT cube_id, z - 1 AS z, x - 1 AS x, y - 1 AS y, {_LABEL} AS cls FROM wv8),
-sl AS MATERIALIZED (SELECT cube_id, f, z, x, y, p * (by_p - sum(by_p * p) OVER (PARTITION BY cube_id, z, x, y)) AS s FROM (SELECT pr.*, CASE WHEN cls = f THEN -1.0 / (p + 1e-6) ELSE 0.0 END AS by_p FROM pr JOIN lab USING (cube_id, z, x, y) WHERE cls >= 0)),
+pr AS (SELECT cube_id, z, x, y, [exp(v0) / (exp(v0) + exp(v1)), exp(v1) / (exp(v0) + exp(v1))] AS p, cls FROM (SELECT cube_id, z, x, y, max(CASE WHEN f = 0 THEN v END) AS v0, max(CASE WHEN f = 1 THEN v END) AS v1, max(cls) AS cls
+  FROM (SELECT cube_id, f, z, x, y, v, NULL AS cls FROM lin UNION ALL SELECT cube_id, NULL, z - 1, x - 1, y - 1, NULL, {_LABEL} FROM wv8) GROUP BY cube_id, z, x, y) WHERE v0 IS NOT NULL AND cls >= 0),
+sl AS MATERIALIZED (SELECT cube_id, f, z, x, y, p[f + 1] * (CASE WHEN cls = f THEN by_p ELSE 0.0 END - by_p * p[cls + 1]) AS s FROM (SELECT *, -1.0 / (p[cls + 1] + 1e-6) AS by_p, unnest([0, 1]) AS f FROM pr)),
 n AS (SELECT count(*) / 2.0 AS n FROM sl)"""
 
 
