@@ -7,8 +7,10 @@ winning path is the one with the largest sum. Each page is then extracted anew w
 lacks the winner uses its own best container.
 
 Names of classes alone lose no article: an element named like boilerplate is left out of the containers around it, but stays a
-container with a low score, so what it wraps is still found. A form is left out only where it holds less than half of the
-page's text, and a header only outside articles. Parsing takes time and memory in proportion to the page: elements point to their
+container with a low score, so what it wraps is still found. A name that says boilerplate only in part (notice-period) is left out only where most of
+its text is links, or where the host's pages show that it recurs with the same text: elements with such names are counted by host, path and text
+beside the votes. Lists of comments are known by their names' beginnings, or by having articles or list items with an author or a time each. A form is left out only where it
+holds less than half of the page's text, and a header (by tag or name) only outside articles. Parsing takes time and memory in proportion to the page: elements point to their
 parents, their text is a stretch of one list, and paths are chained hashes.
 """
 
@@ -43,6 +45,12 @@ PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li".split())
 # Words of classes, ids and roles that mark boilerplate.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promoted promotion related replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert modal login search".split())
 COMMENTS = frozenset("comment comments replies respond disqus".split())
+#: Words that say where or what kind of box it is, not what is in it.
+NEUTRAL = frozenset("site page main global primary secondary top bottom left right inner outer sticky fixed floating wrapper wrap container box block list item items section area bar col column row content slot unit zone group panel links link buttons button icons icon bottom mobile desktop post posts article articles story stories signup form inline media js id new my the".split())
+#: Elements of a list that say who wrote an entry, and when.
+ENTRY_MARKS = frozenset("author user username byline date time timestamp reply avatar".split())
+#: Pages of a host from which an element's text can be said to recur there.
+LEAST_PAGES = 3
 #: A name that begins so says what stands beside the element's text, as in has-sidebar.
 BESIDE = frozenset("has with no without is".split())
 CONTENT = frozenset("article body content entry main post story text".split())
@@ -78,6 +86,9 @@ class Page:
     depth: list[int] = field(default_factory=lambda: [0])
     dropped: list[bool] = field(default_factory=lambda: [False])
     named: list[bool] = field(default_factory=lambda: [False])  # named like boilerplate, or a form
+    partly: list[bool] = field(default_factory=lambda: [False])  # a name that says boilerplate in part
+    entry: list[bool] = field(default_factory=lambda: [False])  # names an author or a time, or is a time
+    n_linked: list[int] = field(default_factory=list)  # its text in links
     linked: list[bool] = field(default_factory=lambda: [False])
     paragraph: list[bool] = field(default_factory=lambda: [False])
     article: list[bool] = field(default_factory=lambda: [False])  # inside an article or main element
@@ -100,10 +111,10 @@ class Page:
 
 
 @lru_cache(4096)
-def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(name, whether it is named like boilerplate, whether it is hidden)."""
-    kind, boilerplate, hidden = "", False, False
-    wanted = COMMENTS if tag in ("article", "main") else () if tag in ("html", "body") else BOILERPLATE - {"header"} if tag == "header" else BOILERPLATE
+def _named(tag: str, attributes: str, article: bool) -> tuple[str, bool, bool, bool, bool]:
+    """(name, whether it is named like boilerplate, or in part, whether it is hidden, whether it names an author or a time)."""
+    kind, boilerplate, partly, hidden, entry = "", False, False, False, tag == "time"
+    wanted = COMMENTS if tag in ("article", "main") else () if tag in ("html", "body") else BOILERPLATE - {"header", "masthead"} if article or tag == "header" else BOILERPLATE
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
@@ -111,15 +122,21 @@ def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
         elif key in ("class", "id", "role"):
             tokens = value.split()
             for words in map(_PART.findall, tokens):
-                beside = not words or words[0] in BESIDE or words[0] in CONTENT and words[1:] == ["header"]
-                boilerplate |= not beside and any(w in wanted for w in words)
+                entry |= not ENTRY_MARKS.isdisjoint(words)
+                if not words or words[0] in BESIDE or words[0] in CONTENT and words[1:] == ["header"]:
+                    continue
+                of_comments = bool(wanted) and any(w in COMMENTS or w.startswith(("commentlist", "commentsection", "commentarea", "commentthread")) for w in words)
+                if of_comments or any(w in wanted for w in words) and all(w in wanted or w in NEUTRAL for w in words):
+                    boilerplate = True
+                else:
+                    partly |= any(w in wanted for w in words)
             if key == "class":
                 kind = ".".join(sorted({_FOLD.sub("#", x) for x in tokens}))
-    return f"{tag}.{kind}" if kind else tag, boilerplate, hidden
+    return f"{tag}.{kind}" if kind else tag, boilerplate, partly, hidden, entry
 
 
-def parse(page: str | None) -> Page:
-    """The elements of a page, with their text (none of dropped elements) and its measures."""
+def parse(page: str | None, recurring: frozenset[int] = frozenset()) -> Page:
+    """The elements of a page, with their text (none of dropped elements) and its measures; recurring: hashes of paths whose elements, named boilerplate in part, recur on the host."""
     page, out = page or "", Page()
     stack, opened = [0], {}  # places of open elements, and where in the stack those of each tag are
     n, last_end, broken, unclosed = len(page), page.rfind(">"), False, set()
@@ -195,8 +212,8 @@ def parse(page: str | None) -> Page:
             ends, bounds = _ENDS[tag]
             if (to := top(ends)) and to > top(bounds):
                 close(to)
-        name, named, hidden = _named(tag, attributes) if attributes else (tag, False, False)
         up, i = stack[-1], len(out.tag)
+        name, named, partly, hidden, entry = _named(tag, attributes, out.article[up]) if attributes else (tag, False, False, False, tag == "time")
         inline, article = tag in INLINE, out.article[up] or tag in ("article", "main")
         out.tag.append(tag)
         out.name.append(name)
@@ -205,6 +222,8 @@ def parse(page: str | None) -> Page:
         out.depth.append(out.depth[up] + (not inline))
         out.dropped.append(out.dropped[up] or hidden or tag in DROPPED and not (tag == "header" and article))
         out.named.append(named or tag == "form")
+        out.partly.append(partly and not named)
+        out.entry.append(entry)
         out.linked.append(out.linked[up] or tag == "a")
         out.paragraph.append(out.paragraph[up] or tag in PARAGRAPHS)
         out.article.append(article)
@@ -214,24 +233,39 @@ def parse(page: str | None) -> Page:
         stack.append(i)
     close(1)
     out.last[0] = len(out.pieces)
-    _measure(out)
+    _measure(out, recurring)
     return out
 
 
-def _measure(page: Page) -> None:
+def _entries(page: Page) -> set[int]:
+    """Lists outside articles all of whose entries, two at least, name an author or a time."""
+    found: dict[int, list[bool]] = {}
+    marked = list(page.entry)
+    for i in range(len(page.tag) - 1, 0, -1):
+        up = page.parent[i]
+        if page.tag[i] == "li" and page.tag[up] in ("ol", "ul") and not page.article[i]:
+            found.setdefault(up, []).append(marked[i])
+        elif page.tag[i] not in ("li", "ol", "ul"):
+            marked[up] |= marked[i]
+    return {i for i, each in found.items() if len(each) > 1 and all(each)}
+
+
+def _measure(page: Page, recurring: frozenset[int]) -> None:
     """Adds up text by element, inside out; an element that is boilerplate keeps its own from those around it."""
-    n = len(page.tag)
-    page.n_text, page.worth = [0] * n, [0.0] * n
+    n, entries = len(page.tag), _entries(page)
+    page.n_text, page.n_linked, page.worth = [0] * n, [0] * n, [0.0] * n
     for text, i in zip(page.pieces, page.at, strict=True):
         if k := len(text.strip()):
             page.n_text[i] += k
+            page.n_linked[i] += k * page.linked[i]
             page.worth[i] += k * (1 - 2 * page.linked[i] + page.paragraph[i])
     every = sum(page.n_text)
     boilerplate = [False] * n
     for i in range(n - 1, 0, -1):
-        boilerplate[i] = page.named[i] and not (page.tag[i] == "form" and 2 * page.n_text[i] >= every)
+        boilerplate[i] = page.named[i] and not (page.tag[i] == "form" and 2 * page.n_text[i] >= every) or page.partly[i] and (2 * page.n_linked[i] >= page.n_text[i] or page.key[i] in recurring) or i in entries and 2 * page.n_text[i] < every
         if not boilerplate[i]:
             page.n_text[page.parent[i]] += page.n_text[i]
+            page.n_linked[page.parent[i]] += page.n_linked[i]
             page.worth[page.parent[i]] += page.worth[i]
     page.outer = [0] * n
     for i in range(1, n):
@@ -262,9 +296,14 @@ def _text(page: Page, chosen: list[int]) -> str:
     return " ".join(out)
 
 
-def best(page: str | None, n: int = VOTES) -> list[tuple[str, float]]:
+def partly_named(page: Page) -> list[tuple[str, int]]:
+    """(path, hash of the text) of the elements whose names say boilerplate in part, and that have text of their own."""
+    return [(f"!{page.key[i]:016x}", xxhash.xxh64_intdigest(_BLANK.sub(" ", "".join(page.pieces[page.first[i] : page.last[i]])).strip()) >> 1) for i in range(1, len(page.tag)) if page.partly[i] and page.n_text[i]]
+
+
+def best(page: str | None | Page, n: int = VOTES) -> list[tuple[str, float]]:
     """(path, score) of the page's best containers, the best first."""
-    parsed, scores = parse(page), {}
+    parsed, scores = page if isinstance(page, Page) else parse(page), {}
     for i in _candidates(parsed):
         if (s := _score(parsed, i)) > scores.get(parsed.key[i], (0.0, 0))[0]:
             scores[parsed.key[i]] = (s, i)
@@ -272,9 +311,9 @@ def best(page: str | None, n: int = VOTES) -> list[tuple[str, float]]:
     return [(parsed.path(i), s) for s, i in found]
 
 
-def extract(page: str | None, path: str | None) -> str:
+def extract(page: str | None, path: str | None, recurring: frozenset[int] = frozenset()) -> str:
     """The text of the page's containers at path, in page order; of its own best container where it has none there."""
-    parsed = parse(page)
+    parsed = parse(page, recurring)
     found = list(_candidates(parsed))
     wanted = int(path.rpartition("#")[2], 16) if path else None
     chosen = [i for i in found if parsed.key[i] == wanted]
@@ -289,20 +328,28 @@ def host(url: str = "url") -> F.Column:
 
 
 def host_paths(pages: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(host, path, weight): the winning path of each host. A page's votes are its best containers' shares of its best score."""
+    """(host, path, weight, recurring): the winning path of each host, and hashes of the paths whose elements, named boilerplate in part, have one text on at least half of
+    the host's pages that have them (LEAST_PAGES or more). A page's votes are its best containers' shares of its best score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[tuple[str, str], float] = {}
+        for b in (s for whole in batches for s in slices(whole, 1)):
+            out: dict[tuple[str, str, int | None], list[float]] = {}
             for h, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = best(page.as_py(), votes)
+                parsed = parse(page.as_py())
+                found = best(parsed, votes)
                 for path, s in found:
-                    out[h, path] = out.get((h, path), 0.0) + round(s / found[0][1], 6)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.string()), pa.array([round(x, 6) for x in out.values()], pa.float64())], names=["host", "path", "weight"])
+                    out.setdefault((h, path, None), [0.0, 0])[0] += round(s / found[0][1], 6)
+                for path, text in set(partly_named(parsed)):
+                    out.setdefault((h, path, text), [0.0, 0])[1] += 1
+            hosts, paths, texts = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.int64()), pa.array([round(x, 6) for x, _ in out.values()], pa.float64()), pa.array([n for _, n in out.values()], pa.int64())], names=["host", "path", "text", "weight", "n"])
 
-    cast = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, path string, weight double")
-    sums = cast.groupBy("host", "path").agg(F.sum(F.col("weight").cast("decimal(30,6)")).alias("weight"))
-    return sums.groupBy("host").agg(F.max_by("path", F.struct("weight", "path")).alias("path"), F.max("weight").cast("double").alias("weight"))
+    cast = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, path string, text long, weight double, n long")
+    sums = stored(cast.groupBy("host", "path", "text").agg(F.sum(F.col("weight").cast("decimal(30,6)")).alias("weight"), F.sum("n").alias("n")), "host-votes")
+    winners = sums.where("text is null").groupBy("host").agg(F.max_by("path", F.struct("weight", "path")).alias("path"), F.max("weight").cast("double").alias("weight"))
+    texts = sums.where("text is not null").groupBy("host", "path").agg(F.max("n").alias("same"), F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES} and 2 * same >= n")
+    recurring = texts.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("recurring"))  # a host's templates
+    return winners.join(recurring, "host", "left")
 
 
 def main_text(pages: DataFrame, votes: int = VOTES) -> DataFrame:
@@ -314,16 +361,17 @@ def main_text(pages: DataFrame, votes: int = VOTES) -> DataFrame:
     larger one wins, of a page's containers with equal scores the one whose path has the larger hash. Long, deep and broken pages take time in
     proportion to their length. An empty table gives an empty result. Input columns named text or n_chars give way.
     """
-    keep = [c for c in replaced(pages, "text", "n_chars", "__host", "__path") if c != "html"]
-    paths = stored(host_paths(pages, votes).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "host-paths")
+    keep = [c for c in replaced(pages, "text", "n_chars", "__host", "__path", "__recurring") if c != "html"]
+    paths = stored(host_paths(pages, votes).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("recurring").alias("__recurring")), "host-paths")
     paths = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths  # else a shuffled join, whose large partitions Spark splits
-    met = pages.select(*keep, "html", host().alias("__host")).join(paths, "__host", "left").select(*keep, "html", "__path")
+    met = pages.select(*keep, "html", host().alias("__host")).join(paths, "__host", "left").select(*keep, "html", "__path", "__recurring")
     out = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, at)):
-            texts = [extract(page.as_py(), path) for page, path in zip(b.column(at), b.column(at + 1).to_pylist(), strict=True)]
+            known = [frozenset(int(x[1:], 16) for x in some or ()) for some in b.column(at + 2).to_pylist()]
+            texts = [extract(page.as_py(), path, some) for page, path, some in zip(b.column(at), b.column(at + 1).to_pylist(), known, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in out.fields])
 
     return met.mapInArrow(run, out)

@@ -64,3 +64,54 @@ def test_ties_and_a_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(html_extraction, "BROADCAST_HOSTS", 0)
     key = lambda r: (r["page_id"] is None, r["page_id"] or 0, r["text"])
     assert sorted(html_extraction.main_text(df).collect(), key=key) == sorted(out, key=key)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div class="page-header"><h1>TITLE</h1></div><p>story of some length</p></article>', "TITLE story of some length"),
+        ('<article><p>story of some length</p><div class="social-history"><p>never smoked</p></div></article>', "story of some length never smoked"),
+        ('<article><p>story of some length</p><div class="notice-period"><p>three months</p></div></article>', "story of some length three months"),
+        ('<div class="main"><article><p>story of some length</p></article><ol class="commentlist"><li>no</li></ol></div>', "story of some length"),
+        ('<div class="main"><p>story of some length</p><p>and more of it</p><ul><li><span class="author">A</span> no<li><time>1</time> no</ul></div>', "story of some length and more of it"),
+        ('<div class="main"><p>story</p><ul><li>first point<li>second <b class="author">by A</b></ul></div>', "story first point second by A"),
+        ('<article><p>story of some length</p><div class="related-reading"><a href="x">one more</a></div></article>', "story of some length"),
+        ('<div><div class="page-header"><p>site</p></div><article><p>story of some length</p></article></div>', "story of some length"),
+        ('<article><p>story of some length</p><div class="ad-slot"><p>buy</p></div><div class="post-footer">no</div></article>', "story of some length"),
+    ],
+)
+def test_names_that_say_boilerplate_in_part(page, text):
+    assert main(page) == text
+
+
+def test_what_recurs_on_a_host_goes(spark):
+    """One box stands on every page of a host with the same text, another with a text of each page; elsewhere nothing is known of either."""
+    page = lambda i, same: f'<body><article><p>number {i} has a story</p><div class="newsletter-mailing"><p>{"join us today" if same else f"letter {i}"}</p></div></article></body>'
+    rows = [(i, f"http://same.example/{i}", page(i, True)) for i in range(5)] + [(i, f"http://own.example/{i}", page(i, False)) for i in range(5, 10)]
+    rows += [(i, f"http://few.example/{i}", page(i, True)) for i in range(10, 12)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for i in range(5):
+        assert got[i] == f"number {i} has a story"
+    for i in range(5, 10):
+        assert got[i] == f"number {i} has a story letter {i}"
+    for i in range(10, 12):
+        assert got[i] == f"number {i} has a story join us today"
+
+
+def test_votes_are_those_of_a_plain_count(spark):
+    """Hosts' winners by counting whole pages in one place, on pages without articles."""
+    from collections import defaultdict
+    from decimal import Decimal
+
+    kinds = ["<div class='a'><p>one two three</p></div><div class='b'><p>six ten</p></div>", "<div class='b'><p>six ten and some more words</p></div><ul><li>x</ul>", "<table><tr><td>cells of text</td></tr></table>", "<p>no box</p>"]
+    rows = [(i, f"http://h{i % 4}.example/", f"<body>{kinds[(i * 7 + i // 5) % 4]}</body>") for i in range(60)]
+    sums = defaultdict(Decimal)
+    for _, url, page in rows:
+        found = best(page)
+        for path, s in found:
+            sums[url[7:-1], path] += round(Decimal(s / found[0][1]), 6)
+    winners = {h: max(((w, p) for (g, p), w in sums.items() if g == h))[1] for h, _ in sums}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r["host"]: r["path"] for r in html_extraction.host_paths(df).collect()} == winners
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_text(df).collect()}
+    assert got == {i: extract(page, winners[url[7:-1]]) for i, url, page in rows}
