@@ -468,6 +468,26 @@ def gradient(examples: DataFrame, net: Net, w: np.ndarray, step: int | None = No
     return float(sums[-2] / n), sums[:-2] / n, int(sums[-1])
 
 
+def along(examples: DataFrame, net: Net, trials: np.ndarray, directions: np.ndarray, step: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(losses, slopes along the directions) at each row of trials: means over examples, all from one pass; two numbers a trial leave each partition."""
+    sent = examples.sparkSession.sparkContext.broadcast((net, trials, directions))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, trials, directions = sent.value
+        sums = np.zeros((3, len(trials)))
+        for b in _batches(batches):
+            more = {c: _flat(b.column(i), b.num_rows) for i, c in enumerate(b.schema.names) if c in ("masks", "weights")}
+            x, y, key = _flat(b.column(1), b.num_rows), _flat(b.column(2), b.num_rows), np.asarray(b.column(0))
+            for k, (w, d) in enumerate(zip(trials, directions, strict=True)):
+                loss, g, n = net.loss_and_gradient(w, x, y, key, step, **more)
+                sums[:, k] += loss, g @ d, n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trials))), *map(pa.array, sums)], names=["k", "loss", "slope", "n"])
+
+    found = examples.select("key", *net.columns).mapInArrow(run, "k long, loss double, slope double, n double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("loss", "slope", "n"))).orderBy("k").collect()  # a row a trial
+    out = np.array([(r["loss"], r["slope"], max(r["n"], 1.0)) for r in found]).reshape(-1, 3).T
+    return out[0] / out[2], out[1] / out[2]
+
+
 #: Values of a slice of summed gradients; partitions whose slices one task adds up in the first of two rounds.
 SUM_VALUES, SUM_FAN = 65_536, 64
 

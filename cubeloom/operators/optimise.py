@@ -41,16 +41,25 @@ def sgd(w: Column, g: Column, v: Column, rate: float, momentum: float, decay: fl
     return w - rate * new - rate * decay * w, new
 
 
-def adam(w: Column, g: Column, m: Column, v: Column, t: int, rate: float, b1: float, b2: float, eps: float) -> tuple[Column, Column, Column]:
+def adam(w, g, m, v, t: int, rate: float, b1: float, b2: float, eps: float):
+    """(new weight, new moments), of columns or of arrays."""
+    root = F.sqrt if isinstance(v, Column) else np.sqrt
     m, v = b1 * m + (1.0 - b1) * g, b2 * v + (1.0 - b2) * g * g
-    return w - (rate * float(np.sqrt(1.0 - b2**t)) / (1.0 - b1**t)) * m / (F.sqrt(v) + eps), m, v
+    return w - (rate * float(np.sqrt(1.0 - b2**t)) / (1.0 - b1**t)) * m / (root(v) + eps), m, v
 
 
-def rprop(w: Column, g: Column, last: Column, step: Column, gain: float, penalty: float, decay: float) -> tuple[Column, Column]:
-    """(new weight, new step): the weight moves by the old step."""
+# Fixed values of the step rule: products of slopes that count as a turn or as agreement, what keeps a division finite, and the least and largest step.
+TURN, AGREE, FLOOR, LEAST_STEP, LARGEST_STEP = -1e-9, 1e-11, 1e-6, 1e-7, 2e-3
+
+
+def rprop(w, g, last, step, gain: float, penalty: float, decay: float):
+    """(new weight, new step), of columns or of arrays: the weight moves by the old step."""
     agree = g * last
-    new = F.when(agree < -1e-9, step * (1.0 - penalty)).when(agree > 1e-11, step * (1.0 + gain)).otherwise(step)
-    return w - step * g / (F.abs(g) + 1e-6) - decay * w, F.least(F.greatest(new, F.lit(1e-7)), F.lit(2e-3))
+    if isinstance(g, Column):
+        new = F.when(agree < TURN, step * (1.0 - penalty)).when(agree > AGREE, step * (1.0 + gain)).otherwise(step)
+        return w - step * g / (F.abs(g) + FLOOR) - decay * w, F.least(F.greatest(new, F.lit(LEAST_STEP)), F.lit(LARGEST_STEP))
+    new = np.where(agree < TURN, step * (1.0 - penalty), np.where(agree > AGREE, step * (1.0 + gain), step))
+    return w - step * g / (np.abs(g) + FLOOR) - decay * w, np.clip(new, LEAST_STEP, LARGEST_STEP)
 
 
 def rate_at(step: Column, start: float, decay: float, every: int, schedule: dict[int, float]) -> Column:

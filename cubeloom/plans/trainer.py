@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.keyed import uniform
 from ..operators import nets, optimise
 from ..operators.batches import Stream
+from ..operators.search import Search
 from ..sources.tables import written
+from . import architecture
 from .network import NetworkConfig
 
 OPTIMISERS = ("SGD", "Adam", "RPROP", "CG", "LBFGS")
@@ -60,10 +62,10 @@ class Trainer:
     """Steps over examples (key and net.columns) dealt to keyed mini-batches, or over the batches of a stream (operators.batches.Stream). Batches of a table are written once,
     in order of their numbers, so a step reads its own alone.
 
-    valid: examples for evaluation. Rates fall by decay every decay_every steps. The state (weights, moments, log) is small and stays on the driver.
+    valid: examples for evaluation. bounds: (low, high) of the weights for LBFGS. Rates fall by decay every decay_every steps. The state (weights, moments, log) is small and stays on the driver.
     """
 
-    def __init__(self, net: nets.Net, examples: DataFrame | Stream, valid: DataFrame | None = None, n_batches: int = 1, rate: float = 0.1, momentum: float = 0.9, weight_decay: float = 0.0, decay: float = 1.0, decay_every: int = 1000, seed: int = 0) -> None:
+    def __init__(self, net: nets.Net, examples: DataFrame | Stream, valid: DataFrame | None = None, n_batches: int = 1, rate: float = 0.1, momentum: float = 0.9, weight_decay: float = 0.0, decay: float = 1.0, decay_every: int = 1000, seed: int = 0, bounds: tuple | None = None) -> None:
         self.stream = examples if isinstance(examples, Stream) else None
         if self.stream:
             self.spark, self.batches = examples.volumes.cubes.sparkSession, None
@@ -72,7 +74,7 @@ class Trainer:
             dealt = examples.select("key", *net.columns).withColumn("batch", F.floor(uniform(f"batch{seed}", F.col("key")) * n_batches).cast("int"))
             # Files hold ranges of batches, and row groups' ends keep a step from reading others.
             self.batches = written(dealt.repartitionByRange("batch", "key").sortWithinPartitions("batch"), "batches") if n_batches > 1 else dealt
-        self.net, self.valid, self.n_batches, self.seed = net, valid, n_batches, seed
+        self.net, self.valid, self.n_batches, self.seed, self.bounds = net, valid, n_batches, seed, bounds
         self.settings = {"rate": rate, "momentum": momentum, "weight_decay": weight_decay, "decay": decay, "decay_every": decay_every}
         self.reset()
 
@@ -100,21 +102,20 @@ class Trainer:
             raise ValueError(f"mode must be one of {', '.join(OPTIMISERS)}")
         batch, s, k = self.batch(self.steps), self.settings, self.steps + 1
         if mode in ("CG", "LBFGS"):
-            at = lambda w: nets.gradient(batch, self.net, w)[:2]
-            self.w, log = (optimise.conjugate_gradient if mode == "CG" else optimise.lbfgs)(at, self.w, 1)
-            loss = log[-1][0] if mode == "CG" else log[-1]
+            search = self.state.setdefault(mode, Search(mode, **({"low": self.bounds[0], "high": self.bounds[1]} if self.bounds and mode == "LBFGS" else {})))
+            at, along = (lambda w: nets.gradient(batch, self.net, w, k)[:2]), (lambda ws, ds: nets.along(batch, self.net, ws, ds, k))
+            # Passes are used again where a step reads the same examples with the same units dropped.
+            same = "all" if self.n_batches == 1 and not self.stream and not any(x.rate for x in self.net.layers) else self.steps
+            self.w, loss = search.step(at, along, self.w, same)
         else:
             loss, g, _ = nets.gradient(batch, self.net, self.w, k)
             held = self.state.setdefault(mode, [np.zeros_like(g), np.full_like(g, 1e-3) if mode == "RPROP" else np.zeros_like(g)])
             if mode == "SGD":
                 self.w, held[0] = optimise.sgd(self.w, g, held[0], self.rate, s["momentum"], s["weight_decay"])
             elif mode == "Adam":
-                held[0], held[1] = 0.9 * held[0] + 0.1 * g, 0.999 * held[1] + 0.001 * g * g
-                self.w = self.w - self.rate * math.sqrt(1.0 - 0.999**k) / (1.0 - 0.9**k) * held[0] / (np.sqrt(held[1]) + 1e-8)
+                self.w, held[0], held[1] = optimise.adam(self.w, g, *held, k, self.rate, 0.9, 0.999, 1e-8)
             else:
-                agree = g * held[0]
-                self.w = self.w - held[1] * g / (np.abs(g) + 1e-6) - s["weight_decay"] * self.w
-                held[1] = np.clip(np.where(agree < -1e-9, held[1] * 0.5, np.where(agree > 1e-11, held[1] * 1.2, held[1])), 1e-7, 2e-3)
+                self.w, held[1] = optimise.rprop(self.w, g, *held, 0.2, 0.5, s["weight_decay"])
                 held[0] = g
         self.steps += 1
         self.log.append((self.steps, float(loss), self.rate))
@@ -158,16 +159,86 @@ class Trainer:
         return self.spark.createDataFrame(rows, "step long, loss double, rate double, valid_loss double, valid_error double")
 
     def save(self, path: str) -> str:
-        """Weights as a table (k, w)."""
-        self.spark.createDataFrame(list(enumerate(self.w.tolist())), "k long, w double").write.mode("overwrite").parquet(path)
-        return path
-
-    def load(self, path: str) -> None:
-        """Weights of a network of the same layers; any other number of them is an error."""
-        rows = self.spark.read.parquet(path).orderBy("k").collect()  # as many as weights
-        if len(rows) != self.net.n_weights:
-            raise ValueError(f"{path} has {len(rows)} weights, the network {self.net.n_weights}")
-        self.w = np.array([r["w"] for r in rows])
+        """The network and its weights as one table (saved_network)."""
+        return saved_network(self.spark, self.net, self.w, path)
+
+    def load(self, path: str, adapt: bool = False, n_layers: int | None = None) -> None:
+        """Weights that save wrote. Those of a network of other layers are an error, or (adapt) are fitted to this one's, its first n_layers alone if that is set."""
+        net, w = loaded_network(self.spark, path)
+        if adapt:
+            self.w = adapted_weights(net, w, self.net, self.w, n_layers)
+        elif len(w) != self.net.n_weights or net.sizes != self.net.sizes:
+            raise ValueError(f"{path} has {len(w)} weights, the network {self.net.n_weights}; or their layers differ")
+        else:
+            self.w = w
+        self.state = {}
+
+
+LAYER = "layer int, kind string, n_in int, n_out int, act string, size array<int>, pool array<int>, rate double, dims int, pooling string, part int, extents array<int>, w binary, shape array<int>, n_lab int, target string"
+
+
+def saved_network(spark, net: nets.Net, w: np.ndarray, path: str) -> str:
+    """One row for each array of weights, with all of its layer and of the network: what a network can be built again from."""
+    rows = []
+    for i, (x, arrays) in enumerate(zip(net.layers, net.unpacked(w), strict=True)):
+        for k, a in enumerate(arrays):
+            size, pool = (list(x.extent), list(x.pools)) if x.kind == "conv" else ([1], [1])
+            rows.append((i, x.kind, x.n_in, x.n_out, x.act, size, pool, x.rate, x.dims, x.pooling, k, list(a.shape), bytearray(np.ascontiguousarray(a, np.float64).tobytes()), list(net.shape), net.n_lab, net.target if isinstance(net.target, str) else "own"))
+    spark.createDataFrame(rows, LAYER).write.mode("overwrite").parquet(path)
+    return path
+
+
+def loaded_network(spark, path: str, extent: tuple[int, ...] | None = None) -> tuple[nets.Net, np.ndarray]:
+    """(network, weights) of saved_network; extent: another input for a network of convolutions, of which the largest that fits is taken, axis by axis."""
+    rows = spark.read.parquet(path).orderBy("layer", "part").collect()  # as much as the weights
+    layers, w = [], []
+    for r in rows:
+        if r["part"] == 0:
+            conv = {"size": tuple(r["size"]), "pool": tuple(r["pool"]), "dims": r["dims"], "pooling": r["pooling"]} if r["kind"] == "conv" else {}
+            layers.append(nets.Layer(r["kind"], r["n_in"], r["n_out"], r["act"], rate=r["rate"], **conv))
+        w.append(np.frombuffer(bytes(r["w"])).copy())
+    if not layers:
+        raise ValueError(f"{path} has no network")
+    target = rows[0]["target"]
+    net = nets.Net(tuple(rows[0]["shape"]), layers, rows[0]["n_lab"], "nll" if target == "own" else target)
+    if extent is not None:
+        net = net.at(fitting(net, extent))
+    return net, np.concatenate(w)
+
+
+def fitting(net: nets.Net, extent: tuple[int, ...]) -> tuple[int, ...]:
+    """The largest input of a network of convolutions within an extent that its pools divide; an error where there is none."""
+    out = []
+    for k, n in enumerate(extent):
+        chain = architecture.chain(tuple(x.extent[k] for x in net._conv()), tuple(x.pools[k] for x in net._conv()))
+        valid = [m for m in range(net.field[k], n + 1) if architecture.extents(m, chain) is not None]
+        if not valid:
+            raise ValueError(f"no input of {n} or fewer fits the layers")
+        out.append(architecture.choose(valid, n))
+    return tuple(out)
+
+
+def adapted_weights(had: nets.Net, old: np.ndarray, net: nets.Net, w: np.ndarray, n_layers: int | None = None) -> np.ndarray:
+    """w with the weights of another network, layer by layer of the same kind: maps and channels from the first again where more are wanted, the first where fewer; filters
+    put in the middle of larger ones, or cropped to their middle. What is new of a filter keeps its value in w; layers of other kinds or axes stay as they are."""
+    out = []
+    most = len(net.layers) if n_layers is None else n_layers
+    for i, (x, arrays) in enumerate(zip(net.layers, net.unpacked(w), strict=True)):
+        same = i < min(most, len(had.layers)) and (had.layers[i].kind, had.layers[i].dims) == (x.kind, x.dims)
+        before = had.unpacked(old)[i] if same else arrays
+        for a, b in zip(arrays, before, strict=True):
+            new = a.copy()
+            maps = min(2, a.ndim) if x.kind == "conv" else a.ndim
+            for k in range(maps):
+                b = np.take(b, np.arange(a.shape[k]) % b.shape[k], axis=k)
+            into, of = [slice(None)] * maps, [slice(None)] * maps
+            for n, m in zip(a.shape[maps:], b.shape[maps:], strict=True):
+                lo, n_same = abs(n - m) // 2, min(n, m)
+                into.append(slice(lo, lo + n_same) if n > m else slice(None))
+                of.append(slice(lo, lo + n_same) if m > n else slice(None))
+            new[tuple(into)] = b[tuple(of)]
+            out.append(new.ravel())
+    return np.concatenate(out)
 
 
 def for_prediction(trainer: Trainer, config: NetworkConfig, side: int | tuple[int, ...]) -> nets.Net:
