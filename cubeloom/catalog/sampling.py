@@ -68,6 +68,13 @@ def priority_update_stream(spark, d):
     return priority.drained(stream, "priorities").select("user_id", r(F.col("prio")).alias("prio"))
 
 
+@query("priority_kept_stream", _PRIORITY)
+def priority_kept_stream(spark, d):
+    """The same from states by example, of which a micro-batch touches those of its own events alone."""
+    losses = priority.loss_stream(spark, f"{d}/events.parquet", "ts").select("user_id", (F.col("event_id") % 1000).alias("visit"), F.col("value").alias("loss"), "ts")
+    return priority.kept_priorities(losses, "user_id", 1000).current().select("user_id", r(F.col("prio")).alias("prio"))
+
+
 CDF = "prio AS (SELECT cube_id, count(*) FILTER (WHERE cls >= 0) AS prio FROM cls8 GROUP BY cube_id), cdf AS (SELECT cube_id, (sum(prio) OVER (ORDER BY cube_id) - prio) / sum(prio) OVER () AS lo, sum(prio) OVER (ORDER BY cube_id) / sum(prio) OVER () AS hi FROM prio)"
 
 
