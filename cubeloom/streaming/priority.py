@@ -114,7 +114,7 @@ def kept_priorities(losses: DataFrame, key: str, iteration: int, forget: str | N
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows = losses.select(key, "visit", "loss", F.unix_millis("ts").alias("ms"), "ts")
+        rows = losses.withColumn("ts", F.col("ts").cast("timestamp")).select(key, "visit", "loss", F.unix_millis("ts").alias("ms"), "ts")
         forget_ms = None
         if forget is not None:
             forget_ms = int(spark.sql(f"SELECT unix_millis(timestamp '1970-01-01 00:00:00Z' + INTERVAL {forget}) AS ms").first()["ms"])
