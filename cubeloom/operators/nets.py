@@ -156,6 +156,78 @@ def target_loss(target: str | Callable, z: np.ndarray, y: np.ndarray, n_lab: int
     return each.sum(axis=1) * known, slope * known[:, None], known
 
 
+def layer_output(layer: Layer, par: list[np.ndarray], x: np.ndarray, key: np.ndarray | None, step: int | None, i: int) -> tuple[np.ndarray, tuple]:
+    """(output, what layer_slopes needs) of the i-th layer for its input."""
+    act = ACTIVATIONS[layer.act]
+    drops = layer.rate and step is not None
+    if layer.kind == "rnn":
+        h = [np.tile(par[3], (len(x), 1))]
+        zs = []
+        for t in range(x.shape[1]):
+            zs.append(x[:, t] @ par[0] + h[-1] @ par[1] + par[2])
+            h.append(act(zs[-1]))
+        g = gate(layer.rate, key, layer.n_out, step * 1009 + i) if drops else None
+        return h[-1] if g is None else h[-1] * g, (x, zs, h, g)
+    if layer.kind == "conv":
+        z = convolved(x, par[0])
+        full, where = z.shape, None
+        if prod(layer.pools) > 1:
+            blocks = pool_blocks(z, layer.pools)
+            where = pool_routes(blocks, layer.pooling)
+            z = np.take_along_axis(blocks, where[..., None], -1)[..., 0]
+        g = gate(layer.rate, key, prod(z.shape[2:]), step * 1009 + i).reshape(len(x), 1, *z.shape[2:]) if drops else None
+        z = (z if g is None else z * g) + par[1].reshape(1, -1, *(1,) * layer.dims)
+        extra = (full, where)
+    else:
+        x = x.reshape(len(x), -1)
+        g = gate(layer.rate, key, layer.n_out, step * 1009 + i) if drops else None
+        z = x @ par[0]
+        z = (z if g is None else z * g) + par[1]
+        extra = ()
+    h = act(z)
+    return h, (x, z, h, g, *extra)
+
+
+def layer_slopes(layer: Layer, par: list[np.ndarray], had: tuple, slope: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(slope by the input, by each parameter) for the slope of a layer's output."""
+    if layer.kind == "rnn":
+        x, zs, h, g = had
+        slope = slope.reshape(h[-1].shape)
+        back = slope if g is None else slope * g
+        g_in, g_hid, g_b = (np.zeros_like(p) for p in par[:3])
+        at_x = np.zeros_like(x)
+        for t in reversed(range(x.shape[1])):
+            d = back * SLOPES[layer.act](zs[t], h[t + 1])
+            g_in, g_hid, g_b = g_in + x[:, t].T @ d, g_hid + h[t].T @ d, g_b + d.sum(axis=0)
+            at_x[:, t], back = d @ par[0].T, d @ par[1].T
+        return at_x, [g_in, g_hid, g_b, back.sum(axis=0)]
+    x, z, h, g = had[:4]
+    d = slope.reshape(z.shape) * SLOPES[layer.act](z, h)
+    if layer.kind == "dense":
+        g_b, d = d.sum(axis=0), d if g is None else d * g
+        return d @ par[0].T, [x.T @ d, g_b]
+    full, where = had[4:]
+    g_b, d = d.sum(axis=(0, *range(2, d.ndim))), d if g is None else d * g
+    if where is not None:
+        blocks = np.zeros((*d.shape, prod(layer.pools)))
+        np.put_along_axis(blocks, where[..., None], d[..., None], -1)
+        d = unpooled(blocks, layer.pools, full)
+    g_w, at_x = convolved_back(x, par[0], d)
+    return at_x, [g_w, g_b]
+
+
+def initial_of(layer: Layer, sizes: list[tuple[int, ...]], rng: np.random.Generator) -> list[np.ndarray]:
+    """Uniform draws on the scale of the fan in and out; recurrent weights by their largest singular value; biases by activation."""
+    out = []
+    for k, s in enumerate(sizes):
+        if len(s) == 1:
+            out.append(np.full(s, {"relu": 1.0, "sigmoid": 0.5}.get(layer.act, 0.0)))
+            continue
+        v = rng.uniform(-1.0, 1.0, s)
+        out.append(v / np.linalg.norm(v, 2) if layer.kind == "rnn" and k == 1 else v * sqrt(2.0 / ((layer.n_in + layer.n_out) * prod(layer.extent))))
+    return out
+
+
 @dataclass
 class Net:
     """Layers over examples of shape (channels, side, side), (channels, depth, side, side), (values,) or, with an rnn first, (steps, values). The last
@@ -210,52 +282,15 @@ class Net:
         return out
 
     def initial(self, seed: int = 0) -> np.ndarray:
-        """Uniform draws on the scale of the fan in and out; recurrent weights by their largest singular value; biases by activation."""
-        rng, out = np.random.default_rng(seed), []
-        for x, sizes in zip(self.layers, self.sizes, strict=True):
-            for k, s in enumerate(sizes):
-                if len(s) == 1:
-                    out.append(np.full(s, {"relu": 1.0, "sigmoid": 0.5}.get(x.act, 0.0)))
-                    continue
-                v = rng.uniform(-1.0, 1.0, s)
-                out.append(v / np.linalg.norm(v, 2) if x.kind == "rnn" and k == 1 else v * sqrt(2.0 / ((x.n_in + x.n_out) * prod(x.extent))))
-        return np.concatenate([v.ravel() for v in out])
+        rng = np.random.default_rng(seed)
+        return np.concatenate([v.ravel() for x, sizes in zip(self.layers, self.sizes, strict=True) for v in initial_of(x, sizes, rng)])
 
     def forward(self, w: np.ndarray, x: np.ndarray, key: np.ndarray | None = None, step: int | None = None) -> tuple[np.ndarray, list]:
         """(linear outputs, what the way back needs). With a step, layers drop units by their rates."""
         kept, x = [], x.reshape(len(x), *self.shape)
         for i, (layer, par) in enumerate(zip(self.layers, self.unpacked(w), strict=True)):
-            act = ACTIVATIONS[layer.act]
-            if layer.kind == "rnn":
-                h = [np.tile(par[3], (len(x), 1))]
-                zs = []
-                for t in range(x.shape[1]):
-                    zs.append(x[:, t] @ par[0] + h[-1] @ par[1] + par[2])
-                    h.append(act(zs[-1]))
-                g = gate(layer.rate, key, layer.n_out, step * 1009 + i) if layer.rate and step is not None else None
-                kept.append((x, zs, h, g))
-                x = h[-1] if g is None else h[-1] * g
-                continue
-            if layer.kind == "conv":
-                z = convolved(x, par[0])
-                full, where = z.shape, None
-                if prod(layer.pools) > 1:
-                    blocks = pool_blocks(z, layer.pools)
-                    where = pool_routes(blocks, layer.pooling)
-                    z = np.take_along_axis(blocks, where[..., None], -1)[..., 0]
-                rest = (1,) * layer.dims
-                g = gate(layer.rate, key, prod(z.shape[2:]), step * 1009 + i).reshape(len(x), 1, *z.shape[2:]) if layer.rate and step is not None else None
-                z = (z if g is None else z * g) + par[1].reshape(1, -1, *rest)
-                extra = (full, where)
-            else:
-                x = x.reshape(len(x), -1)
-                g = gate(layer.rate, key, layer.n_out, step * 1009 + i) if layer.rate and step is not None else None
-                z = x @ par[0]
-                z = (z if g is None else z * g) + par[1]
-                extra = ()
-            h = act(z)
-            kept.append((x, z, h, g, *extra))
-            x = h
+            x, had = layer_output(layer, par, x, key, step, i)
+            kept.append(had)
         if self.by_pixel:
             x = np.moveaxis(x, 1, -1).reshape(-1, x.shape[1])
         return x, kept
@@ -267,34 +302,8 @@ class Net:
             slope = np.moveaxis(slope.reshape(m, *extent, c), -1, 1)
         grads: list[list[np.ndarray]] = []
         for layer, par, had in zip(reversed(self.layers), reversed(self.unpacked(w)), reversed(kept), strict=True):
-            if layer.kind == "rnn":
-                x, zs, h, g = had
-                slope = slope if g is None else slope * g
-                g_in, g_hid, g_b = (np.zeros_like(p) for p in par[:3])
-                back, at_x = slope, np.zeros_like(x)
-                for t in reversed(range(x.shape[1])):
-                    d = back * SLOPES[layer.act](zs[t], h[t + 1])
-                    g_in, g_hid, g_b = g_in + x[:, t].T @ d, g_hid + h[t].T @ d, g_b + d.sum(axis=0)
-                    at_x[:, t], back = d @ par[0].T, d @ par[1].T
-                grads.append([g_in, g_hid, g_b, back.sum(axis=0)])
-                slope = at_x
-                continue
-            x, z, h, g = had[:4]
-            d = slope.reshape(z.shape) * SLOPES[layer.act](z, h)
-            if layer.kind == "dense":
-                g_b, d = d.sum(axis=0), d if g is None else d * g
-                grads.append([x.T @ d, g_b])
-                slope = d @ par[0].T
-                continue
-            full, where = had[4:]
-            g_b, d = d.sum(axis=(0, *range(2, d.ndim))), d if g is None else d * g
-            if where is not None:
-                blocks = np.zeros((*d.shape, prod(layer.pools)))
-                np.put_along_axis(blocks, where[..., None], d[..., None], -1)
-                d = unpooled(blocks, layer.pools, full)
-            g_w, at_x = convolved_back(x, par[0], d)
-            grads.append([g_w, g_b])
-            slope = at_x
+            slope, own = layer_slopes(layer, par, had, slope)
+            grads.append(own)
         return np.concatenate([v.ravel() for x in reversed(grads) for v in x])
 
     def loss_and_gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, key: np.ndarray | None = None, step: int | None = None, masks: np.ndarray | None = None, weights: np.ndarray | None = None) -> tuple[float, np.ndarray, int]:
@@ -454,7 +463,7 @@ def gradient(examples: DataFrame, net: Net, w: np.ndarray, step: int | None = No
         net, w = sent.value
         total = np.zeros(len(w) + 2)
         for b in _batches(batches):
-            more = {c: _flat(b.column(i), b.num_rows) for i, c in enumerate(b.schema.names) if c in ("masks", "weights")}
+            more = {c: _flat(b.column(i), b.num_rows) for i, c in enumerate(b.schema.names) if i > 2}
             loss, g, n = net.loss_and_gradient(w, _flat(b.column(1), b.num_rows), _flat(b.column(2), b.num_rows), np.asarray(b.column(0)), step, **more)
             total += np.concatenate((g, [loss, n]))
         cuts = [total[i : i + SUM_VALUES] for i in range(0, len(total), SUM_VALUES)]
@@ -476,7 +485,7 @@ def along(examples: DataFrame, net: Net, trials: np.ndarray, directions: np.ndar
         net, trials, directions = sent.value
         sums = np.zeros((3, len(trials)))
         for b in _batches(batches):
-            more = {c: _flat(b.column(i), b.num_rows) for i, c in enumerate(b.schema.names) if c in ("masks", "weights")}
+            more = {c: _flat(b.column(i), b.num_rows) for i, c in enumerate(b.schema.names) if i > 2}
             x, y, key = _flat(b.column(1), b.num_rows), _flat(b.column(2), b.num_rows), np.asarray(b.column(0))
             for k, (w, d) in enumerate(zip(trials, directions, strict=True)):
                 loss, g, n = net.loss_and_gradient(w, x, y, key, step, **more)
@@ -515,7 +524,7 @@ def outputs(examples: DataFrame, net: Net, w: np.ndarray, probabilities: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, w = sent.value
         for b in _batches(batches):
-            z, _ = net.forward(w, _flat(b.column(1), b.num_rows))
+            z, _ = net.forward(w, _flat(b.column(1), b.num_rows), **{c: _flat(b.column(i), b.num_rows) for i, c in enumerate(b.schema.names) if i > 1})
             if probabilities:
                 z = probabilities_of(z, net.target)
             each = len(z) // b.num_rows
@@ -523,4 +532,4 @@ def outputs(examples: DataFrame, net: Net, w: np.ndarray, probabilities: bool =
             pos = np.tile(np.repeat(np.arange(each), z.shape[1]), b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pos), pa.array(np.tile(np.arange(z.shape[1]), len(z))), pa.array(z.ravel())], names=["key", "pos", "c", "p"])
 
-    return examples.select("key", "features").mapInArrow(run, "key long, pos long, c long, p double")
+    return examples.select("key", "features", *getattr(net, "more_inputs", [])).mapInArrow(run, "key long, pos long, c long, p double")
