@@ -152,15 +152,22 @@ def forward_conv_pool(spark, d):
 _RNN = {"w_in": [0.5, -0.3], "w_hid": [[0.2, 0.1], [-0.1, 0.3]], "bias": [0.01, -0.02], "start": [0.0, 0.0]}
 
 
-@query(
-    "forward_rnn",
-    f"WITH RECURSIVE q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value / 100.0 AS v FROM events), h AS (SELECT user_id, CAST(-1 AS BIGINT) AS t, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT user_id FROM q) UNION ALL SELECT h.user_id, q.t, tanh(q.v * 0.5 + (a * 0.2 + b * -0.1) + 0.01), tanh(q.v * -0.3 + (a * 0.1 + b * 0.3) - 0.02) FROM h JOIN q ON q.user_id = h.user_id AND q.t = h.t + 1) SELECT user_id, {R('arg_max(a, t)', 4)} AS h0, {R('arg_max(b, t)', 4)} AS h1 FROM h GROUP BY user_id",
-)
+_RNN_SQL = f"WITH RECURSIVE q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value / 100.0 AS v FROM events), h AS (SELECT user_id, CAST(-1 AS BIGINT) AS t, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT user_id FROM q) UNION ALL SELECT h.user_id, q.t, tanh(q.v * 0.5 + (a * 0.2 + b * -0.1) + 0.01), tanh(q.v * -0.3 + (a * 0.1 + b * 0.3) - 0.02) FROM h JOIN q ON q.user_id = h.user_id AND q.t = h.t + 1) SELECT user_id, {R('arg_max(a, t)', 4)} AS h0, {R('arg_max(b, t)', 4)} AS h1 FROM h GROUP BY user_id"
+
+
+@query("forward_rnn", _RNN_SQL)
 def forward_rnn(spark, d):
     h = layers.recurrent(sequences(spark, d).withColumn("value", F.col("value") / 100.0), "user_id", **_RNN)
     return h.select("user_id", r(F.col("h")[0], 4).alias("h0"), r(F.col("h")[1], 4).alias("h1"))
 
 
+@query("forward_rnn_streamed", _RNN_SQL)
+def forward_rnn_streamed(spark, d):
+    """The same with a state that goes along sorted rows, whatever a sequence's length."""
+    h = layers.recurrent_streamed(sequences(spark, d).withColumn("value", F.col("value") / 100.0), "user_id", [_RNN["w_in"]], _RNN["w_hid"], _RNN["bias"], _RNN["start"])
+    return h.select("user_id", r(F.col("h")[0], 4).alias("h0"), r(F.col("h")[1], 4).alias("h1"))
+
+
 @query("autoencoder_reconstruct", with_views(f"SELECT vec_id, w1.i, {R('sum(h * w)', 5)} AS value FROM h1 JOIN w1 USING (o) GROUP BY vec_id, w1.i", "img8", more=", ".join((FEATURES, _W1, _B1, _H1))))
 def autoencoder_reconstruct(spark, d):
     w = weights(spark, "mlp1", {"i": 64, "o": 16}, 0.1581)

@@ -7,7 +7,7 @@ from ..functions.keyed import rounded as r
 from ..functions.keyed import sql_rounded as R
 from ..functions.keyed import sql_uniform as U
 from ..functions.keyed import uniform
-from ..operators import layers, optimise
+from ..operators import kernels, layers, nets, optimise
 from ..plans import trainer
 from ..plans.network import NetworkConfig
 from ..registry import query
@@ -45,7 +45,12 @@ def _delta(spark, d):
 
 
 def gradient(spark, d):
-    return optimise.outer_sum(features(spark, d), _delta(spark, d), "vec_id")
+    """(i, c, g) by the kernels: partitions' sums of packed slopes. Its relational form is outer_sum of _delta, as in gradient_dense."""
+    net = nets.Net((64,), [nets.Layer("dense", 64, 10, "linear")], 10)
+    w = np.concatenate((kernels.weights_array(_weights(spark), {"i": 64, "o": 10}).ravel(), kernels.weights_array(biases(spark, "smb", "o", 10), {"o": 10}, "b")))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda v: r(v.cast("double"), 4)).alias("features"), F.col("label").cast("long").alias("label"))
+    _, g, _ = nets.gradient(rows, net, w)
+    return spark.createDataFrame([(i, c, float(v)) for (i, c), v in np.ndenumerate(g[:640].reshape(64, 10))], "i long, c long, g double")
 
 
 @query("gradient_softmax_nll", with_views(f"SELECT vec_id, c, {R('delta', 7)} AS delta FROM sd", "img8", more=SOFT))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +101,53 @@ def recurrent(seq: DataFrame, key: str, w_in: list[float], w_hid: list[list[floa
     return rows.select(key, F.aggregate("frames", F.array(*(F.lit(x) for x in start)), step).alias("h"))
 
 
+def recurrent_streamed(seq: DataFrame, key: str, w_in: list[list[float]], w_hid: list[list[float]], bias: list[float], start: list[float], n_parts: int | None = None) -> DataFrame:
+    """(key, h, steps): recurrent's last hidden state, of sequences (key, t, value) of any length, value a number or an array of inputs.
+
+    Rows are dealt by key and sorted by key and t, which spills; a task reads its sequences row by row and carries one state of len(bias) numbers from batch to batch, so a
+    sequence never is in memory as a whole. Rows with equal t come in order of their values; a null value is 0.
+    """
+    many = seq.schema["value"].dataType.typeName() == "array"
+    value = F.transform("value", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))) if many else F.array(F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
+    kind = seq.schema[key].dataType.simpleString()
+    rows = seq.select(F.col(key).alias("key"), "t", value.alias("value"))
+    dealt = (rows.repartition(n_parts, "key") if n_parts else rows.repartition("key")).sortWithinPartitions("key", "t", "value").select("key", "value")
+    weights = [np.array(w, np.float64) for w in (w_in, w_hid, bias, start)]
+    width = len(weights[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into, over, bias, start = weights
+        open_key, h, steps, begun = None, start, 0, False
+        done: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            keys, states, counts = zip(*done, strict=True)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(states, pa.list_(pa.float64())), pa.array(counts, pa.int64())], names=[key, "h", "steps"])
+
+        key_type = None
+        for b in batches:
+            key_type = b.column(0).type
+            if not b.num_rows:
+                continue
+            given = np.asarray(b.column(1).flatten()).reshape(b.num_rows, width) @ into + bias
+            keys = b.column(0).to_pylist()
+            for k, x in zip(keys, given, strict=True):
+                if not begun or k != open_key:
+                    if begun:
+                        done.append((open_key, h.tolist(), steps))
+                    open_key, h, steps, begun = k, start, 0, True
+                h = np.tanh(x + h @ over)
+                steps += 1
+            if done:
+                yield out()
+        if begun:
+            done.append((open_key, h.tolist(), steps))
+            yield out()
+
+    return dealt.mapInArrow(run, f"{key} {kind}, h array<double>, steps long")
+
+
 def recurrent_repeated(x: DataFrame, key: str, features: str, w_in: list[list[float]], w_hid: list[list[float]], bias: list[float], start: list[float], iterations: int) -> DataFrame:
     """(key, h): the last hidden state where an input without time, an array of features, is given iterations times."""
     n = len(bias)

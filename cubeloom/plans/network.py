@@ -24,7 +24,7 @@ ACTIVATIONS = ("tanh", "relu", "abs", "sigmoid", "linear")
 class NetworkConfig:
     """What a training run needs to know of its network; wrong combinations are errors when it is made.
 
-    dims: axes of an example of img-img and img-scalar networks. side, and each entry of filters and pool, is a number for all axes or a list with one for each (z, x, y).
+    activation: one for all layers but the last, or a list with one for each. dims: axes of an example of img-img and img-scalar networks. side, and each entry of filters and pool, is a number for all axes or a list with one for each (z, x, y).
     """
 
     mode: str = "img-scalar"
@@ -36,7 +36,8 @@ class NetworkConfig:
     n_filters: list[int] = field(default_factory=list)
     mlp: list[int] = field(default_factory=list)
     rnn: int = 0
-    activation: str = "tanh"
+    activation: str | list[str] = "tanh"
+    pooling: str = "max"
     dropout: list[float] = field(default_factory=list)
     target: str = "nll"
     lazy_labels: bool = False
@@ -45,6 +46,11 @@ class NetworkConfig:
     def axis(self, value: int | list[int], k: int) -> int:
         return value if isinstance(value, int) else value[k]
 
+    def activations(self) -> list[str]:
+        """One for each layer but the last: convolutions, recurrent, dense."""
+        n = len(self.filters) + len(self.mlp) + bool(self.rnn)
+        return [self.activation] * max(n, 1) if isinstance(self.activation, str) else list(self.activation)
+
     def extent(self) -> tuple[int, ...]:
         return tuple(self.axis(self.side, k) for k in range(self.dims))
 
@@ -55,7 +61,8 @@ class NetworkConfig:
 
         need(self.mode in MODES, f"mode must be one of {', '.join(MODES)}")
         need(self.target in TARGETS, f"target must be one of {', '.join(TARGETS)}")
-        need(self.activation.lower() in ACTIVATIONS, f"activation must be one of {', '.join(ACTIVATIONS)}")
+        need(all(a.lower() in ACTIVATIONS for a in self.activations()), f"activation must be one of {', '.join(ACTIVATIONS)}")
+        need(self.pooling in ("max", "maxabs"), "pooling must be max or maxabs")
         need(len(self.filters) == len(self.pool) == len(self.n_filters), "filters, pool and n_filters must have one entry for each layer")
         need(self.mode != "img-img" or not self.mlp, "img-img networks have no dense layers")
         need(self.mode != "img-scalar" or bool(self.mlp), "img-scalar networks need a dense layer")
@@ -63,6 +70,7 @@ class NetworkConfig:
         need(not self.rnn or self.mode == "vect-scalar", "recurrent layers need vect-scalar")
         need(not self.lazy_labels or self.mode == "img-img", "lazy labels need img-img")
         n = len(self.filters) + len(self.mlp) + bool(self.rnn)
+        need(isinstance(self.activation, str) or len(self.activation) == n, "activation is a name or has one for each layer")
         need(len(self.dropout) in (0, n), "dropout is empty or has one rate for each layer")
         need(self.dims in (2, 3), "dims must be 2 or 3")
         need(all(isinstance(v, int) or len(v) == self.dims for v in (self.side, *self.filters, *self.pool)), "side, filters and pools are numbers, or have one for each axis")
@@ -90,7 +98,7 @@ class Network:
     """
 
     def __init__(self, spark, config: NetworkConfig, seed: str = "net", parameters: dict[str, DataFrame] | None = None) -> None:
-        given = [name for name, ok in (("dims 3", config.dims == 2), ("mode img-img", config.mode != "img-img"), ("rnn", not config.rnn), ("dropout", not any(config.dropout)), (f"target {config.target}", config.target == "nll"), ("lazy_labels", not config.lazy_labels)) if not ok]
+        given = [name for name, ok in (("dims 3", config.dims == 2), ("pooling maxabs", config.pooling == "max"), ("activation by layer", isinstance(config.activation, str)), ("mode img-img", config.mode != "img-img"), ("rnn", not config.rnn), ("dropout", not any(config.dropout)), (f"target {config.target}", config.target == "nll"), ("lazy_labels", not config.lazy_labels)) if not ok]
         if given:
             raise ValueError(f"{', '.join(given)}: not in relational form; trainer.built makes such networks")
         self.spark, self.config, self.seed = spark, config, seed

@@ -33,13 +33,14 @@ def built(config: NetworkConfig, target: str | Callable | None = None, side: int
     if target in ("affinity", "malis") and c.dims != 3:
         raise ValueError("affinity targets need a network over volumes (dims 3)")
     rates = iter(c.dropout or [0.0] * (len(c.filters) + len(c.mlp) + bool(c.rnn)))
+    acts = iter(a.lower() for a in c.activations())
     layers: list[nets.Layer] = []
     extent = c.extent() if side is None else nets.per_axis(side, c.dims)
     channels = c.channels
     shape: tuple[int, ...] = (channels, *extent)
     as_tuple = lambda v: v if isinstance(v, int) else tuple(v)
     for f, p, n in zip(c.filters, c.pool, c.n_filters, strict=True):
-        layers.append(nets.Layer("conv", channels, n, c.activation.lower(), as_tuple(f), as_tuple(p), next(rates), c.dims))
+        layers.append(nets.Layer("conv", channels, n, next(acts), as_tuple(f), as_tuple(p), next(rates), c.dims, c.pooling))
         extent = tuple((e - a + 1) // b for e, a, b in zip(extent, layers[-1].extent, layers[-1].pools, strict=True))
         channels = n
     if c.mode == "img-img":
@@ -50,10 +51,10 @@ def built(config: NetworkConfig, target: str | Callable | None = None, side: int
         n_in = math.prod(c.extent()) * c.channels
         shape = (steps, n_in) if c.rnn else (n_in,)
     if c.rnn:
-        layers.append(nets.Layer("rnn", n_in, c.rnn, c.activation.lower(), rate=next(rates)))
+        layers.append(nets.Layer("rnn", n_in, c.rnn, next(acts), rate=next(rates)))
         n_in = c.rnn
     for n in c.mlp:
-        layers.append(nets.Layer("dense", n_in, n, c.activation.lower(), rate=next(rates)))
+        layers.append(nets.Layer("dense", n_in, n, next(acts), rate=next(rates)))
         n_in = n
     return nets.Net(shape, [*layers, nets.Layer("dense", n_in, c.n_lab, "linear")], c.n_lab, target)
 

@@ -103,3 +103,23 @@ def test_examples_without_visits_are_forgotten(spark, tmp_path):
     assert 1 not in got and {2, 3} <= got.keys()
     assert np.isclose(got[2], updated_priority(3.0, 1, 10, 5))  # it came back, with nothing remembered
     assert {r["user_id"] for r in changes.latest().where(~F.col("live")).collect()} == {1}
+
+
+def test_long_sequences_carry_their_state_along(spark):
+    from cubeloom.operators import layers
+
+    rng = np.random.default_rng(4)
+    w_in, w_hid, bias, start = rng.normal(size=(2, 3)), rng.normal(size=(3, 3)) * 0.3, [0.1, 0.0, -0.1], [0.0, 0.2, 0.0]
+    values = rng.normal(size=(40_000, 2))
+    rows = spark.range(40_000).select(F.when(F.col("id") % 20 == 0, F.col("id") % 7).otherwise(99).alias("k"), F.col("id").alias("t"), F.col("id").alias("i"))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(values.tolist())], "i long, value array<double>")
+    df = rows.join(table, "i").repartition(11).unionByName(spark.createDataFrame([(None, 1, 0, [1.0, None])], "k long, t long, i long, value array<double>"))
+    got = {r["k"]: (r["h"], r["steps"]) for r in layers.recurrent_streamed(df, "k", w_in.tolist(), w_hid.tolist(), bias, start, 3).collect()}
+    expected, n = {}, {}
+    for i in range(40_000):
+        k = i % 7 if i % 20 == 0 else 99
+        expected[k] = np.tanh(values[i] @ w_in + expected.get(k, np.array(start)) @ w_hid + bias)
+        n[k] = n.get(k, 0) + 1
+    expected[None], n[None] = np.tanh(np.array([1.0, 0.0]) @ w_in + np.array(start) @ w_hid + bias), 1
+    assert got.keys() == expected.keys() and all(np.allclose(got[k][0], h) and got[k][1] == n[k] for k, h in expected.items())
+    assert layers.recurrent_streamed(df.limit(0), "k", w_in.tolist(), w_hid.tolist(), bias, start).count() == 0

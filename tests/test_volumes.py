@@ -315,3 +315,28 @@ def test_sums_in_slices(spark, monkeypatch):
     loss, g, n = net.loss_and_gradient(w, x, y)
     got = nets.gradient(df, net, w)
     assert n == got[2] and math.isclose(got[0], loss / n) and np.allclose(got[1], g / n)
+
+
+def test_activations_and_pooling_by_configuration():
+    config = NetworkConfig(mode="img-scalar", dims=3, n_lab=2, side=[3, 5, 5], filters=[[2, 2, 2]], pool=[[1, 2, 2]], n_filters=[2], mlp=[3], activation=["abs", "sigmoid"], pooling="maxabs")
+    net = trainer.built(config)
+    assert [x.act for x in net.layers] == ["abs", "sigmoid", "linear"] and net.layers[0].pooling == "maxabs"
+    checked(net, np.random.default_rng(18).normal(size=(3, 75)), np.array([0, 1, -1]))
+    for wrong in ({"activation": ["abs"]}, {"activation": ["abs", "cube"]}, {"pooling": "mean"}):
+        with pytest.raises(ValueError):
+            NetworkConfig(**{**config.__dict__, **wrong})
+
+
+def test_fragments_take_a_fraction_of_the_strided_time():
+    """Two pools of two along two axes: 16 shifts, each the whole network, against one pass."""
+    import time
+
+    net = nets.Net((1, 4, 48, 48), [nets.Layer("conv", 1, 6, "tanh", (1, 3, 3), (1, 2, 2), dims=3), nets.Layer("conv", 6, 8, "tanh", (1, 3, 3), (1, 2, 2), dims=3), nets.Layer("conv", 8, 2, "linear", dims=3)], 2)
+    net = net.at((4, net.field[1] + 31, net.field[2] + 31))
+    w, x = net.initial(1), np.random.default_rng(19).normal(size=(1, *net.shape))
+    took = {}
+    for name in ("dense_by_strides", "dense_by_fragments", "dense_by_strides", "dense_by_fragments"):
+        began = time.process_time()
+        out = getattr(net, name)(w, x)
+        took[name] = time.process_time() - began
+    assert out.shape == (1, 2, 4, 32, 32) and took["dense_by_strides"] > 2 * took["dense_by_fragments"], took
