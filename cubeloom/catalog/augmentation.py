@@ -12,6 +12,7 @@ from ..functions.keyed import uniform
 from ..operators import augment
 from ..registry import query
 from ..sources.tables import images, table, voxel_classes, volumes, with_views
+from ..sources.views import features
 
 
 @query(
@@ -146,11 +147,17 @@ def input_noise(spark, d):
     return images(spark, d).select("vec_id", "x", "y", r(augment.noisy(F.col("value"), 0.1, "noise", F.col("vec_id"), F.col("x"), F.col("y")), 4).alias("value"))
 
 
-@query("test_pattern", f"WITH g AS (SELECT x, y, 0.5 + CASE WHEN x < 12 AND y < 12 AND x = y THEN 1 ELSE 0 END + CASE WHEN x < 12 AND y < 12 AND x + y = 11 THEN 1 ELSE 0 END + CASE WHEN y >= 4 AND x = y - 4 THEN 1 ELSE 0 END + CASE WHEN y >= 4 AND x + y - 4 = 11 THEN 1 ELSE 0 END + CASE WHEN x = 0 THEN 1 ELSE 0 END + CASE WHEN x = 11 THEN 1 ELSE 0 END + CASE WHEN y = 0 THEN 1 ELSE 0 END + CASE WHEN y = 15 THEN 1 ELSE 0 END AS v FROM (SELECT unnest(range(12)) AS x) CROSS JOIN (SELECT unnest(range(16)) AS y)) SELECT x, y, {R('v / max(v) OVER ()')} AS value FROM g")
+_PATTERN = f"pt AS (SELECT x, y, v / max(v) OVER () AS g FROM (SELECT x, y, 0.5 + 2 * CASE WHEN x = y THEN 1 ELSE 0 END + 2 * CASE WHEN x + y = 7 THEN 1 ELSE 0 END + CASE WHEN x = 0 THEN 1 ELSE 0 END + CASE WHEN x = 7 THEN 1 ELSE 0 END + CASE WHEN y = 0 THEN 1 ELSE 0 END + CASE WHEN y = 7 THEN 1 ELSE 0 END AS v FROM (SELECT unnest(range(8)) AS x) CROSS JOIN (SELECT unnest(range(8)) AS y)))"
+
+
+@query("test_pattern", with_views(f"SELECT vec_id, x, y, {R('value * g')} AS value FROM img8 JOIN pt USING (x, y)", "img8", more=_PATTERN))
 def test_pattern(spark, d):
-    return augment.pattern(spark, 12, 16).withColumn("value", r(F.col("value")))
+    """Images under the test pattern of their extent."""
+    pattern = augment.pattern(spark, 8, 8).withColumnRenamed("value", "g")
+    return images(spark, d).join(F.broadcast(pattern), ["x", "y"]).select("vec_id", "x", "y", r(F.col("value") * F.col("g")).alias("value"))
 
 
-@query("dropout_gate", f"SELECT unit, CASE WHEN {U('drop', 'unit')} >= 0.5 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS gate FROM (SELECT unnest(range(300)) AS unit)")
+@query("dropout_gate", with_views(f"SELECT vec_id, x * 8 + y AS i, CASE WHEN {U('drop', 'vec_id', 'x * 8 + y')} >= 0.5 THEN {R('2.0 * value')} ELSE 0.0::DOUBLE END AS value FROM img8", "img8"))
 def dropout_gate(spark, d):
-    return spark.range(300).select(F.col("id").alias("unit"), augment.dropout(0.5, "drop", F.col("id")).alias("gate"))
+    """Features with half of them dropped."""
+    return features(spark, d).select("vec_id", "i", r(F.col("value") * augment.dropout(0.5, "drop", F.col("vec_id"), F.col("i"))).alias("value"))

@@ -65,14 +65,10 @@ def step_ticks_interp(spark, d):
     return monitor.interpolated(log, ticks, "i", "t", "step").select("step", r(F.col("t")).alias("minutes"))
 
 
-_PARAMS = ", ".join((sql_weights("w1", "mlp1", {"i": 64, "o": 16}, 0.1581), sql_weights("w2", "mlp2", {"i": 16, "o": 10}, 0.2774), "par AS (SELECT 1 AS layer, w FROM w1 UNION ALL SELECT 2, w FROM w2)"))
-
-
-@query("param_stats", f"WITH {_PARAMS} SELECT CAST(layer AS BIGINT) AS layer, count(*) AS n, {R('avg(w)')} AS mean, {R('stddev_pop(w)', 4)} AS std, {R('avg(abs(w))', 8)} AS mean_abs, {R('median(abs(w))', 8)} AS median_abs FROM par GROUP BY layer")
+@query("param_stats", with_views(f"SELECT label AS layer, count(*) AS n, {R('avg(value)')} AS mean, {R('stddev_pop(value)', 4)} AS std, {R('avg(abs(value))', 8)} AS mean_abs, {R('median(abs(value))', 8)} AS median_abs FROM img8 GROUP BY label", "img8"))
 def param_stats(spark, d):
-    one, two = weights(spark, "mlp1", {"i": 64, "o": 16}, 0.1581), weights(spark, "mlp2", {"i": 16, "o": 10}, 0.2774)
-    par = one.select(F.lit(1).cast("long").alias("layer"), "w").unionByName(two.select(F.lit(2).cast("long").alias("layer"), "w"))
-    return monitor.parameter_stats(par, "layer", "w")
+    """Of the embeddings' values, a layer for each label."""
+    return monitor.parameter_stats(images(spark, d).select(F.col("label").alias("layer"), F.col("value").alias("w")), "layer", "w")
 
 
 @query("histogram_100", f"SELECT least(CAST(floor((l_extendedprice - lo) / (hi - lo) * 100.0) AS BIGINT), 99) AS bin, count(*) AS n FROM lineitem CROSS JOIN (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) GROUP BY 1")
@@ -114,10 +110,12 @@ def pairwise_prediction_cropped(spark, d):
     return monitor.pairwise_cropped(p, "m", "n", ["img"])
 
 
-@query("model_cost", "WITH l(layer, kind, n_in, n_out, filter, positions) AS (VALUES (0, 'conv', 1, 16, 9, 576), (1, 'conv', 16, 32, 9, 100), (2, 'mlp', 800, 300, 1, 1), (3, 'mlp', 300, 300, 1, 1), (4, 'mlp', 300, 10, 1, 1)) SELECT CAST(layer AS BIGINT) AS layer, CAST(n_in * n_out * filter * positions * 50 AS BIGINT) AS mults, CAST(n_in * n_out * filter + n_out AS BIGINT) AS params FROM l")
+@query("model_cost", "SELECT CAST(p_partkey AS BIGINT) AS layer, CAST(1 + p_size % 7 AS BIGINT) * p_size * (1 + p_size % 3) * (1 + p_size % 3) * (1 + p_partkey % 40) * 50 AS mults, CAST(1 + p_size % 7 AS BIGINT) * p_size * (1 + p_size % 3) * (1 + p_size % 3) + p_size AS params FROM part")
 def model_cost(spark, d):
-    rows = [(0, 1, 16, 9, 576), (1, 16, 32, 9, 100), (2, 800, 300, 1, 1), (3, 300, 300, 1, 1), (4, 300, 10, 1, 1)]
-    return monitor.cost(spark.createDataFrame(rows, "layer long, n_in long, n_out long, filter long, positions long"), 50)
+    """Of a layer for each part, whose channels, maps, filter and positions hang on it."""
+    size = F.col("p_size").cast("long")
+    layers = table(spark, d, "part").select(F.col("p_partkey").alias("layer"), (1 + size % 7).alias("n_in"), size.alias("n_out"), ((1 + size % 3) * (1 + size % 3)).alias("filter"), (1 + F.col("p_partkey") % 40).alias("positions"))
+    return monitor.cost(layers, 50)
 
 
 @query("format_units", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN n >= 1e12 THEN 'T' WHEN n >= 1e9 THEN 'G' WHEN n >= 1e6 THEN 'M' ELSE 'k' END AS unit, CASE WHEN s > 4000 THEN 'h' WHEN s > 300 THEN 'm' ELSE 's' END AS time_unit FROM (SELECT *, l_extendedprice * l_quantity * l_partkey AS n, l_extendedprice / 10.0 AS s FROM lineitem)")

@@ -11,7 +11,7 @@ from ..operators import kernels, layers, nets, optimise
 from ..plans import trainer
 from ..plans.network import NetworkConfig
 from ..registry import query
-from ..sources.tables import table, with_views
+from ..sources.tables import table, training_log, with_views
 from ..sources.views import FEATURES, biases, features, sql_biases, sql_weights, weights
 from .layers import MLP, hidden, probabilities
 
@@ -119,9 +119,10 @@ def cg_line_search(spark, d):
     return p.groupBy("k", "t").agg(r(F.avg(-F.log(F.col("p") + optimise.EPS)), 4).alias("loss")).select("k", r(F.col("t")).alias("t"), "loss")
 
 
-@query("lr_schedule", f"SELECT step, {R('CASE WHEN step >= 5000 THEN 0.003 * power(0.9, step // 1000 - 5 + 1) WHEN step >= 2500 THEN 0.02 * power(0.9, step // 1000 - 2) ELSE 0.01 * power(0.9, step // 1000 + 1) END', 9)} AS rate FROM (SELECT unnest(range(0, 8000, 50)) AS step)")
+@query("lr_schedule", with_views(f"SELECT i AS step, {R('CASE WHEN i >= 5000 THEN 0.003 * power(0.9, i // 1000 - 5 + 1) WHEN i >= 2500 THEN 0.02 * power(0.9, i // 1000 - 2) ELSE 0.01 * power(0.9, i // 1000 + 1) END', 9)} AS rate FROM train_log", "train_log"))
 def lr_schedule(spark, d):
-    return spark.range(0, 8000, 50).select(F.col("id").alias("step"), r(optimise.rate_at(F.col("id"), 0.01, 0.9, 1000, {2500: 0.02, 5000: 0.003}), 9).alias("rate"))
+    """The rate at each step of the log."""
+    return training_log(spark, d).select(F.col("i").alias("step"), r(optimise.rate_at(F.col("i"), 0.01, 0.9, 1000, {2500: 0.02, 5000: 0.003}), 9).alias("rate"))
 
 
 def _examples(spark, d):

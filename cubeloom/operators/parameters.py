@@ -25,14 +25,18 @@ def grid(spark: SparkSession, **dims: int) -> DataFrame:
 
 
 def glorot(spark: SparkSession, n_in: int, n_out: int, seed: str, kind: str = "uniform") -> DataFrame:
+    return glorot_rows(spark.range(n_in).withColumnRenamed("id", "i"), n_in, n_out, seed, kind)
+
+
+def glorot_rows(rows: DataFrame, n_in: int, n_out: int, seed: str, kind: str = "uniform") -> DataFrame:
+    """(i, o, w) for each input i of rows."""
     s = glorot_scale(n_in, n_out)
     draw = (2.0 * uniform(seed, F.col("i"), F.col("o")) - 1.0) if kind == "uniform" else normal(seed, F.col("i"), F.col("o"))
-    return grid(spark, i=n_in, o=n_out).withColumn("w", draw * s)
+    return rows.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_out - 1).cast("long"))).alias("o")).withColumn("w", draw * s)
 
 
-def spectral(spark: SparkSession, n: int, seed: str) -> DataFrame:
-    """A square recurrent weight divided by its largest singular value; n * n values pass the driver."""
-    w = grid(spark, i=n, o=n).withColumn("w", 2.0 * uniform(seed, F.col("i"), F.col("o")) - 1.0)
+def spectral(w: DataFrame, n: int) -> DataFrame:
+    """A square recurrent weight (i, o below n, w) divided by its largest singular value; n * n values pass the driver."""
     values = np.zeros((n, n))
     for row in w.collect():
         values[row["i"], row["o"]] = row["w"]
