@@ -175,36 +175,37 @@ class Trainer:
         self.state = {}
 
 
-LAYER = "layer int, kind string, n_in int, n_out int, act string, size array<int>, pool array<int>, rate double, dims int, pooling string, part int, extents array<int>, w binary, shape array<int>, n_lab int, target string"
+LAYER = "k long, w double, layer int, kind string, n_in int, n_out int, act string, size array<int>, pool array<int>, rate double, dims int, pooling string, shape array<int>, n_lab int, target string"
 
 
 def saved_network(spark, net: nets.Net, w: np.ndarray, path: str) -> str:
-    """One row for each array of weights, with all of its layer and of the network: what a network can be built again from."""
-    rows = []
+    """One row for each weight (k, w), with all of its layer and of the network: what a network can be built again from."""
+    rows, k = [], 0
     for i, (x, arrays) in enumerate(zip(net.layers, net.unpacked(w), strict=True)):
-        for k, a in enumerate(arrays):
-            size, pool = (list(x.extent), list(x.pools)) if x.kind == "conv" else ([1], [1])
-            rows.append((i, x.kind, x.n_in, x.n_out, x.act, size, pool, x.rate, x.dims, x.pooling, k, list(a.shape), bytearray(np.ascontiguousarray(a, np.float64).tobytes()), list(net.shape), net.n_lab, net.target if isinstance(net.target, str) else "own"))
+        size, pool = (list(x.extent), list(x.pools)) if x.kind == "conv" else ([1], [1])
+        about = (i, x.kind, x.n_in, x.n_out, x.act, size, pool, x.rate, x.dims, x.pooling, list(net.shape), net.n_lab, net.target if isinstance(net.target, str) else "own")
+        for v in np.concatenate([a.ravel() for a in arrays]).tolist():
+            rows.append((k, v, *about))
+            k += 1
     spark.createDataFrame(rows, LAYER).write.mode("overwrite").parquet(path)
     return path
 
 
 def loaded_network(spark, path: str, extent: tuple[int, ...] | None = None) -> tuple[nets.Net, np.ndarray]:
     """(network, weights) of saved_network; extent: another input for a network of convolutions, of which the largest that fits is taken, axis by axis."""
-    rows = spark.read.parquet(path).orderBy("layer", "part").collect()  # as much as the weights
-    layers, w = [], []
-    for r in rows:
-        if r["part"] == 0:
-            conv = {"size": tuple(r["size"]), "pool": tuple(r["pool"]), "dims": r["dims"], "pooling": r["pooling"]} if r["kind"] == "conv" else {}
-            layers.append(nets.Layer(r["kind"], r["n_in"], r["n_out"], r["act"], rate=r["rate"], **conv))
-        w.append(np.frombuffer(bytes(r["w"])).copy())
-    if not layers:
+    table = spark.read.parquet(path)
+    rows = table.drop("k", "w").distinct().orderBy("layer").collect()  # a row a layer
+    if not rows:
         raise ValueError(f"{path} has no network")
+    layers = []
+    for r in rows:
+        conv = {"size": tuple(r["size"]), "pool": tuple(r["pool"]), "dims": r["dims"], "pooling": r["pooling"]} if r["kind"] == "conv" else {}
+        layers.append(nets.Layer(r["kind"], r["n_in"], r["n_out"], r["act"], rate=r["rate"], **conv))
     target = rows[0]["target"]
     net = nets.Net(tuple(rows[0]["shape"]), layers, rows[0]["n_lab"], "nll" if target == "own" else target)
     if extent is not None:
         net = net.at(fitting(net, extent))
-    return net, np.concatenate(w)
+    return net, np.array([r["w"] for r in table.select("k", "w").orderBy("k").collect()])  # as many as weights
 
 
 def fitting(net: nets.Net, extent: tuple[int, ...]) -> tuple[int, ...]:
