@@ -11,7 +11,7 @@ from ..plans.network import NetworkConfig
 from ..registry import query
 from ..sources import loaders
 from ..sources.tables import images, table, volumes, voxel_classes, with_views
-from ..sources.views import sql_weights, weights
+from ..sources.views import sequences, sql_weights, weights
 
 _BYTES = "CAST(floor(least(greatest(value + 0.5, 0.0), 1.0) * 255.0) AS BIGINT)"
 _CUBES = f"cu AS (SELECT cube_id, z, x, y, {_BYTES} / 255.0 AS value, CASE WHEN z BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN cls ELSE 0 END AS cls FROM cls8)"
@@ -63,6 +63,34 @@ def save_by_split(spark, d):
     return loaders.saved_by_split(loaders.keyed_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.2, "split"), "orders-by-split").select("o_orderkey", "split")
 
 
+@query("load_table_folds", f"SELECT o_orderkey AS key, CAST(o_custkey AS DOUBLE) AS f0, CAST(month(o_orderdate) AS DOUBLE) AS f1, {R('log10(o_totalprice / max(o_totalprice) OVER () * 9999.0 + 1.0)')} AS label, CASE WHEN ntile(3) OVER (ORDER BY o_orderkey) = 3 THEN 'valid' ELSE 'train' END AS split FROM orders")
+def load_table_folds(spark, d):
+    orders = table(spark, d, "orders").withColumn("month", F.month("o_orderdate"))
+    out = loaders.fold_set(orders, "o_orderkey", ["o_custkey", "month"], "o_totalprice", log_target=True)
+    return out.select("key", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"), r(F.col("label")[0]).alias("label"), "split")
+
+
+_U_SETS = U("tunes", "user_id")
+_SETS = f"fr AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, CASE WHEN {_U_SETS} < 0.2 THEN 'valid' WHEN {_U_SETS} < 0.2 + 0.1 THEN 'test' ELSE 'train' END AS split FROM events)"
+_PLACES = lambda split: f"ln AS (SELECT user_id, count(*) AS n FROM fr WHERE split = '{split}' GROUP BY user_id HAVING count(*) > 20)"
+_WINDOW = f"SELECT slot, user_id, t - s AS k, value FROM (SELECT slot, user_id, CAST(floor({U('tunebt', '1', '0', 'user_id')} * (n - 20 - 1) + 0.5) AS BIGINT) AS s FROM ch) JOIN fr USING (user_id) WHERE t BETWEEN s AND s + 20"
+
+
+@query("load_sequences", f"WITH {_SETS} SELECT user_id, t, value, split FROM fr")
+def load_sequences(spark, d):
+    return loaders.sequence_set(sequences(spark, d), "user_id", 0.2, 0.1, "tunes")
+
+
+@query("sequence_batch_train", f"WITH {_SETS}, {_PLACES('train')}, ch AS (SELECT user_id, n, row_number() OVER (ORDER BY {U('tuneb', '1', 'user_id')}, user_id) - 1 AS slot FROM ln QUALIFY slot < 8) {_WINDOW}")
+def sequence_batch_train(spark, d):
+    return loaders.sequence_batch(load_sequences(spark, d), "user_id", "train", 8, 20, 1, 0, "tuneb")
+
+
+@query("sequence_batch_valid", f"WITH {_SETS}, {_PLACES('valid')}, ch AS (SELECT user_id, n, row_number() OVER (ORDER BY user_id) - 1 AS slot FROM ln QUALIFY slot < 4) {_WINDOW}")
+def sequence_batch_valid(spark, d):
+    return loaders.sequence_batch(load_sequences(spark, d), "user_id", "valid", 4, 20, 1, 0, "tuneb")
+
+
 @query("priority_reset", "SELECT DISTINCT user_id, 0.0::DOUBLE AS prio, 1::BIGINT AS visits FROM events")
 def priority_reset(spark, d):
     return loaders.reset_priorities(table(spark, d, "events"), "user_id")

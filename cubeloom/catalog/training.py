@@ -53,6 +53,52 @@ def gradient(spark, d):
     return spark.createDataFrame([(i, c, float(v)) for (i, c), v in np.ndenumerate(g[:640].reshape(64, 10))], "i long, c long, g double")
 
 
+_MAXOUT = ", ".join(
+    (
+        FEATURES,
+        sql_weights("xw", "maxw", {"i": 64, "o": 8}, 0.5),
+        sql_biases("xb", "maxb", "o", 8),
+        sql_weights("xv", "maxv", {"m": 4}, 0.5),
+        sql_biases("xc", "maxc", "q", 1),
+        "xz AS (SELECT vec_id, label, o, sum(value * w) + any_value(b) AS z FROM feat JOIN xw USING (i) JOIN xb USING (o) GROUP BY vec_id, label, o)",
+        "xh AS MATERIALIZED (SELECT vec_id, label, o // 2 AS m, max(z) AS h, arg_max(o, z) AS o FROM xz GROUP BY vec_id, label, o // 2)",
+        "xy AS MATERIALIZED (SELECT vec_id, sum(h * w) + (SELECT b FROM xc) AS z, any_value(label) AS label FROM xh JOIN xv USING (m) GROUP BY vec_id)",
+    )
+)
+
+
+def _maxout(spark, d):
+    """(examples, network, weights) of a regression of the labels by eight units, the larger of each two, and a linear output."""
+    net = nets.Net((64,), [nets.Layer("dense", 64, 8, "maxout 2"), nets.Layer("dense", 4, 1, "linear")], 1, "regression")
+    flat = lambda table, dims, value="w": kernels.weights_array(table, dims, value).ravel()
+    w = [flat(weights(spark, "maxw", {"i": 64, "o": 8}, 0.5), {"i": 64, "o": 8}), flat(biases(spark, "maxb", "o", 8), {"o": 8}, "b")]
+    w += [flat(weights(spark, "maxv", {"m": 4}, 0.5), {"m": 4}), flat(biases(spark, "maxc", "q", 1), {"q": 1}, "b")]
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda v: r(v.cast("double"), 4)).alias("features"), F.col("label").cast("double").alias("label"))
+    return rows, net, np.concatenate(w)
+
+
+@query("forward_maxout_net", with_views(f"SELECT vec_id, {R('z')} AS z FROM xy", "img8", more=_MAXOUT))
+def forward_maxout_net(spark, d):
+    return nets.outputs(*_maxout(spark, d), probabilities=False).select(F.col("key").alias("vec_id"), r(F.col("p")).alias("z"))
+
+
+@query(
+    "gradient_maxout",
+    with_views(
+        f"SELECT 0::BIGINT AS layer, f.i, xw.o, {R('sum(CASE WHEN xh.o = xw.o THEN 2.0 * (xy.z - xy.label) * xv.w * f.value ELSE 0.0 END) / (SELECT count(*) FROM embeddings)')} AS g "
+        "FROM feat f JOIN xw USING (i) JOIN xh ON xh.vec_id = f.vec_id AND xh.m = xw.o // 2 JOIN xv ON xv.m = xh.m JOIN xy ON xy.vec_id = f.vec_id GROUP BY f.i, xw.o "
+        f"UNION ALL SELECT 1, m, 0, {R('avg(2.0 * (xy.z - xy.label) * h)')} FROM xh JOIN xy USING (vec_id) GROUP BY m",
+        "img8",
+        more=_MAXOUT,
+    ),
+)
+def gradient_maxout(spark, d):
+    """The gradient by every weight (biases aside) of that network's squared error: a unit takes part where it is the larger one."""
+    _, g, _ = nets.gradient(*_maxout(spark, d))
+    rows = [(0, i, o, float(v)) for (i, o), v in np.ndenumerate(g[:512].reshape(64, 8))] + [(1, m, 0, float(v)) for m, v in enumerate(g[520:524])]
+    return spark.createDataFrame(rows, "layer long, i long, o long, g double").withColumn("g", r(F.col("g")))
+
+
 @query("gradient_softmax_nll", with_views(f"SELECT vec_id, c, {R('delta', 7)} AS delta FROM sd", "img8", more=SOFT))
 def gradient_softmax_nll(spark, d):
     return _delta(spark, d).withColumn("delta", r(F.col("delta"), 7))

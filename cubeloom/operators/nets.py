@@ -29,11 +29,20 @@ def per_axis(v: int | tuple[int, ...], dims: int) -> tuple[int, ...]:
     return (v,) * dims if isinstance(v, int) else tuple(v)
 
 
+def maxout_factor(act: str) -> int:
+    """k of maxout k; 1 for other activations, 0 where k is no number of 2 or more."""
+    if not act.startswith("maxout"):
+        return 1
+    k = act.removeprefix("maxout").strip()
+    return int(k) if k.isdecimal() and int(k) > 1 else 0
+
+
 @dataclass(frozen=True)
 class Layer:
     """kind: conv (true convolution over dims axes, then pool, gate, bias, activation), dense, or rnn (over an example's rows, giving the last state).
 
-    size and pool are numbers, or one for each axis. pooling: max, or maxabs, which keeps the value of largest magnitude with its sign.
+    size and pool are numbers, or one for each axis. pooling: max, or maxabs, which keeps the value of largest magnitude with its sign. act: a name, or
+    maxout k, which keeps the largest of k adjacent units or channels (the first in ties): n_out linear units then give n_out / k outputs, maps.
     """
 
     kind: str
@@ -46,6 +55,22 @@ class Layer:
     dims: int = 2
     pooling: str = "max"
 
+    def __post_init__(self) -> None:
+        if not self.factor:
+            raise ValueError(f"{self.act}: maxout needs a number of 2 or more")
+        if self.n_out % self.factor or self.factor > 1 and self.kind == "rnn":
+            raise ValueError(f"{self.act}: {self.n_out} units of a {self.kind} layer can't be dealt to groups of {self.factor}")
+
+    @property
+    def factor(self) -> int:
+        """How many units one output is the largest of."""
+        return maxout_factor(self.act)
+
+    @property
+    def maps(self) -> int:
+        """Outputs (channels, or values)."""
+        return self.n_out // self.factor
+
     @property
     def extent(self) -> tuple[int, ...]:
         return per_axis(self.size, self.dims)
@@ -156,16 +181,35 @@ def target_loss(target: str | Callable, z: np.ndarray, y: np.ndarray, n_lab: int
     return each.sum(axis=1) * known, slope * known[:, None], known
 
 
+def _adjacent(z: np.ndarray, factor: int) -> np.ndarray:
+    """(examples, maps, factor, axes) of linear outputs (examples, channels, axes)."""
+    return z.reshape(len(z), -1, factor, *z.shape[2:])
+
+
+def activated(layer: Layer, z: np.ndarray) -> np.ndarray:
+    return _adjacent(z, layer.factor).max(axis=2) if layer.factor > 1 else ACTIVATIONS[layer.act](z)
+
+
+def activated_back(layer: Layer, z: np.ndarray, h: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The slope by z for the slope of h = activated(layer, z)."""
+    slope = slope.reshape(h.shape)
+    if layer.factor == 1:
+        return slope * SLOPES[layer.act](z, h)
+    groups = _adjacent(z, layer.factor)
+    out = np.zeros_like(groups)
+    np.put_along_axis(out, groups.argmax(axis=2)[:, :, None], slope[:, :, None], 2)
+    return out.reshape(z.shape)
+
+
 def layer_output(layer: Layer, par: list[np.ndarray], x: np.ndarray, key: np.ndarray | None, step: int | None, i: int) -> tuple[np.ndarray, tuple]:
     """(output, what layer_slopes needs) of the i-th layer for its input."""
-    act = ACTIVATIONS[layer.act]
     drops = layer.rate and step is not None
     if layer.kind == "rnn":
         h = [np.tile(par[3], (len(x), 1))]
         zs = []
         for t in range(x.shape[1]):
             zs.append(x[:, t] @ par[0] + h[-1] @ par[1] + par[2])
-            h.append(act(zs[-1]))
+            h.append(activated(layer, zs[-1]))
         g = gate(layer.rate, key, layer.n_out, step * 1009 + i) if drops else None
         return h[-1] if g is None else h[-1] * g, (x, zs, h, g)
     if layer.kind == "conv":
@@ -184,7 +228,7 @@ def layer_output(layer: Layer, par: list[np.ndarray], x: np.ndarray, key: np.nda
         z = x @ par[0]
         z = (z if g is None else z * g) + par[1]
         extra = ()
-    h = act(z)
+    h = activated(layer, z)
     return h, (x, z, h, g, *extra)
 
 
@@ -202,7 +246,7 @@ def layer_slopes(layer: Layer, par: list[np.ndarray], had: tuple, slope: np.ndar
             at_x[:, t], back = d @ par[0].T, d @ par[1].T
         return at_x, [g_in, g_hid, g_b, back.sum(axis=0)]
     x, z, h, g = had[:4]
-    d = slope.reshape(z.shape) * SLOPES[layer.act](z, h)
+    d = activated_back(layer, z, h, slope)
     if layer.kind == "dense":
         g_b, d = d.sum(axis=0), d if g is None else d * g
         return d @ par[0].T, [x.T @ d, g_b]
@@ -361,7 +405,7 @@ class Net:
                 blocks = [pool_blocks(z[_at(offset, n)], q) for offset in np.ndindex(*q)]
                 z = np.concatenate([np.take_along_axis(b, pool_routes(b, layer.pooling)[..., None], -1)[..., 0] for b in blocks])
                 pools.append(q)
-            h = ACTIVATIONS[layer.act](z + par[1].reshape(1, -1, *(1,) * layer.dims))
+            h = activated(layer, z + par[1].reshape(1, -1, *(1,) * layer.dims))
         for q in reversed(pools):
             dims, n = len(q), h.shape[2:]
             split = h.reshape(*q, -1, *h.shape[1:])

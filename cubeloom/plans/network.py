@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed import uniform
 from ..operators import layers as ops
 from ..operators import losses
+from ..operators.nets import maxout_factor
 from ..operators.parameters import bias, glorot_scale, grid
 from . import architecture
 
@@ -24,7 +25,7 @@ ACTIVATIONS = ("tanh", "relu", "abs", "sigmoid", "linear")
 class NetworkConfig:
     """What a training run needs to know of its network; wrong combinations are errors when it is made.
 
-    activation: one for all layers but the last, or a list with one for each. dims: axes of an example of img-img and img-scalar networks. side, and each entry of filters and pool, is a number for all axes or a list with one for each (z, x, y).
+    activation: one for all layers but the last, or a list with one for each (maxout k keeps the largest of k adjacent units). dims: axes of an example of img-img and img-scalar networks. side, and each entry of filters and pool, is a number for all axes or a list with one for each (z, x, y).
     """
 
     mode: str = "img-scalar"
@@ -61,7 +62,7 @@ class NetworkConfig:
 
         need(self.mode in MODES, f"mode must be one of {', '.join(MODES)}")
         need(self.target in TARGETS, f"target must be one of {', '.join(TARGETS)}")
-        need(all(a.lower() in ACTIVATIONS for a in self.activations()), f"activation must be one of {', '.join(ACTIVATIONS)}")
+        need(all(a.lower() in ACTIVATIONS or a.lower().startswith("maxout") and maxout_factor(a.lower()) for a in self.activations()), f"activation must be one of {', '.join(ACTIVATIONS)}, or maxout and a number of 2 or more")
         need(self.pooling in ("max", "maxabs"), "pooling must be max or maxabs")
         need(len(self.filters) == len(self.pool) == len(self.n_filters), "filters, pool and n_filters must have one entry for each layer")
         need(self.mode != "img-img" or not self.mlp, "img-img networks have no dense layers")
@@ -71,6 +72,9 @@ class NetworkConfig:
         need(not self.lazy_labels or self.mode == "img-img", "lazy labels need img-img")
         n = len(self.filters) + len(self.mlp) + bool(self.rnn)
         need(isinstance(self.activation, str) or len(self.activation) == n, "activation is a name or has one for each layer")
+        widths = [*self.n_filters, *([self.rnn] if self.rnn else []), *self.mlp]
+        need(all(w % maxout_factor(a.lower()) == 0 for w, a in zip(widths, self.activations(), strict=False)), "maxout needs layers whose units can be dealt to groups of its number")
+        need(not self.rnn or maxout_factor(self.activations()[0].lower()) == 1, "recurrent layers have no maxout")
         need(len(self.dropout) in (0, n), "dropout is empty or has one rate for each layer")
         need(self.dims in (2, 3), "dims must be 2 or 3")
         need(all(isinstance(v, int) or len(v) == self.dims for v in (self.side, *self.filters, *self.pool)), "side, filters and pools are numbers, or have one for each axis")
@@ -98,7 +102,7 @@ class Network:
     """
 
     def __init__(self, spark, config: NetworkConfig, seed: str = "net", parameters: dict[str, DataFrame] | None = None) -> None:
-        given = [name for name, ok in (("dims 3", config.dims == 2), ("pooling maxabs", config.pooling == "max"), ("activation by layer", isinstance(config.activation, str)), ("mode img-img", config.mode != "img-img"), ("rnn", not config.rnn), ("dropout", not any(config.dropout)), (f"target {config.target}", config.target == "nll"), ("lazy_labels", not config.lazy_labels)) if not ok]
+        given = [name for name, ok in (("dims 3", config.dims == 2), ("pooling maxabs", config.pooling == "max"), ("activation by layer", isinstance(config.activation, str)), ("maxout", not str(config.activation).lower().startswith("maxout")), ("mode img-img", config.mode != "img-img"), ("rnn", not config.rnn), ("dropout", not any(config.dropout)), (f"target {config.target}", config.target == "nll"), ("lazy_labels", not config.lazy_labels)) if not ok]
         if given:
             raise ValueError(f"{', '.join(given)}: not in relational form; trainer.built makes such networks")
         self.spark, self.config, self.seed = spark, config, seed

@@ -42,7 +42,7 @@ def built(config: NetworkConfig, target: str | Callable | None = None, side: int
     for f, p, n in zip(c.filters, c.pool, c.n_filters, strict=True):
         layers.append(nets.Layer("conv", channels, n, next(acts), as_tuple(f), as_tuple(p), next(rates), c.dims, c.pooling))
         extent = tuple((e - a + 1) // b for e, a, b in zip(extent, layers[-1].extent, layers[-1].pools, strict=True))
-        channels = n
+        channels = layers[-1].maps
     if c.mode == "img-img":
         n_out = 2 * c.dims if target in ("affinity", "malis") else c.n_lab
         return nets.Net(shape, [*layers, nets.Layer("conv", channels, n_out, "linear", dims=c.dims)], c.n_lab, target, lazy=c.lazy_labels)
@@ -55,7 +55,7 @@ def built(config: NetworkConfig, target: str | Callable | None = None, side: int
         n_in = c.rnn
     for n in c.mlp:
         layers.append(nets.Layer("dense", n_in, n, next(acts), rate=next(rates)))
-        n_in = n
+        n_in = layers[-1].maps
     return nets.Net(shape, [*layers, nets.Layer("dense", n_in, c.n_lab, "linear")], c.n_lab, target)
 
 

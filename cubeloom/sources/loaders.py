@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
 from ..operators import augment, reshape, sampling
-from .tables import written
+from .tables import indexed, written
 
 _SOURCES: dict[str, Callable] = {}
 
@@ -94,3 +94,41 @@ def reset_priorities(examples: DataFrame, key: str) -> DataFrame:
 def keyed_split(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """df with split: valid for about a share of the keys, else train, by a draw that each key keeps."""
     return df.withColumn("split", F.when(uniform(seed, F.col(key)) < share, "valid").otherwise("train"))
+
+
+def fold_set(df: DataFrame, key: str, features: list[str], target: str, n_folds: int = 3, use_fold: int = 2, log_target: bool = False) -> DataFrame:
+    """(key, features, label, split) of a table: features an array of its columns, label the target as a vector of one (on the scale of
+    reshape.log_scaled where log_target), split valid for the use_fold-th (from 0) of contiguous folds in order of a unique numeric key, else train."""
+    if not 0 <= use_fold < n_folds:
+        raise ValueError(f"use_fold must be 0 to {n_folds - 1}")
+    rows = df.select(F.col(key).alias("key"), F.array(*(F.col(c).cast("double") for c in features)).alias("features"), F.col(target).cast("double").alias("__target"))
+    if log_target:
+        rows = reshape.log_scaled(rows, "__target", "__target")
+    folded = sampling.folds(indexed(rows, "key", "__i"), "__i", F.lit(df.count()), n_folds)
+    return folded.select("key", "features", F.array("__target").alias("label"), F.when(F.col("fold") == use_fold + 1, "valid").otherwise("train").alias("split"))
+
+
+def sequence_set(frames: DataFrame, key: str, valid: float, test: float, seed: str) -> DataFrame:
+    """frames (one row a step of a sequence) with split: about shares valid and test of the sequences are set aside whole, by a draw that each key keeps."""
+    u = uniform(seed, F.col(key))
+    return frames.withColumn("split", F.when(u < valid, "valid").when(u < valid + test, "test").otherwise("train"))
+
+
+def sequence_batch(sets: DataFrame, key: str, split: str, size: int, length: int, epoch: int, batch: int, seed: str) -> DataFrame:
+    """(slot, key, k, and the frame's columns): windows of length steps from drawn places of one batch of sequences, and the step after each (k = length), which is what
+    is to be told. sets: sequence_set's rows with t, a step's number from 0.
+
+    Training sequences come in an order drawn for each epoch, those of valid and test are always the first by key. Sequences of no more than
+    length steps have no window and are left out; where fewer than size are left, a training batch is empty and the others are shorter.
+    """
+    own = sets.where(F.col("split") == split).drop("split")
+    long = written(own.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > length), "sequence-lengths")
+    if split == "train":
+        epochs = own.sparkSession.range(epoch, epoch + 1).withColumnRenamed("id", "epoch")
+        chosen = sampling.shuffled_batches(long, key, size, epochs, seed).where(F.col("batch") == batch).select("slot", key)
+    else:
+        chosen = indexed(long.select(key), key, "slot").where(F.col("slot") < size)
+    start = F.floor(uniform(f"{seed}t", F.lit(epoch), F.lit(batch), F.col(key)) * (F.col("__n") - length - 1) + 0.5)
+    places = chosen.join(long, key).select(key, "slot", start.alias("__s"))
+    met = own.join(F.broadcast(places), key).where(F.col("t").between(F.col("__s"), F.col("__s") + length))  # size rows
+    return met.withColumn("k", F.col("t") - F.col("__s")).drop("t", "__s")

@@ -37,6 +37,41 @@ def test_a_split_reads_its_folder(spark):
     assert 200 < valid.count() < 400 and "PartitionFilters: [isnotnull(split" in valid._jdf.queryExecution().toString()
 
 
+def test_folds_of_a_table(spark):
+    df = spark.createDataFrame([(10 * i, float(i), 2 * i, 99.0) for i in range(1, 9)], "id long, a double, b long, key double")
+    sets = [loaders.fold_set(df, "id", ["a", "b"], "b", 3, k).collect() for k in range(3)]
+    assert [sorted(r["key"] for r in s if r["split"] == "valid") for s in sets] == [[10, 20, 30], [40, 50, 60], [70, 80]]
+    assert all(r["features"] == [r["key"] / 10, r["key"] / 5] and r["label"] == [r["key"] / 5] for r in sets[0])
+    assert loaders.fold_set(df, "id", ["a"], "b", log_target=True).where("key = 80").first()["label"] == [4.0]
+    assert loaders.fold_set(df.limit(0), "id", ["a"], "b").collect() == []
+    with pytest.raises(ValueError, match="use_fold"):
+        loaders.fold_set(df, "id", ["a"], "b", 3, 3)
+
+
+def test_sequences_in_three_sets(spark):
+    lengths = {k: 3 + 7 * (k % 5) for k in range(200)}  # 3, 10, 17, 24, 31
+    frames = spark.createDataFrame([(k, t, [float(k), float(t)]) for k, n in lengths.items() for t in range(n)], "song long, t long, notes array<double>")
+    sets = loaders.sequence_set(frames, "song", 0.2, 0.2, "s")
+    of = {r["song"]: r["split"] for r in sets.select("song", "split").distinct().collect()}
+    assert len(of) == 200 and {s: 20 < list(of.values()).count(s) < 60 for s in ("valid", "test")} == {"valid": True, "test": True}
+    seen = []
+    for batch in range(100):
+        rows = loaders.sequence_batch(sets, "song", "train", 32, 10, 0, batch, "b").collect()
+        if not rows:
+            break
+        songs = {r["song"] for r in rows}
+        seen += songs
+        assert len(songs) == 32 and len(rows) == 32 * 11 and {r["slot"] for r in rows} == set(range(32))
+        for s in songs:
+            window = sorted((r["k"], r["notes"]) for r in rows if r["song"] == s)
+            assert [k for k, _ in window] == list(range(11)) and all(n[0] == s and n[1] == window[0][1][1] + k for k, n in window) and window[-1][1][1] < lengths[s]
+    fit = [k for k, n in lengths.items() if n > 10 and of[k] == "train"]
+    assert len(seen) == len(set(seen)) == len(fit) // 32 * 32 and set(seen) <= set(fit)
+    first = {r["song"] for r in loaders.sequence_batch(sets, "song", "valid", 5, 10, 0, 0, "b").collect()}
+    assert sorted(first) == sorted(k for k, n in lengths.items() if n > 10 and of[k] == "valid")[:5]
+    assert loaders.sequence_batch(sets.limit(0), "song", "test", 5, 10, 0, 0, "b").collect() == []
+
+
 @pytest.mark.parametrize("values", [{"mode": "img-img"}, {"mode": "vect-scalar", "rnn": 3}, {"mlp": [3], "dropout": [0.5]}, {"mlp": [3], "target": "regression"}])
 def test_relational_networks_refuse_what_they_lack(spark, values):
     with pytest.raises(ValueError, match="trainer.built"):

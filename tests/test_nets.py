@@ -14,8 +14,8 @@ PIXELS = NetworkConfig(mode="img-img", n_lab=2, side=8, filters=[3, 2], pool=[1,
 SEQUENCES = NetworkConfig(mode="vect-scalar", n_lab=3, side=2, rnn=4, mlp=[3])
 
 
-def checked(net, x, y, key=None, step=None):
-    w = net.initial(3) + 0.01
+def checked(net, x, y, key=None, step=None, w=None):
+    w = net.initial(3) + 0.01 if w is None else w
     loss, g, _ = net.loss_and_gradient(w, x, y, key, step)
     for i in np.random.default_rng(0).choice(len(w), min(60, len(w)), replace=False):
         d = np.zeros_like(w)
@@ -31,6 +31,39 @@ def test_gradients_of_convolutions_and_pools(act):
     checked(net, rng.normal(size=(4, 64)), np.array([0, 2, -1, 1]))
 
 
+def test_gradients_of_maxout():
+    rng = np.random.default_rng(11)
+    mixed = NetworkConfig(mode="img-scalar", n_lab=3, filters=[3, 2], pool=[2, 1], n_filters=[6, 4], mlp=[6], activation=["maxout 3", "tanh", "maxout 2"], dropout=[0.2, 0.0, 0.3])
+    net = trainer.built(mixed)
+    assert [x.maps for x in net.layers] == [2, 4, 3, 3] and net.layers[1].n_in == 2
+    checked(net, rng.normal(size=(4, 64)), np.array([0, 2, -1, 1]))
+    apart = net.initial(3) + rng.normal(size=net.n_weights) * 0.05  # with equal biases, dropped units tie, and a tie has no slope
+    checked(net, rng.normal(size=(4, 64)), np.array([0, 2, 0, 1]), np.arange(4), 5, apart)
+    pixels = NetworkConfig(mode="img-img", n_lab=2, dims=3, side=6, filters=[2, 2], pool=[1, 1], n_filters=[4, 4], activation="maxout 2")
+    checked(trainer.built(pixels), rng.normal(size=(2, 216)), rng.integers(-1, 2, (2, 64)))
+
+
+def test_maxout_of_adjacent_channels_and_fragments():
+    rng = np.random.default_rng(12)
+    layer = nets.Layer("conv", 1, 4, "maxout 2", 2, 1)
+    x, par = rng.normal(size=(3, 1, 5, 5)), [rng.normal(size=(4, 1, 2, 2)), rng.normal(size=4)]
+    h, (_, z, *_) = nets.layer_output(layer, par, x, None, None, 0)
+    assert h.shape == (3, 2, 4, 4) and (h == np.maximum(z[:, 0::2], z[:, 1::2])).all()
+    net = trainer.built(NetworkConfig(mode="img-img", n_lab=2, side=9, filters=[2, 2], pool=[2, 1], n_filters=[4, 2], activation="maxout 2")).at((12, 12))
+    w, x = net.initial(1), rng.normal(size=(2, 144))
+    assert np.allclose(net.dense_by_fragments(w, x), net.dense_by_strides(w, x))
+    ties = np.zeros((1, 4))
+    assert nets.activated_back(nets.Layer("dense", 1, 4, "maxout 2"), ties, ties[:, :2], np.ones((1, 2))).tolist() == [[1, 0, 1, 0]]
+
+
+@pytest.mark.parametrize("values", [{"mlp": [5], "activation": "maxout 2"}, {"mlp": [4], "activation": "maxout 1"}, {"mlp": [4], "activation": "maxout"}, {"mode": "vect-scalar", "rnn": 4, "activation": "maxout 2"}])
+def test_maxout_that_does_not_fit_is_refused(values):
+    with pytest.raises(ValueError, match="maxout"):
+        NetworkConfig(**values)
+    with pytest.raises(ValueError, match="maxout"):
+        nets.Layer("dense", 3, 5, "maxout 2")
+
+
 @pytest.mark.parametrize("target", ["nll", "nll_weak", "regression", "nll_mutiple_binary"])
 def test_gradients_of_targets(target):
     rng = np.random.default_rng(2)
@@ -75,6 +108,14 @@ def test_a_trained_net_over_a_larger_input(spark):
     assert np.allclose(whole[2:7, 3:8], part)
 
 
+def test_a_saved_network_with_maxout(spark, tmp_path):
+    net = trainer.built(NetworkConfig(mode="img-scalar", n_lab=3, filters=[3], pool=[2], n_filters=[4], mlp=[6], activation="maxout 2"))
+    w = net.initial(2)
+    had, v = trainer.loaded_network(spark, trainer.saved_network(spark, net, w, str(tmp_path / "n")))
+    x = np.random.default_rng(0).normal(size=(2, 64))
+    assert [(x.act, x.maps, x.extent) for x in had.layers] == [(x.act, x.maps, x.extent) for x in net.layers] and np.allclose(had.forward(v, x)[0], net.forward(w, x)[0])
+
+
 @pytest.fixture(scope="module")
 def examples(spark):
     rng = np.random.default_rng(6)
