@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from ..operators import losses
 from ..operators.nets import maxout_factor
 from ..operators.parameters import bias, glorot_scale, grid
 from . import architecture
+from .settings import checked_values
 
 # Names that users type in configurations.
 MODES = ("img-img", "img-scalar", "vect-scalar")
@@ -85,13 +85,8 @@ class NetworkConfig:
 
     @classmethod
     def parsed(cls, values: dict) -> NetworkConfig:
-        """From a flat dict; an unknown key is an error that names the nearest known one."""
-        known = [f.name for f in fields(cls)]
-        for k in values:
-            if k not in known:
-                near = difflib.get_close_matches(k, known, 1, 0.0)[0]
-                raise KeyError(f"unknown key {k!r}; did you mean {near!r}?")
-        return cls(**values)
+        """From a flat dict; an unknown key is an error that names the nearest known one, a value of another type one that names the key."""
+        return cls(**checked_values(cls, values))
 
 
 class Network:

@@ -14,11 +14,11 @@ from ..functions.keyed import uniform
 from ..operators import nets, optimise
 from ..operators.batches import Stream
 from ..operators.search import Search
-from ..sources.tables import written
+from ..sources.loaders import keyed_split
+from ..sources.tables import exists, written
 from . import architecture
 from .network import NetworkConfig
-
-OPTIMISERS = ("SGD", "Adam", "RPROP", "CG", "LBFGS")
+from .settings import OPTIMISERS, TrainingSettings
 
 
 def built(config: NetworkConfig, target: str | Callable | None = None, side: int | tuple[int, ...] | None = None, steps: int = 1) -> nets.Net:
@@ -79,6 +79,24 @@ class Trainer:
         self.settings = {"rate": rate, "momentum": momentum, "weight_decay": weight_decay, "decay": decay, "decay_every": decay_every}
         self.reset()
 
+    @classmethod
+    def of(cls, net: nets.Net, examples: DataFrame, settings: TrainingSettings) -> Trainer:
+        """A trainer by settings, which sets aside their share of the examples."""
+        split = keyed_split(examples, "key", settings.valid_share, f"valid{settings.seed}")
+        valid = split.where("split = 'valid'").drop("split") if settings.valid_share else None
+        own = {k: getattr(settings, k) for k in ("n_batches", "rate", "momentum", "weight_decay", "decay", "decay_every", "seed")}
+        return cls(net, split.where("split = 'train'").drop("split"), valid, **own)
+
+    def run_by(self, settings: TrainingSettings) -> DataFrame:
+        """run by settings, and the weights saved where they say."""
+        if settings.save and not settings.overwrite and exists(self.spark, settings.save):
+            raise FileExistsError(f"{settings.save} exists; overwrite is not set")
+        most = math.inf if settings.most_seconds is None else settings.most_seconds
+        log = self.run(settings.steps, settings.mode, settings.evaluate_every, settings.save_every, f"{settings.save}.steps" if settings.save else None, most)
+        if settings.save:
+            self.save(settings.save)
+        return log
+
     def reset(self) -> None:
         """Weights as at first, no moments, an empty log."""
         self.w, self.state, self.log, self.history, self.steps = self.net.initial(self.seed), {}, [], [], 0

@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or _local[0]).rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, label: str, mode: str = "errorifexists", path: str | None = None, by: str | None = None, **options: str) -> DataFrame:
     """df written as Parquet (in folders by a column) and read back: the sink, and the way to cut a long lineage."""
     path = path or f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.__main__ import main
+from cubeloom.plans import settings, trainer
 from cubeloom.plans.network import Network, NetworkConfig
 from cubeloom.sources import loaders
 
@@ -88,3 +89,52 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "w")).count() == 64 * 4 + 4 + 4 * 10 + 10
     with pytest.raises(SystemExit):
         main(["query", "nothing", DATA])
+
+
+def test_settings_of_a_file_over_defaults(tmp_path):
+    file = lambda name, values: (tmp_path / name).write_text(json.dumps(values)) and str(tmp_path / name)
+    defaults = file("defaults.json", {"network": {"n_lab": 3, "side": 4}, "training": {"rate": 1, "steps": 7}})
+    own = file("own.json", {"network": {"mode": "vect-scalar", "mlp": [5], "side": 2}, "training": {"steps": 2}})
+    network, training = settings.read_settings(own, defaults)
+    assert network == {"mode": "vect-scalar", "mlp": [5], "side": 2, "n_lab": 3} and training == {"rate": 1, "steps": 2}
+    assert settings.TrainingSettings.parsed(training).rate == 1 and NetworkConfig.parsed(network).n_lab == 3
+    with pytest.warns(UserWarning, match="n_lab, side, filters, pool, n_filters"):
+        assert settings.read_settings(file("flat.json", {"mode": "img-scalar", "mlp": [4]})) == ({"mode": "img-scalar", "mlp": [4]}, {})
+    with pytest.raises(KeyError, match="did you mean 'training'"):
+        settings.read_settings(file("odd.json", {"network": {}, "trainin": {}}))
+    with pytest.raises(ValueError, match="object"):
+        settings.read_settings(file("list.json", [1]))
+
+
+@pytest.mark.parametrize("values", [{"steps": "3"}, {"steps": True}, {"rate": None}, {"steps": 0}, {"mode": "Newton"}, {"evaluate_every": 2}, {"save_every": 1}, {"valid_share": 1.0}, {"most_seconds": "long"}, {"overwrite": 1}])
+def test_wrong_settings_are_refused(values):
+    with pytest.raises(ValueError, match=next(iter(values))):
+        settings.TrainingSettings.parsed(values)
+
+
+@pytest.mark.parametrize("values", [{"filters": 3}, {"filters": ["3"]}, {"mode": 1}, {"lazy_labels": 1}, {"dropout": [None]}, {"side": 8.5}])
+def test_network_values_of_other_types_are_refused(values):
+    with pytest.raises(ValueError, match=next(iter(values))):
+        NetworkConfig.parsed({"mlp": [4], **values})
+    with pytest.raises(KeyError, match="did you mean 'filters'"):
+        NetworkConfig.parsed({"filter": [3]})
+
+
+def test_training_by_settings_with_a_source_of_ones_own(spark, tmp_path, monkeypatch):
+    (tmp_path / "own_source.py").write_text(
+        "from pyspark.sql import functions as F\nfrom cubeloom.sources.loaders import register_source\n\n\n"
+        "@register_source('own-pairs', (2,), 2)\ndef pairs(spark, path):\n    return spark.range(40).select(F.col('id').alias('key'), F.array((F.col('id') % 2).cast('double'), F.lit(1.0)).alias('features'), (F.col('id') % 2).alias('label'))\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "net.json").write_text(json.dumps({"network": {"mode": "vect-scalar", "n_lab": 2, "side": 1, "channels": 2, "mlp": [4], "activation": "maxout 2"}, "training": {"steps": 4, "valid_share": 0.25, "evaluate_every": 2, "save_every": 4}}))
+    run = ["train", str(tmp_path / "net.json"), "own-pairs", "none", "--module", "own_source", "--save", str(tmp_path / "w")]
+    main([*run, "--steps", "4"])
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 2 * 4 + 4 + 2 * 2 + 2 and (tmp_path / "w.steps").exists()
+    with pytest.raises(FileExistsError):
+        main(run)
+    whole = loaders.source("own-pairs", spark, "")
+    t = trainer.Trainer.of(trainer.built(NetworkConfig(mode="vect-scalar", n_lab=2, side=1, channels=2, mlp=[4])), whole, settings.TrainingSettings(valid_share=0.25, steps=4, evaluate_every=2))
+    log = t.run_by(settings.TrainingSettings(valid_share=0.25, steps=4, evaluate_every=2)).orderBy("step").collect()
+    assert [r["valid_loss"] is None for r in log] == [True, False, True, False] and log[3]["loss"] < log[0]["loss"]
+    ids = lambda df: {r["key"] for r in df.collect()}
+    assert ids(t.valid).isdisjoint(ids(t.batches)) and ids(t.valid) | ids(t.batches) == set(range(40)) and t.valid.count() > 2
