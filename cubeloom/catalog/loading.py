@@ -29,6 +29,14 @@ def load_cubes(spark, d):
     return _cubes(spark, d).withColumn("value", r(F.col("value")))
 
 
+@query("load_arrays", f"SELECT vec_id AS cube_id, p // 16 AS z, p // 4 % 4 AS x, p % 4 AS y, {R('embedding[p + 1]')} AS value, CASE WHEN label % 2 = 0 THEN 0 WHEN embedding[p + 1] > 0 THEN 1 ELSE 0 END::BIGINT AS cls FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS p)")
+def load_arrays(spark, d):
+    """Every vector as a volume of 4 x 4 x 4, with labels where its own label is odd and none elsewhere."""
+    sign = F.when(F.col("label") % 2 == 1, F.transform("embedding", lambda v: (v > 0).cast("int")))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("data"), sign.alias("classes"))
+    return loaders.cubes_of_arrays(e, "vec_id", (4, 4, 4), "data", "classes").withColumn("value", r(F.col("value")))
+
+
 _SET = f"{_CUBES}, cr AS (SELECT cube_id, z, x - 1 AS x, y - 1 AS y, value, cls FROM cu WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6), ms AS (SELECT avg(a) AS m, avg(b) AS s FROM (SELECT avg(value) AS a, stddev_pop(value) AS b FROM cr GROUP BY cube_id))"
 
 

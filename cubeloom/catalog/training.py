@@ -136,6 +136,34 @@ def train_sgd_step(spark, d):
     return _state(spark, d).select("i", "c", r(w).alias("w"), r(v).alias("v"))
 
 
+_TWO_STEPS = ", ".join(
+    (
+        SOFT,
+        "u1 AS MATERIALIZED (SELECT sw.i, sw.o AS c, w - 0.1 * g - 0.1 * 0.001 * w AS w, g AS v FROM sw JOIN sg ON sg.i = sw.i AND sg.c = sw.o)",
+        "ub AS MATERIALIZED (SELECT sb.o AS c, b - 0.1 * g - 0.1 * 0.001 * b AS b FROM sb JOIN (SELECT c, sum(delta) AS g FROM sd GROUP BY c) d ON d.c = sb.o)",
+        "uz AS (SELECT vec_id, label, c, sum(value * w) + any_value(b) AS z FROM feat JOIN u1 USING (i) JOIN ub USING (c) GROUP BY vec_id, label, c)",
+        "up AS (SELECT vec_id, label, c, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM uz)",
+        "ul AS (SELECT *, sum(CASE WHEN c = label THEN p END) OVER (PARTITION BY vec_id) AS own FROM up)",
+        f"ud AS MATERIALIZED (SELECT vec_id, c, (p - CASE WHEN c = label THEN 1.0 ELSE 0.0 END) * (own / (own + {_E})) / (SELECT count(*) FROM embeddings) AS delta FROM ul)",
+        "ug AS (SELECT i, c, sum(value * delta) AS g FROM feat JOIN ud USING (vec_id) GROUP BY i, c)",
+    )
+)
+
+
+@query("trainer_two_steps", with_views(f"SELECT i, c, {R('w - 0.05 * (g + 0.9 * v) - 0.05 * 0.001 * w')} AS w FROM u1 JOIN ug USING (i, c)", "img8", more=_TWO_STEPS))
+def trainer_two_steps(spark, d):
+    """The weights after a trainer's two steps with momentum, weight decay and a rate that its schedule halves, begun anew after a step that is thrown away."""
+    net = nets.Net((64,), [nets.Layer("dense", 64, 10, "linear")], 10)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda v: r(v.cast("double"), 4)).alias("features"), F.col("label").cast("long").alias("label"))
+    t = trainer.Trainer(net, e, rate=0.1, momentum=0.9, weight_decay=0.001, schedule={1: 0.05})
+    t.training_step()
+    t.reset()
+    t.w = np.concatenate((kernels.weights_array(_weights(spark), {"i": 64, "o": 10}).ravel(), kernels.weights_array(biases(spark, "smb", "o", 10), {"o": 10}, "b")))
+    for _ in range(2):
+        t.training_step()
+    return spark.createDataFrame([(i, c, float(v)) for (i, c), v in np.ndenumerate(t.w[:640].reshape(64, 10))], "i long, c long, w double").withColumn("w", r(F.col("w")))
+
+
 _M, _V = "(0.9 * a + 0.1 * g)", "(0.999 * abs(b) + 0.001 * g * g)"
 
 

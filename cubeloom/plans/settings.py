@@ -7,7 +7,7 @@ import json
 import types
 import typing
 import warnings
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 # Names that users type in configurations.
 OPTIMISERS = ("SGD", "Adam", "RPROP", "CG", "LBFGS")
@@ -42,7 +42,7 @@ def checked_values(cls: type, values: dict) -> dict:
 
 @dataclass
 class TrainingSettings:
-    """How a network is trained. valid_share: examples set aside for evaluation, by a draw that each keeps; save: a folder for the weights, which must
+    """How a network is trained. valid_share: examples set aside for evaluation, by a draw that each keeps; schedule: pairs of a number of steps and the rate set after them; save: a folder for the weights, which must
     not exist yet unless overwrite."""
 
     steps: int = 10
@@ -53,6 +53,7 @@ class TrainingSettings:
     weight_decay: float = 0.0
     decay: float = 1.0
     decay_every: int = 1000
+    schedule: list[list[float]] = field(default_factory=list)
     seed: int = 0
     valid_share: float = 0.0
     evaluate_every: int = 0
@@ -67,6 +68,8 @@ class TrainingSettings:
         for name in ("steps", "n_batches", "decay_every"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be 1 or more")
+        if not all(len(p) == 2 and p[0] >= 0 and p[0] == int(p[0]) for p in self.schedule):
+            raise ValueError("schedule has pairs of a number of steps and a rate")
         if not 0 <= self.valid_share < 1:
             raise ValueError("valid_share must be 0 or more, and below 1")
         if self.evaluate_every and not self.valid_share:

@@ -63,10 +63,11 @@ class Trainer:
     """Steps over examples (key and net.columns) dealt to keyed mini-batches, or over the batches of a stream (operators.batches.Stream). Batches of a table are written once,
     in order of their numbers, so a step reads its own alone.
 
-    valid: examples for evaluation. bounds: (low, high) of the weights for LBFGS. Rates fall by decay every decay_every steps. The state (weights, moments, log) is small and stays on the driver.
+    valid: examples for evaluation. bounds: (low, high) of the weights for LBFGS. Rates fall by decay every decay_every steps; schedule: rates set anew
+    after so many steps, which fall from there on. The state (weights, moments, log) is small and stays on the driver.
     """
 
-    def __init__(self, net: nets.Net, examples: DataFrame | Stream, valid: DataFrame | None = None, n_batches: int = 1, rate: float = 0.1, momentum: float = 0.9, weight_decay: float = 0.0, decay: float = 1.0, decay_every: int = 1000, seed: int = 0, bounds: tuple | None = None) -> None:
+    def __init__(self, net: nets.Net, examples: DataFrame | Stream, valid: DataFrame | None = None, n_batches: int = 1, rate: float = 0.1, momentum: float = 0.9, weight_decay: float = 0.0, decay: float = 1.0, decay_every: int = 1000, seed: int = 0, bounds: tuple | None = None, schedule: dict[int, float] | None = None) -> None:
         self.stream = examples if isinstance(examples, Stream) else None
         if self.stream:
             self.spark, self.batches = examples.volumes.cubes.sparkSession, None
@@ -76,6 +77,7 @@ class Trainer:
             # Files hold ranges of batches, and row groups' ends keep a step from reading others.
             self.batches = written(dealt.repartitionByRange("batch", "key").sortWithinPartitions("batch"), "batches") if n_batches > 1 else dealt
         self.net, self.valid, self.n_batches, self.seed, self.bounds = net, valid, n_batches, seed, bounds
+        self.schedule = dict(sorted((schedule or {}).items()))
         self.settings = {"rate": rate, "momentum": momentum, "weight_decay": weight_decay, "decay": decay, "decay_every": decay_every}
         self.reset()
 
@@ -85,7 +87,7 @@ class Trainer:
         split = keyed_split(examples, "key", settings.valid_share, f"valid{settings.seed}")
         valid = split.where("split = 'valid'").drop("split") if settings.valid_share else None
         own = {k: getattr(settings, k) for k in ("n_batches", "rate", "momentum", "weight_decay", "decay", "decay_every", "seed")}
-        return cls(net, split.where("split = 'train'").drop("split"), valid, **own)
+        return cls(net, split.where("split = 'train'").drop("split"), valid, schedule={int(k): r for k, r in settings.schedule}, **own)
 
     def run_by(self, settings: TrainingSettings) -> DataFrame:
         """run by settings, and the weights saved where they say."""
@@ -113,7 +115,8 @@ class Trainer:
     @property
     def rate(self) -> float:
         s = self.settings
-        return s["rate"] * s["decay"] ** (self.steps // s["decay_every"])
+        at, rate = max(((k, r) for k, r in self.schedule.items() if k <= self.steps), default=(0, s["rate"]))
+        return rate * s["decay"] ** (self.steps // s["decay_every"] - at // s["decay_every"])
 
     def training_step(self, mode: str = "SGD") -> float:
         """One step by an optimiser's rule; the loss before it (after it for CG and LBFGS)."""

@@ -48,6 +48,19 @@ def read_cubes(data: DataFrame, label: DataFrame, side: int, label_side: int, of
     return reshape.downsampled(met, factor, side) if factor > 1 else met
 
 
+def cubes_of_arrays(df: DataFrame, key: str, extent: tuple[int, int, int], data: str = "data", label: str | None = None) -> DataFrame:
+    """(cube_id, z, x, y, value, cls) of whole volumes held as one flat array a row (z by z, then by x): numbers as they are, labels as read_cubes takes them, 0 where
+    label is none or null. An array of another length than the extent's is an error; a null one has no voxels."""
+    n = extent[0] * extent[1] * extent[2]
+    sized = lambda c: F.when(F.size(c) != n, F.raise_error(F.concat(F.lit(f"{c} has not {n} values, row "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col(c))
+    classes = F.lit(None) if label is None else F.when(F.col(label).isNotNull(), sized(label))
+    rows = df.where(F.col(data).isNotNull()).select(F.col(key).alias("cube_id"), sized(data).alias("__data"), classes.alias("__label"))
+    flat = rows.select("cube_id", "__label", F.posexplode("__data").alias("p", "value"))
+    cls = F.lit(0) if label is None else F.coalesce(F.col("__label")[F.col("p")], F.lit(0))
+    place = [F.expr(f"p div {extent[1] * extent[2]}").alias("z"), F.expr(f"p div {extent[2]} % {extent[1]}").alias("x"), (F.col("p") % extent[2]).cast("long").alias("y")]
+    return flat.select("cube_id", *place, F.col("value").cast("double").alias("value"), cls.cast("long").alias("cls"))
+
+
 def cube_set(cubes: DataFrame, side: int, patch: int, valid: list[int]) -> tuple[DataFrame, int, DataFrame]:
     """(voxels with split, number of classes, priorities of training cubes) of read_cubes' rows: cropped to patch in x and y, standardised, the
     cubes in valid set aside; a training cube's priority is how many labelled voxels it has."""

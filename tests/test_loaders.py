@@ -38,6 +38,27 @@ def test_a_split_reads_its_folder(spark):
     assert 200 < valid.count() < 400 and "PartitionFilters: [isnotnull(split" in valid._jdf.queryExecution().toString()
 
 
+def test_arrays_as_cubes(spark):
+    df = spark.createDataFrame([(1, [float(v) for v in range(12)], list(range(12))), (2, [0.5] * 12, None), (3, None, None)], "id long, data array<double>, lab array<int>")
+    got = loaders.cubes_of_arrays(df, "id", (2, 3, 2), label="lab").collect()
+    assert sorted((r["z"] * 6 + r["x"] * 2 + r["y"], r["value"], r["cls"]) for r in got if r["cube_id"] == 1) == [(k, float(k), k) for k in range(12)]
+    assert {(r["z"], r["x"], r["y"]) for r in got if r["cube_id"] == 2} == {(z, x, y) for z in range(2) for x in range(3) for y in range(2)} and {r["cls"] for r in got if r["cube_id"] == 2} == {0}
+    assert {r["cls"] for r in loaders.cubes_of_arrays(df, "id", (2, 3, 2)).collect()} == {0} and loaders.cubes_of_arrays(df.limit(0), "id", (2, 3, 2)).collect() == []
+    with pytest.raises(Exception, match="has not 8 values"):
+        loaders.cubes_of_arrays(df, "id", (2, 2, 2)).collect()
+
+
+def test_a_schedule_sets_rates(spark):
+    net = trainer.built(NetworkConfig(mode="vect-scalar", n_lab=2, side=1, channels=2, mlp=[2]))
+    e = spark.createDataFrame([(1, [0.0, 1.0], 1)], "key long, features array<double>, label long")
+    t = trainer.Trainer(net, e, rate=1.0, decay=0.5, decay_every=10, schedule={25: 8.0, 12: 4.0})
+    rates = []
+    for t.steps in (0, 9, 10, 11, 12, 19, 20, 24, 25, 30):
+        rates.append(t.rate)
+    assert rates == [1, 1, 0.5, 0.5, 4, 4, 2, 2, 8, 4]
+    assert trainer.Trainer.of(net, e, settings.TrainingSettings.parsed({"schedule": [[3, 0.5]]})).schedule == {3: 0.5}
+
+
 def test_folds_of_a_table(spark):
     df = spark.createDataFrame([(10 * i, float(i), 2 * i, 99.0) for i in range(1, 9)], "id long, a double, b long, key double")
     sets = [loaders.fold_set(df, "id", ["a", "b"], "b", 3, k).collect() for k in range(3)]
@@ -106,7 +127,7 @@ def test_settings_of_a_file_over_defaults(tmp_path):
         settings.read_settings(file("list.json", [1]))
 
 
-@pytest.mark.parametrize("values", [{"steps": "3"}, {"steps": True}, {"rate": None}, {"steps": 0}, {"mode": "Newton"}, {"evaluate_every": 2}, {"save_every": 1}, {"valid_share": 1.0}, {"most_seconds": "long"}, {"overwrite": 1}])
+@pytest.mark.parametrize("values", [{"steps": "3"}, {"steps": True}, {"rate": None}, {"steps": 0}, {"mode": "Newton"}, {"evaluate_every": 2}, {"save_every": 1}, {"valid_share": 1.0}, {"schedule": [[1]]}, {"schedule": [[1.5, 1]]}, {"most_seconds": "long"}, {"overwrite": 1}])
 def test_wrong_settings_are_refused(values):
     with pytest.raises(ValueError, match=next(iter(values))):
         settings.TrainingSettings.parsed(values)
