@@ -87,19 +87,23 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
         wanted, memo = sent.value, _Numbers(sent.value)
         for k, b in enumerate(s for whole in batches for s in slices(whole, 1, SHARD_CHARS)):
             shard = TaskContext.get().partitionId() << 32 | k
-            n = np.zeros(b.num_rows, np.int64)
-            term_of = []
+            n, first = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            # Only words that are terms are kept, in 4 bytes each for term and place.
+            flat, place, at = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)], 0
             for i, t in enumerate(b.column(1)):
                 w = words(t.as_py())
-                n[i] = len(w)
-                term_of.append(np.fromiter(map(memo.__getitem__, w), np.int32, len(w)))
-            first = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
-            flat = np.concatenate([np.zeros(0, np.int32), *term_of])
-            place = np.arange(len(flat)) + np.repeat(np.arange(b.num_rows), n)
-            held = np.flatnonzero(flat >= 0)
-            order = held[np.argsort(flat[held], kind="stable")]
-            found, at = np.unique(flat[order], return_index=True)
-            lists = np.split(place[order].astype(np.uint32), at[1:]) if len(found) else []
+                term_of = np.fromiter(map(memo.__getitem__, w), np.int32, len(w))
+                held = np.flatnonzero(term_of >= 0)
+                flat.append(term_of[held])
+                place.append((held + at).astype(np.uint32))
+                first[i], n[i] = at, len(w)
+                at += len(w) + 1
+            flat, place = np.concatenate(flat), np.concatenate(place)
+            order = np.argsort(flat, kind="stable")
+            flat, place = flat[order], place[order]
+            del order
+            found, at = np.unique(flat, return_index=True)
+            lists = np.split(place, at[1:]) if len(found) else []
             ids = b.column(0)
             head = np.concatenate((first, n)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +210,7 @@ def _answers(index: DataFrame, items: list[tuple[str | None, str]], window: int,
                 inside = np.searchsorted(first, spans[:, 0], side="right") == np.searchsorted(first, spans[:, 1], side="right")
                 for d in np.unique(np.searchsorted(first, spans[inside, 0], side="right") - 1):
                     near[d] |= who
-        covered = np.flatnonzero(np.cumsum(hit)[:total] > 0)
+        covered = np.flatnonzero(np.cumsum(hit, dtype=np.int32)[:total] > 0)
         cut = np.searchsorted(covered, np.append(first, total))
         hits = [(covered[cut[d] : cut[d + 1]] - first[d]).astype(np.uint32).tobytes() for d in range(len(n))]
         named = [[sorted(x for x in s if x is not None) for s in sets] for sets in (of, near)]

@@ -1,11 +1,13 @@
 """What a Python worker keeps from task to task: one thing at a time, so its memory is that of one operator.
 
 Workers outlive tasks and stages. An operator's word table is worth keeping while its tasks follow each other; the
-next operator's tasks drop it.
+next operator's tasks drop it. What an earlier task freed goes back to the system as well: allocators keep freed pages for
+reuse, and a worker that has run several operators would otherwise hold the largest needs of each.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from typing import Any
 
@@ -23,6 +25,12 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def released() -> None:
-    if _held[0] is not None:
-        _held[:] = [None, None]
-        pa.default_memory_pool().release_unused()
+    """Drops what is held, and gives freed memory back to the system."""
+    _held[:] = [None, None]
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+#: malloc_trim of the C library, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
