@@ -1,14 +1,16 @@
 """Volumes as pieces, cut into tiles with halos: what networks over whole volumes are run and trained on.
 
 A piece is a box of a volume in one row: key, origin z, x, y, extents nz, nx, ny, and its values as one array (channel by channel, then z, x, y). Where
-a tile overlaps a piece it gets that part of it; parts are shuffled by volume and tile, so a task holds one tile at a time, however large its
-volume is and whatever the pieces' layout. A plane is a volume of depth 1.
+a tile overlaps a piece it gets that part of it; parts are shuffled by volume and tile, so a task holds a bounded number of values at a time, however
+large its volume is and whatever the pieces' layout. Small tiles that are neighbours travel as one, which reads their common halo once, and
+small tiles share a call. A plane is a volume of depth 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,18 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded
 from . import nets
+from .graph import by_whole_volumes
 
 ORIGIN, EXTENT = ("z", "x", "y"), ("nz", "nx", "ny")
 PIECE = "key long, z int, x int, y int, nz int, nx int, ny int, values array<double>"
 PART = "key long, tz int, tx int, ty int, kind int, z int, x int, y int, nz int, nx int, ny int, values binary"
 
 
+#: Values that a tile reads up to which neighbours are joined to it, and tiles share a call; tiles that a network runs on at once.
+TILE_VALUES, AT_ONCE = 4096, 64
+KEYS = ("key", "tz", "tx", "ty")
+
+
 def _box(row: dict, names: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(int(row[n]) for n in names)
 
@@ -56,6 +64,15 @@ class Plan:
         """The volume's position that a tile reads first; below 0 in mirrored edges."""
         return tuple(t * o - e for t, o, e in zip(tile, self.own, self.lead, strict=True))
 
+    def joined(self, values: int | None = None) -> Plan:
+        """The plan of twice, four times ... the own positions, as long as a tile reads no more than so many values (TILE_VALUES) and the result has more."""
+        plan, most = self, TILE_VALUES if values is None else values
+        while True:
+            more = replace(plan, own=tuple(2 * o if o < r else o for o, r in zip(plan.own, plan.result, strict=True)))
+            if more.own == plan.own or prod(more.read) > most:
+                return plan
+            plan = more
+
     def of(self, axis: int, lo: int, hi: int) -> range:
         """Tiles along an axis that read any of the positions lo to hi - 1."""
         own, e, n = self.own[axis], self.lead[axis], self.tiles[axis]
@@ -109,18 +126,27 @@ def assembled(table: pa.Table, plan: Plan, tile: tuple[int, ...], channels: int,
     return out
 
 
-def by_tile(pieces: DataFrame, plan: Plan, run: Callable[[tuple, pa.Table], pa.Table], schema: str, more: DataFrame | None = None) -> DataFrame:
-    """run on each tile's parts; more: further parts (of another kind) of the same tiles."""
+def by_tile(pieces: DataFrame, plan: Plan, run: Callable[[pa.Table], pa.Table], schema: str, more: DataFrame | None = None) -> DataFrame:
+    """run on tables of whole tiles' parts, tile by tile: many small ones, or a large one; more: further parts (of another kind) of the same tiles."""
     met = parts(pieces, plan)
     met = met if more is None else met.unionByName(more)
-    return met.groupBy("key", "tz", "tx", "ty").applyInArrow(run, schema)
+    return by_whole_volumes(met, KEYS, run, schema) if prod(plan.read) <= TILE_VALUES else met.groupBy(*KEYS).applyInArrow(run, schema)
+
+
+def _each(table: pa.Table) -> Iterator[tuple[int, tuple[int, ...], pa.Table]]:
+    """(key, tile, parts) of each tile in a table."""
+    keys = [np.asarray(table.column(c)) for c in KEYS]
+    ends = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+    for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), table.num_rows], strict=True):
+        if hi > lo:
+            yield int(keys[0][lo]), tuple(int(k[lo]) for k in keys[1:]), table.slice(lo, hi - lo)
 
 
 def predicted(pieces: DataFrame, extent: tuple[int, int, int], net: nets.Net, w: np.ndarray, own: tuple[int, int, int], how: str = "fragments", mirrored: bool = False) -> DataFrame:
     """Pieces of a network's probabilities at every position of volumes of one extent that the network's field fits (with mirrored: at every position), class by
     class; how: fragments, or strides, which runs the network on every shift.
 
-    own: positions of the result for each tile, multiples of the network's strides. The network is one of convolutions, over volumes or (depth 1) over
+    own: least positions of the result for each tile, multiples of the network's strides; neighbouring tiles are joined (Plan.joined). The network is one of convolutions, over volumes or (depth 1) over
     planes; its weights go along with the tasks.
     """
     flat = net.layers[0].dims == 2
@@ -132,18 +158,25 @@ def predicted(pieces: DataFrame, extent: tuple[int, int, int], net: nets.Net, w:
     plan = Plan(tuple(extent), tuple(own), tuple(f - 1 for f in field), lead)
     if min(plan.result) < 1 or any(e > n for e, n in zip(lead, extent, strict=True)):
         raise ValueError("the volumes are smaller than the network's field")
+    plan = plan.joined()
+    own = plan.own
     tile_net = net.at(plan.read[1:] if flat else plan.read)
     sent = pieces.sparkSession.sparkContext.broadcast((tile_net, w))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    schema = pa.schema([("key", pa.int64()), *((c, pa.int32()) for c in (*ORIGIN, *EXTENT)), ("values", pa.list_(pa.float64()))])
+
+    def run(table: pa.Table) -> pa.Table:
         net, w = sent.value
-        tile = tuple(k.as_py() for k in key[1:])
-        x = assembled(table, plan, tile, net.shape[0])
-        z = (net.dense_by_fragments if how == "fragments" else net.dense_by_strides)(w, x.reshape(1, *net.shape))[0]
-        p = nets.probabilities_of(z.reshape(len(z), -1).T, net.target).T.reshape(len(z), *own)
-        n = [min(o, r - t * o) for o, r, t in zip(own, plan.result, tile, strict=True)]
-        p = p[(slice(None), *map(slice, n))]
-        return pa.table([[key[0].as_py()], *([t * o] for t, o in zip(tile, own, strict=True)), *([v] for v in n), [p.ravel()]], schema=pa.schema([("key", pa.int64()), *((c, pa.int32()) for c in (*ORIGIN, *EXTENT)), ("values", pa.list_(pa.float64()))]))
+        rows: list[tuple] = []
+        each = list(_each(table))
+        for k in range(0, len(each), AT_ONCE):
+            some = each[k : k + AT_ONCE]
+            x = np.stack([assembled(found, plan, tile, net.shape[0]).reshape(net.shape) for _, tile, found in some])
+            for (key, tile, _), z in zip(some, (net.dense_by_fragments if how == "fragments" else net.dense_by_strides)(w, x), strict=True):
+                p = nets.probabilities_of(z.reshape(len(z), -1).T, net.target).T.reshape(len(z), *own)
+                n = [min(o, r - t * o) for o, r, t in zip(own, plan.result, tile, strict=True)]
+                rows.append((key, *(t * o for t, o in zip(tile, own, strict=True)), *n, p[(slice(None), *map(slice, n))].ravel()))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return by_tile(pieces, plan, run, PIECE)
 
@@ -158,26 +191,37 @@ def examples(pieces: DataFrame, labels: DataFrame, extent: tuple[int, int, int],
     plan = Plan(tuple(extent), tuple(own), tuple(f - 1 for f in field))
     mid = tuple((f - 1) // 2 for f in field)
     n_tiles = plan.tiles
-    inner = Plan(tuple(extent), tuple(own), (0, 0, 0), tuple(-m for m in mid), n_tiles)
+    joined = plan.joined()
+    inner = Plan(tuple(extent), joined.own, (0, 0, 0), tuple(-m for m in mid), joined.tiles)
     channels, result = net.shape[0], plan.result
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        tile = tuple(k.as_py() for k in key[1:])
-        kinds = np.asarray(table.column("kind"))
-        x = assembled(table.filter(pa.array(kinds == 0)), plan, tile, channels)
-        y = assembled(table.filter(pa.array(kinds == 1)), inner, tile, 1, -1.0)[0]
-        for axis in range(3):
-            beyond = np.arange(tile[axis] * own[axis], (tile[axis] + 1) * own[axis]) >= result[axis]
-            y[(slice(None),) * axis + (beyond,)] = -1
-        y = y[tuple(slice(None, None, s) for s in strides)]
-        number = ((key[0].as_py() * n_tiles[0] + tile[0]) * n_tiles[1] + tile[1]) * n_tiles[2] + tile[2]
-        # With pools, the last output of a tile needs no more than the network's own extent for so many outputs.
-        need = tuple((n - 1) * s + f for n, s, f in zip(y.shape, strides, field, strict=True))
-        x = x[(slice(None), *map(slice, need))]
-        return pa.table([[number], [x.ravel()], [y.ravel().astype(np.int64)]], schema=pa.schema([("key", pa.int64()), ("features", pa.list_(pa.float64())), ("label", pa.list_(pa.int64()))]))
+    # With pools, the last output of a tile needs no more than the network's own extent for so many outputs.
+    need = example_extent(net, own)
+    share = tuple(a // b for a, b in zip(joined.own, own, strict=True))
+    schema = pa.schema([("key", pa.int64()), ("features", pa.list_(pa.float64())), ("label", pa.list_(pa.int64()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for key, large, found in _each(table):
+            kinds = np.asarray(found.column("kind"))
+            boxes = np.array([[*_box(r, ORIGIN), *_box(r, EXTENT)] for r in found.select([*ORIGIN, *EXTENT]).to_pylist()])
+            whole = assembled(found.filter(pa.array(kinds == 0)), joined, large, channels)
+            labels = assembled(found.filter(pa.array(kinds == 1)), inner, large, 1, -1.0)[0]
+            for axis in range(3):
+                beyond = np.arange(large[axis] * joined.own[axis], (large[axis] + 1) * joined.own[axis]) >= result[axis]
+                labels[(slice(None),) * axis + (beyond,)] = -1
+            for part in np.ndindex(*share):
+                tile = tuple(t * n + i for t, n, i in zip(large, share, part, strict=True))
+                at = np.array(part) * own
+                met = (boxes[:, :3] < at + np.where(kinds[:, None] == 0, plan.read, own)) & (boxes[:, :3] + boxes[:, 3:] > at)
+                if any(t >= n for t, n in zip(tile, n_tiles, strict=True)) or not met.all(axis=1).any():
+                    continue
+                x = whole[(slice(None), *(slice(a, a + n) for a, n in zip(at, need, strict=True)))]
+                y = labels[tuple(slice(a, a + o, s) for a, o, s in zip(at, own, strides, strict=True))]
+                rows.append((((key * n_tiles[0] + tile[0]) * n_tiles[1] + tile[1]) * n_tiles[2] + tile[2], x.ravel(), y.ravel().astype(np.int64)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 3, schema, strict=True)], schema=schema)
 
     # A tile without any labels of its own (all beyond the volume) can't be: its first position is inside the result.
-    return by_tile(pieces, plan, run, "key long, features array<double>, label array<long>", parts(labels, inner, 1))
+    return by_tile(pieces, joined, run, "key long, features array<double>, label array<long>", parts(labels, inner, 1))
 
 
 def example_extent(net: nets.Net, own: tuple[int, int, int]) -> tuple[int, ...]:

@@ -340,3 +340,24 @@ def test_fragments_take_a_fraction_of_the_strided_time():
         out = getattr(net, name)(w, x)
         took[name] = time.process_time() - began
     assert out.shape == (1, 2, 4, 32, 32) and took["dense_by_strides"] > 2 * took["dense_by_fragments"], took
+
+
+def test_small_tiles_travel_joined(spark, monkeypatch):
+    """Neighbours share a halo and a call; examples and probabilities are those of tiles on their own."""
+    plan = tiles.Plan((8, 8, 8), (2, 2, 2), (5, 5, 5), (2, 2, 2))
+    assert plan.joined().own == (8, 8, 8) and plan.joined(400) == plan
+    rng, extent = np.random.default_rng(13), (7, 9, 8)
+    net, w = fitted_net(extent, n_lab=2)
+    volumes = {k: rng.normal(size=(1, *extent)) for k in (2, 5)}
+    pieces, own = as_pieces(spark, volumes, ([3], [], [5])), (2, 4, 2)
+    labels = as_pieces(spark, {k: (v > 0).astype(float) for k, v in volumes.items()}, ([], [4], []))
+    assert tiles.parts(pieces, tiles.Plan(extent, own, tuple(f - 1 for f in net.field)).joined()).count() < tiles.parts(pieces, tiles.Plan(extent, own, tuple(f - 1 for f in net.field))).count()
+
+    def found():
+        p = put_together(tiles.predicted(pieces, extent, net, w, own), (2, *(n - f + 1 for n, f in zip(extent, net.field, strict=True))))
+        return p, {r["key"]: (r["features"], r["label"]) for r in tiles.examples(pieces, labels, extent, net, own).collect()}
+
+    p, joined = found()
+    monkeypatch.setattr(tiles, "TILE_VALUES", 1)
+    q, alone = found()
+    assert joined == alone and all(np.allclose(p[k], q[k]) for k in volumes)
