@@ -361,3 +361,18 @@ def test_small_tiles_travel_joined(spark, monkeypatch):
     monkeypatch.setattr(tiles, "TILE_VALUES", 1)
     q, alone = found()
     assert joined == alone and all(np.allclose(p[k], q[k]) for k in volumes)
+
+
+def test_validation_examples_are_made_once(spark):
+    """An evaluation reads them several times, and there are many evaluations."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(k, [float(k % 3), 1.0], k % 2) for k in range(20)]
+    examples = spark.createDataFrame(rows, "key long, features array<double>, label long")
+    t = trainer.Trainer(nets.Net((2,), [nets.Layer("dense", 2, 2, "linear")], 2), examples, examples.mapInArrow(count, examples.schema))
+    assert t.evaluate() == t.evaluate() and made.value == 20
