@@ -208,12 +208,14 @@ def _by_cell(boxes: DataFrame, pieces: DataFrame, grid: tuple[int, int, int], ru
     """run(boxes' rows, [(piece's origin, array)]) in each cell of each volume."""
     names = ("key", *CELL)
     left = _cells(boxes, grid).withColumnsRenamed({n: f"b{n}" for n in names})
+    # Only cells that a box touches are grouped; boxes are as many as a range's draws and tries.
+    touched = left.select(*(F.col(f"b{n}").alias(n) for n in names)).distinct()
 
     def met(boxes: pa.Table, there: pa.Table) -> pa.Table:
         found = [(o, np.asarray(v.values, np.float64).reshape(-1, *e)) for o, e, v in zip(_rows(there, tiles.ORIGIN), _rows(there, tiles.EXTENT), there.column("values"), strict=True)] if boxes.num_rows else []
         return run(boxes, found)
 
-    return left.groupBy(*(f"b{n}" for n in names)).cogroup(_in_cells(pieces, grid).groupBy(*names)).applyInArrow(met, schema)
+    return left.groupBy(*(f"b{n}" for n in names)).cogroup(_in_cells(pieces, grid).join(F.broadcast(touched), list(names), "left_semi").groupBy(*names)).applyInArrow(met, schema)
 
 
 def _unlabelled(boxes: pa.Table, pieces: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:

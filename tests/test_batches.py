@@ -195,3 +195,21 @@ def test_draws_match_the_columns(spark):
 
     got = spark.range(50).select("id", uniform("s", F.col("id"), F.lit(3)).alias("u")).collect()
     assert all(r["u"] == batches.uniform("s", r["id"], 3) for r in got) and tables.SIDE == 8
+
+
+def test_only_touched_cells_are_grouped(spark):
+    """One box in one of 50 volumes: the others' pieces meet no call."""
+    import pyarrow as pa
+
+    from cubeloom.operators import batches, tiles
+
+    calls = spark.sparkContext.accumulator(0)
+    pieces = spark.createDataFrame([(k, 0, 0, 0, 1, 2, 2, [float(k)] * 4) for k in range(50)], tiles.PIECE)
+    boxes = spark.createDataFrame([(0, 0, 7, 0, 0, 0, 0, 1, 1, 1)], batches.BOX)
+
+    def run(boxes, found):
+        calls.add(1)
+        return pa.table({"draw": boxes.column("draw"), "v": [float(found[0][1].sum())] * boxes.num_rows if found else pa.array([], pa.float64())})
+
+    assert [tuple(r) for r in batches._by_cell(boxes, pieces, (2, 2, 2), run, "draw long, v double").collect()] == [(0, 28.0)]
+    assert calls.value == 1
