@@ -8,7 +8,7 @@ from ..functions.keyed import sql_normal as N
 from ..functions.keyed import sql_rounded as R
 from ..operators import kernels, layers
 from ..registry import query
-from ..sources.tables import images, table, volumes, with_views
+from ..sources.tables import images, table, task_parts, volumes, with_views
 from ..sources.views import FEATURES, biases, features, sequences, sql_biases, sql_weights, weights
 
 _W1, _B1 = sql_weights("w1", "mlp1", {"i": 64, "o": 16}, 0.1581), sql_biases("b1", "mlp1b", "o", 16)
@@ -214,11 +214,17 @@ def weight_sharing(spark, d):
 AFFINITY = f"{sql_weights('aw', 'aff', {'head': 3, 'c': 2, 'kx': 2, 'ky': 2}, 0.5)}, az AS (SELECT cube_id, head, c, z, x - 1 + kx AS x, y - 1 + ky AS y, sum(value * w) AS v FROM vol8 CROSS JOIN aw WHERE x - 1 + kx BETWEEN 0 AND 6 AND y - 1 + ky BETWEEN 0 AND 6 GROUP BY ALL), ap AS (SELECT cube_id, head, c, z, x, y, exp(v) / sum(exp(v)) OVER (PARTITION BY cube_id, head, z, x, y) AS p FROM az)"
 
 
+def affinity_rows(spark, d):
+    """About how many rows affinity has: six for each voxel."""
+    return table(spark, d, "embeddings").count() * 64 * 6
+
+
 def affinity(spark, d):
     """cube_id, head, c, d (the z axis), x, y, p: three two-class heads on one weight table."""
     w = weights(spark, "aff", {"head": 3, "c": 2, "kx": 2, "ky": 2}, 0.5).select((F.col("head") * 2 + F.col("c")).alias("f"), F.lit(0).cast("long").alias("ch"), "kx", "ky", "w")
     zero = spark.range(6).select(F.col("id").alias("f"), F.lit(0.0).alias("b"))
-    x = volumes(spark, d).withColumnRenamed("z", "d").withColumn("ch", F.lit(0).cast("long"))
+    # Slices stay in their task through the sums and the softmax.
+    x = volumes(spark, d).withColumnRenamed("z", "d").withColumn("ch", F.lit(0).cast("long")).repartition(task_parts(spark, affinity_rows(spark, d)), "cube_id", "d")
     z = layers.conv(x, w, zero, ["cube_id", "d"], {"x": 8, "y": 8}, {"x": 2, "y": 2})
     heads = z.select("cube_id", F.expr("f div 2").alias("head"), (F.col("f") % 2).alias("c"), "d", "x", "y", "z")
     return layers.softmax(heads, ["cube_id", "head", "d", "x", "y"])

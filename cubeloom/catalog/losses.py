@@ -9,9 +9,9 @@ from ..functions.keyed import uniform
 from ..operators import losses
 from ..operators.graph import affinity_edges
 from ..registry import query
-from ..sources.tables import images, table, voxel_segments, volumes, with_views
+from ..sources.tables import images, table, task_parts, voxel_segments, volumes, with_views
 from ..sources.views import cube_info, features
-from .layers import AFFINITY, MLP, affinity, probabilities
+from .layers import AFFINITY, MLP, affinity, affinity_rows, probabilities
 
 # y: the label, or -1 for every fifth image (unlabelled)
 _Y = "t AS (SELECT *, CASE WHEN vec_id % 5 = 0 THEN -1 ELSE label END AS y FROM p2)"
@@ -102,7 +102,9 @@ _EDGES = "edge AS (SELECT a.cube_id, 0 AS head, a.z, a.x, a.y, CAST(a.seg = b.se
 
 def _affinity_targets(spark, d):
     edges = affinity_edges(voxel_segments(volumes(spark, d)), "cube_id", ("z", "x", "y")).select("cube_id", F.col("dir").alias("head"), F.col("z").alias("d"), "x", "y", F.col("connected").alias("y1"))
-    return affinity(spark, d).join(edges.withColumnRenamed("y1", "target"), ["cube_id", "head", "d", "x", "y"])
+    keys = ["cube_id", "head", "d", "x", "y"]
+    n = task_parts(spark, affinity_rows(spark, d))
+    return affinity(spark, d).repartition(n, *keys).join(edges.withColumnRenamed("y1", "target").repartition(n, *keys), keys)
 
 
 @query("loss_affinity", with_views(f"SELECT {R('avg(nll)', 4)} AS nll FROM (SELECT ap.head, sum(CASE WHEN c = y1 THEN -ln(p + {_E}) END) / count(*) FILTER (WHERE c = y1) AS nll FROM ap JOIN edge USING (cube_id, head, z, x, y) GROUP BY ap.head)", "seg8", more=f"{AFFINITY}, {_EDGES}"))

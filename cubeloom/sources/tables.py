@@ -73,6 +73,11 @@ def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANGE_ROWS, QUANTILES = 1_000_000, 256
 
 
+def task_parts(spark: SparkSession, rows: int) -> int:
+    """Partitions of so many rows: those of the session, and more where a task would get more than RANGE_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges(rows))
+
+
 def indexed(df: DataFrame, key: str, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with name, the rows' number from 0 in order of a unique numeric key.
 
