@@ -62,3 +62,10 @@ def test_no_machine_local_folder_on_a_cluster():
     assert tables.shared_dir(Session(spark_master="spark://a:7077", spark_checkpoint_dir="/shared/x/")) == "/shared/x"
     with pytest.raises(RuntimeError):
         tables.shared_dir(Session(spark_master="spark://a:7077"))
+
+
+def test_partitions_follow_the_rows(spark):
+    from cubeloom.sources.tables import RANGE_ROWS, task_parts
+
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert task_parts(spark, 0) == task_parts(spark, own * RANGE_ROWS) == own and task_parts(spark, 10 * own * RANGE_ROWS) == 10 * own
