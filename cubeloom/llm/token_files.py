@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +30,34 @@ ROW_GROUP_BYTES, PAGE_BYTES, FILE_TEXT_BYTES = 16 << 20, 256 << 10, 16 << 20
 #: A task sorts a file's text in the memory of one core (clusters with larger executors take larger files). Smaller files, of so much text at
 #: least, where cores would stand idle else; files whose totals are added up together.
 LEAST_TEXT_BYTES, FILES = 16 << 20, 1024
-#: A full stop or comma between a letter and white space: a token of its own.
-_MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])(\s|$)"
+#: ASCII punctuation between a letter and white space: the tokenizer splits before it, whatever the letter belongs to.
+_MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(\s|$)"
 WORDS = 1_500_000
 BATCH_CHARS = 6_000_000
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """The same as to_pylist, without a scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """The tokenizers library's ids of whole texts, with the ids of words remembered in a bounded table.
 
     The tokenizer drops white space and no token reaches over it, so a text's ids are those of its words, one after
-    the other; a full stop or comma that ends a word is a token of its own, and ASCII case doesn't matter. Texts that
-    hold a special token's string are encoded whole. Only a batch's distinct words are looked up.
+    the other; ASCII punctuation that ends a word is looked up as a word of its own, and ASCII case doesn't matter. Texts that
+    hold a special token's string are encoded whole. Only a batch's distinct words are looked up, by hashes kept in order, and compared:
+    a look-up costs the same however many words are known.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        # The same model for words in lower case of Latin-1's letters alone, which its normalizer and its split leave as they are.
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -56,16 +67,27 @@ class Encoder:
     def _forget(self) -> None:
         """The known words, in one Arrow array (no object for each), and their ids, one word after the other."""
         self.words, self.counts, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # Their hashes in order, and the word of each.
+        self.hashes, self.word_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The known words' places; -1 for others."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        order = np.argsort(hashes)
+        at = np.empty(len(words), np.int64)
+        at[order] = self.word_of[np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)]
+        return np.where(np.asarray(pc.equal(self.words.take(pa.array(at)), words)), at, -1)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _letters(self, words: list[str], tokenizer) -> list[bytes]:
         """Ids of words of letters alone: one call for many, told apart by the tokens that end a word."""
         out: list[bytes] = []
         for k in range(0, len(words), 2000):
             some = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             edges = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             if len(edges) == len(some) + 1:
                 packed = ids.tobytes()
@@ -74,14 +96,17 @@ class Encoder:
                 out += self._each(some)
         return out
 
-    def _learn(self, new: pa.Array) -> None:
-        """Adds new words; ASCII words by the ids of their lower-case form."""
-        forms = [w.lower() if w.isascii() else w for w in new.to_pylist()]
-        distinct = set(forms) - {""}
-        letters = [s for s in distinct if s.isalpha()]
-        others = [s for s in distinct if not s.isalpha()]
-        memo = {"": b"", **dict(zip(letters, self._letters(letters), strict=True)), **dict(zip(others, self._each(others), strict=True))}
+    def _learn(self, new: pa.Array, hashes: np.ndarray) -> None:
+        """Adds new words; ASCII words by the ids of their lower-case form, other words of Latin-1's letters too."""
+        forms = [w.lower() if w.isascii() or w.isalpha() and max(w) <= "\xff" else w for w in _strings(new)]
+        plain, letters, others = [], [], []
+        for s in set(forms) - {""}:
+            (others if not s.isalpha() else plain if s.isascii() or max(s) <= "\xff" else letters).append(s)
+        memo = {"": b"", **dict(zip(plain, self._letters(plain, self.plain), strict=True)), **dict(zip(letters, self._letters(letters, self.tokenizer), strict=True)), **dict(zip(others, self._each(others), strict=True))}
         packed = [memo[s] for s in forms]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.word_of = np.insert(self.hashes, at, hashes[order]), np.insert(self.word_of, at, (len(self.words) + order).astype(np.int32))
         self.words = pa.concat_arrays([self.words, new])
         self.counts = np.concatenate((self.counts, np.fromiter(map(len, packed), np.int64, len(packed)) // 4))
         self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(packed), "<u4")))
@@ -94,14 +119,14 @@ class Encoder:
         # Split at ASCII white space alone: the library sees any other inside its word.
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _MARKED, r"\1 \2\3"))
         coded = split.values.dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=self.words)
-        if at.null_count:
-            new = coded.dictionary.filter(at.is_null())
-            missing = np.asarray(at.is_null())
-            at = np.asarray(at.fill_null(0)).astype(np.int64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, _strings(coded.dictionary)), np.uint64, len(coded.dictionary))
+        at = self._find(coded.dictionary, hashes)
+        missing = at < 0
+        if missing.any():
+            new = coded.dictionary.filter(pa.array(missing))
             at[missing] = np.arange(len(self.words), len(self.words) + len(new))
-            self._learn(new)
-        index = np.asarray(at)[np.asarray(coded.indices)]
+            self._learn(new, hashes[missing])
+        index = at[np.asarray(coded.indices)]
         counts, first = self.counts[index], (np.cumsum(self.counts) - self.counts)[index]
         ends = np.concatenate(([0], np.cumsum(counts)))
         ids = self.flat[np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])]

@@ -2,11 +2,13 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cubeloom.llm import crf, decontamination, html_extraction, language_id, lm_scoring, quality, queries, sentencepiece_codec, simhash, substring_dedup, tagging, token_files, toxicity
@@ -305,6 +307,22 @@ def test_token_ids_of_odd_texts():
         assert [p.tolist() for p in parts] == [library.encode(t, add_special_tokens=False).ids for t in odd] + [[]]
 
 
+def test_punctuation_after_words_is_looked_up_alone():
+    """A word is learned once, whatever punctuation ends it; ids are the library's on odd letters, marks and breaks."""
+    path = tokenizer_file("word_bpe_49k.json")
+    encoder, ends = token_files.Encoder(path), ["", ".", "!!", "&&&", ".***", "%%%"]
+    encoder.encode(pa.array([f"thor{a}{b}{end} " for a in "abcdefghij" for b in "klmnopqrst" for end in ends]))
+    assert len(encoder.words) <= 100 + len(ends)
+    rng = random.Random(1)
+    pieces = ["a", "B", "é", "É", "ß", "ª", "µ", "H\u0331", "J\u030c", "\u01c5", "Σ", "中", "٣", "5", "²", "'", "’", "'s", "'T", "$", "_", "`", "<|", "<|endoftext|>", "\u0307", "\u0338", " ", "\x0b", "\x85", "\xa0", "\n", ".", "!!", "≠", "İ", "\x00"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    for some in (texts[:1500], texts[1500:], texts[:100]):  # new words beside known ones, then known ones alone
+        ids, n = encoder.encode(pa.array(some))
+        whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert n.tolist() == [len(w) for w in whole] and ids.tolist() == [i for w in whole for i in w]
+
+
+
 def test_marginals_are_those_of_enumeration():
     rng = np.random.default_rng(4)
     lengths, t = np.array([3, 0, 1, 4]), rng.random((2, 2)) + 0.1
