@@ -148,18 +148,16 @@ _QUARTER_NEAR = "(m.node = n.node + 16 OR (m.node = n.node + 4 AND (n.node // 4)
 
 def _quarter_edges(spark, d):
     v = volumes(spark, d)
-    node = (F.col("z") * 16 + (F.col("x") % 4) * 4 + F.col("y") % 4).alias("a")
-    seg = F.when(F.col("value") <= -0.02, F.lit(0)).otherwise(1 + F.expr("z div 4") * 2 + F.expr("(x % 4) div 2")).cast("long").alias("sa")
-    one = v.select((F.col("cube_id") * 4 + F.expr("x div 4") * 2 + F.expr("y div 4")).alias("vec_id"), node, seg)
-    a = F.col("a")
-    steps = F.array(a + 16, F.when(F.floor(a / 4) % 4 < 3, a + 4), F.when(a % 4 < 3, a + 1))
-    met = one.withColumn("b", F.explode(F.filter(steps, lambda s: s.isNotNull()))).join(one.select("vec_id", F.col("a").alias("b"), F.col("sa").alias("sb")), ["vec_id", "b"])
+    node = (F.col("z") * 16 + (F.col("x") % 4) * 4 + F.col("y") % 4).alias("node")
+    seg = F.when(F.col("value") <= -0.02, F.lit(0)).otherwise(1 + F.expr("z div 4") * 2 + F.expr("(x % 4) div 2")).alias("seg")
+    voxels = v.select((F.col("cube_id") * 4 + F.expr("x div 4") * 2 + F.expr("y div 4")).alias("vec_id"), node, seg)
     inside = ((F.col("sa") == F.col("sb")) & (F.col("sa") > 0)).cast("double")
-    return met.select("vec_id", "a", "b", (0.05 + 0.45 * inside + 0.45 * uniform("malis2", F.col("vec_id"), a, F.col("b"))).alias("p"), "sa", "sb")
+    p = 0.05 + 0.45 * inside + 0.45 * uniform("malis2", F.col("vec_id"), F.col("a"), F.col("b"))
+    return graph.lattice_edges(voxels, "vec_id", (8, 4, 4)).select("vec_id", "a", "b", p.alias("p"), "sa", "sb")
 
 
 def _by_blocks(spark, d, restricted):
-    return graph.maximin_edges_by_blocks(_quarter_edges(spark, d), "vec_id", (8, 4, 4), (2, 4, 4), restricted)
+    return graph.maximin_edges_by_blocks(_quarter_edges(spark, d), "vec_id", (8, 4, 4), (2, 4, 4), restricted, dealt=True)
 
 
 @query("malis_volume_counts", malis_sql(f"SELECT vec_id AS part_id, a, b, {R('p')} AS p, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg FROM mm", "p", _QUARTERS, _QUARTER_NEAR, "vol8"))
