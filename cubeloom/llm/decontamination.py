@@ -22,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import parts, slices
-from .storage import stored
+from .storage import local, stored
 from .worker import released
 
 WINDOW = 10
@@ -244,7 +245,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     out = None
     for k in range(n):
         part = chunks[k] if chunks else [tuple(r) for r in items.where(chunk == k).collect()]  # about chunk_bytes of text
-        own = index.sparkSession.createDataFrame([(int(t),) for t in (*_terms(part), -1)], "term long")
+        own = local(index.sparkSession, [(int(t),) for t in (*_terms(part), -1)], T.StructType([T.StructField("term", T.LongType())]))
         one = _answers(index.join(F.broadcast(own), "term", "left_semi"), part, window, near_span)
         out = one if out is None else out.unionByName(one)
     schema = pa.schema([("n", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary())])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .crf import Chain, Tagger
+from .storage import local
 from .worker import kept
 
 _MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’‚…–—¿¡·"
@@ -45,7 +46,7 @@ def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int) -
     if not counts:
         return []
     rows, most = max(1, max_rows // len(counts)), max_chars / len(counts)
-    shares = docs.sparkSession.createDataFrame([(r["cls"], min(1.0, (rows + 4 * math.sqrt(rows) + 8) / r["count"])) for r in counts], T.StructType([classes.schema["cls"], T.StructField("share", T.DoubleType())]))
+    shares = local(docs.sparkSession, [(r["cls"], min(1.0, (rows + 4 * math.sqrt(rows) + 8) / r["count"])) for r in counts], T.StructType([classes.schema["cls"], T.StructField("share", T.DoubleType())]))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
     drawn = classes.join(F.broadcast(shares), "cls").withColumn("draw", draw).where("draw < share").select("doc_id", "cls", "draw").distinct()
     texts = docs.select("doc_id", "text").where("text is not null")
@@ -61,7 +62,7 @@ def sample(docs: DataFrame, classes: DataFrame, max_rows: int, max_chars: int) -
             chars[r["cls"]] += r["n"]
     if not chosen:
         return []
-    wanted = docs.sparkSession.createDataFrame(sorted(set(chosen)), T.StructType([*drawn.select("doc_id", "cls").schema, T.StructField("h", T.LongType())]))
+    wanted = local(docs.sparkSession, sorted(set(chosen)), T.StructType([*drawn.select("doc_id", "cls").schema, T.StructField("h", T.LongType())]))
     met = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"])
     found = met.groupBy("cls", "doc_id").agg(F.min("text").alias("text")).select("cls", F.xxhash64("doc_id").alias("h"), "text").collect()
     return [(r["cls"], r["text"]) for r in sorted(found)]

@@ -27,6 +27,8 @@ from .tagging import Features, Model, bare, fitted, offsets, sample, split_words
 from .worker import released
 
 THRESHOLD, SPAN_THRESHOLD = 0.7, 0.5
+#: Whole texts that are tagged at once hold about so many bytes: their words as objects take some twenty times that.
+TAGGED = 500_000
 #: One sample text in HELD_OUT calibrates document scores; marginals under LEAST say nothing about a document.
 HELD_OUT, LEAST = 5, 0.1
 #: Document weights before any label is seen: one sure word is enough, doubtful ones add up.
@@ -191,7 +193,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags = tagger(sent.value)
         for whole in batches:
-            for b in slices(whole, at):
+            for b in slices(whole, at, TAGGED):
                 texts = b.column(at).to_pylist()
                 words = [t.split() if t else [] for t in texts]
                 n = np.array([len(w) for w in words], np.int64)
